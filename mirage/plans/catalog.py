@@ -110,3 +110,44 @@ def q_nested_report(spark, d):
     from mirage.schemas import REPORT_DETAIL_COLUMNS
     t = V.label_term_level(Pipeline(spark, d)).select(*REPORT_DETAIL_COLUMNS)
     return R.nested_report(L.dedupe_report_rows(t)).drop("evaluations")
+
+
+# -- evaluation ---------------------------------------------------------------
+@register("terms_long")
+def q_terms_long(spark, d):
+    from mirage.operators.evaluate import terms_long
+    return terms_long(Pipeline(spark, d).qa)
+
+
+@register("term_inclusion")
+def q_term_inclusion(spark, d):
+    from mirage.operators.evaluate import inclusion_evals, terms_long
+    return inclusion_evals(terms_long(Pipeline(spark, d).qa))
+
+
+@register("judge_evaluations")
+def q_judge_evaluations(spark, d):
+    from mirage.operators.evaluate import evaluate_answers, stub_judge
+    return evaluate_answers(Pipeline(spark, d).qa, stub_judge, 2)
+
+
+@register("judge_reply_labels")
+def q_judge_reply_labels(spark, d):
+    """F18-F20 over judge replies; the extraction is Python (no oracle)."""
+    from mirage.functions import replies as RP
+    r = Pipeline(spark, d).replies
+    p = r.withColumn("_p", RP.parse_reply(F.col("reply")))
+    acc = F.col("kind") == 2
+    label = F.when(acc, RP.certainty_label(F.col("_p"), F.col("term_source"))) \
+             .otherwise(RP.meaning_label(F.col("_p")))
+    failed = F.when(acc, RP.certainty_failed(F.col("_p"))).otherwise(RP.meaning_failed(F.col("_p")))
+    return p.select("id", "kind", "term_source", label.alias("eval_label"),
+                    RP.stored_reply(F.col("reply"), failed).alias("reflection"),
+                    F.col("_p.step").alias("parse_step"))
+
+
+@register("reply_failure_rate")
+def q_reply_failure_rate(spark, d):
+    """Parse outcome counts per extraction attempt (0 = failed)."""
+    return q_judge_reply_labels(spark, d).groupBy("kind", "parse_step").agg(
+        F.count(F.lit(1)).alias("n"))

@@ -143,6 +143,61 @@ class Pipeline:
         return li.select(F.col("l_suppkey").cast("long").alias("nonexistent_id"),
                          F.col("l_partkey").cast("long").alias("real_id")).distinct()
 
+    @property
+    def qa(self) -> DataFrame:
+        """Wide answer rows from chats: an assistant turn answers the user turn
+        right before it. The made-up term is word 3 of the question, the
+        secondary term words 4-5, the replacement word 6; the question type
+        comes from ``conv_id % 3`` (0, 1, 3)."""
+        c = self.t.conversations
+        a = c.where(F.col("role") == "assistant").alias("a")
+        q = c.where(F.col("role") == "user").alias("q")
+        j = a.join(q, (F.col("a.conv_id") == F.col("q.conv_id"))
+                   & (F.col("q.turn") == F.col("a.turn") - 1))
+        w = F.split(F.col("q.text"), " ", -1)
+        k = F.col("a.conv_id") % 3
+        return j.select(
+            (F.col("a.conv_id") * 1000 + F.col("a.turn")).cast("long").alias("answer_id"),
+            F.col("a.text").alias("answer"),
+            (F.col("a.conv_id") * 1000 + F.col("q.turn")).cast("long").alias("question_id"),
+            F.col("q.text").alias("question"),
+            F.col("a.conv_id").cast("long").alias("nonexistent_id"),
+            F.coalesce(F.get(w, 2), F.lit("")).alias("nonexistent"),
+            F.col("q.turn").cast("long").alias("secondary_id"),
+            F.concat_ws(" ", F.slice(w, 4, 2)).alias("secondary"),
+            F.concat(F.lit("meaning of "), F.concat_ws(" ", F.slice(w, 4, 2)))
+             .alias("secondary_meaning"),
+            F.lit("1").alias("secondary_source"),
+            (F.col("a.conv_id") + 1).cast("long").alias("replacement_id"),
+            F.coalesce(F.get(w, 5), F.lit("")).alias("replacement"),
+            F.lit("").alias("replacement_meaning"), F.lit("2").alias("replacement_source"),
+            F.when(k == 0, 0).when(k == 1, 1).otherwise(3).cast("long").alias("replacement_type"))
+
+    @property
+    def replies(self) -> DataFrame:
+        """Judge replies in the shapes the extraction must handle, from
+        lineitem: the line number picks the shape, the return flag the
+        certainty and the line status the verification."""
+        li = self.t.lineitem
+        cert = (F.when(F.col("l_returnflag") == "A", "mentioned")
+                 .when(F.col("l_returnflag") == "N", "unknown").otherwise("unreal"))
+        ln = F.col("l_linenumber")
+        reply = (F.when(ln == 1, F.concat(F.lit('{"term": "x", "reasoning": "ok", "certainty": "'),
+                                          cert, F.lit('"}')))
+                  .when(ln == 2, F.concat(F.lit('Sure: {"certainty": "'), F.upper(cert),
+                                          F.lit('"} done')))
+                  .when(ln == 3, F.concat(F.lit('Sure: {"Certainty": "'), cert, F.lit('"} done')))
+                  .when(ln == 4, F.lit('{"certainty": 12}'))
+                  .when(ln == 5, F.lit("I cannot say"))
+                  .when(ln == 6, F.concat(F.lit('{"term": "a", "verified": '),
+                                          F.when(F.col("l_linestatus") == "O", "false")
+                                           .otherwise("true"), F.lit("}")))
+                  .otherwise(F.concat(F.lit('{"term": "x" "certainty": "'), cert, F.lit('"}'))))
+        return li.select((F.col("l_orderkey") * 8 + ln).cast("long").alias("id"),
+                         (ln % 4).cast("long").alias("term_source"),
+                         F.when(ln == 6, 3).otherwise(2).cast("long").alias("kind"),
+                         reply.alias("reply"))
+
     @cached_property
     def labels(self) -> DataFrame:
         """The answer-label table (A2 over ``evals``)."""

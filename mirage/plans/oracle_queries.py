@@ -148,3 +148,49 @@ SELECT * EXCLUDE (rn) FROM (SELECT *, row_number() OVER (PARTITION BY eval_id OR
 ORACLE["report_detail"] = with_ctes(
     "SELECT * FROM rd", "evals", "answers", "questions", "alabels", "term_dict",
     extra=_REPORT_EXTRA)
+
+from mirage.plans.oracle import included_sql  # noqa: E402
+
+_LONG = """
+SELECT answer_id, question_id, answer, question, 0 AS term_pos, secondary_id AS term_id,
+       secondary AS term, secondary_meaning AS meaning, secondary_source AS term_source,
+       false AS is_hypothetical FROM qa
+UNION ALL
+SELECT answer_id, question_id, answer, question, 1 AS term_pos,
+       CASE WHEN replacement_type IS NULL OR replacement_type <> 0 THEN replacement_id
+            ELSE nonexistent_id END AS term_id,
+       CASE WHEN replacement_type IS NULL OR replacement_type <> 0 THEN replacement
+            ELSE nonexistent END AS term,
+       CASE WHEN replacement_type IS NULL OR replacement_type <> 0 THEN replacement_meaning
+            ELSE '' END AS meaning,
+       CASE WHEN replacement_type IS NULL OR replacement_type <> 0 THEN replacement_source
+            ELSE '0' END AS term_source,
+       NOT (replacement_type IS NULL OR replacement_type <> 0) AS is_hypothetical FROM qa"""
+
+ORACLE["terms_long"] = with_ctes("SELECT * FROM lng", "qa", extra=[("lng", _LONG)])
+
+_INC = f"""
+SELECT answer_id,
+       CAST(CASE WHEN {included_sql('answer', 'term')} THEN 0 ELSE 2 END AS BIGINT) AS eval_label,
+       CAST(4 AS BIGINT) AS eval_type_id, CAST(NULL AS VARCHAR) AS reflection, term_source,
+       term_id, CAST(10 AS BIGINT) AS model_id, term_pos, term FROM lng"""
+
+ORACLE["term_inclusion"] = with_ctes("SELECT * FROM inc", "qa",
+                                     extra=[("lng", _LONG), ("inc", _INC)])
+
+ORACLE["judge_evaluations"] = with_ctes(f"""
+SELECT *, CAST(NULL AS INTEGER) AS parse_step FROM inc
+UNION ALL
+SELECT answer_id,
+       CAST(CASE WHEN (length(term) % 2 = 0) = is_hypothetical THEN 1 ELSE 0 END AS BIGINT),
+       CAST(2 AS BIGINT), '{{"term": "t", "reasoning": "stub", "certainty": "' ||
+         CASE WHEN length(term) % 2 = 0 THEN 'mentioned' ELSE 'unreal' END || '"}}',
+       term_source, term_id, CAST(2 AS BIGINT), term_pos, term, 1
+FROM lng WHERE {included_sql('answer', 'term')}
+UNION ALL
+SELECT answer_id, CAST(CASE WHEN coalesce(meaning, '') <> '' THEN 0 ELSE 1 END AS BIGINT),
+       CAST(3 AS BIGINT), '{{"term": "t", "reasoning": "stub", "verified": ' ||
+         CASE WHEN coalesce(meaning, '') <> '' THEN 'true' ELSE 'false' END || '}}',
+       term_source, term_id, CAST(2 AS BIGINT), term_pos, term, 1
+FROM lng WHERE {included_sql('answer', 'term')} AND NOT is_hypothetical""",
+    "qa", extra=[("lng", _LONG), ("inc", _INC)])
