@@ -151,3 +151,66 @@ def q_reply_failure_rate(spark, d):
     """Parse outcome counts per extraction attempt (0 = failed)."""
     return q_judge_reply_labels(spark, d).groupBy("kind", "parse_step").agg(
         F.count(F.lit(1)).alias("n"))
+
+
+# -- triplets -----------------------------------------------------------------
+@register("triplets")
+def q_triplets(spark, d):
+    from mirage.operators.triplets import build_triplets
+    return build_triplets(V.terms_combined(Pipeline(spark, d)))
+
+
+@register("triplets_true_source")
+def q_triplets_true_source(spark, d):
+    from mirage.operators.triplets import build_triplets
+    return build_triplets(V.terms_combined(Pipeline(spark, d)), compat=False)
+
+
+# -- vectors ------------------------------------------------------------------
+def _label_queries(emb: DataFrame) -> DataFrame:
+    """One query per label: its lowest-id vector."""
+    first = emb.groupBy("label").agg(F.min_by(F.struct("vec_id", "embedding"), "vec_id").alias("q"))
+    return first.select(F.col("label").alias("query_label"), F.col("q.vec_id").alias("query_id"),
+                        F.col("q.embedding").alias("query_vec"))
+
+
+def _knn(spark, d, mode):
+    from mirage.operators import vectors as VX
+    from mirage.sources.tables import read_table
+    emb = read_table(spark, d, "embeddings").select("vec_id", "embedding", "label")
+    queries = _label_queries(emb)
+    index = VX.CellIndex(emb.select("vec_id", "embedding"))
+    if mode == "exact":
+        res = VX.exact_knn(index, queries, k=10, exclude_self=True)
+    elif mode == "ivf":
+        res = VX.approximate_knn(index, queries, k=10, nprobe=2, exclude_self=True)
+    else:  # partitioned: exact candidates, best 10 per partition batch of 3, then overall
+        ex = VX.exact_knn(index, queries, k=10, exclude_self=True)
+        cand = ex.drop("rank").withColumn("batch", F.floor(F.col("vec_id") / 300))
+        res = VX.two_level_topk(cand, "query_id", "batch", "vec_id", k=10)
+    return res.join(queries.select("query_id", "query_label"), "query_id") \
+              .select("query_label", "query_id", "vec_id", F.col("rank").cast("int").alias("rank"))
+
+
+@register("knn_exact")
+def q_knn_exact(spark, d):
+    return _knn(spark, d, "exact")
+
+
+@register("knn_partitioned")
+def q_knn_partitioned(spark, d):
+    return _knn(spark, d, "partitioned")
+
+
+@register("knn_ivf")
+def q_knn_ivf(spark, d):
+    """V3: approximate; compared by rows only (recall is reported by
+    ``knn_recall``)."""
+    return _knn(spark, d, "ivf")
+
+
+@register("knn_recall")
+def q_knn_recall(spark, d):
+    from mirage.operators import vectors as VX
+    ex, ap = _knn(spark, d, "exact"), _knn(spark, d, "ivf")
+    return VX.recall(ap, ex, "query_id", "vec_id")

@@ -194,3 +194,56 @@ SELECT answer_id, CAST(CASE WHEN coalesce(meaning, '') <> '' THEN 0 ELSE 1 END A
        term_source, term_id, CAST(2 AS BIGINT), term_pos, term, 1
 FROM lng WHERE {included_sql('answer', 'term')} AND NOT is_hypothetical""",
     "qa", extra=[("lng", _LONG), ("inc", _INC)])
+
+_TRIP = [
+    ("j1", """
+SELECT n.id AS fake_term_id, r.id AS real_term_id, r.source_id
+FROM nonexistent n JOIN topic t ON n.topic_id = t.id
+JOIN links l ON l.nonexistent_id = n.id JOIN real_terms r ON l.real_id = r.id
+JOIN term_source s ON r.source_id = s.id"""),
+    ("f1", "SELECT *, min(real_term_id) OVER (PARTITION BY fake_term_id, source_id) AS fst FROM j1"),
+    ("f2", "SELECT *, dense_rank() OVER (PARTITION BY fake_term_id ORDER BY fst) - 1 AS sr FROM f1"),
+    ("f3", "SELECT *, max(sr) OVER (PARTITION BY fake_term_id) + 1 AS n FROM f2"),
+    ("f4", "SELECT *, unnest(range(0, n)) AS rotation FROM f3"),
+    ("f5", """
+SELECT *, row_number() OVER w AS pos, lead(real_term_id, 3) OVER w AS rep,
+       lead(source_id, 3) OVER w AS rep_src
+FROM f4 WINDOW w AS (PARTITION BY fake_term_id, rotation
+                     ORDER BY ((sr - rotation) % n + n) % n, real_term_id)"""),
+]
+
+
+def _trip_sql(compat: bool) -> str:
+    rs = "source_id" if compat else "rep_src"
+    return f"""
+SELECT nonexistent_id, secondary_id, secondary_source, replacement_id, replacement_source,
+       rotation, position FROM (
+  SELECT *, row_number() OVER (PARTITION BY secondary_id, secondary_source, replacement_id,
+                               replacement_source ORDER BY nonexistent_id, rotation, position) AS k
+  FROM (SELECT CAST(fake_term_id AS BIGINT) AS nonexistent_id,
+               CAST(real_term_id AS BIGINT) AS secondary_id,
+               CAST(source_id AS BIGINT) AS secondary_source, CAST(rep AS BIGINT) AS replacement_id,
+               CAST({rs} AS BIGINT) AS replacement_source, CAST(rotation AS INTEGER) AS rotation,
+               CAST(pos - 1 AS INTEGER) AS position
+        FROM f5 WHERE pos <= 3 AND rep IS NOT NULL)) WHERE k = 1"""
+
+
+ORACLE["triplets"] = with_ctes(_trip_sql(True), "nonexistent", "topic", "links", "real_terms",
+                               extra=_TRIP)
+ORACLE["triplets_true_source"] = with_ctes(_trip_sql(False), "nonexistent", "topic", "links",
+                                           "real_terms", extra=_TRIP)
+
+_KNN = """
+WITH q AS (
+  SELECT label AS query_label, min(vec_id) AS query_id FROM embeddings GROUP BY label),
+qv AS (SELECT q.*, e.embedding AS query_vec FROM q JOIN embeddings e ON e.vec_id = q.query_id),
+d AS (
+  SELECT qv.query_label, qv.query_id, e.vec_id,
+         list_sum(list_transform(list_zip(qv.query_vec, e.embedding),
+                  lambda x: (x[1]::DOUBLE - x[2]::DOUBLE) * (x[1]::DOUBLE - x[2]::DOUBLE))) AS dist2
+  FROM qv JOIN embeddings e ON e.vec_id <> qv.query_id)
+SELECT query_label, query_id, vec_id, CAST(rank AS INTEGER) AS rank FROM (
+  SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY dist2, vec_id) AS rank FROM d)
+WHERE rank <= 10"""
+ORACLE["knn_exact"] = _KNN
+ORACLE["knn_partitioned"] = _KNN
