@@ -214,3 +214,47 @@ def q_knn_recall(spark, d):
     from mirage.operators import vectors as VX
     ex, ap = _knn(spark, d, "exact"), _knn(spark, d, "ivf")
     return VX.recall(ap, ex, "query_id", "vec_id")
+
+
+# -- order-dependent steps -----------------------------------------------------
+@register("topic_runs")
+def q_topic_runs(spark, d):
+    """W3 over the event stream: run id by event type, in event order."""
+    from mirage.operators.ordering import GlobalOrder
+    from mirage.sources.tables import read_table
+    ev = read_table(spark, d, "events").select("event_id", "event_type")
+    return GlobalOrder(ev, ["event_id"]).run_ids("event_type")
+
+
+@register("running_mean")
+def q_running_mean(spark, d):
+    """Running mean of whole seconds (floor of ``value``) in event order."""
+    from mirage.operators.ordering import GlobalOrder
+    from mirage.sources.tables import read_table
+    ev = read_table(spark, d, "events").select(
+        "event_id", F.floor("value").cast("long").alias("seconds"))
+    return GlobalOrder(ev, ["event_id"]).running_mean("seconds")
+
+
+@register("row_ids")
+def q_row_ids(spark, d):
+    """1-based ids by stored order (documents by doc_id)."""
+    from mirage.operators.ordering import GlobalOrder
+    from mirage.sources.tables import read_table
+    docs = read_table(spark, d, "documents").select("doc_id", "lang")
+    return GlobalOrder(docs, ["doc_id"]).with_position("id", base=1)
+
+
+@register("second_half")
+def q_second_half(spark, d):
+    """Answers of one model in reversed order, second half."""
+    from mirage.operators.ordering import second_half
+    a = Pipeline(spark, d).answers
+    return second_half(a.select("id", "question_id", "model_id"), ["id"], reverse=True)
+
+
+@register("first_answers")
+def q_first_answers(spark, d):
+    """The first 10 answers by id (a top-n report)."""
+    from mirage.operators.ordering import head
+    return head(Pipeline(spark, d).answers.select("id", "question_id", "model_id"), ["id"], 10)

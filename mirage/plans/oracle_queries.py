@@ -247,3 +247,28 @@ SELECT query_label, query_id, vec_id, CAST(rank AS INTEGER) AS rank FROM (
 WHERE rank <= 10"""
 ORACLE["knn_exact"] = _KNN
 ORACLE["knn_partitioned"] = _KNN
+
+ORACLE["topic_runs"] = """
+SELECT event_id, event_type,
+       CAST(sum(CASE WHEN prev_type IS DISTINCT FROM event_type OR rn = 1 THEN 1 ELSE 0 END)
+            OVER (ORDER BY event_id ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS BIGINT)
+         AS run_id
+FROM (SELECT event_id, event_type, lag(event_type) OVER (ORDER BY event_id) AS prev_type,
+             row_number() OVER (ORDER BY event_id) AS rn FROM events)"""
+
+ORACLE["running_mean"] = """
+SELECT event_id, seconds,
+       CAST(sum(seconds) OVER w AS DOUBLE) / count(*) OVER w AS running_mean
+FROM (SELECT event_id, CAST(floor(value) AS BIGINT) AS seconds FROM events)
+WINDOW w AS (ORDER BY event_id ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)"""
+
+ORACLE["row_ids"] = """
+SELECT doc_id, lang, CAST(row_number() OVER (ORDER BY doc_id) AS BIGINT) AS id FROM documents"""
+
+ORACLE["second_half"] = with_ctes("""
+SELECT id, question_id, model_id FROM (
+  SELECT *, row_number() OVER (ORDER BY id DESC) - 1 AS pos, count(*) OVER () AS n FROM answers)
+WHERE pos >= n // 2""", "answers")
+
+ORACLE["first_answers"] = with_ctes(
+    "SELECT id, question_id, model_id FROM answers ORDER BY id LIMIT 10", "answers")
