@@ -258,3 +258,108 @@ def q_first_answers(spark, d):
     """The first 10 answers by id (a top-n report)."""
     from mirage.operators.ordering import head
     return head(Pipeline(spark, d).answers.select("id", "question_id", "model_id"), ["id"], 10)
+
+
+# -- term building -------------------------------------------------------------
+@register("definitions")
+def q_definitions(spark, d):
+    from mirage.operators.terms import page_definitions
+    return page_definitions(Pipeline(spark, d).wiki_pages)
+
+
+@register("paragraphs")
+def q_paragraphs(spark, d):
+    from mirage.operators.terms import paragraphs
+    return paragraphs(Pipeline(spark, d).wiki_pages, strict=True)
+
+
+@register("paragraphs_loose")
+def q_paragraphs_loose(spark, d):
+    from mirage.operators.terms import paragraphs
+    return paragraphs(Pipeline(spark, d).wiki_pages, strict=False)
+
+
+@register("term_lookup_ci_ai")
+def q_term_lookup(spark, d):
+    from mirage.operators.terms import lookup_by_title
+    p = Pipeline(spark, d)
+    return lookup_by_title(p.lookup_terms, p.wiki_pages)
+
+
+@register("lookup_outcomes")
+def q_lookup_outcomes(spark, d):
+    from mirage.operators.terms import lookup_by_title, lookup_outcomes
+    p = Pipeline(spark, d)
+    return lookup_outcomes(lookup_by_title(p.lookup_terms, p.wiki_pages))
+
+
+def _upsert(spark, d):
+    from mirage.operators.terms import upsert_real_terms
+    tc = V.terms_combined(Pipeline(spark, d))
+    cand = tc.select("fake_term_id", F.col("real_term").alias("term"),
+                     F.col("real_term_explanation").alias("explanation"), "source_id",
+                     F.col("real_term_id").alias("position"))
+    return upsert_real_terms(cand)
+
+
+@register("upsert_terms")
+def q_upsert_terms(spark, d):
+    return _upsert(spark, d)[0]
+
+
+@register("upsert_links")
+def q_upsert_links(spark, d):
+    return _upsert(spark, d)[1]
+
+
+def _topics(p):
+    t = p.topic
+    return t.select(F.col("id").alias("pos"),
+                    F.concat(F.col("name"), F.lit(":"), F.col("explanation")).alias("topic"))
+
+
+@register("topic_containing")
+def q_topic_containing(spark, d):
+    """Each supplier's nation name against the topic list."""
+    from mirage.operators.terms import topic_containing
+    p = Pipeline(spark, d)
+    titles = p.t.supplier.join(p.t.nation, F.col("s_nationkey") == F.col("n_nationkey")) \
+        .select(F.col("s_suppkey").alias("supplier"), F.col("n_name").alias("title"))
+    return topic_containing(titles, _topics(p))
+
+
+@register("candidate_terms")
+def q_candidate_terms(spark, d):
+    """F11 + J15 + F10: split candidate replies and pair them with topics."""
+    from mirage.operators.terms import split_candidate_lists, topic_rows, zip_by_position
+    p = Pipeline(spark, d)
+    good, _ = split_candidate_lists(p.candidate_lists)
+    topics = topic_rows(_topics(p).select((F.col("pos") - 1).alias("pos"), "topic")) \
+        .select((F.col("id")).alias("pos"), F.col("name").alias("topic_name"),
+                F.col("explanation").alias("topic_explanation"))
+    return zip_by_position(good, topics, "pos")
+
+
+@register("candidate_rejects")
+def q_candidate_rejects(spark, d):
+    from mirage.operators.terms import split_candidate_lists
+    _, bad = split_candidate_lists(Pipeline(spark, d).candidate_lists)
+    return bad.groupBy("cand_pos").agg(F.count(F.lit(1)).alias("rejected"))
+
+
+@register("suggested_terms")
+def q_suggested_terms(spark, d):
+    """parse suggested-term replies into one row per term."""
+    from mirage.functions.text import parse_term_list
+    s = Pipeline(spark, d).suggestion_lists
+    return s.select("part", F.posexplode(parse_term_list(F.col("reply"))).alias("pos", "term"))
+
+
+@register("phrase_exists")
+def q_phrase_exists(spark, d):
+    """Do words 3-6 of each benchmark passage occur in the documents?"""
+    from mirage.operators.terms import phrase_exists
+    from mirage.sources.tables import read_table
+    b = read_table(spark, d, "benchmark")
+    terms = b.select(F.concat_ws(" ", F.slice(F.split(F.col("text"), " ", -1), 3, 4)).alias("term"))
+    return phrase_exists(terms, read_table(spark, d, "documents"))

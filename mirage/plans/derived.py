@@ -28,6 +28,11 @@ from mirage import schemas as S
 from mirage.sources.tables import Tables
 
 
+# Fixed character map used to derive accent-free lookup terms.
+ACCENTED = "àâäáãçéèêëíìîïñóòôöõúùûü"
+PLAIN = "aaaaaceeeeiiiinooooouuuu"
+
+
 def _s(c):
     return F.col(c).cast("string")
 
@@ -198,6 +203,48 @@ class Pipeline:
                          F.when(ln == 6, 3).otherwise(2).cast("long").alias("kind"),
                          reply.alias("reply"))
 
+    @property
+    def wiki_pages(self) -> DataFrame:
+        """Pages ``(_id, wikipedia_title, text)`` from documents: the lines are
+        the paragraphs, the first word of the first line is the title."""
+        d = self.t.documents
+        lines = F.split(F.col("text"), "\n", -1)
+        return d.select(F.col("doc_id").cast("long").alias("_id"),
+                        F.get(F.split(F.get(lines, 0), " ", -1), 0).alias("wikipedia_title"),
+                        lines.alias("text"))
+
+    @property
+    def lookup_terms(self) -> DataFrame:
+        """Terms to look up: the first word of every user turn, lower-cased
+        and with common accents removed by a fixed character map."""
+        c = self.t.conversations.where(F.col("role") == "user")
+        w = F.lower(F.get(F.split(F.col("text"), " ", -1), 0))
+        return c.select(F.translate(w, ACCENTED, PLAIN).alias("term"))
+
+    @property
+    def candidate_lists(self) -> DataFrame:
+        """One candidate reply per supplier: two ``term: definition`` items
+        and one item without a colon, separated by ``/n/n/n``."""
+        s = self.t.supplier
+        return s.select(F.col("s_suppkey").cast("long").alias("supplier"),
+                        F.col("s_nationkey").cast("long").alias("pos"),
+                        F.concat(F.col("s_name"), F.lit(": first of nation "),
+                                 F.col("s_nationkey").cast("string"), F.lit("/n/n/n"),
+                                 F.col("s_name"), F.lit(" bis: second/n/n/nbroken item"))
+                         .alias("candidates"))
+
+    @property
+    def suggestion_lists(self) -> DataFrame:
+        """Suggested-term replies in both shapes: a quoted list for even part
+        sizes, a numbered list otherwise."""
+        p = self.t.part
+        quoted = F.concat(F.lit("['"), F.col("p_name"), F.lit("', '"), F.col("p_type"),
+                          F.lit("... '"), F.col("p_brand"), F.lit("']"))
+        numbered = F.concat(F.lit("1. "), F.col("p_name"), F.lit("\n2. "), F.col("p_brand"))
+        return p.select(F.col("p_partkey").cast("long").alias("part"),
+                        F.when(F.col("p_size") % 2 == 0, quoted).otherwise(numbered)
+                         .alias("reply"))
+
     @cached_property
     def labels(self) -> DataFrame:
         """The answer-label table (A2 over ``evals``)."""

@@ -272,3 +272,122 @@ WHERE pos >= n // 2""", "answers")
 
 ORACLE["first_answers"] = with_ctes(
     "SELECT id, question_id, model_id FROM answers ORDER BY id LIMIT 10", "answers")
+
+from mirage.plans.oracle import WS, strip_sql  # noqa: E402
+
+_PAGES = ("pages_w", """
+SELECT CAST(doc_id AS BIGINT) AS _id,
+       string_split(string_split(text, chr(10))[1], ' ')[1] AS wikipedia_title,
+       string_split(text, chr(10)) AS text FROM documents""")
+
+_DEF = """CASE WHEN text[2] IS NULL THEN 'None'
+     WHEN contains(text[2], 'refer to') THEN 'ambiguous'
+     WHEN contains(text[2], '::::') THEN coalesce(text[3], 'None')
+     ELSE text[2] END"""
+
+ORACLE["definitions"] = with_ctes(
+    f"SELECT _id AS page_id, wikipedia_title AS title, {_DEF} AS definition FROM pages_w",
+    extra=[_PAGES])
+
+
+def _para_sql(strict: bool) -> str:
+    cond = "NOT contains(paragraph, '::::')"
+    if strict:
+        cond += " AND NOT contains(paragraph, 'may refer to:') AND length(paragraph) >= 20"
+    n = 9000 if strict else 9999
+    return with_ctes(f"""
+SELECT _id AS id, wikipedia_title AS title, CAST(pos AS INTEGER) AS pos,
+       substr(paragraph, 1, {n}) AS text FROM (
+  SELECT _id, wikipedia_title, unnest(text) AS paragraph,
+         unnest(generate_series(0, len(text) - 1)) AS pos FROM pages_w)
+WHERE pos >= 1 AND {cond}""", extra=[_PAGES])
+
+
+ORACLE["paragraphs"] = _para_sql(True)
+ORACLE["paragraphs_loose"] = _para_sql(False)
+
+_LOOKUP = [
+    _PAGES,
+    ("lt", """
+SELECT DISTINCT translate(lower(string_split(text, ' ')[1]), 'àâäáãçéèêëíìîïñóòôöõúùûü',
+                          'aaaaaceeeeiiiinooooouuuu') AS term
+FROM conversations WHERE role = 'user'"""),
+    ("best", f"""
+SELECT strip_accents(lower(wikipedia_title)) AS k, arg_min(_id, _id) AS page_id,
+       arg_min({_DEF}, _id) AS definition
+FROM pages_w GROUP BY strip_accents(lower(wikipedia_title))"""),
+    ("lk", """
+SELECT lt.term, b.page_id, coalesce(b.definition, 'None') AS definition
+FROM lt LEFT JOIN best b ON strip_accents(lower(lt.term)) = b.k"""),
+]
+ORACLE["term_lookup_ci_ai"] = with_ctes("SELECT * FROM lk", extra=_LOOKUP)
+ORACLE["lookup_outcomes"] = with_ctes("""
+SELECT CASE WHEN definition = 'None' THEN 'nonwiki' WHEN definition = 'ambiguous' THEN 'ambiguous'
+            ELSE 'wiki' END AS outcome, count(*) AS terms FROM lk GROUP BY 1""", extra=_LOOKUP)
+
+_UPS = [
+    ("tc", """
+SELECT n.id AS fake_term_id, r.term, r.explanation, r.source_id, r.id AS position
+FROM nonexistent n JOIN topic t ON n.topic_id = t.id
+JOIN links l ON l.nonexistent_id = n.id JOIN real_terms r ON l.real_id = r.id
+JOIN term_source s ON r.source_id = s.id"""),
+    ("win", """
+SELECT * FROM (SELECT *, strip_accents(lower(term)) AS k, row_number() OVER (
+    PARTITION BY strip_accents(lower(term))
+    ORDER BY source_id, fake_term_id, position, term, explanation) AS rn FROM tc) WHERE rn = 1"""),
+]
+ORACLE["upsert_terms"] = with_ctes(
+    "SELECT CAST(position AS BIGINT) AS id, term, explanation, CAST(source_id AS BIGINT) AS source_id "
+    "FROM win", "nonexistent", "topic", "links", "real_terms", extra=_UPS)
+ORACLE["upsert_links"] = with_ctes("""
+SELECT DISTINCT CAST(tc.fake_term_id AS BIGINT) AS nonexistent_id, CAST(w.position AS BIGINT) AS real_id
+FROM tc JOIN win w ON strip_accents(lower(tc.term)) = w.k""",
+    "nonexistent", "topic", "links", "real_terms", extra=_UPS)
+
+_TOPICS = ("tp", "SELECT id AS pos, name || ':' || explanation AS topic FROM topic")
+ORACLE["topic_containing"] = with_ctes("""
+SELECT s.s_suppkey AS supplier, n.n_name AS title,
+       (SELECT min(pos) FROM tp WHERE contains(tp.topic, n.n_name)) AS topic_pos,
+       (SELECT arg_min(topic, pos) FROM tp WHERE contains(tp.topic, n.n_name)) AS topic
+FROM supplier s JOIN nation n ON s.s_nationkey = n.n_nationkey""", "topic", extra=[_TOPICS])
+
+_CAND = ("cl", """
+SELECT CAST(s_suppkey AS BIGINT) AS supplier, CAST(s_nationkey AS BIGINT) AS pos,
+       s_name || ': first of nation ' || CAST(s_nationkey AS VARCHAR) || '/n/n/n' || s_name ||
+       ' bis: second/n/n/nbroken item' AS candidates FROM supplier""")
+_CX = ("cx", """
+SELECT supplier, pos, unnest(string_split(candidates, '/n/n/n')) AS c,
+       unnest(generate_series(0, len(string_split(candidates, '/n/n/n')) - 1)) AS cand_pos FROM cl""")
+ORACLE["candidate_terms"] = with_ctes("""
+SELECT cx.pos, cx.supplier, CAST(cx.cand_pos AS INTEGER) AS cand_pos,
+       string_split(c, ':')[1] AS term, string_split(c, ':')[2] AS explanation,
+       string_split(tp.topic, ':')[1] AS topic_name, string_split(tp.topic, ':')[2] AS topic_explanation
+FROM cx JOIN tp ON cx.pos = tp.pos - 1 + 1
+WHERE len(string_split(c, ':')) = 2""", "topic", extra=[_TOPICS, _CL := _CAND, _CX])
+ORACLE["candidate_rejects"] = with_ctes("""
+SELECT CAST(cand_pos AS INTEGER) AS cand_pos, count(*) AS rejected FROM cx
+WHERE len(string_split(c, ':')) <> 2 GROUP BY cand_pos""", extra=[_CAND, _CX])
+
+_STRIP = strip_sql("x")
+ORACLE["suggested_terms"] = f"""
+WITH s AS (
+  SELECT CAST(p_partkey AS BIGINT) AS part,
+         replace(CASE WHEN p_size % 2 = 0
+              THEN '[''' || p_name || ''', ''' || p_type || '... ''' || p_brand || ''']'
+              ELSE '1. ' || p_name || chr(10) || '2. ' || p_brand END, '... ', ''' ') AS r
+  FROM part),
+l AS (
+  SELECT part, CASE WHEN contains(r, ',')
+    THEN list_transform(string_split(substr(r, 2, greatest(length(r) - 2, 0)), ','),
+           lambda x: substr({strip_sql('x')}, 2, greatest(length({strip_sql('x')}) - 2, 0)))
+    ELSE list_transform(string_split(r, chr(10)),
+           lambda x: {strip_sql("regexp_replace(x, '[0-9.]', '', 'g')")}) END AS terms FROM s)
+SELECT part, CAST(pos AS INTEGER) AS pos, term FROM (
+  SELECT part, unnest(terms) AS term, unnest(generate_series(0, len(terms) - 1)) AS pos FROM l)"""
+
+ORACLE["phrase_exists"] = """
+WITH t AS (SELECT DISTINCT array_to_string(list_slice(string_split(text, ' '), 3, 6), ' ') AS term
+           FROM benchmark),
+h AS (SELECT t.term, count(d.doc_id) AS hits FROM t LEFT JOIN documents d
+        ON contains(lower(d.text), lower(t.term)) GROUP BY t.term)
+SELECT term, CAST(hits AS BIGINT) AS hits, hits > 0 AS "exists" FROM h"""
