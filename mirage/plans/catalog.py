@@ -363,3 +363,85 @@ def q_phrase_exists(spark, d):
     b = read_table(spark, d, "benchmark")
     terms = b.select(F.concat_ws(" ", F.slice(F.split(F.col("text"), " ", -1), 3, 4)).alias("term"))
     return phrase_exists(terms, read_table(spark, d, "documents"))
+
+
+# -- incremental ----------------------------------------------------------------
+@register("unanswered")
+def q_unanswered(spark, d):
+    """Questions model 1 has not answered."""
+    from mirage.operators.incremental import unanswered
+    p = Pipeline(spark, d)
+    return unanswered(p.questions, p.answers, 1)
+
+
+def _samples(p):
+    lab = p.t.labels
+    return (lab.where(F.col("quality") == 1).select(F.lit("quality").alias("sample"),
+                                                    F.col("doc_id").alias("question_id"))
+               .unionByName(lab.where(F.col("toxic") == 1).select(
+                   F.lit("toxic").alias("sample"), F.col("doc_id").alias("question_id"))))
+
+
+@register("sampled")
+def q_sampled(spark, d):
+    """Answer-level labels restricted to the 'quality' sample."""
+    from mirage.operators.incremental import sample_filter
+    p = Pipeline(spark, d)
+    return sample_filter(V.label_answer_level(p), _samples(p), "quality")
+
+
+def _work(p):
+    from mirage.operators.evaluate import terms_long
+    cta = V.combined_terms_answers(p)
+    wide = cta.select("*", F.col("answer_source_id").alias("model_id"))
+    long = terms_long(wide.withColumn("secondary_source", F.col("secondary_source").cast("string"))
+                          .withColumn("replacement_source",
+                                      F.col("replacement_source").cast("string")))
+    return long.withColumn("term_source", F.when(F.col("is_hypothetical"), F.lit("0"))
+                           .otherwise(F.col("term_source")))
+
+
+@register("not_yet_evaluated")
+def q_not_yet_evaluated(spark, d):
+    """Work items (answer, term, kind) with no stored result by judge 2."""
+    from mirage.operators.incremental import not_yet_evaluated
+    p = Pipeline(spark, d)
+    w = _work(p).select("answer_id", "term_id", "term_source", "term_pos")
+    return not_yet_evaluated(w, p.evals, 2, [2, 3])
+
+
+@register("reconcile")
+def q_reconcile(spark, d):
+    """Stored inclusion labels against recomputed ones."""
+    from mirage.operators.incremental import reconcile_inclusion
+    p = Pipeline(spark, d)
+    return reconcile_inclusion(p.evals, _work(p))
+
+
+@register("reconcile_counts")
+def q_reconcile_counts(spark, d):
+    from mirage.operators.incremental import reconcile_counts
+    return reconcile_counts(q_reconcile(spark, d))
+
+
+@register("model_ids")
+def q_model_ids(spark, d):
+    """Ids for the market segments taken as new model names, plus the
+    answering models' names (known)."""
+    from mirage.operators.incremental import model_ids
+    p = Pipeline(spark, d)
+    m = p.models.alias("m")
+    names = p.t.customer.select(F.col("c_mktsegment").alias("name")).unionByName(
+        p.answers.alias("a").join(m, F.col("a.model_id") == F.col("m.id")).select("m.name"))
+    return model_ids(S_models(spark), names)
+
+
+def S_models(spark):
+    from mirage import schemas
+    return schemas.lookup(spark, schemas.MODELS)
+
+
+@register("run_counts")
+def q_run_counts(spark, d):
+    from mirage.operators.incremental import run_counts
+    return run_counts(L.dedupe_evals(Pipeline(spark, d).evals))

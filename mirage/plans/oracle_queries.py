@@ -391,3 +391,60 @@ WITH t AS (SELECT DISTINCT array_to_string(list_slice(string_split(text, ' '), 3
 h AS (SELECT t.term, count(d.doc_id) AS hits FROM t LEFT JOIN documents d
         ON contains(lower(d.text), lower(t.term)) GROUP BY t.term)
 SELECT term, CAST(hits AS BIGINT) AS hits, hits > 0 AS "exists" FROM h"""
+
+ORACLE["unanswered"] = with_ctes("""
+SELECT * FROM questions q WHERE NOT EXISTS (
+  SELECT 1 FROM answers a WHERE a.model_id = 1 AND a.question_id = q.id)""", "questions", "answers")
+
+ORACLE["sampled"] = with_ctes("""
+SELECT * FROM label_answer_level WHERE question_id IN (
+  SELECT doc_id FROM labels WHERE quality = 1)""", "label_answer_level")
+
+_WORK = ("work", """
+SELECT answer_id, secondary_id AS term_id, CAST(secondary_source AS VARCHAR) AS term_source,
+       0 AS term_pos, answer, secondary AS term FROM cta
+UNION ALL
+SELECT answer_id,
+       CASE WHEN replacement_type IS NULL OR replacement_type <> 0 THEN replacement_id ELSE nonexistent_id END,
+       CASE WHEN replacement_type IS NULL OR replacement_type <> 0
+            THEN CAST(replacement_source AS VARCHAR) ELSE '0' END,
+       1, answer,
+       CASE WHEN replacement_type IS NULL OR replacement_type <> 0 THEN replacement ELSE nonexistent END
+FROM cta""")
+
+ORACLE["not_yet_evaluated"] = with_ctes("""
+SELECT w.answer_id, w.term_id, w.term_source, w.term_pos, CAST(k.kind AS INTEGER) AS eval_type_id,
+       CAST(2 AS BIGINT) AS model_id
+FROM work w CROSS JOIN (VALUES (2), (3)) AS k(kind)
+WHERE NOT EXISTS (SELECT 1 FROM evals e WHERE e.model_id = 2 AND e.answer_id = w.answer_id
+                  AND CAST(e.term_source AS VARCHAR) = w.term_source AND e.term_id = w.term_id
+                  AND e.eval_type_id = k.kind)""", "cta", "evals", extra=[_WORK])
+
+_REC = ("rec", f"""
+SELECT w.answer_id, CAST(w.term_source AS BIGINT) AS term_source, w.term_id,
+       CAST(CASE WHEN {included_sql('w.answer', 'w.term')} THEN 0 ELSE 2 END AS BIGINT) AS new_label,
+       o.eval_id, o.old_label,
+       CASE WHEN o.eval_id IS NULL THEN 'missing'
+            WHEN o.old_label <> CASE WHEN {included_sql('w.answer', 'w.term')} THEN 0 ELSE 2 END
+            THEN 'changed' ELSE 'same' END AS status
+FROM work w LEFT JOIN (
+  SELECT answer_id, term_source, term_id, min(id) AS eval_id, min(eval_label) AS old_label
+  FROM evals WHERE eval_type_id = 4 GROUP BY answer_id, term_source, term_id) o
+ON o.answer_id = w.answer_id AND o.term_source = CAST(w.term_source AS BIGINT)
+   AND o.term_id = w.term_id""")
+
+ORACLE["reconcile"] = with_ctes("SELECT * FROM rec", "cta", "evals", extra=[_WORK, _REC])
+ORACLE["reconcile_counts"] = with_ctes(
+    "SELECT status, count(*) AS n FROM rec GROUP BY status", "cta", "evals", extra=[_WORK, _REC])
+
+ORACLE["model_ids"] = with_ctes("""
+WITH n AS (SELECT DISTINCT c_mktsegment AS name FROM customer
+           UNION SELECT m.name FROM answers a JOIN models m ON a.model_id = m.id)
+SELECT n.name, CAST(m.id AS BIGINT) AS id FROM n JOIN models m ON n.name = m.name
+UNION ALL
+SELECT name, CAST((SELECT max(id) FROM models) + row_number() OVER (ORDER BY name) AS BIGINT)
+FROM n WHERE name NOT IN (SELECT name FROM models)""", "answers")
+
+ORACLE["run_counts"] = with_ctes("""
+SELECT model_id, count(*) AS evaluations, count(DISTINCT answer_id) AS answers
+FROM dedup_evals GROUP BY model_id""", "dedup_evals")
