@@ -438,12 +438,12 @@ ORACLE["reconcile_counts"] = with_ctes(
     "SELECT status, count(*) AS n FROM rec GROUP BY status", "cta", "evals", extra=[_WORK, _REC])
 
 ORACLE["model_ids"] = with_ctes("""
-WITH n AS (SELECT DISTINCT c_mktsegment AS name FROM customer
-           UNION SELECT m.name FROM answers a JOIN models m ON a.model_id = m.id)
 SELECT n.name, CAST(m.id AS BIGINT) AS id FROM n JOIN models m ON n.name = m.name
 UNION ALL
 SELECT name, CAST((SELECT max(id) FROM models) + row_number() OVER (ORDER BY name) AS BIGINT)
-FROM n WHERE name NOT IN (SELECT name FROM models)""", "answers")
+FROM n WHERE name NOT IN (SELECT name FROM models)""", "answers", extra=[("n", """
+SELECT DISTINCT c_mktsegment AS name FROM customer
+UNION SELECT m.name FROM answers a JOIN models m ON a.model_id = m.id""")])
 
 ORACLE["run_counts"] = with_ctes("""
 SELECT model_id, count(*) AS evaluations, count(DISTINCT answer_id) AS answers
