@@ -99,8 +99,8 @@ def question_checks(question, main_term, secondary_term, replacement_type) -> tu
     of type 0 and the main term is absent; ``test content`` always passes."""
     q = _c(question)
     test = q == F.lit("test content")
-    main_ok = q.rlike(term_pattern(main_term))
-    sec_ok = q.rlike(term_pattern(secondary_term))
+    main_ok = F.regexp_like(q, term_pattern(main_term))
+    sec_ok = F.regexp_like(q, term_pattern(secondary_term))
     valid = test | main_ok | (_c(replacement_type) != 0)
     return valid, test | sec_ok
 

@@ -445,3 +445,40 @@ def S_models(spark):
 def q_run_counts(spark, d):
     from mirage.operators.incremental import run_counts
     return run_counts(L.dedupe_evals(Pipeline(spark, d).evals))
+
+
+# -- prompts and model calls -------------------------------------------------------
+@register("chat_render")
+def q_chat_render(spark, d):
+    from mirage.functions.prompts import render_chats
+    from mirage.sources.tables import read_table
+    return render_chats(read_table(spark, d, "conversations"), "You are a careful assistant.")
+
+
+@register("model_short_name")
+def q_model_short_name(spark, d):
+    """F24 over the answering models of the answer table."""
+    from mirage.functions.text import short_model_name
+    p = Pipeline(spark, d)
+    m = p.models.alias("m")
+    used = p.answers.alias("a").join(m, F.col("a.model_id") == F.col("m.id")) \
+        .groupBy("m.id", "m.name").agg(F.count(F.lit(1)).alias("answers"))
+    return used.select(F.col("id").alias("model_id"), "name",
+                       short_model_name(F.col("name")).alias("short_name"), "answers")
+
+
+@register("answers_stub")
+def q_answers_stub(spark, d):
+    """M1 over the questions model 1 has not answered (J10), stub answerer."""
+    from mirage.operators.batch_model import answer_questions, stub_answerer
+    from mirage.operators.incremental import unanswered
+    p = Pipeline(spark, d)
+    return answer_questions(unanswered(p.questions, p.answers, 1), stub_answerer, 1) \
+        .drop("elapsed_s")
+
+
+@register("generated_questions")
+def q_generated_questions(spark, d):
+    """M4 with the stub writer over the combined triplet view."""
+    from mirage.operators.batch_model import generate_questions, stub_generator
+    return generate_questions(V.term_triplets_combined(Pipeline(spark, d)), stub_generator)

@@ -448,3 +448,63 @@ UNION SELECT m.name FROM answers a JOIN models m ON a.model_id = m.id""")])
 ORACLE["run_counts"] = with_ctes("""
 SELECT model_id, count(*) AS evaluations, count(DISTINCT answer_id) AS answers
 FROM dedup_evals GROUP BY model_id""", "dedup_evals")
+
+_IM_S, _IM_E = "<|im_start|>", "<|im_end|>"
+ORACLE["chat_render"] = f"""
+WITH t AS (
+  SELECT *, row_number() OVER (PARTITION BY conv_id, role ORDER BY turn) AS i
+  FROM conversations WHERE role IN ('user', 'assistant')),
+c AS (
+  SELECT conv_id, count(*) FILTER (WHERE role = 'user') AS nu,
+         count(*) FILTER (WHERE role = 'assistant') AS na,
+         arg_min(text, turn) FILTER (WHERE role = 'system') AS sys
+  FROM conversations GROUP BY conv_id),
+b AS (
+  SELECT c.conv_id, 0 AS k1, 0 AS k2,
+         '{_IM_S}system' || chr(10) || coalesce(sys, 'You are a careful assistant.') || '{_IM_E}' || chr(10) AS blk
+  FROM c
+  UNION ALL
+  SELECT t.conv_id, t.i, CASE WHEN role = 'user' THEN 0 ELSE 1 END,
+         '{_IM_S}' || role || chr(10) || text || '{_IM_E}' || chr(10)
+  FROM t JOIN c ON t.conv_id = c.conv_id WHERE t.i <= least(c.nu, c.na)
+  UNION ALL
+  SELECT t.conv_id, least(c.nu, c.na) + 1, 0, '{_IM_S}user' || chr(10) || text || '{_IM_E}' || chr(10)
+  FROM t JOIN c ON t.conv_id = c.conv_id WHERE t.role = 'user' AND t.i = c.nu AND c.nu > c.na
+  UNION ALL
+  SELECT conv_id, 4611686018427387904, 0, '{_IM_S}assistant' || chr(10) FROM c)
+SELECT conv_id, string_agg(blk, '' ORDER BY k1, k2) AS prompt FROM b GROUP BY conv_id"""
+
+ORACLE["model_short_name"] = with_ctes("""
+SELECT m.id AS model_id, m.name,
+       replace(replace(replace(replace(replace(replace(replace(m.name, '-chat-q4_K_M', ''),
+         '-chat-q4_1', ''), '-q4_1', ''), '_August_3_2023', ''), '-1106-preview', ''), '-turbo', ''),
+         ':', '_') AS short_name, count(*) AS answers
+FROM answers a JOIN models m ON a.model_id = m.id GROUP BY m.id, m.name""", "answers")
+
+ORACLE["answers_stub"] = with_ctes("""
+SELECT q.id AS question_id, CAST(1 AS BIGINT) AS model_id, 'I do not know ' || q.question AS answer
+FROM questions q WHERE NOT EXISTS (
+  SELECT 1 FROM answers a WHERE a.model_id = 1 AND a.question_id = q.id)""", "questions", "answers")
+
+
+def _pat(t: str) -> str:
+    alt = f"trim(regexp_replace({t}, '\\([^()]*\\)', '', 'g'))"
+    return (f"CASE WHEN {alt} = '' THEN '(?i)' || regexp_escape({t}) "
+            f"ELSE '(?i)' || regexp_escape({t}) || '|' || regexp_escape({alt}) END")
+
+
+_TTC = ORACLE["triplets_combined"].split("\nSELECT tt.id AS term_triplet_id", 1)
+ORACLE["generated_questions"] = with_ctes(f"""
+SELECT triplet_id, CAST(replacement_type AS BIGINT) AS replacement_type, question FROM (
+  SELECT term_triplet_id AS triplet_id, 0 AS replacement_type, q0 AS question FROM g WHERE ok
+  UNION ALL
+  SELECT term_triplet_id, 1, regexp_replace(q0, {_pat('nonexistent_term')},
+         replace(replace(replacement_term, '\\', '\\\\'), '$', '\\$'), 'g') FROM g WHERE ok
+  UNION ALL
+  SELECT term_triplet_id, 3, 'How does ' || replacement_term || ' relate to ' || secondary_term || '?'
+  FROM g WHERE ok)""", "triplets", "nonexistent", "topic", "real_terms", extra=[
+    ("ttc", "SELECT tt.id AS term_triplet_id" + _TTC[1]),
+    ("g0", "SELECT *, 'How does ' || nonexistent_term || ' relate to ' || secondary_term || '?' AS q0 "
+           "FROM ttc"),
+    ("g", f"SELECT *, (q0 = 'test content' OR regexp_matches(q0, {_pat('nonexistent_term')})) AS ok "
+          "FROM g0")])
