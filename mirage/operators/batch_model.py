@@ -142,6 +142,19 @@ def generate_questions(triplets: DataFrame, fn: BatchFn,
                       F.col("replacement_type").cast("long"), "question"))
 
 
+DEFAULT_CANDIDATE_TEMPLATE = "Topic: {topic}\nSuggest made-up terms as term: definition items."
+
+
+def generate_from_template(rows: DataFrame, fn: BatchFn, template: str, keep: list[str],
+                           out_col: str = "reply", **fields) -> DataFrame:
+    """M5: the same model-call operator with another template, e.g. made-up
+    term candidates per topic or related real terms per made-up term; parse
+    the replies with ``split_candidate_lists`` (F11) or ``parse_term_list``
+    (F9)."""
+    req = rows.select(*keep, render(template, **fields).alias("prompt"))
+    return call_model(req, fn, out_col).drop("elapsed_s")
+
+
 def stub_answerer(pdf: pd.DataFrame) -> pd.Series:
     """Deterministic answerer for tests: a fixed sentence about the question."""
     return pdf["question"].map(lambda q: f"I do not know {q}")

@@ -24,6 +24,17 @@ LONG_COLUMNS = ["answer_id", "question_id", "term_pos", "term_id", "term", "mean
                 "term_source", "is_hypothetical"]
 
 
+def parse_terms_cell(cell) -> "F.Column":
+    """a ``terms`` cell written as a Python literal (single quotes,
+    ``None``) → ``ARRAY<STRUCT<termId, term, termSet, termSetId,
+    explanation>>``. The JSON reader accepts single quotes; bare ``None``
+    becomes ``null`` first."""
+    from mirage.schemas import TERM_STRUCT
+    c = F.col(cell) if isinstance(cell, str) else cell
+    fixed = F.regexp_replace(c, r":\s*None(\s*[,}])", ": null$1")
+    return F.from_json(fixed, T.ArrayType(TERM_STRUCT), {"allowSingleQuotes": "true"})
+
+
 def check_short_answers(df: DataFrame) -> DataFrame:
     """P11 (row part): short-form rows must hold exactly two term structs with
     ``termId, term, termSet, explanation``. Returns the offending rows (empty
@@ -176,3 +187,9 @@ def stub_judge(pdfs: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
                 out.append('{"term": "t", "reasoning": "stub", "verified": %s}'
                            % ("true" if meaning else "false"))
         yield pd.DataFrame({"request_id": pdf["request_id"], "reply": out})
+
+
+def answers_of_model(answers: DataFrame, models: DataFrame, model_name: str) -> DataFrame:
+    """P5: answers of the model with this name (joined on the model table)."""
+    m = models.where(F.col("name") == model_name).select(F.col("id").alias("_mid"))
+    return answers.join(F.broadcast(m), answers["answer_source_id"] == F.col("_mid")).drop("_mid")

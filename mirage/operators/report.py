@@ -101,3 +101,24 @@ def nested_report(detail: DataFrame) -> DataFrame:
                    "evaluations")
     return rec.withColumn(
         "json", F.to_json(F.struct(*[F.col(c) for c in QUESTION_FIELDS], "evaluations")))
+
+
+def for_judge_and_model(df: DataFrame, evaluator_model: str, model_under_test: str,
+                        include_function: bool = True) -> DataFrame:
+    """Rows of one judge (and of the inclusion check, named ``function``)
+    for one answering model."""
+    judges = [evaluator_model] + (["function"] if include_function else [])
+    return df.where(F.col("evaluator_model").isin(judges)
+                    & (F.col("answer_source") == model_under_test))
+
+
+def require_report_columns(detail: DataFrame) -> DataFrame:
+    """The nested report needs these columns; names the missing ones."""
+    from mirage.schemas import REPORT_DETAIL_COLUMNS, require_columns
+    require_columns(detail, REPORT_DETAIL_COLUMNS, "report detail")
+    return detail
+
+
+def sorted_distinct(df: DataFrame, col: str) -> DataFrame:
+    """Sorted distinct values of a column."""
+    return df.select(col).distinct().orderBy(col)

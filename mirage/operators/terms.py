@@ -249,3 +249,13 @@ def phrase_exists(terms: DataFrame, docs: DataFrame, term_col: str = "term", **k
     return (t.join(counts, "term", "left")
              .select("term", F.coalesce("hits", F.lit(0)).cast("long").alias("hits"),
                      (F.coalesce("hits", F.lit(0)) > 0).alias("exists")))
+
+
+def not_found(candidates: DataFrame, exists_col: str = "exists") -> DataFrame:
+    """Candidates the existence check did not find (NULL is dropped)."""
+    return candidates.where(~F.col(exists_col))
+
+
+def still_unchecked(candidates: DataFrame, exists_col: str = "exists") -> DataFrame:
+    """I1 for the existence check: candidates whose result is still empty."""
+    return candidates.where(F.col(exists_col).isNull())

@@ -139,3 +139,22 @@ def recall(approx: DataFrame, exact: DataFrame, qid: str, id_col: str) -> DataFr
     hit = exact.join(approx.select(qid, id_col).withColumn("_hit", F.lit(1)), [qid, id_col], "left")
     return hit.groupBy(qid).agg((F.sum(F.coalesce("_hit", F.lit(0))) / F.count(F.lit(1)))
                                 .alias("recall"))
+
+
+def encode(rows: DataFrame, text_col: str, encoder, dim: int, out_col: str = "embeddings",
+           observe_name: str | None = "load") -> DataFrame:
+    """V4: embed a text column with a pluggable encoder (``list[str] →
+    array-like [n, dim]``) in Arrow batches; batch size follows
+    ``spark.sql.execution.arrow.maxRecordsPerBatch``. With ``observe_name``,
+    row and character totals are collected as observed metrics (A14)."""
+    @F.pandas_udf(T.ArrayType(T.FloatType()))
+    def emb(texts: pd.Series) -> pd.Series:
+        vecs = np.asarray(encoder(texts.fillna("").tolist()), dtype=np.float32)
+        if vecs.ndim != 2 or vecs.shape[1] != dim:
+            raise ValueError(f"encoder returned shape {vecs.shape}, expected (n, {dim})")
+        return pd.Series(list(vecs))
+    out = rows.withColumn(out_col, emb(F.col(text_col)))
+    if observe_name:
+        out = out.observe(observe_name, F.count(F.lit(1)).alias("rows"),
+                          F.sum(F.length(text_col)).alias("chars"))
+    return out

@@ -482,3 +482,33 @@ def q_generated_questions(spark, d):
     """M4 with the stub writer over the combined triplet view."""
     from mirage.operators.batch_model import generate_questions, stub_generator
     return generate_questions(V.term_triplets_combined(Pipeline(spark, d)), stub_generator)
+
+
+@register("answer_labels_file_mode")
+def q_answer_labels_file_mode(spark, d):
+    """A3 + J16: file mode over evaluated term rows (lowest model id only)."""
+    e = Pipeline(spark, d).evals.withColumnRenamed("eval_label", "eval_label_id")
+    return L.answer_labels_file_mode(e)
+
+
+@register("judges")
+def q_judges(spark, d):
+    """Sorted distinct evaluator ids."""
+    from mirage.operators.report import sorted_distinct
+    return sorted_distinct(Pipeline(spark, d).evals, "model_id")
+
+
+@register("madeup_candidates")
+def q_madeup_candidates(spark, d):
+    """P1 after X1: benchmark phrases that occur in no document."""
+    from mirage.operators.terms import not_found
+    return not_found(q_phrase_exists(spark, d))
+
+
+@register("score_one_pair")
+def q_score_one_pair(spark, d):
+    """P3 + A7/A8 for one judge and one answering model."""
+    from mirage.operators.report import for_judge_and_model
+    lal = for_judge_and_model(V.label_answer_level(Pipeline(spark, d)), "gpt-3.5-turbo",
+                              "llama2:7b-chat-q4_1")
+    return R.score(R.label_distribution(lal))

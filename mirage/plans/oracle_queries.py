@@ -508,3 +508,35 @@ SELECT triplet_id, CAST(replacement_type AS BIGINT) AS replacement_type, questio
            "FROM ttc"),
     ("g", f"SELECT *, (q0 = 'test content' OR regexp_matches(q0, {_pat('nonexistent_term')})) AS ok "
           "FROM g0")])
+
+
+ORACLE["answer_labels_file_mode"] = with_ctes("""
+SELECT e.id, e.answer_id, e.eval_label AS eval_label_id, e.eval_type_id, e.reflection,
+       e.term_source, e.term_id, e.model_id, l.answer_label_id, n.name AS answer_label
+FROM evals e LEFT JOIN lab l ON e.answer_id = l.answer_id
+LEFT JOIN eval_names n ON l.answer_label_id = n.id""", "evals", extra=[
+    ("mm", "SELECT min(model_id) AS m FROM evals"),
+    ("lab", """
+  SELECT e.answer_id,
+         CAST(CASE max(CASE e.eval_label WHEN 1 THEN 2 WHEN 2 THEN 1 ELSE 0 END)
+              WHEN 2 THEN 1 WHEN 1 THEN 2 ELSE 0 END AS BIGINT) AS answer_label_id
+  FROM evals e, mm
+  WHERE (e.model_id = mm.m OR e.model_id = 10)
+    AND e.answer_id IN (SELECT answer_id FROM evals, mm WHERE model_id = mm.m)
+  GROUP BY e.answer_id""")])
+
+ORACLE["judges"] = with_ctes("SELECT DISTINCT model_id FROM evals", "evals")
+
+ORACLE["madeup_candidates"] = """
+WITH t AS (SELECT DISTINCT array_to_string(list_slice(string_split(text, ' '), 3, 6), ' ') AS term
+           FROM benchmark),
+h AS (SELECT t.term, count(d.doc_id) AS hits FROM t LEFT JOIN documents d
+        ON contains(lower(d.text), lower(t.term)) GROUP BY t.term)
+SELECT term, CAST(hits AS BIGINT) AS hits, hits > 0 AS "exists" FROM h WHERE hits = 0"""
+
+ORACLE["score_one_pair"] = with_ctes(
+    "SELECT evaluator_model, answer_source, hypothetical_questions AS score FROM dist "
+    "WHERE answer_label = 'valid'", "label_answer_level", extra=[
+        ("lal1", "SELECT * FROM label_answer_level WHERE evaluator_model IN "
+                 "('gpt-3.5-turbo', 'function') AND answer_source = 'llama2:7b-chat-q4_1'")]
+    + [(k, v.replace("FROM label_answer_level", "FROM lal1")) for k, v in _DIST_EXTRA])
