@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -10,15 +10,14 @@ def keep_first(df: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
     """One row per ``keys``: the row that sorts first by ``order`` and then by
     every remaining column (so ties never depend on partitioning).
 
-    Runs as a hash aggregate of ``min(struct(...))``: the partial aggregate
-    before the shuffle collapses duplicates map-side, so a key holding a large
-    share of the rows costs no single-task sort.
+    Planned as ``row_number() = 1``, which Spark turns into a partial
+    ``WindowGroupLimit`` before the shuffle: each map task forwards one row
+    per key, so a key holding a large share of the rows costs no single-task
+    sort of all of them.
     """
     rest = [c for c in df.columns if c not in keys and c not in order]
-    packed = F.min(F.struct(*[F.col(c) for c in order + rest])).alias("_first")
-    return (df.groupBy(*keys).agg(packed)
-              .select(*keys, *[F.col(f"_first.{c}").alias(c) for c in order + rest])
-              .select(*df.columns))
+    w = Window.partitionBy(*keys).orderBy(*[F.col(c).asc_nulls_first() for c in order + rest])
+    return df.withColumn("_rn", F.row_number().over(w)).where(F.col("_rn") == 1).drop("_rn")
 
 
 def pct_half_even(count: Column, total: Column) -> Column:
@@ -35,3 +34,12 @@ def pct_half_even(count: Column, total: Column) -> Column:
 
 def array_literal(values: list) -> Column:
     return F.array(*[F.lit(v) for v in values])
+
+
+def spread(df: DataFrame, factor: int = 2) -> DataFrame:
+    """Round-robin the rows over ``factor × defaultParallelism`` partitions
+    before a Python-heavy stage, but only when the input has fewer
+    partitions than that (a few large row groups). Inputs that are already
+    split finely, as on a cluster, pass through without a shuffle."""
+    target = df.sparkSession.sparkContext.defaultParallelism * factor
+    return df.repartition(target) if df.rdd.getNumPartitions() < target else df

@@ -67,7 +67,8 @@ def call_model(requests: DataFrame, fn: BatchFn, out_col: str = "reply") -> Data
             pdf[out_col] = list(reply)
             pdf["elapsed_s"] = (time.time() - t0) / max(len(pdf), 1)
             yield pdf
-    return requests.mapInPandas(run, schema)
+    from mirage.functions.common import spread
+    return spread(requests).mapInPandas(run, schema)
 
 
 def answer_questions(questions: DataFrame, fn: BatchFn, model_id: int,

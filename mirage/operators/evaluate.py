@@ -133,10 +133,10 @@ def judge_terms(long: DataFrame, judge: JudgeFn, judge_model_id: int,
     req = used.select("*", F.explode(kinds).alias("kind")).withColumn(
         "request_id", F.concat_ws(":", F.col("answer_id").cast("string"), F.col("term_pos").cast("string"),
                                   F.col("kind").cast("string")))
-    j = req.mapInPandas(_keep_rows(judge),
-                        T.StructType(req.schema.fields + [T.StructField("reply", T.StringType())]))
-    parsed = RP.parse_reply(F.col("reply"))
-    j = j.withColumn("_p", parsed)
+    from mirage.functions.common import spread
+    j = spread(req).mapInPandas(_keep_rows(judge),
+                        T.StructType(req.schema.fields + [T.StructField("reply", T.StringType()),
+                                                          T.StructField("_p", RP.PARSED)]))
     src0 = F.col("is_hypothetical")
     src = F.when(src0, F.lit(0)).otherwise(F.lit(1))
     acc = F.col("kind") == ACCEPTANCE
@@ -161,7 +161,9 @@ def _keep_rows(judge: JudgeFn) -> JudgeFn:
                 continue
             sent = pdf[[c for c in SENT_COLUMNS if c in pdf.columns]]
             got = pd.concat(list(judge(iter([sent]))), ignore_index=True)
-            yield pdf.merge(got[["request_id", "reply"]], on="request_id", how="inner")
+            out = pdf.merge(got[["request_id", "reply"]], on="request_id", how="inner")
+            out["_p"] = RP.parse_frame(out["reply"]).to_dict("records")
+            yield out
     return run
 
 

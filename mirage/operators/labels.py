@@ -105,17 +105,15 @@ def ai_grouped(detailed: DataFrame) -> DataFrame:
     """A4: per (answer, judge) over the judge kinds only; 3 distinct labels → 1,
     min label 1 → 1, else max; plus the row count.
 
-    Grouped by the ids and their dependent text columns (as the view does),
-    so every aggregate buffer is fixed-width and the plan stays a hash
-    aggregate; the distinct-label count is ``size(collect_set)`` (a set of at
-    most the label domain) instead of a distinct aggregate with its extra
-    shuffle.
+    Grouped by the ids and their dependent columns as the view does; every
+    aggregate buffer is numeric, so both aggregation levels (the distinct
+    count adds one on (keys, label)) stay hash aggregates.
     """
     d = detailed.where((F.col("eval_type") != "HumanEval") & (F.col("eval_type") != "code_check"))
     keys = ["question_id", "answer_id", "evaluator_model_id", "isHypotheticalQuestion",
             "question", "answer", "answer_source_id", "answer_source", "evaluator_model"]
     g = d.groupBy(*keys).agg(
-        F.size(F.collect_set("eval_label")).alias("_nd"), F.min("eval_label").alias("_mn"),
+        F.count_distinct("eval_label").alias("_nd"), F.min("eval_label").alias("_mn"),
         F.max("eval_label").alias("_mx"), F.count(F.lit(1)).alias("count"))
     label = (F.when(F.col("_nd") == 3, 1).when(F.col("_mn") == 1, 1).otherwise(F.col("_mx"))
               .cast("long"))

@@ -153,7 +153,8 @@ def encode(rows: DataFrame, text_col: str, encoder, dim: int, out_col: str = "em
         if vecs.ndim != 2 or vecs.shape[1] != dim:
             raise ValueError(f"encoder returned shape {vecs.shape}, expected (n, {dim})")
         return pd.Series(list(vecs))
-    out = rows.withColumn(out_col, emb(F.col(text_col)))
+    from mirage.functions.common import spread
+    out = spread(rows).withColumn(out_col, emb(F.col(text_col)))
     if observe_name:
         out = out.observe(observe_name, F.count(F.lit(1)).alias("rows"),
                           F.sum(F.length(text_col)).alias("chars"))

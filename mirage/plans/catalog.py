@@ -136,7 +136,7 @@ def q_judge_reply_labels(spark, d):
     """F18-F20 over judge replies; the extraction is Python (no oracle)."""
     from mirage.functions import replies as RP
     r = Pipeline(spark, d).replies
-    p = r.withColumn("_p", RP.parse_reply(F.col("reply")))
+    p = RP.parse_replies(r, "reply", "_p")
     acc = F.col("kind") == 2
     label = F.when(acc, RP.certainty_label(F.col("_p"), F.col("term_source"))) \
              .otherwise(RP.meaning_label(F.col("_p")))

@@ -231,15 +231,54 @@ def terms_evals_detailed_base(p: Pipeline, labels: DataFrame | None = None,
 def terms_evals_detailed(p: Pipeline, labels: DataFrame | None = None,
                          compat: bool = False) -> DataFrame:
     """Base rows with the made-up term (source 0) or the real term
-    (source > 0), as a distinct union; other sources drop out."""
-    base = terms_evals_detailed_base(p, labels, compat)
+    (source > 0), as a distinct union; other sources drop out.
+
+    The distinct runs on the narrow evaluation rows (evaluation columns,
+    answer label, term) before the answer, question and name columns are
+    joined in. Those joins are on primary keys (answer, question, triplet,
+    term and lookup ids), so they cannot create or merge duplicates and the
+    result equals the distinct of the wide rows, while the shuffle carries no
+    question or answer text."""
+    e = p.evals
+    l = (labels if labels is not None else p.labels).alias("ae")
+    cond = F.col("e.answer_id") == F.col("ae.answer_id")
+    extra = _label_join_cond(F.col("e.model_id"), F.col("ae.evaluator_model_id"), compat)
+    if extra is not None:
+        cond = cond & extra
     d = term_dictionary(p)
-    hyp = (F.when(F.col("term_source_id") == 0, 1)
-            .when(F.col("term_source_id") > 0, 0))
-    j = base.join(d, (F.col("term_id") == F.col("_tid")) & (hyp == F.col("_hyp")))
-    return (j.select(*[F.col(c) for c in base.columns], F.col("_term").alias("term"),
-                     F.col("_hyp").alias("IsHypotheticalTerm"))
-             .distinct())
+    hyp = (F.when(F.col("e.term_source") == 0, 1).when(F.col("e.term_source") > 0, 0))
+    narrow = (e.alias("e").join(l, cond)
+               .join(d, (F.col("e.term_id") == F.col("_tid")) & (hyp == F.col("_hyp")))
+               .select(*[F.col(f"e.{c}").alias(f"_e_{c}") for c in e.columns],
+                       F.col("ae.answer_label").alias("_answer_label"),
+                       F.col("_term"), F.col("_hyp"))
+               .distinct())
+    a = combined_terms_answers(p).alias("a")
+    s, ts = _names(p.eval_source, "eval_type"), _names(p.term_source, "term_source_name")
+    m, n = _names(p.models, "evaluator_model"), _names(p.eval_names, "eval_label_name")
+    r = _names(p.replacement_type, "replacement_type_name")
+    j = (narrow.join(a, F.col("a.answer_id") == F.col("_e_answer_id"))
+               .join(s, F.col("_e_eval_type_id") == F.col("_k_eval_type"))
+               .join(m, F.col("_e_model_id") == F.col("_k_evaluator_model"))
+               .join(ts, F.col("_e_term_source") == F.col("_k_term_source_name"))
+               .join(n, F.col("_e_eval_label") == F.col("_k_eval_label_name"))
+               .join(r, F.col("a.replacement_type") == F.col("_k_replacement_type_name")))
+    return j.select(
+        F.col("_e_id").alias("eval_id"), F.col("a.question"), F.col("a.answer"),
+        F.col("_e_reflection").alias("reflection"), F.col("a.question_id"),
+        F.col("a.isHallucinative").alias("isHypotheticalQuestion"),
+        F.col("a.replacement_type").alias("replacement_type_id"),
+        F.col("_n_replacement_type_name").alias("replacement_type"),
+        F.col("_e_eval_label").alias("eval_label"),
+        F.col("_n_eval_label_name").alias("eval_label_name"),
+        F.col("_e_answer_id").alias("answer_id"), F.col("a.answer_source_id"),
+        F.col("a.answer_source"), F.col("_e_eval_type_id").alias("eval_type_id"),
+        F.col("_n_eval_type").alias("eval_type"), F.col("_e_term_source").alias("term_source_id"),
+        F.col("_n_term_source_name").alias("term_source"), F.col("_e_term_id").alias("term_id"),
+        F.col("_e_model_id").alias("evaluator_model_id"),
+        F.col("_n_evaluator_model").alias("evaluator_model"),
+        F.col("_answer_label").alias("answer_label"), F.col("_term").alias("term"),
+        F.col("_hyp").alias("IsHypotheticalTerm"))
 
 
 def terms_evals_detailed_explained(p: Pipeline, labels: DataFrame | None = None,

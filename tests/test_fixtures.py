@@ -80,7 +80,11 @@ def test_judge_replies(spark):
              ("m", '{"verified":"TRUE"}', 1, 0, False),
              ("m", "{}", 1, 0, True)]
     df = spark.createDataFrame(cases, "k string, r string, s long, e long, f boolean")
-    p = df.withColumn("p", RP.parse_reply(F.col("r")))
+    _check_replies(df.withColumn("p", RP.parse_reply(F.col("r"))))
+    _check_replies(RP.parse_replies(df, "r", "p"))
+
+
+def _check_replies(p):
     lab = F.when(F.col("k") == "c", RP.certainty_label(F.col("p"), F.col("s"))) \
            .otherwise(RP.meaning_label(F.col("p")))
     fail = F.when(F.col("k") == "c", RP.certainty_failed(F.col("p"))) \

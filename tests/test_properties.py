@@ -64,3 +64,31 @@ def test_extraction_round_trip(d, pre, post):
     s = pre + json.dumps(d) + post
     obj, step = RP.extract_json(s)
     assert {k: str(v).lower() for k, v in obj.items()} == {k: str(v).lower() for k, v in d.items()}
+
+
+REPLIES = st.one_of(
+    st.builds(lambda k, v, pre, post: pre + "{" + f'"{k}": {v}' + "}" + post,
+              st.sampled_from(["certainty", "verified", "Certainty", "term"]),
+              st.sampled_from(['"mentioned"', '"UNKNOWN"', '"unreal"', "12", "true", "false",
+                               '"FALSE"', "null", "[1]", "NaN", '"a}b"']),
+              st.sampled_from(["", " ", "WARNING: Failed to parse response: ", "Sure: "]),
+              st.sampled_from(["", "<|im_end|>", " done", "\n"])),
+    st.text(max_size=20))
+
+
+@settings(max_examples=60, deadline=None)
+@given(st.lists(REPLIES, min_size=1, max_size=30))
+def test_fast_path_equals_python(spark, replies):
+    from pyspark.sql import functions as F
+    df = spark.createDataFrame([(r,) for r in replies], "r string")
+    slow = [tuple(x) for x in df.select(RP.parse_reply(F.col("r")).alias("p"))
+            .select("p.ok", "p.certainty", "p.verified").collect()]
+    df = df.withColumn("i", F.monotonically_increasing_id())
+    slow = [tuple(x) for x in df.orderBy("i").select(RP.parse_reply(F.col("r")).alias("p"))
+            .select("p.ok", "p.certainty", "p.verified").collect()]
+    fast = [tuple(x) for x in RP.parse_replies(df, "r", "p").orderBy("i")
+            .select("p.ok", "p.certainty", "p.verified").collect()]
+    for r, a, b in zip(replies, slow, fast):
+        # verified values other than true/false strings only matter as "not false"
+        norm = lambda t: (t[0], t[1], None if t[2] is None else (t[2] if t[2] in ("true", "false") else "other"))
+        assert norm(a) == norm(b), (r, a, b)
