@@ -188,55 +188,66 @@ def phrase_hits(terms: DataFrame, docs: DataFrame, term_col: str = "term",
     t = (terms.select(F.col(term_col).alias("term")).distinct()
               .withColumn("_lterm", F.lower("term"))
               .withColumn("_tok", _tokens(F.col("_lterm"))))
-    doc_tok = d.select("_doc", F.explode(_tokens(F.col("_lt"))).alias("tok")) \
-               .where(F.col("tok") != "").distinct()
+    tok_rows = d.select("_doc", F.explode(_tokens(F.col("_lt"))).alias("tok")) \
+                .where(F.col("tok") != "")
     ntok = F.size("_tok")
-    # (a) interior-token anchors
+    parts = []
+    # (a) interior-token anchors; only the terms' own tokens enter the index
     inner = t.where(ntok >= 3).select("term", "_lterm", F.posexplode("_tok").alias("_i", "tok")) \
              .where((F.col("_i") > 0) & (F.col("_i") < F.size(_tokens(F.col("_lterm"))) - 1)
                     & (F.col("tok") != ""))
-    df_tok = doc_tok.join(inner.select("tok").distinct(), "tok", "left_semi") \
-                    .groupBy("tok").agg(F.count(F.lit(1)).alias("_df"))
+    doc_tok = tok_rows.join(inner.select("tok").distinct(), "tok", "left_semi").distinct()
+    df_tok = doc_tok.groupBy("tok").agg(F.count(F.lit(1)).alias("_df"))
     anchor = (inner.join(df_tok, "tok", "left").fillna(0, ["_df"])
                    .groupBy("term", "_lterm").agg(F.min(F.struct("_df", "tok")).alias("_a"))
                    .select("term", "_lterm", F.col("_a.tok").alias("tok")))
-    cand_a = anchor.join(doc_tok, "tok").select("term", "_lterm", "_doc")
-    # (b) short terms: longest piece through the vocabulary
+    parts.append(anchor.join(doc_tok, "tok").select("term", "_lterm", "_doc"))
+    # (b) short terms: longest piece through the vocabulary (built only if needed)
     piece = F.aggregate(F.col("_tok"), F.lit(""),
                         lambda acc, x: F.when(F.length(x) > F.length(acc), x).otherwise(acc))
     short = t.where(ntok < 3).withColumn("_piece", piece).where(F.col("_piece") != "")
-    vocab = doc_tok.select("tok").distinct()
-    gram_len = 3
-
-    def grams(col, n):
-        L = F.length(col)
-        return F.transform(F.sequence(F.lit(1), F.greatest(L - n + 1, F.lit(1))),
-                           lambda i: F.substring(col, i, n))
-    sg = short.withColumn("_g", F.explode(grams(F.col("_piece"), gram_len)))
-    vg = vocab.select("tok", F.explode(F.array_distinct(grams(F.col("tok"), gram_len))).alias("_g"))
-    gdf = vg.join(sg.select("_g").distinct(), "_g", "left_semi").groupBy("_g") \
-            .agg(F.count(F.lit(1)).alias("_df"))
-    sanchor = (sg.join(gdf, "_g", "left").fillna(0, ["_df"])
-                 .groupBy("term", "_lterm", "_piece").agg(F.min(F.struct("_df", "_g")).alias("_a"))
-                 .select("term", "_lterm", "_piece", F.col("_a._g").alias("_g")))
-    short_len = F.length("_piece") < gram_len
-    # pieces shorter than a gram: match vocabulary tokens by every short substring
-    tiny = sanchor.where(short_len)
-    vsub = vocab.select("tok", F.explode(F.array_distinct(F.flatten(F.array(
-        grams(F.col("tok"), 1), grams(F.col("tok"), 2))))).alias("_g"))
-    tiny_tok = tiny.join(vsub, tiny["_piece"] == vsub["_g"]).select("term", "_lterm", "_piece", "tok")
-    long_tok = (sanchor.where(~short_len).join(vg, "_g")
-                       .where(F.contains(F.col("tok"), F.col("_piece")))
-                       .select("term", "_lterm", "_piece", "tok"))
-    cand_b = tiny_tok.unionByName(long_tok).join(doc_tok, "tok").select("term", "_lterm", "_doc")
+    if short.limit(1).count():
+        vocab_doc = tok_rows.distinct()
+        vocab = vocab_doc.select("tok").distinct()
+        gram_len = 3
+
+        def grams(col, n):
+            L = F.length(col)
+            return F.transform(F.sequence(F.lit(1), F.greatest(L - n + 1, F.lit(1))),
+                               lambda i: F.substring(col, i, n))
+        sg = short.withColumn("_g", F.explode(grams(F.col("_piece"), gram_len)))
+        vg = vocab.select("tok", F.explode(F.array_distinct(grams(F.col("tok"), gram_len)))
+                          .alias("_g"))
+        vg = vg.join(sg.select("_g").distinct(), "_g", "left_semi")
+        gdf = vg.groupBy("_g").agg(F.count(F.lit(1)).alias("_df"))
+        sanchor = (sg.join(gdf, "_g", "left").fillna(0, ["_df"])
+                     .groupBy("term", "_lterm", "_piece")
+                     .agg(F.min(F.struct("_df", "_g")).alias("_a"))
+                     .select("term", "_lterm", "_piece", F.col("_a._g").alias("_g")))
+        short_len = F.length("_piece") < gram_len
+        # pieces shorter than a gram: match vocabulary tokens by every short substring
+        tiny = sanchor.where(short_len)
+        vsub = vocab.select("tok", F.explode(F.array_distinct(F.flatten(F.array(
+            grams(F.col("tok"), 1), grams(F.col("tok"), 2))))).alias("_g"))
+        tiny_tok = tiny.join(vsub, tiny["_piece"] == vsub["_g"]).select("term", "_lterm",
+                                                                         "_piece", "tok")
+        long_tok = (sanchor.where(~short_len).join(vg, "_g")
+                           .where(F.contains(F.col("tok"), F.col("_piece")))
+                           .select("term", "_lterm", "_piece", "tok"))
+        parts.append(tiny_tok.unionByName(long_tok).join(vocab_doc, "tok")
+                             .select("term", "_lterm", "_doc"))
     # (c) empty / whitespace-only terms
     blank = t.where(F.col("_lterm").rlike(f"^{WS_CLASS}*$")).select("term", "_lterm")
     nb = blank.limit(max_short_terms + 1).count()
     if nb > max_short_terms:
         raise ValueError("too many blank terms")
-    cand_c = d.join(F.broadcast(blank), F.contains(F.col("_lt"), F.col("_lterm"))) \
-              .select("term", "_lterm", "_doc")
-    cand = cand_a.unionByName(cand_b).unionByName(cand_c).distinct()
+    if nb:
+        parts.append(d.join(F.broadcast(blank), F.contains(F.col("_lt"), F.col("_lterm")))
+                      .select("term", "_lterm", "_doc"))
+    cand = parts[0]
+    for p_ in parts[1:]:
+        cand = cand.unionByName(p_)
+    cand = cand.distinct()
     hits = cand.join(d, "_doc").where(F.contains(F.col("_lt"), F.col("_lterm")))
     return hits.select("term", F.col("_doc").alias(doc_id))
 

@@ -108,3 +108,16 @@ def test_answers_of_model(spark):
     a = spark.createDataFrame([(1, 2), (2, 3)], "answer_id long, answer_source_id long")
     m = spark.createDataFrame([(2, "x"), (3, "y")], "id long, name string")
     assert [r.answer_id for r in EV.answers_of_model(a, m, "y").collect()] == [2]
+
+
+def test_phrase_hits_all_paths(spark):
+    docs = spark.createDataFrame([(1, "The quick brown fox jumps"), (2, "a string of rings"),
+                                  (3, "Quick  Brown\\tFox"), (4, "no match here")],
+                                 "doc_id long, text string")
+    terms = spark.createDataFrame([("quick brown fox",), ("ring",), ("g of r",), ("",), (" ",),
+                                   ("x",), ("brown fox jumps",), ("absent words here",)],
+                                  "term string")
+    got = {(r.term, r.doc_id) for r in TM.phrase_hits(terms, docs).collect()}
+    brute = {(t, d) for t in [r.term for r in terms.collect()]
+             for d, txt in [(r.doc_id, r.text) for r in docs.collect()] if t.lower() in txt.lower()}
+    assert got == brute
