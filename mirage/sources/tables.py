@@ -7,11 +7,39 @@ from pyspark.sql import DataFrame, SparkSession
 TABLES = ("region nation customer supplier part orders lineitem events documents "
           "embeddings pages benchmark labels conversations").split()
 
-
-def read_table(spark: SparkSession, base: str, name: str) -> DataFrame:
+REBALANCE_MIN_BYTES = 1 << 20
+
+
+def _input_bytes(df: DataFrame) -> int:
+    spark = df.sparkSession
+    jvm = spark._jvm
+    conf = spark._jsc.hadoopConfiguration()
+    total = 0
+    for f in df.inputFiles():
+        p = jvm.org.apache.hadoop.fs.Path(f)
+        total += p.getFileSystem(conf).getFileStatus(p).getLen()
+    return total
+
+
+def rebalanced(df: DataFrame, factor: int = 2) -> DataFrame:
+    """Round-robin a scan over ``factor × defaultParallelism`` partitions when
+    its files give fewer splits than that (a file with one row group is read
+    by one task) and it is large enough to be worth it. A finely split input,
+    as on a cluster, is returned unchanged. Filters and projections applied
+    later are still pushed into the scan below the repartition."""
+    target = df.sparkSession.sparkContext.defaultParallelism * factor
+    if df.rdd.getNumPartitions() >= target:
+        return df
+    if _input_bytes(df) < REBALANCE_MIN_BYTES:
+        return df
+    return df.repartition(target)
+
+
+def read_table(spark: SparkSession, base: str, name: str, rebalance: bool = True) -> DataFrame:
     """Scan ``{base}/{name}.parquet``; projections and filters applied later
     are pushed into this scan by Catalyst."""
-    return spark.read.parquet(f"{base.rstrip('/')}/{name}.parquet")
+    df = spark.read.parquet(f"{base.rstrip('/')}/{name}.parquet")
+    return rebalanced(df) if rebalance else df
 
 
 class Tables:
