@@ -194,4 +194,4 @@ def stub_judge(pdfs: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 def answers_of_model(answers: DataFrame, models: DataFrame, model_name: str) -> DataFrame:
     """P5: answers of the model with this name (joined on the model table)."""
     m = models.where(F.col("name") == model_name).select(F.col("id").alias("_mid"))
-    return answers.join(F.broadcast(m), answers["answer_source_id"] == F.col("_mid")).drop("_mid")
+    return answers.join(m, answers["answer_source_id"] == F.col("_mid")).drop("_mid")

@@ -119,14 +119,18 @@ def topic_rows(topics: DataFrame, text_col: str = "topic") -> DataFrame:
 
 
 def topic_containing(titles_df: DataFrame, topics: DataFrame, title_col: str = "title",
-                     max_topics: int = 10000) -> DataFrame:
+                     max_topics: int = 10000, max_broadcast_substrings: int = 2_000_000) -> DataFrame:
     """The first topic (by ``pos``) whose text contains the title.
 
-    The topic list is small (checked against ``max_topics``); every distinct
-    substring of every topic is generated once and the titles are matched by
-    an equi-join on it, so no title × topic product is formed."""
-    n = topics.limit(max_topics + 1).count()
-    if n > max_topics:
+    Every distinct substring of every topic is generated once (with the
+    first topic holding it) and the titles are matched by an equi-join on
+    it, so no title × topic product is formed. The substring table is
+    broadcast only when its size, computed from the topic lengths, is within
+    ``max_broadcast_substrings``; otherwise it is a shuffled join."""
+    stats = topics.agg(F.count(F.lit(1)).alias("n"),
+                       F.sum(F.length("topic") * (F.length("topic") + 1) / 2 + 1).alias("subs")) \
+                  .first()
+    if stats.n > max_topics:
         raise ValueError(f"topic list larger than {max_topics}")
     L = F.length("topic")
     subs = topics.select("pos", "topic", F.explode(F.sequence(F.lit(1), F.greatest(L, F.lit(1))))
@@ -135,7 +139,9 @@ def topic_containing(titles_df: DataFrame, topics: DataFrame, title_col: str = "
                        .alias("_len"))
     subs = subs.select("pos", "topic", F.substring("topic", F.col("_s"), F.col("_len")).alias("_sub"))
     first = subs.groupBy("_sub").agg(F.min_by(F.struct("pos", "topic"), "pos").alias("_t"))
-    j = titles_df.join(F.broadcast(first), titles_df[title_col] == first["_sub"], "left")
+    if (stats.subs or 0) <= max_broadcast_substrings:
+        first = F.broadcast(first)
+    j = titles_df.join(first, titles_df[title_col] == first["_sub"], "left")
     return j.select(*titles_df.columns, F.col("_t.pos").alias("topic_pos"),
                     F.col("_t.topic").alias("topic"))
 
