@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 TABLES = ("region nation customer supplier part orders lineitem events documents "
           "embeddings pages benchmark labels conversations").split()
@@ -22,17 +23,23 @@ def _input_bytes(df: DataFrame) -> int:
 
 
 def rebalanced(df: DataFrame, factor: int = 2) -> DataFrame:
-    """Round-robin a scan over ``factor × defaultParallelism`` partitions when
-    its files give fewer splits than that (a file with one row group is read
-    by one task) and it is large enough to be worth it. A finely split input,
-    as on a cluster, is returned unchanged. Filters and projections applied
-    later are still pushed into the scan below the repartition."""
+    """Spread a parquet scan over ``factor × defaultParallelism`` partitions
+    when its files give fewer splits than that (a file with one row group is
+    read by one task) and it is large enough to be worth it. A finely split
+    input, as on a cluster, is returned unchanged.
+
+    The rows are hash-partitioned on the scan's hidden ``_metadata`` row
+    position (row index within the file, file size): even, no data column
+    is read for it, and the same row always lands in the same partition, so
+    a retried task sees the same input without the local sort a round-robin
+    repartition needs for that. Filters and projections applied later are
+    still pushed into the scan below the repartition."""
     target = df.sparkSession.sparkContext.defaultParallelism * factor
     if df.rdd.getNumPartitions() >= target:
         return df
     if _input_bytes(df) < REBALANCE_MIN_BYTES:
         return df
-    return df.repartition(target)
+    return df.repartition(target, F.col("_metadata.row_index"), F.col("_metadata.file_size"))
 
 
 def read_table(spark: SparkSession, base: str, name: str, rebalance: bool = True) -> DataFrame:
