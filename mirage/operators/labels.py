@@ -101,25 +101,33 @@ def answer_labels_file_mode(evals: DataFrame, label_col: str = "eval_label_id",
     return evals.join(lab, "answer_id", "left")
 
 
-def ai_grouped(detailed: DataFrame) -> DataFrame:
-    """A4: per (answer, judge) over the judge kinds only; 3 distinct labels → 1,
-    min label 1 → 1, else max; plus the row count.
+AI_GROUPED_COLUMNS = ["answer_id", "eval_label", "question_id", "isHypotheticalQuestion",
+                      "question", "answer", "answer_source_id", "answer_source",
+                      "evaluator_model_id", "evaluator_model", "count"]
 
-    Grouped by the ids and their dependent columns as the view does; every
-    aggregate buffer is numeric, so both aggregation levels (the distinct
-    count adds one on (keys, label)) stay hash aggregates.
-    """
-    d = detailed.where((F.col("eval_type") != "HumanEval") & (F.col("eval_type") != "code_check"))
-    keys = ["question_id", "answer_id", "evaluator_model_id", "isHypotheticalQuestion",
-            "question", "answer", "answer_source_id", "answer_source", "evaluator_model"]
-    g = d.groupBy(*keys).agg(
+
+def ai_fold(rows: DataFrame, keys: list[str]) -> DataFrame:
+    """The A4 rule per ``keys``: 3 distinct labels → 1, min label 1 → 1, else
+    max; plus the row count. Every aggregate buffer is numeric, so both
+    aggregation levels (the distinct count adds one on (keys, label)) stay
+    hash aggregates with map-side partial aggregation."""
+    g = rows.groupBy(*keys).agg(
         F.count_distinct("eval_label").alias("_nd"), F.min("eval_label").alias("_mn"),
         F.max("eval_label").alias("_mx"), F.count(F.lit(1)).alias("count"))
     label = (F.when(F.col("_nd") == 3, 1).when(F.col("_mn") == 1, 1).otherwise(F.col("_mx"))
               .cast("long"))
-    return g.select("answer_id", label.alias("eval_label"), "question_id",
-                    "isHypotheticalQuestion", "question", "answer", "answer_source_id",
-                    "answer_source", "evaluator_model_id", "evaluator_model", "count")
+    return g.select(*keys, label.alias("eval_label"), "count")
+
+
+def ai_grouped(detailed: DataFrame) -> DataFrame:
+    """A4: per (answer, judge) over the judge kinds only, grouped by the ids
+    and their dependent columns as the view does. Over the pipeline's own
+    view, ``views.ai_grouped_view`` gives the same rows without carrying the
+    text through the aggregation."""
+    d = detailed.where((F.col("eval_type") != "HumanEval") & (F.col("eval_type") != "code_check"))
+    keys = ["question_id", "answer_id", "evaluator_model_id", "isHypotheticalQuestion",
+            "question", "answer", "answer_source_id", "answer_source", "evaluator_model"]
+    return ai_fold(d, keys).select(*AI_GROUPED_COLUMNS)
 
 
 def inclusion_fold(detailed: DataFrame, by_source: bool = True) -> DataFrame:
@@ -131,11 +139,9 @@ def inclusion_fold(detailed: DataFrame, by_source: bool = True) -> DataFrame:
                     .groupBy(*keys).agg(F.max("eval_label").alias("eval_label")))
 
 
-def labelled(detailed: DataFrame, by_source: bool = True) -> DataFrame:
-    """A6 + J9: inclusion folds left-joined to the grouped judge labels on the
+def labelled_from(rc: DataFrame, ag: DataFrame, by_source: bool = True) -> DataFrame:
+    """Inclusion folds left-joined to the grouped judge labels on the
     answer; one row per (answer, term, judge)."""
-    rc = inclusion_fold(detailed, by_source)
-    ag = ai_grouped(detailed)
     j = rc.join(ag.withColumnRenamed("eval_label", "ai_label"), "answer_id", "left")
     hal = (F.when(F.col("ai_label") == 1, 1).when(F.col("ai_label") == 2, 2)
             .otherwise(F.col("eval_label")).cast("long"))
@@ -147,6 +153,12 @@ def labelled(detailed: DataFrame, by_source: bool = True) -> DataFrame:
                     "evaluator_model_id", "evaluator_model", "count")
 
 
+def labelled(detailed: DataFrame, by_source: bool = True) -> DataFrame:
+    """A6 + J9 over a detailed view (``views.labelled_view`` for the
+    pipeline's own view)."""
+    return labelled_from(inclusion_fold(detailed, by_source), ai_grouped(detailed), by_source)
+
+
 def dedupe_report_rows(detail: DataFrame, id_col: str = "eval_id") -> DataFrame:
     """Drop rows equal in everything but ``eval_id`` (keep the lowest id),
     then keep one row per ``eval_id`` (the first by the remaining columns)."""

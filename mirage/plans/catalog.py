@@ -89,12 +89,12 @@ def q_detailed_explained(spark, d):
 
 @register("ai_grouped")
 def q_ai_grouped(spark, d):
-    return L.ai_grouped(V.terms_evals_detailed(Pipeline(spark, d)))
+    return V.ai_grouped_view(Pipeline(spark, d))
 
 
 @register("labelled")
 def q_labelled(spark, d):
-    return L.labelled(V.terms_evals_detailed(Pipeline(spark, d)))
+    return V.labelled_view(Pipeline(spark, d))
 
 
 @register("report_detail")

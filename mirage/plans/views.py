@@ -228,6 +228,26 @@ def terms_evals_detailed_base(p: Pipeline, labels: DataFrame | None = None,
         F.col("ae.answer_label").alias("answer_label"))
 
 
+def _detailed_narrow(p: Pipeline, labels: DataFrame | None = None,
+                     compat: bool = False) -> DataFrame:
+    """The distinct narrow rows of U1: evaluation columns (``_e_*``), the
+    answer label and the term, before any text of the answer is joined."""
+    e = p.evals
+    l = (labels if labels is not None else p.labels).alias("ae")
+    cond = F.col("e.answer_id") == F.col("ae.answer_id")
+    extra = _label_join_cond(F.col("e.model_id"), F.col("ae.evaluator_model_id"), compat)
+    if extra is not None:
+        cond = cond & extra
+    d = term_dictionary(p)
+    hyp = (F.when(F.col("e.term_source") == 0, 1).when(F.col("e.term_source") > 0, 0))
+    return (e.alias("e").join(l, cond)
+             .join(d, (F.col("e.term_id") == F.col("_tid")) & (hyp == F.col("_hyp")))
+             .select(*[F.col(f"e.{c}").alias(f"_e_{c}") for c in e.columns],
+                     F.col("ae.answer_label").alias("_answer_label"),
+                     F.col("_term"), F.col("_hyp"))
+             .distinct())
+
+
 def terms_evals_detailed(p: Pipeline, labels: DataFrame | None = None,
                          compat: bool = False) -> DataFrame:
     """Base rows with the made-up term (source 0) or the real term
@@ -239,20 +259,7 @@ def terms_evals_detailed(p: Pipeline, labels: DataFrame | None = None,
     term and lookup ids), so they cannot create or merge duplicates and the
     result equals the distinct of the wide rows, while the shuffle carries no
     question or answer text."""
-    e = p.evals
-    l = (labels if labels is not None else p.labels).alias("ae")
-    cond = F.col("e.answer_id") == F.col("ae.answer_id")
-    extra = _label_join_cond(F.col("e.model_id"), F.col("ae.evaluator_model_id"), compat)
-    if extra is not None:
-        cond = cond & extra
-    d = term_dictionary(p)
-    hyp = (F.when(F.col("e.term_source") == 0, 1).when(F.col("e.term_source") > 0, 0))
-    narrow = (e.alias("e").join(l, cond)
-               .join(d, (F.col("e.term_id") == F.col("_tid")) & (hyp == F.col("_hyp")))
-               .select(*[F.col(f"e.{c}").alias(f"_e_{c}") for c in e.columns],
-                       F.col("ae.answer_label").alias("_answer_label"),
-                       F.col("_term"), F.col("_hyp"))
-               .distinct())
+    narrow = _detailed_narrow(p, labels, compat)
     a = combined_terms_answers(p).alias("a")
     s, ts = _names(p.eval_source, "eval_type"), _names(p.term_source, "term_source_name")
     m, n = _names(p.models, "evaluator_model"), _names(p.eval_names, "eval_label_name")
@@ -289,3 +296,64 @@ def terms_evals_detailed_explained(p: Pipeline, labels: DataFrame | None = None,
     hyp = F.when(F.col("term_source_id") == 0, 1).otherwise(0)
     j = d.join(dic, (F.col("term_id") == F.col("_tid")) & (hyp == F.col("_hyp")), "left")
     return j.select(*[F.col(c) for c in d.columns], F.col("_expl").alias("explanation"))
+
+
+def _known_rows(p: Pipeline, narrow: DataFrame, kinds: DataFrame | None = None) -> DataFrame:
+    """Narrow U1 rows that survive the view's per-row lookup joins (kind,
+    judge, term source, label), as semi-joins against the fixed lookups."""
+    ids = lambda df: df.select(F.col("id").alias("_id"))
+    for col, lk in (("_e_eval_type_id", kinds if kinds is not None else p.eval_source),
+                    ("_e_model_id", p.models), ("_e_term_source", p.term_source),
+                    ("_e_eval_label", p.eval_names)):
+        narrow = narrow.join(ids(lk), F.col(col) == F.col("_id"), "left_semi")
+    return narrow
+
+
+def _answer_side(p: Pipeline) -> DataFrame:
+    """The answer-level columns of U1 (one row per answer id), with the
+    replacement-type join the view applies per answer."""
+    a = combined_terms_answers(p)
+    r = _names(p.replacement_type, "replacement_type_name")
+    return (a.join(r, F.col("replacement_type") == F.col("_k_replacement_type_name"))
+             .select("answer_id", "question_id", F.col("isHallucinative").alias("isHypotheticalQuestion"),
+                     "question", "answer", "answer_source_id", "answer_source"))
+
+
+def ai_grouped_view(p: Pipeline, labels: DataFrame | None = None,
+                    compat: bool = False) -> DataFrame:
+    """A4 over U1, equal to ``labels.ai_grouped(terms_evals_detailed(p))``.
+
+    The grouping columns other than (answer, judge) depend on those ids
+    (answer, question and judge rows are keyed by them), so the judge rows
+    are folded on the narrow evaluation rows and the question and answer
+    text is joined once per group afterwards; the shuffle never carries
+    text per evaluation row."""
+    from mirage.operators.labels import ai_fold, AI_GROUPED_COLUMNS
+    judge_kinds = p.eval_source.where(~F.col("name").isin("HumanEval", "code_check"))
+    rows = _known_rows(p, _detailed_narrow(p, labels, compat), judge_kinds)
+    g = ai_fold(rows.select(F.col("_e_answer_id").alias("answer_id"),
+                            F.col("_e_model_id").alias("evaluator_model_id"),
+                            F.col("_e_eval_label").alias("eval_label")),
+                ["answer_id", "evaluator_model_id"])
+    m = _names(p.models, "evaluator_model")
+    return (g.join(_answer_side(p), "answer_id")
+             .join(m, F.col("evaluator_model_id") == F.col("_k_evaluator_model"))
+             .withColumnRenamed("_n_evaluator_model", "evaluator_model")
+             .select(*AI_GROUPED_COLUMNS))
+
+
+def labelled_view(p: Pipeline, labels: DataFrame | None = None, compat: bool = False,
+                  by_source: bool = True) -> DataFrame:
+    """A6 + J9 over U1, equal to ``labels.labelled(terms_evals_detailed(p))``:
+    the inclusion fold runs on the narrow rows and keeps the answers the view
+    keeps (semi-join on the answer side), then meets the grouped judge
+    labels on the answer."""
+    from mirage.operators.labels import inclusion_fold, labelled_from
+    rows = _known_rows(p, _detailed_narrow(p, labels, compat))
+    rc = inclusion_fold(rows.select(F.col("_e_answer_id").alias("answer_id"),
+                                    F.col("_e_term_id").alias("term_id"),
+                                    F.col("_e_term_source").alias("term_source_id"),
+                                    F.col("_e_eval_type_id").alias("eval_type_id"),
+                                    F.col("_e_eval_label").alias("eval_label")), by_source)
+    rc = rc.join(_answer_side(p).select("answer_id"), "answer_id", "left_semi")
+    return labelled_from(rc, ai_grouped_view(p, labels, compat), by_source)

@@ -121,3 +121,18 @@ def test_phrase_hits_all_paths(spark):
     brute = {(t, d) for t in [r.term for r in terms.collect()]
              for d, txt in [(r.doc_id, r.text) for r in docs.collect()] if t.lower() in txt.lower()}
     assert got == brute
+
+
+def test_narrow_views_equal_wide_operators(spark):
+    """The id-level grouped/labelled views give the rows of the generic
+    operators applied to the wide detailed view."""
+    from mirage.operators import labels as L
+    from mirage.plans import views as V
+    from mirage.plans.derived import Pipeline
+    p = Pipeline(spark, "/root/testdata/sf0.001")
+    wide = V.terms_evals_detailed(p)
+    for fast, slow in ((V.ai_grouped_view(p), L.ai_grouped(wide)),
+                       (V.labelled_view(p), L.labelled(wide))):
+        assert fast.columns == slow.columns
+        assert fast.count() == slow.count() > 0
+        assert fast.exceptAll(slow).count() == 0 and slow.exceptAll(fast).count() == 0
