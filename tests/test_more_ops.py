@@ -136,3 +136,14 @@ def test_narrow_views_equal_wide_operators(spark):
         assert fast.columns == slow.columns
         assert fast.count() == slow.count() > 0
         assert fast.exceptAll(slow).count() == 0 and slow.exceptAll(fast).count() == 0
+
+
+def test_keep_first_aggregate_path_nulls_first(spark):
+    """With every other column as key, keep-first is a min aggregate that
+    still puts a null order value first, like the window form."""
+    from mirage.functions.common import keep_first
+    df = spark.createDataFrame([("x", 1, 5), ("x", 1, None), ("x", 2, 7), ("y", 1, 3), ("y", 1, 2)],
+                               "k string, j int, o long")
+    got = sorted(keep_first(df, ["k", "j"], ["o"]).collect(), key=lambda r: (r.k, r.j))
+    assert [tuple(r) for r in got] == [("x", 1, None), ("x", 2, 7), ("y", 1, 2)]
+    assert keep_first(df, ["k", "j"], ["o"]).columns == ["k", "j", "o"]
