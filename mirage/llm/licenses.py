@@ -120,7 +120,7 @@ def canonical_lines(text: Column) -> Column:
     for a, b in EQUIVALENT:
         spelt = F.regexp_replace(spelt, rf"\b{a}\b", b)
     t = F.when(F.regexp_like(t, F.lit(SPELLING)), spelt).otherwise(t)
-    lines = F.transform(F.split(t, "\n"), F.trim)
+    lines = F.transform(F.split(t, "\n"), lambda x: F.trim(x))
     return F.filter(lines, lambda x: (x != "") & ~F.regexp_like(x, F.lit(COPYRIGHT)))
 
 
