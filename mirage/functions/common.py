@@ -40,14 +40,8 @@ def pct_half_even(count: Column, total: Column) -> Column:
     return F.when(total > 0, q.cast("double") / F.lit(100.0)).otherwise(F.lit(0.0))
 
 
-def array_literal(values: list) -> Column:
-    return F.array(*[F.lit(v) for v in values])
-
-
-def spread(df: DataFrame, factor: int = 2) -> DataFrame:
-    """Round-robin the rows over ``factor × defaultParallelism`` partitions
-    before a Python-heavy stage, but only when the input has fewer
-    partitions than that (a few large row groups). Inputs that are already
-    split finely, as on a cluster, pass through without a shuffle."""
-    target = df.sparkSession.sparkContext.defaultParallelism * factor
-    return df.repartition(target) if df.rdd.getNumPartitions() < target else df
+def spread(df: DataFrame, partitions: int | None = None) -> DataFrame:
+    """Deal the rows over ``partitions`` tasks before a Python-heavy stage;
+    without a number the input's own splits are kept. Nothing of ``df`` runs
+    while the plan is built."""
+    return df.repartition(partitions) if partitions else df

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import string
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 # ---------------------------------------------------------------------------
@@ -30,8 +30,8 @@ def render(template: str, **fields) -> Column:
     return F.concat(*parts) if parts else F.lit("")
 
 
-def block(role: str, text: Column) -> Column:
-    return F.concat(F.lit(f"{IM_START}{role}\n"), text, F.lit(f"{IM_END}\n"))
+def block_col(role: Column, text: Column) -> Column:
+    return F.concat(F.lit(IM_START), role, F.lit("\n"), text, F.lit(f"{IM_END}\n"))
 
 
 def render_chats(turns: DataFrame, default_system: str, include_ending: bool = True,
@@ -42,40 +42,18 @@ def render_chats(turns: DataFrame, default_system: str, include_ending: bool = T
     are more user turns than replies — a user block with the *last* user
     turn, then an open assistant tag.
 
-    Turn numbering is a window per (conversation, role); the blocks of a
-    conversation are gathered once, sorted, and joined."""
-    t = turns.where(F.col("role").isin("user", "assistant"))
-    t = t.withColumn("_i", F.row_number().over(Window.partitionBy(conv, "role").orderBy("turn")))
-    counts = turns.groupBy(conv).agg(
-        F.count_if(F.col("role") == "user").alias("_nu"),
-        F.count_if(F.col("role") == "assistant").alias("_na"),
-        F.min_by(F.col("text"), F.when(F.col("role") == "system", F.col("turn"))).alias("_sys_any"),
-        F.min(F.when(F.col("role") == "system", F.col("turn"))).alias("_sys_turn"))
-    counts = counts.withColumn("_sys", F.when(F.col("_sys_turn").isNotNull(), F.col("_sys_any")))
-    t = t.join(counts.select(conv, "_nu", "_na"), conv)
-    m = F.least("_nu", "_na")
-    is_user = F.col("role") == "user"
-    pair = t.where(F.col("_i") <= m).select(
-        conv, F.col("_i").alias("_k1"), F.when(is_user, 0).otherwise(1).alias("_k2"),
-        block_col(F.col("role"), F.col("text")).alias("_b"))
-    extra = t.where(is_user & (F.col("_i") == F.col("_nu")) & (F.col("_nu") > F.col("_na"))) \
-             .select(conv, (m + 1).alias("_k1"), F.lit(0).alias("_k2"),
-                     block("user", F.col("text")).alias("_b"))
-    sys = counts.select(conv, F.lit(0).cast("long").alias("_k1"), F.lit(0).alias("_k2"),
-                        block("system", F.coalesce(F.col("_sys"), F.lit(default_system)))
-                        .alias("_b"))
-    parts = [sys, pair, extra]
-    if include_ending:
-        parts.append(counts.select(conv, F.lit(2 ** 62).cast("long").alias("_k1"),
-                                   F.lit(0).alias("_k2"),
-                                   F.lit(f"{IM_START}assistant\n").alias("_b")))
-    allb = parts[0]
-    for p in parts[1:]:
-        allb = allb.unionByName(p.withColumn("_k1", F.col("_k1").cast("long")))
-    g = allb.groupBy(conv).agg(F.sort_array(F.collect_list(F.struct("_k1", "_k2", "_b")))
-                               .alias("_bs"))
-    return g.select(conv, F.array_join(F.transform("_bs", lambda x: x["_b"]), "").alias("prompt"))
+    One shuffle: a conversation's turns are gathered in order, and everything
+    else is array expressions on them."""
+    g = turns.groupBy(conv).agg(F.sort_array(F.collect_list(F.struct("turn", "role", "text"))).alias("_t"))
 
+    def of(role: str) -> Column:
+        return F.transform(F.filter("_t", lambda x: x["role"] == role), lambda x: x["text"])
 
-def block_col(role: Column, text: Column) -> Column:
-    return F.concat(F.lit(IM_START), role, F.lit("\n"), text, F.lit(f"{IM_END}\n"))
+    g = g.select(conv, of("user").alias("_u"), of("assistant").alias("_a"), F.get(of("system"), 0).alias("_s"))
+    pairs = F.zip_with(F.slice("_u", 1, F.least(F.size("_u"), F.size("_a"))), F.slice("_a", 1, F.least(F.size("_u"), F.size("_a"))),
+                       lambda u, a: F.concat(block_col(F.lit("user"), u), block_col(F.lit("assistant"), a)))
+    left = F.when(F.size("_u") > F.size("_a"), block_col(F.lit("user"), F.element_at("_u", -1))).otherwise(F.lit(""))
+    parts = [block_col(F.lit("system"), F.coalesce("_s", F.lit(default_system))), F.array_join(pairs, ""), left]
+    if include_ending:
+        parts.append(F.lit(f"{IM_START}assistant\n"))
+    return g.select(conv, F.concat(*parts).alias("prompt"))

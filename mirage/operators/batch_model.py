@@ -10,6 +10,8 @@ that kills the task.
 from __future__ import annotations
 
 import concurrent.futures as cf
+import queue
+import threading
 import time
 from collections.abc import Callable, Iterator
 
@@ -18,9 +20,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from mirage.functions.common import spread
 from mirage.functions.prompts import render
-from mirage.functions.text import question_checks, swap_term
-from mirage.schemas import FAILURE_SENTINELS, FRESH, NO_REPLACEMENT, PROGRAMMATIC
+from mirage.functions.text import labelled_term, question_checks, swap_term
+from mirage.schemas import (FAILURE_SENTINELS, FRESH, NO_REPLACEMENT, PROGRAMMATIC,
+                            TRIPLET_VIEW_COLUMNS, require_columns)
+from mirage.session import stored
 
 BatchFn = Callable[[pd.DataFrame], pd.Series]
 
@@ -32,17 +37,28 @@ def with_retries(call: Callable[[str], str], retries: int = 3, timeout_s: float
     gets the failure sentinel (timeout or model failure)."""
     model_failure, timeout_sentinel = FAILURE_SENTINELS
 
+    def attempt(prompt: str, box: queue.SimpleQueue) -> None:
+        try:
+            box.put((True, call(prompt)))
+        except Exception:
+            box.put((False, model_failure))
+
     def one(prompt: str) -> str:
         last = model_failure
-        with cf.ThreadPoolExecutor(max_workers=1) as ex:
-            for _ in range(retries):
-                fut = ex.submit(call, prompt)
-                try:
-                    return fut.result(timeout=timeout_s)
-                except cf.TimeoutError:
-                    last = timeout_sentinel
-                except Exception:
-                    last = model_failure
+        for _ in range(retries):
+            # A worker of its own for each attempt: one that hangs is left
+            # behind (a daemon thread) and holds up neither the next attempt
+            # nor the end of the batch.
+            box: queue.SimpleQueue = queue.SimpleQueue()
+            threading.Thread(target=attempt, args=(prompt, box), daemon=True).start()
+            try:
+                done, value = box.get(timeout=timeout_s)
+            except queue.Empty:
+                last = timeout_sentinel
+                continue
+            if done:
+                return value
+            last = value
         return last
 
     def batch(pdf: pd.DataFrame) -> pd.Series:
@@ -51,9 +67,13 @@ def with_retries(call: Callable[[str], str], retries: int = 3, timeout_s: float
     return batch
 
 
-def call_model(requests: DataFrame, fn: BatchFn, out_col: str = "reply") -> DataFrame:
+def call_model(requests: DataFrame, fn: BatchFn, out_col: str = "reply",
+               partitions: int | None = None) -> DataFrame:
     """Run ``fn`` over each Arrow batch of ``requests`` (which must hold a
-    ``prompt`` column); adds ``out_col`` and the batch's seconds per row."""
+    ``prompt`` column); adds ``out_col`` and the batch's seconds per row.
+    ``partitions`` deals the requests over that many tasks first. The result
+    is lazy: where more than one thing is derived from it, store it first
+    (``session.stored``), else the model is asked again for each."""
     schema = T.StructType(requests.schema.fields + [
         T.StructField(out_col, T.StringType()), T.StructField("elapsed_s", T.DoubleType())])
 
@@ -67,17 +87,16 @@ def call_model(requests: DataFrame, fn: BatchFn, out_col: str = "reply") -> Data
             pdf[out_col] = list(reply)
             pdf["elapsed_s"] = (time.time() - t0) / max(len(pdf), 1)
             yield pdf
-    from mirage.functions.common import spread
-    return spread(requests).mapInPandas(run, schema)
+    return spread(requests, partitions).mapInPandas(run, schema)
 
 
 def answer_questions(questions: DataFrame, fn: BatchFn, model_id: int,
-                     template: str = "{question}", qid: str = "id") -> DataFrame:
+                     template: str = "{question}", qid: str = "id", partitions: int | None = None) -> DataFrame:
     """M1: one answer per question row: ``(question_id, model_id, answer,
     elapsed_s)``. Feed it the unanswered questions (J10) to resume a run."""
     req = questions.select(F.col(qid).alias("question_id"), "question",
                            render(template, question="question").alias("prompt"))
-    out = call_model(req, fn, "answer")
+    out = call_model(req, fn, "answer", partitions)
     return out.select("question_id", F.lit(model_id).cast("long").alias("model_id"), "answer",
                       "elapsed_s")
 
@@ -88,57 +107,81 @@ DEFAULT_FRESH_TEMPLATE = ("Topic: {topic}\nMain term: {main_term}\n"
                           "Secondary term: {secondary_term}\nWrite one question using both terms.")
 
 
+QUESTION_KEY = ["main_id", "main_source", "secondary_id", "secondary_source"]
+
+
+def _question_key(rows: DataFrame, replacement_type: int) -> DataFrame:
+    """The terms that a question of this type is about. The main term is
+    the made-up one (source 0) for type 0, else the replacement."""
+    made_up = replacement_type == NO_REPLACEMENT
+    return rows.withColumn("main_id", F.col("nonexistent_id" if made_up else "replacement_id")) \
+               .withColumn("main_source", F.lit(NO_REPLACEMENT).cast("long") if made_up else F.col("replacement_source_id").cast("long")) \
+               .withColumn("secondary_source", F.col("secondary_source_id").cast("long"))
+
+
+def _stored_question(rows: DataFrame, existing: DataFrame, replacement_type: int) -> DataFrame:
+    """``rows`` with ``_old``: the stored question about the same terms and of
+    the same type, or null. Of several the first by text counts."""
+    old = (existing.where(F.col("replacement_type") == replacement_type)
+                   .groupBy(*QUESTION_KEY).agg(F.min("question").alias("_old")))
+    return _question_key(rows, replacement_type).join(old, QUESTION_KEY, "left").drop("main_id", "main_source", "secondary_source")
+
+
+def _ask_or_reuse(rows: DataFrame, fn: BatchFn, out: str, partitions: int | None) -> DataFrame:
+    """``out``: the stored question where there is one, else the model's,
+    asked once for each row and stored before anything is derived from it."""
+    asked = call_model(rows.where(F.col("_old").isNull()).drop("_old"), fn, out, partitions).drop("elapsed_s")
+    kept = rows.where(F.col("_old").isNotNull()).withColumnRenamed("_old", out)
+    return stored(asked.unionByName(kept), "questions")
+
+
 def generate_questions(triplets: DataFrame, fn: BatchFn,
                        question_template: str = DEFAULT_QUESTION_TEMPLATE,
                        fresh_template: str = DEFAULT_FRESH_TEMPLATE,
-                       existing: DataFrame | None = None) -> DataFrame:
-    """M4 (+ F5-F7, F22, F26, P16, J17) over the combined triplet view.
+                       existing: DataFrame | None = None, partitions: int | None = None) -> DataFrame:
+    """M4 (+ F5-F7, F22, F26, P14, P16, J17) over the combined triplet view.
 
     Type 0: the model writes a question with the made-up and the secondary
     term; it is kept only when valid (F7). Types 1 and 3 exist only for
     triplets with a valid type-0 question: type 1 swaps the made-up term for
     the replacement in that question (F6), type 3 asks the model afresh with
-    the replacement. With ``existing`` (``triplet_id, replacement_type,
-    question``), stored questions are reused instead of asking again."""
-    lab = lambda t, e: F.concat(F.col(t), F.lit(": "), F.col(e))   # F26
-    topic = lab("topic", "topic_explanation")
+    the replacement. With ``existing`` (main_id, main_source, secondary_id,
+    secondary_source, replacement_type, question), a stored question about
+    the same terms and of the same type is reused instead of asking: a type-0
+    one if it is valid, a type-3 one as it is. The model is asked at most
+    once per triplet and type."""
+    require_columns(triplets, TRIPLET_VIEW_COLUMNS, "triplets")
+    topic = labelled_term("topic", "topic_explanation")
     base = triplets.select(
-        "term_triplet_id", "nonexistent_term", "secondary_term", "replacement_term",
+        *TRIPLET_VIEW_COLUMNS,
         render(question_template, topic=topic,
-               madeup_term=lab("nonexistent_term", "nonexistent_explanation"),
-               real_term=lab("secondary_term", "secondary_explanation")).alias("prompt"),
+               madeup_term=labelled_term("nonexistent_term", "nonexistent_explanation"),
+               real_term=labelled_term("secondary_term", "secondary_explanation")).alias("prompt"),
         render(fresh_template, topic=topic,
-               main_term=lab("replacement_term", "replacement_explanation"),
-               secondary_term=lab("secondary_term", "secondary_explanation")).alias("fresh_prompt"),
+               main_term=labelled_term("replacement_term", "replacement_explanation"),
+               secondary_term=labelled_term("secondary_term", "secondary_explanation")).alias("fresh_prompt"),
         F.lit(NO_REPLACEMENT).alias("kind"))
+
+    def valid(question: str):
+        return question_checks(F.col(question), F.col("nonexistent_term"), F.col("secondary_term"), F.lit(NO_REPLACEMENT))[0]
+
     if existing is not None:
-        ex0 = existing.where(F.col("replacement_type") == NO_REPLACEMENT).select(
-            F.col("triplet_id").alias("term_triplet_id"), F.col("question").alias("_old0"))
-        base = base.join(ex0, "term_triplet_id", "left")
-        todo = base.where(F.col("_old0").isNull())
-        reused = base.where(F.col("_old0").isNotNull()).withColumn("q0", F.col("_old0"))
-        q0 = call_model(todo.drop("_old0"), fn, "q0").drop("elapsed_s") \
-            .unionByName(reused.drop("_old0"), allowMissingColumns=True)
+        base = _stored_question(base, existing, NO_REPLACEMENT)
+        base = base.withColumn("_old", F.when(valid("_old"), F.col("_old")))
     else:
-        q0 = call_model(base, fn, "q0").drop("elapsed_s")
-    valid, sec_ok = question_checks(F.col("q0"), F.col("nonexistent_term"),
-                                    F.col("secondary_term"), F.lit(NO_REPLACEMENT))
-    q0 = q0.withColumn("_valid", valid).withColumn("secondary_present", sec_ok)
-    ok = q0.where(F.col("_valid"))
-    t0 = ok.select("term_triplet_id", F.lit(NO_REPLACEMENT).alias("replacement_type"),
-                   F.col("q0").alias("question"), "secondary_present")
-    swapped = swap_term(F.col("q0"), F.col("nonexistent_term"), F.col("replacement_term"))
+        base = base.withColumn("_old", F.lit(None).cast("string"))
+    ok = _ask_or_reuse(base, fn, "q0", partitions).where(valid("q0"))
+    t0 = ok.select("term_triplet_id", F.lit(NO_REPLACEMENT).alias("replacement_type"), F.col("q0").alias("question"))
     t1 = ok.select("term_triplet_id", F.lit(PROGRAMMATIC).alias("replacement_type"),
-                   swapped.alias("question"), (swapped == F.col("q0")).alias("secondary_present"))
-    t1 = t1.withColumnRenamed("secondary_present", "unchanged")
-    fresh_req = ok.select("term_triplet_id", F.col("fresh_prompt").alias("prompt"),
-                          F.lit(FRESH).alias("kind"), "nonexistent_term", "secondary_term",
-                          "replacement_term")
-    t3 = call_model(fresh_req, fn, "question").select(
+                   swap_term(F.col("q0"), F.col("nonexistent_term"), F.col("replacement_term")).alias("question"))
+    fresh = ok.drop("prompt", "q0").withColumnRenamed("fresh_prompt", "prompt").withColumn("kind", F.lit(FRESH))
+    if existing is not None:
+        fresh = _stored_question(fresh, existing, FRESH)
+    else:
+        fresh = fresh.withColumn("_old", F.lit(None).cast("string"))
+    t3 = _ask_or_reuse(fresh, fn, "question", partitions).select(
         "term_triplet_id", F.lit(FRESH).alias("replacement_type"), "question")
-    return (t0.drop("secondary_present")
-              .unionByName(t1.drop("unchanged"))
-              .unionByName(t3)
+    return (t0.unionByName(t1).unionByName(t3)
               .select(F.col("term_triplet_id").alias("triplet_id"),
                       F.col("replacement_type").cast("long"), "question"))
 
@@ -147,13 +190,13 @@ DEFAULT_CANDIDATE_TEMPLATE = "Topic: {topic}\nSuggest made-up terms as term: def
 
 
 def generate_from_template(rows: DataFrame, fn: BatchFn, template: str, keep: list[str],
-                           out_col: str = "reply", **fields) -> DataFrame:
+                           out_col: str = "reply", partitions: int | None = None, **fields) -> DataFrame:
     """M5: the same model-call operator with another template, e.g. made-up
     term candidates per topic or related real terms per made-up term; parse
     the replies with ``split_candidate_lists`` (F11) or ``parse_term_list``
     (F9)."""
     req = rows.select(*keep, render(template, **fields).alias("prompt"))
-    return call_model(req, fn, out_col).drop("elapsed_s")
+    return call_model(req, fn, out_col, partitions).drop("elapsed_s")
 
 
 def stub_answerer(pdf: pd.DataFrame) -> pd.Series:

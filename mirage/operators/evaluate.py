@@ -16,9 +16,12 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from mirage.functions import replies as RP
-from mirage.functions.text import inclusion_label, simple_included
-from mirage.schemas import (ACCEPTANCE, CODE_CHECK, DEFINITION, FUNCTION_MODEL_ID,
-                            SHORT_ANSWER_COLUMNS, WIDE_ANSWER_COLUMNS, require_columns)
+from mirage.functions.common import spread
+from mirage.functions.text import inclusion_label, simple_included, term_included
+from mirage.operators.ordering import GlobalOrder
+from mirage.schemas import (ACCEPTANCE, CODE_CHECK, DEFINITION, FAILURE_SENTINELS,
+                            FUNCTION_MODEL_ID, SHORT_ANSWER_COLUMNS, TERM_STRUCT,
+                            WIDE_ANSWER_COLUMNS, require_columns)
 
 LONG_COLUMNS = ["answer_id", "question_id", "term_pos", "term_id", "term", "meaning",
                 "term_source", "is_hypothetical"]
@@ -29,27 +32,45 @@ def parse_terms_cell(cell) -> "F.Column":
     ``None``) → ``ARRAY<STRUCT<termId, term, termSet, termSetId,
     explanation>>``. The JSON reader accepts single quotes; bare ``None``
     becomes ``null`` first."""
-    from mirage.schemas import TERM_STRUCT
+    return F.from_json(_as_json(cell), T.ArrayType(TERM_STRUCT), {"allowSingleQuotes": "true"})
+
+
+def _as_json(cell) -> "F.Column":
     c = F.col(cell) if isinstance(cell, str) else cell
-    fixed = F.regexp_replace(c, r":\s*None(\s*[,}])", ": null$1")
-    return F.from_json(fixed, T.ArrayType(TERM_STRUCT), {"allowSingleQuotes": "true"})
+    return F.regexp_replace(c, r":\s*None(\s*[,}])", ": null$1")
+
+
+REQUIRED_TERM_KEYS = ["termId", "term", "termSet", "explanation"]
+
+
+def _has_all_keys(terms: "F.Column") -> "F.Column":
+    """Whether every entry of a text cell names all required keys (whatever
+    their values: a key may well hold nothing)."""
+    entries = F.from_json(_as_json(terms), T.ArrayType(T.MapType(T.StringType(), T.StringType())),
+                          {"allowSingleQuotes": "true"})
+    return (F.size(entries) == 2) & F.forall(
+        entries, lambda e: F.size(F.array_except(F.array(*[F.lit(k) for k in REQUIRED_TERM_KEYS]), F.map_keys(e))) == 0)
 
 
 def check_short_answers(df: DataFrame) -> DataFrame:
-    """P11 (row part): short-form rows must hold exactly two term structs with
-    ``termId, term, termSet, explanation``. Returns the offending rows (empty
-    when all pass); ``to_wide`` raises when any exist."""
+    """P11 (row part): short-form rows must hold exactly two term entries. In
+    a text cell each must name ``termId, term, termSet, explanation``; an
+    array of structs names them by its type. Returns the offending rows
+    (empty when all pass); ``to_wide`` raises when any exist."""
     t = F.col("terms")
-    ok = (F.size(t) == 2) & F.forall(
-        t, lambda x: x["termId"].isNotNull() & x["term"].isNotNull()
-        & x["termSet"].isNotNull() & x["explanation"].isNotNull())
+    ok = _has_all_keys(t) if isinstance(df.schema["terms"].dataType, T.StringType) else \
+        (F.size(t) == 2) & F.forall(t, lambda x: x.isNotNull())
     return df.where(~F.coalesce(ok, F.lit(False)))
 
 
-def to_wide(df: DataFrame, check: bool = True) -> DataFrame:
+def to_wide(df: DataFrame, check: bool = True, order_cols: list[str] | None = None) -> DataFrame:
     """P11 + P12: accept the wide layout as is, or turn the short layout into
     it (element 0 is the main term: made-up when ``termSetId`` is 0, else the
-    replacement; element 1 is the secondary term; absent side → 0 / "")."""
+    replacement; element 1 is the secondary term; absent side → 0 / "").
+
+    In the short layout ``answer_id`` is the row's position (from 0) in the
+    file: by ``order_cols``, or, for a frame as it was read, in the order of
+    its rows. ``terms`` may be a text cell (F21) or an array of structs."""
     if all(c in df.columns for c in WIDE_ANSWER_COLUMNS):
         return df
     require_columns(df, [c for c in SHORT_ANSWER_COLUMNS if c != "answer_id"], "answers")
@@ -57,8 +78,14 @@ def to_wide(df: DataFrame, check: bool = True) -> DataFrame:
         bad = check_short_answers(df).limit(1).count()
         if bad:
             raise ValueError("terms column does not hold two complete term entries in every row")
+    df = df.drop("answer_id")
+    if isinstance(df.schema["terms"].dataType, T.StringType):
+        df = df.withColumn("terms", parse_terms_cell("terms"))
+    if order_cols is None:
+        df, order_cols = df.withColumn("_row", F.monotonically_increasing_id()), ["_row"]
+    df = GlobalOrder(df, order_cols).with_position("answer_id").drop("_row")
     t0, t1 = F.get(F.col("terms"), 0), F.get(F.col("terms"), 1)
-    made_up = t0["termSetId"] == 0
+    made_up = F.coalesce(t0["termSetId"] == 0, F.lit(False))
     out = df.select(
         "*",
         t0["termSetId"].alias("replacement_type"),
@@ -115,26 +142,36 @@ JudgeFn = Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFrame]]
 
 
 def judge_terms(long: DataFrame, judge: JudgeFn, judge_model_id: int,
-                simple_gate: bool = False) -> DataFrame:
-    """M2 + M3: the judge kinds for used terms.
+                simple_gate: bool = False, only: int | None = None, done: DataFrame | None = None,
+                partitions: int | None = None) -> DataFrame:
+    """M2 + M3: the judge kinds for used terms (``only`` one kind, if given).
 
     Every used term (F2, or plain containment with ``simple_gate``) gets an
     acceptance request; used real terms also get a meaning request. Requests
     go through ``judge`` in ``mapInPandas`` (columns ``request_id, kind,
     answer, question, term, meaning, is_hypothetical`` in; ``request_id,
     reply`` out), then replies become labels (F18/F19) and stored replies
-    (failed ones prefixed).
+    (failed ones prefixed). A request the judge gives no reply to counts as a
+    failed one; two replies to one request are an error. With ``done``
+    (stored evaluations), what this judge has already judged is left out
+    (J11).
     """
-    from mirage.functions.text import term_included
     gate = simple_included if simple_gate else term_included
     used = long.where(gate(F.col("answer"), F.col("term")))
     kinds = F.when(F.col("is_hypothetical"), F.array(F.lit(ACCEPTANCE))) \
              .otherwise(F.array(F.lit(ACCEPTANCE), F.lit(DEFINITION)))
-    req = used.select("*", F.explode(kinds).alias("kind")).withColumn(
+    req = used.select("*", F.explode(kinds).alias("kind"))
+    if only is not None:
+        req = req.where(F.col("kind") == only)
+    if done is not None:
+        seen = done.where(F.col("model_id") == judge_model_id).select(
+            "answer_id", F.col("term_source").cast("string").alias("term_source"), "term_id", F.col("eval_type_id").cast("int").alias("kind"))
+        req = req.withColumn("term_source", F.col("term_source").cast("string")).join(
+            seen, ["answer_id", "term_source", "term_id", "kind"], "left_anti")
+    req = req.withColumn(
         "request_id", F.concat_ws(":", F.col("answer_id").cast("string"), F.col("term_pos").cast("string"),
                                   F.col("kind").cast("string")))
-    from mirage.functions.common import spread
-    j = spread(req).mapInPandas(_keep_rows(judge),
+    j = spread(req, partitions).mapInPandas(_keep_rows(judge),
                         T.StructType(req.schema.fields + [T.StructField("reply", T.StringType()),
                                                           T.StructField("_p", RP.PARSED)]))
     src0 = F.col("is_hypothetical")
@@ -161,18 +198,24 @@ def _keep_rows(judge: JudgeFn) -> JudgeFn:
                 continue
             sent = pdf[[c for c in SENT_COLUMNS if c in pdf.columns]]
             got = pd.concat(list(judge(iter([sent]))), ignore_index=True)
-            out = pdf.merge(got[["request_id", "reply"]], on="request_id", how="inner")
+            if got["request_id"].duplicated().any():
+                raise ValueError("the judge gave two replies to one request")
+            replies = got.set_index("request_id")["reply"]
+            out = pdf.copy()
+            out["reply"] = out["request_id"].map(replies).where(out["request_id"].isin(replies.index), FAILURE_SENTINELS[0])
             out["_p"] = RP.parse_frame(out["reply"]).to_dict("records")
             yield out
     return run
 
 
-def evaluate_answers(answers: DataFrame, judge: JudgeFn, judge_model_id: int) -> DataFrame:
+def evaluate_answers(answers: DataFrame, judge: JudgeFn, judge_model_id: int,
+                     only: int | None = None, done: DataFrame | None = None,
+                     partitions: int | None = None) -> DataFrame:
     """The whole term-level evaluation: inclusion rows for every term plus
     judge rows for used terms, as one long table (M3)."""
     long = terms_long(to_wide(answers))
     inc = inclusion_evals(long).withColumn("parse_step", F.lit(None).cast("int"))
-    return inc.unionByName(judge_terms(long, judge, judge_model_id))
+    return inc.unionByName(judge_terms(long, judge, judge_model_id, only=only, done=done, partitions=partitions))
 
 
 def stub_judge(pdfs: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:

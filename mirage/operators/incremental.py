@@ -6,12 +6,14 @@ results instead of a lookup per row.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from mirage.functions.common import keep_first
 from mirage.functions.text import inclusion_label, is_failure
+from mirage.operators.ordering import GlobalOrder
 from mirage.schemas import CODE_CHECK, FUNCTION_MODEL_ID
+from mirage.session import stored
 
 
 def unprocessed(todo: DataFrame, done: DataFrame, keys: list[str]) -> DataFrame:
@@ -75,32 +77,34 @@ def reconcile_counts(rec: DataFrame) -> DataFrame:
     return rec.groupBy("status").agg(F.count(F.lit(1)).alias("n"))
 
 
-def revised(stored: DataFrame, rec: DataFrame) -> DataFrame:
+def revised(stored_evals: DataFrame, rec: DataFrame) -> DataFrame:
     """I3 applied: stored rows with changed inclusion labels replaced, plus
-    the missing inclusion rows."""
-    upd = rec.where(F.col("status") == "changed").select(
-        "answer_id", "term_source", "term_id", F.col("new_label").alias("_new"),
-        F.lit(CODE_CHECK).cast("long").alias("eval_type_id"))
-    s = stored.join(upd, ["answer_id", "term_source", "term_id", "eval_type_id"], "left")
+    one row for each missing (answer, term). A term that an answer holds
+    twice is one term: ``rec`` is brought to one row per (answer, source,
+    term) first, and its labels agree as they depend on nothing else. New
+    rows get ids after the largest stored one."""
+    key = ["answer_id", "term_source", "term_id"]
+    one = rec.groupBy(*key).agg(F.min("new_label").alias("_new"), F.min("status").alias("_status"))
+    upd = one.where(F.col("_status") == "changed").select(*key, "_new", F.lit(CODE_CHECK).cast("long").alias("eval_type_id"))
+    s = stored_evals.join(upd, [*key, "eval_type_id"], "left")
     s = s.withColumn("eval_label", F.coalesce("_new", "eval_label")).drop("_new")
-    add = rec.where(F.col("status") == "missing").select(
-        F.lit(None).cast("long").alias("id"), "answer_id", F.col("new_label").alias("eval_label"),
-        F.lit(CODE_CHECK).cast("long").alias("eval_type_id"), F.lit("").alias("reflection"),
-        "term_source", "term_id", F.lit(FUNCTION_MODEL_ID).cast("long").alias("model_id"))
-    return s.select(*stored.columns).unionByName(add.select(*stored.columns))
+    top = stored_evals.agg(F.max("id")).first()[0] or 0                      # one scalar
+    missing = one.where(F.col("_status") == "missing").select(*key, F.col("_new").alias("eval_label"))
+    add = GlobalOrder(missing, key).with_position("id", base=top + 1).select(
+        "id", "answer_id", "eval_label", F.lit(CODE_CHECK).cast("long").alias("eval_type_id"),
+        F.lit("").alias("reflection"), "term_source", "term_id",
+        F.lit(FUNCTION_MODEL_ID).cast("long").alias("model_id"))
+    return s.select(*stored_evals.columns).unionByName(add.select(*stored_evals.columns))
 
 
 def model_ids(models: DataFrame, names: DataFrame, name_col: str = "name") -> DataFrame:
     """Get-or-create ids for model names. Known names keep their id; new
-    names get ``max(id) + rank`` in name order. The new-name list is the
-    distinct names of one run (a handful), so ranking them in one window is
-    bounded."""
+    names get the ids after the largest known one, in name order."""
     n = names.select(F.col(name_col).alias("name")).distinct()
     known = n.join(models, "name")
     new = n.join(models.select("name"), "name", "left_anti")
     top = models.agg(F.max("id")).first()[0] or 0          # one scalar
-    ranked = new.withColumn("_r", F.row_number().over(Window.orderBy("name")))
-    fresh = ranked.select("name", (F.lit(top) + F.col("_r")).cast("long").alias("id"))
+    fresh = GlobalOrder(new, ["name"]).with_position("id", base=top + 1).select("name", "id")
     return known.select("name", F.col("id").cast("long").alias("id")).unionByName(fresh)
 
 
@@ -115,7 +119,9 @@ def insert_ignore(existing: DataFrame, new: DataFrame, key: list[str], order: li
 def split_failures(answers: DataFrame, answer_col: str = "answer",
                    max_failures: int | None = 0) -> tuple[DataFrame, DataFrame]:
     """I5 + F29: separate failure sentinels from answers. The run is stopped
-    (raise) when more than ``max_failures`` exist; ``None`` never stops."""
+    (raise) when more than ``max_failures`` exist; ``None`` never stops. The
+    answers are stored first, so a model behind them is asked once."""
+    answers = stored(answers, "answers")
     bad = answers.where(is_failure(F.col(answer_col)))
     good = answers.where(~is_failure(F.col(answer_col)) | F.col(answer_col).isNull())
     if max_failures is not None:

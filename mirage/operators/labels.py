@@ -51,9 +51,8 @@ def answer_labels(evals: DataFrame, dedupe: bool = True, include_unjudged: bool
     the raw rows.
 
     ``include_unjudged`` also labels answers that only have inclusion rows
-    (all their terms unused), once per judge; the judge list is small and
-    bounded by the model table, so it is expanded with ``explode`` of a
-    literal array rather than a join.
+    (all their terms unused), once per judge (``judges``, or every judge that
+    has evaluated anything).
     """
     ev = dedupe_evals(evals) if dedupe else evals
     ev = ev.select("answer_id", "model_id", severity(F.col("eval_label")).alias("sev"))
@@ -67,18 +66,16 @@ def answer_labels(evals: DataFrame, dedupe: bool = True, include_unjudged: bool
                         .alias("answer_label"),
                         F.col("model_id").alias("evaluator_model_id")))
     if include_unjudged:
+        # All judges as one array: one row, joined on a constant key.
         if judges is None:
-            rows = (judge.select("model_id").distinct().limit(10001).collect())
-            if len(rows) > 10000:
-                raise ValueError("more than 10000 judges; pass `judges` explicitly")
-            judges = sorted(r[0] for r in rows)
-        if judges:
-            unjudged = code.join(judge.select("answer_id").distinct(), "answer_id", "left_anti")
-            extra = unjudged.select(
-                "answer_id", label_from_severity(F.col("csev")).alias("answer_label"),
-                F.explode(F.array(*[F.lit(j).cast("long") for j in judges]))
-                 .alias("evaluator_model_id"))
-            out = out.unionByName(extra)
+            all_of = judge.agg(F.sort_array(F.collect_set("model_id")).alias("_judges"))
+        else:
+            all_of = ev.sparkSession.createDataFrame([(sorted(judges),)], "_judges array<long>")
+        unjudged = code.join(judge.select("answer_id").distinct(), "answer_id", "left_anti")
+        extra = (unjudged.withColumn("_k", F.lit(0)).join(F.broadcast(all_of.withColumn("_k", F.lit(0))), "_k")
+                         .select("answer_id", label_from_severity(F.col("csev")).alias("answer_label"),
+                                 F.explode("_judges").alias("evaluator_model_id")))
+        out = out.unionByName(extra)
     return out
 
 

@@ -3,85 +3,135 @@ P7, O7).
 
 ``GlobalOrder`` range-partitions the rows on a total order, sorts each
 partition, and freezes that layout with a reliable checkpoint (written to
-the shared folder named by ``spark.checkpoint.dir``). One small aggregate
-per partition (row count, first/last value, sums) is then turned into
-offsets, so a running quantity is a window *within* each range partition
-plus the offset of the partitions before it. The only data on the driver is
-one row per partition.
+the shared folder named by ``spark.checkpoint.dir``). A row's number within
+its partition is part of ``monotonically_increasing_id``, so a global position
+is that plus the rows of the partitions before it; running quantities are
+carried along the rows of a partition in Arrow batches and start from what
+the partitions before it hold. Nothing is shuffled a second time, and the
+driver sees one row per partition.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from mirage.session import ensure_checkpoint_dir
 
+_LOCAL = (1 << 33) - 1        # bits of the row number in monotonically_increasing_id
+
 
 class GlobalOrder:
-    def __init__(self, df: DataFrame, order_cols: list[str], partitions: int | None = None):
-        spark = df.sparkSession
-        ensure_checkpoint_dir(spark)
-        n = partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
-        ordered = (df.repartitionByRange(n, *order_cols).sortWithinPartitions(*order_cols)
-                     .withColumn("_pid", F.spark_partition_id())
-                     .withColumn("_mid", F.monotonically_increasing_id()))
-        self.order_cols = order_cols
+    """``partitions`` fixes the number of ranges; without it there are
+    ``spark.sql.shuffle.partitions`` of them, merged by AQE where small."""
+
+    def __init__(self, df: DataFrame, order_cols: list, partitions: int | None = None):
+        ensure_checkpoint_dir(df.sparkSession)
+        dealt = df.repartitionByRange(partitions, *order_cols) if partitions else df.repartitionByRange(*order_cols)
+        ordered = dealt.sortWithinPartitions(*order_cols).withColumn("_mid", F.monotonically_increasing_id())
         self.df = ordered.checkpoint(eager=True)
-        self._local = Window.partitionBy("_pid").orderBy("_mid")
-
-    def _offsets(self, aggs: dict, carry: list[str]) -> DataFrame:
-        """Per-partition aggregates and their exclusive prefix over partitions
-        (a window over one row per partition)."""
-        per = self.df.groupBy("_pid").agg(*[v.alias(k) for k, v in aggs.items()])
-        w = Window.orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)
-        out = per
-        for c in carry:
-            out = out.withColumn(f"_before_{c}", F.coalesce(F.sum(c).over(w), F.lit(0)))
-        return out
+
+    def _partitions(self, *aggs) -> list:
+        """One row per partition, in order."""
+        pid = F.shiftright("_mid", 33).alias("_pid")
+        return sorted(self.df.groupBy(pid).agg(F.count(F.lit(1)).alias("_n"), *aggs).collect(), key=lambda r: r["_pid"])
+
+    def _carried(self, fn, col: str, kind: T.DataType) -> DataFrame:
+        """Add ``col``: ``fn(partition number)`` gives a function from one
+        batch of a partition to its values, called in order."""
+        out = T.StructType([*self.df.schema.fields, T.StructField(col, kind)])
+
+        def run(batches):
+            step = None
+            for batch in batches:
+                if batch.num_rows:
+                    step = step or fn(batch.column("_mid")[0].as_py() >> 33)
+                    yield pa.record_batch([*batch.columns, step(batch)], names=out.names)
+
+        return self.df.mapInArrow(run, out).drop("_mid")
 
     def with_position(self, col: str = "pos", base: int = 0) -> DataFrame:
         """``base``-based global row position."""
-        off = self._offsets({"_cnt": F.count(F.lit(1))}, ["_cnt"])
-        j = self.df.join(F.broadcast(off.select("_pid", "_before__cnt")), "_pid")
-        local = F.row_number().over(self._local) - 1
-        return j.withColumn(col, (F.col("_before__cnt") + local + base).cast("long")) \
-                .drop("_pid", "_mid", "_before__cnt")
+        before, offsets = base, []
+        for r in self._partitions():
+            offsets.append((r["_pid"], before))
+            before += r["_n"]
+        off = self.df.sparkSession.createDataFrame(offsets, "_pid long, _before long")   # one row per partition
+        j = self.df.withColumn("_pid", F.shiftright("_mid", 33)).join(F.broadcast(off), "_pid")
+        return j.withColumn(col, F.col("_before") + F.col("_mid").bitwiseAND(F.lit(_LOCAL))).drop("_pid", "_mid", "_before")
 
     def running_mean(self, value: str, col: str = "running_mean") -> DataFrame:
-        """Mean of ``value`` over all rows up to the current one."""
-        off = self._offsets({"_cnt": F.count(F.lit(1)), "_sum": F.sum(value)}, ["_cnt", "_sum"])
-        j = self.df.join(F.broadcast(off.select("_pid", "_before__cnt", "_before__sum")), "_pid")
-        run = self._local.rowsBetween(Window.unboundedPreceding, Window.currentRow)
-        s = F.col("_before__sum") + F.sum(value).over(run)
-        c = F.col("_before__cnt") + F.count(F.lit(1)).over(run)
-        return j.withColumn(col, s.cast("double") / c).drop("_pid", "_mid", "_before__cnt",
-                                                           "_before__sum")
+        """Mean of ``value`` over all rows up to the current one (missing
+        values add nothing but count as rows)."""
+        start, rows, total = {}, 0, 0
+        for r in self._partitions(F.sum(value).alias("_sum")):
+            start[r["_pid"]] = (rows, total)
+            rows, total = rows + r["_n"], total + (r["_sum"] or 0)
+
+        def carry(pid):
+            rows, total = start[pid]
+
+            def step(batch):
+                nonlocal rows, total
+                v = batch.column(value).fill_null(0).to_numpy(zero_copy_only=False)
+                sums = total + np.cumsum(v)
+                counts = rows + 1 + np.arange(len(v))
+                rows, total = rows + len(v), sums[-1]
+                return pa.array(sums.astype(np.float64) / counts)
+
+            return step
+
+        return self._carried(carry, col, T.DoubleType())
 
     def run_ids(self, key: str, col: str = "run_id") -> DataFrame:
         """1 on the first row, +1 whenever ``key`` differs from the
         previous row (gaps and islands). The previous row of a partition's
         first row is the last row of the partition before it."""
-        lastw = Window.partitionBy("_pid").orderBy(F.col("_mid").desc())
-        last = (self.df.withColumn("_r", F.row_number().over(lastw)).where(F.col("_r") == 1)
-                    .select("_pid", F.col(key).alias("_last")))
-        pw = Window.orderBy("_pid")                    # one row per partition
-        prev_last = last.select("_pid", F.lag("_last").over(pw).alias("_prev_last"),
-                                F.lag(F.lit(1)).over(pw).isNotNull().alias("_has_prev"))
-        j = self.df.join(F.broadcast(prev_last), "_pid")
-        prev = F.lag(key).over(self._local)
-        first_in_part = F.row_number().over(self._local) == 1
-        prev_val = F.when(first_in_part, F.col("_prev_last")).otherwise(prev)
-        has_prev = F.when(first_in_part, F.col("_has_prev")).otherwise(F.lit(True))
-        changed = F.when(~has_prev, 1).when(~F.col(key).eqNullSafe(prev_val), 1).otherwise(0)
-        flagged = j.withColumn("_chg", changed)
-        off_src = flagged.groupBy("_pid").agg(F.sum("_chg").alias("_c"))
-        w = Window.orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)
-        off = off_src.withColumn("_before", F.coalesce(F.sum("_c").over(w), F.lit(0)))
-        k = flagged.join(F.broadcast(off.select("_pid", "_before")), "_pid")
-        run = self._local.rowsBetween(Window.unboundedPreceding, Window.currentRow)
-        return k.withColumn(col, (F.col("_before") + F.sum("_chg").over(run)).cast("long")) \
-                .drop("_pid", "_mid", "_prev_last", "_has_prev", "_chg", "_before")
+        # Runs within each partition, its first and its last key.
+        local = F.col("_mid").bitwiseAND(F.lit(_LOCAL))
+        ends = self._partitions(F.min_by(F.struct(key), local).alias("_first"), F.max_by(F.struct(key), local).alias("_last"))
+        counts = self._run_counts(key)
+        start, runs, last = {}, 0, None
+        for r in ends:
+            same = last is not None and last[0] == r["_first"][0]
+            start[r["_pid"]] = runs - same
+            runs, last = runs - same + counts[r["_pid"]], r["_last"]
+        return self._carried(lambda pid: _runs(key, start[pid]), col, T.LongType())
+
+    def _run_counts(self, key: str) -> dict[int, int]:
+        def count(batches):
+            step = last = None
+            for batch in batches:
+                if batch.num_rows:
+                    pid = batch.column("_mid")[0].as_py() >> 33
+                    step = step or _runs(key, 0)
+                    last = (pid, step(batch)[-1].as_py())
+            if last:
+                yield pa.record_batch([pa.array([last[0]]), pa.array([last[1]])], names=["_pid", "_runs"])
+
+        return {r["_pid"]: r["_runs"] for r in self.df.select(key, "_mid").mapInArrow(count, "_pid long, _runs long").collect()}
+
+
+def _runs(key: str, runs: int):
+    """Run numbers of batch after batch: +1 where the key changes, and on the
+    first row."""
+    first, last = True, None
+
+    def step(batch):
+        nonlocal first, last, runs
+        codes = batch.column(key).to_pylist()
+        out = np.empty(len(codes), np.int64)
+        for k, value in enumerate(codes):
+            if first or value != last:
+                runs += 1
+                first, last = False, value
+            out[k] = runs
+        return pa.array(out)
+
+    return step
 
 
 def second_half(df: DataFrame, order_cols: list, reverse: bool = False) -> DataFrame:

@@ -3,12 +3,14 @@ corpus existence check (J12-J15, I4, I6, A13, F9-F13, V4, V5, X1)."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+import pyarrow as pa
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from mirage.functions.common import keep_first
-from mirage.functions.text import (WS_CLASS, cut, definition_from_paragraphs, paragraph_kept,
+from mirage.functions.text import (cut, definition_from_paragraphs, paragraph_kept,
                                    split_candidates, split_topic)
+from mirage.operators.ordering import GlobalOrder
 
 COLLATION = "UNICODE_CI_AI"      # equality ignoring case and accents
 
@@ -29,16 +31,16 @@ def lookup_by_title(terms: DataFrame, pages: DataFrame, term_col: str = "term")
     whose title equals it ignoring case and accents, and that page's
     definition (``None`` when there is no page).
 
-    Pages are first reduced to one per collated title (a hash aggregate),
-    then joined to the distinct terms on the collation key (sort-merge; no
-    nested loop)."""
-    best = (pages.groupBy(ci_ai("wikipedia_title").alias("_k"))
-                 .agg(F.min_by(F.struct("_id", "text"), "_id").alias("_p")))
+    The definition is cut out of the page first, and pages that no term names
+    leave in a semi-join, so the aggregate to one page per collated title
+    carries one paragraph of the pages looked up and nothing else."""
     t = terms.select(F.col(term_col).alias("term")).distinct()
+    keyed = pages.select(ci_ai("wikipedia_title").alias("_k"), "_id", definition_from_paragraphs(F.col("text")).alias("_d"))
+    named = keyed.join(t.select(ci_ai("term").alias("_k")).distinct(), "_k", "left_semi")
+    best = named.groupBy("_k").agg(F.min(F.struct("_id", "_d")).alias("_p"))
     j = t.join(best, ci_ai("term") == F.col("_k"), "left")
     return j.select("term", F.col("_p._id").alias("page_id"),
-                    F.when(F.col("_p").isNull(), F.lit("None"))
-                     .otherwise(definition_from_paragraphs(F.col("_p.text"))).alias("definition"))
+                    F.coalesce(F.col("_p._d"), F.lit("None")).alias("definition"))
 
 
 def lookup_outcomes(looked_up: DataFrame) -> DataFrame:
@@ -49,13 +51,14 @@ def lookup_outcomes(looked_up: DataFrame) -> DataFrame:
 
 
 def paragraphs(pages: DataFrame, strict: bool = True, max_chars: int | None = None) -> DataFrame:
-    """V4 text rows (F13/F14 + F16): paragraphs from index 1 on, filtered,
-    cut to 9 000 (strict) or 9 999 characters."""
-    n = max_chars or (9000 if strict else 9999)
+    """V4 text rows (F13/F14): paragraphs from index 1 on, filtered, whole.
+    ``max_chars`` cuts them (F16), for a store with a column limit (9 000
+    strict, 9 999 loose in the original)."""
     ex = pages.select("_id", "wikipedia_title", F.posexplode("text").alias("pos", "paragraph"))
     ex = ex.where((F.col("pos") >= 1) & paragraph_kept(F.col("paragraph"), strict))
+    text = F.col("paragraph") if max_chars is None else cut(F.col("paragraph"), max_chars)
     return ex.select(F.col("_id").cast("long").alias("id"), F.col("wikipedia_title").alias("title"),
-                     "pos", cut(F.col("paragraph"), n).alias("text"))
+                     "pos", text.alias("text"))
 
 
 def titles(pages: DataFrame) -> DataFrame:
@@ -79,31 +82,48 @@ def hit_terms(hits: DataFrame, pages: DataFrame, kind: str) -> DataFrame:
 
 
 # -- upsert of real terms --------------------------------------------------------------
+SUGGESTED, BY_TITLE, BY_TEXT = 1, 2, 3        # sources of real terms, best first
+
+
+def term_suggestions(suggested: DataFrame | None = None, title_hits: DataFrame | None = None,
+                     text_hits: DataFrame | None = None) -> DataFrame:
+    """U4: the three sources of real terms as one table ``(fake_term_id, term,
+    explanation, source_id, position)``: what a model suggested, what the
+    title search found and what the text search found (each with
+    ``fake_term_id, term, explanation, position``; any may be missing)."""
+    parts = [df.select("fake_term_id", "term", "explanation", F.lit(k).cast("long").alias("source_id"),
+                       F.col("position").cast("long").alias("position"))
+             for k, df in ((SUGGESTED, suggested), (BY_TITLE, title_hits), (BY_TEXT, text_hits)) if df is not None]
+    out = parts[0]
+    for part in parts[1:]:
+        out = out.unionByName(part)
+    return out
+
+
 def upsert_real_terms(candidates: DataFrame, existing: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
     """I4 over U4 rows ``(fake_term_id, term, explanation, source_id, position)``.
 
     One real term per collated spelling: an existing row keeps its id; among
     new rows the first by (source, made-up id, position) wins (model
-    suggestions 1 before title hits 2 before text hits 3). Returns
-    ``(real_terms, links)``; links are distinct (made-up id, real id)."""
+    suggestions 1 before title hits 2 before text hits 3). New ids continue
+    after the largest existing one in that order, so they meet no stored id
+    and no two sources share one. Returns ``(real_terms, links)``; links are
+    distinct (made-up id, real id)."""
+    order = ["source_id", "fake_term_id", "position"]
     cand = candidates.withColumn("_k", ci_ai("term"))
-    win = keep_first(cand.select("_k", "source_id", "fake_term_id", "position", "term",
-                                 "explanation"),
-                     ["_k"], ["source_id", "fake_term_id", "position"])
-    win = win.withColumn("id", F.col("position").cast("long"))
+    new = keep_first(cand.select("_k", *order, "term", "explanation"), ["_k"], order)
+    top = 0
     if existing is not None:
-        ex = existing.select(ci_ai("term").alias("_k"), F.col("id").alias("_old_id"),
-                             F.col("term").alias("_old_term"),
-                             F.col("explanation").alias("_old_expl"),
-                             F.col("source_id").alias("_old_src"))
-        win = win.join(ex, "_k", "full")
-        win = win.select("_k", F.coalesce("_old_id", "id").alias("id"),
-                         F.coalesce("_old_term", "term").alias("term"),
-                         F.coalesce("_old_expl", "explanation").alias("explanation"),
-                         F.coalesce("_old_src", "source_id").alias("source_id"))
-    real = win.select("id", F.col("term").cast("string").alias("term"), "explanation",
-                      F.col("source_id").cast("long").alias("source_id"))
-    links = (cand.join(win.select("_k", F.col("id").alias("real_id")), "_k")
+        old = existing.select(ci_ai("term").alias("_k"), F.col("id").cast("long").alias("id"), "term", "explanation",
+                              F.col("source_id").cast("long").alias("source_id"))
+        new = new.join(old.select("_k"), "_k", "left_anti")
+        top = existing.agg(F.max("id")).first()[0] or 0                   # one scalar
+    numbered = GlobalOrder(new, [*order, "term"]).with_position("id", base=top + 1)
+    win = numbered.select("_k", "id", "term", "explanation", F.col("source_id").cast("long").alias("source_id"))
+    if existing is not None:
+        win = win.unionByName(old)
+    real = win.select("id", F.col("term").cast("string").alias("term"), "explanation", "source_id")
+    links = (cand.select("_k", "fake_term_id").join(win.select("_k", F.col("id").alias("real_id")), "_k")
                  .select(F.col("fake_term_id").cast("long").alias("nonexistent_id"), "real_id")
                  .distinct())
     return real, links
@@ -118,32 +138,14 @@ def topic_rows(topics: DataFrame, text_col: str = "topic") -> DataFrame:
                          expl.alias("explanation"))
 
 
-def topic_containing(titles_df: DataFrame, topics: DataFrame, title_col: str = "title",
-                     max_topics: int = 10000, max_broadcast_substrings: int = 2_000_000) -> DataFrame:
-    """The first topic (by ``pos``) whose text contains the title.
-
-    Every distinct substring of every topic is generated once (with the
-    first topic holding it) and the titles are matched by an equi-join on
-    it, so no title × topic product is formed. The substring table is
-    broadcast only when its size, computed from the topic lengths, is within
-    ``max_broadcast_substrings``; otherwise it is a shuffled join."""
-    stats = topics.agg(F.count(F.lit(1)).alias("n"),
-                       F.sum(F.length("topic") * (F.length("topic") + 1) / 2 + 1).alias("subs")) \
-                  .first()
-    if stats.n > max_topics:
-        raise ValueError(f"topic list larger than {max_topics}")
-    L = F.length("topic")
-    subs = topics.select("pos", "topic", F.explode(F.sequence(F.lit(1), F.greatest(L, F.lit(1))))
-                         .alias("_s"))
-    subs = subs.select("pos", "topic", "_s", F.explode(F.sequence(F.lit(0), L - F.col("_s") + 1))
-                       .alias("_len"))
-    subs = subs.select("pos", "topic", F.substring("topic", F.col("_s"), F.col("_len")).alias("_sub"))
-    first = subs.groupBy("_sub").agg(F.min_by(F.struct("pos", "topic"), "pos").alias("_t"))
-    if (stats.subs or 0) <= max_broadcast_substrings:
-        first = F.broadcast(first)
-    j = titles_df.join(first, titles_df[title_col] == first["_sub"], "left")
-    return j.select(*titles_df.columns, F.col("_t.pos").alias("topic_pos"),
-                    F.col("_t.topic").alias("topic"))
+def topic_containing(titles_df: DataFrame, topics: DataFrame, title_col: str = "title") -> DataFrame:
+    """The first topic (by ``pos``) whose text contains the title. All
+    titles are matched in one pass over the topics (see ``phrase_hits``)."""
+    hits = phrase_hits(titles_df, topics, title_col, doc_id="pos", text_col="topic", fold_case=False)
+    first = hits.groupBy("term").agg(F.min("pos").alias("topic_pos"))
+    first = first.join(topics.select(F.col("pos").alias("topic_pos"), "topic"), "topic_pos")
+    j = titles_df.join(first, titles_df[title_col] == first["term"], "left")
+    return j.select(*titles_df.columns, "topic_pos", "topic")
 
 
 def split_candidate_lists(lists: DataFrame, text_col: str = "candidates") -> tuple[DataFrame, DataFrame]:
@@ -165,97 +167,64 @@ def zip_by_position(left: DataFrame, right: DataFrame, pos: str = "pos") -> Data
 
 
 # -- X1: does a term occur in a corpus? -------------------------------------------------
-def _tokens(c) -> F.Column:
-    return F.split(c, f"{WS_CLASS}+", -1)
+#: Characters of terms that one pass over the corpus matches at most.
+TERM_BLOCK_CHARS = 16_000_000
+
+
+def _term_blocks(terms: DataFrame, most: int) -> list[list[tuple[str, str]]]:
+    """The distinct terms as (term, folded term), in blocks of about ``most``
+    characters: one block unless their total size says otherwise."""
+    total = terms.agg(F.sum(F.length("_folded") + 16)).first()[0] or 0
+    n = int(total // most) + 1
+    keyed = terms.withColumn("_b", F.pmod(F.xxhash64("term"), F.lit(n)))
+    return [[(r[0], r[1]) for r in keyed.where(F.col("_b") == k).select("term", "_folded").collect()] for k in range(n)]
 
 
 def phrase_hits(terms: DataFrame, docs: DataFrame, term_col: str = "term",
-                doc_id: str = "doc_id", text_col: str = "text",
-                max_short_terms: int = 100000) -> DataFrame:
+                doc_id: str = "doc_id", text_col: str = "text", fold_case: bool = True,
+                block_chars: int = TERM_BLOCK_CHARS) -> DataFrame:
     """For each term, the documents whose lower-cased text contains the
-    lower-cased term (``(term, doc_id)`` pairs).
-
-    Candidates come from an inverted index of whole tokens instead of a
-    term × document product:
-
-    * a term with an *interior* token (one bounded by whitespace on both
-      sides inside the term) can only occur in documents holding that token
-      as a whole token — the rarest such token is used as anchor;
-    * a term without one (one or two words) occurs only in documents that
-      hold a token containing its longest piece; those tokens are found in
-      the vocabulary (distinct tokens) through a trigram join, then mapped
-      to documents;
-    * a term that is empty or only whitespace is checked against every
-      document (their number is checked against ``max_short_terms``).
-
-    Every candidate pair is verified with ``contains``, so the result is
-    exact."""
-    d = docs.select(F.col(doc_id).alias("_doc"), F.lower(F.col(text_col)).alias("_lt"))
-    t = (terms.select(F.col(term_col).alias("term")).distinct()
-              .withColumn("_lterm", F.lower("term"))
-              .withColumn("_tok", _tokens(F.col("_lterm"))))
-    tok_rows = d.select("_doc", F.explode(_tokens(F.col("_lt"))).alias("tok")) \
-                .where(F.col("tok") != "")
-    ntok = F.size("_tok")
-    parts = []
-    # (a) interior-token anchors; only the terms' own tokens enter the index
-    inner = t.where(ntok >= 3).select("term", "_lterm", F.posexplode("_tok").alias("_i", "tok")) \
-             .where((F.col("_i") > 0) & (F.col("_i") < F.size(_tokens(F.col("_lterm"))) - 1)
-                    & (F.col("tok") != ""))
-    doc_tok = tok_rows.join(inner.select("tok").distinct(), "tok", "left_semi").distinct()
-    df_tok = doc_tok.groupBy("tok").agg(F.count(F.lit(1)).alias("_df"))
-    anchor = (inner.join(df_tok, "tok", "left").fillna(0, ["_df"])
-                   .groupBy("term", "_lterm").agg(F.min(F.struct("_df", "tok")).alias("_a"))
-                   .select("term", "_lterm", F.col("_a.tok").alias("tok")))
-    parts.append(anchor.join(doc_tok, "tok").select("term", "_lterm", "_doc"))
-    # (b) short terms: longest piece through the vocabulary (built only if needed)
-    piece = F.aggregate(F.col("_tok"), F.lit(""),
-                        lambda acc, x: F.when(F.length(x) > F.length(acc), x).otherwise(acc))
-    short = t.where(ntok < 3).withColumn("_piece", piece).where(F.col("_piece") != "")
-    if short.limit(1).count():
-        vocab_doc = tok_rows.distinct()
-        vocab = vocab_doc.select("tok").distinct()
-        gram_len = 3
-
-        def grams(col, n):
-            L = F.length(col)
-            return F.transform(F.sequence(F.lit(1), F.greatest(L - n + 1, F.lit(1))),
-                               lambda i: F.substring(col, i, n))
-        sg = short.withColumn("_g", F.explode(grams(F.col("_piece"), gram_len)))
-        vg = vocab.select("tok", F.explode(F.array_distinct(grams(F.col("tok"), gram_len)))
-                          .alias("_g"))
-        vg = vg.join(sg.select("_g").distinct(), "_g", "left_semi")
-        gdf = vg.groupBy("_g").agg(F.count(F.lit(1)).alias("_df"))
-        sanchor = (sg.join(gdf, "_g", "left").fillna(0, ["_df"])
-                     .groupBy("term", "_lterm", "_piece")
-                     .agg(F.min(F.struct("_df", "_g")).alias("_a"))
-                     .select("term", "_lterm", "_piece", F.col("_a._g").alias("_g")))
-        short_len = F.length("_piece") < gram_len
-        # pieces shorter than a gram: match vocabulary tokens by every short substring
-        tiny = sanchor.where(short_len)
-        vsub = vocab.select("tok", F.explode(F.array_distinct(F.flatten(F.array(
-            grams(F.col("tok"), 1), grams(F.col("tok"), 2))))).alias("_g"))
-        tiny_tok = tiny.join(vsub, tiny["_piece"] == vsub["_g"]).select("term", "_lterm",
-                                                                         "_piece", "tok")
-        long_tok = (sanchor.where(~short_len).join(vg, "_g")
-                           .where(F.contains(F.col("tok"), F.col("_piece")))
-                           .select("term", "_lterm", "_piece", "tok"))
-        parts.append(tiny_tok.unionByName(long_tok).join(vocab_doc, "tok")
-                             .select("term", "_lterm", "_doc"))
-    # (c) empty / whitespace-only terms
-    blank = t.where(F.col("_lterm").rlike(f"^{WS_CLASS}*$")).select("term", "_lterm")
-    nb = blank.limit(max_short_terms + 1).count()
-    if nb > max_short_terms:
-        raise ValueError("too many blank terms")
-    if nb:
-        parts.append(d.join(F.broadcast(blank), F.contains(F.col("_lt"), F.col("_lterm")))
-                      .select("term", "_lterm", "_doc"))
-    cand = parts[0]
-    for p_ in parts[1:]:
-        cand = cand.unionByName(p_)
-    cand = cand.distinct()
-    hits = cand.join(d, "_doc").where(F.contains(F.col("_lt"), F.col("_lterm")))
-    return hits.select("term", F.col("_doc").alias(doc_id))
+    lower-cased term (``(term, doc_id)`` pairs; ``fold_case=False`` compares
+    as written).
+
+    All terms are matched in one pass over the corpus: each task builds one
+    multi-pattern automaton from the (broadcast, size-checked) terms and reads
+    its documents in Arrow batches, so no text is shuffled and the work per
+    document does not depend on the number of terms. Terms beyond
+    ``block_chars`` characters are matched in several passes. The empty term
+    is in every document that has a text."""
+    fold = F.lower if fold_case else (lambda c: c)
+    t = terms.select(F.col(term_col).alias("term")).where(F.col("term").isNotNull()).distinct()
+    t = t.withColumn("_folded", fold(F.col("term")))
+    d = docs.select(F.col(doc_id).alias("_doc"), fold(F.col(text_col)).alias("_lt")).where(F.col("_lt").isNotNull())
+    kind = docs.schema[doc_id].dataType.simpleString()
+    out = None
+    for block in _term_blocks(t, block_chars):
+        shared = docs.sparkSession.sparkContext.broadcast(block)
+
+        def match(batches, shared=shared):
+            import ahocorasick
+
+            by: dict[str, list[int]] = {}
+            for k, (_, folded) in enumerate(shared.value):
+                by.setdefault(folded, []).append(k)
+            always = by.pop("", [])
+            finder = ahocorasick.Automaton()
+            for folded, ks in by.items():
+                finder.add_word(folded, tuple(ks))
+            finder.make_automaton()
+            for batch in batches:
+                row, hit = [], []
+                for k, text in enumerate(batch.column(1).to_pylist()):
+                    found = {x for _, ks in finder.iter(text) for x in ks} if by else set()
+                    for x in sorted(found.union(always)):
+                        row.append(k)
+                        hit.append(shared.value[x][0])
+                yield pa.record_batch([pa.array(hit, pa.string()), batch.column(0).take(pa.array(row, pa.int64()))], names=["term", doc_id])
+
+        part = d.mapInArrow(match, f"term string, {doc_id} {kind}")
+        out = part if out is None else out.unionByName(part)
+    return out
 
 
 def phrase_exists(terms: DataFrame, docs: DataFrame, term_col: str = "term", **kw) -> DataFrame:

@@ -1,17 +1,15 @@
 """Nearest-neighbour search over embedding rows.
 
-The corpus is split into cells by k-means (``pyspark.ml``). A query is joined
-(equi-join on the cell id) only to the vectors of the cells it probes:
-
-* ``approximate_knn`` (V3): the ``nprobe`` cells nearest to the query, exact
-  distances inside them — the inverted-file search of the original index.
-* ``exact_knn`` (V1): that first round gives, per query, an upper bound
-  ``d_k`` on its k-th distance; by the triangle inequality a cell can hold a
-  closer vector only if ``|q - centre| - radius <= d_k``, so a second round
-  probes exactly those cells. The result equals brute force without forming
-  the query × corpus product.
-* ``two_level_topk`` (V2): top-k per (query, batch of partitions), then top-k
-  overall; the same answer as one pass.
+* ``exact_knn`` (V1): the corpus is read once per block of query vectors (a
+  block's size is checked, one block unless there are very many); each task
+  keeps the best k per query of what it reads in numpy, and the tasks' short
+  lists are merged with a partial top-k. No distances are shuffled.
+* ``two_level_knn`` (V2): the same search within each batch of corpus
+  partitions, best k per (query, batch), then best k overall.
+* ``CellIndex`` and ``approximate_knn`` (V3): k-means cells fitted on a
+  bounded sample, all vectors written partitioned by cell to shared storage;
+  a search reads only the cells that any query of its block probes.
+  ``cells`` and ``nprobe`` are parameters of the caller.
 
 Top-k is ``row_number() <= k``, which Spark plans as a partial
 ``WindowGroupLimit`` before the shuffle.
@@ -19,20 +17,19 @@ Top-k is ``row_number() <= k``, which Spark plans as a partial
 
 from __future__ import annotations
 
-import math
-
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from mirage.session import ensure_checkpoint_dir, stored
 
-def sq_dist(a, b):
-    """Squared L2 distance of two float arrays, in double, JVM-side."""
-    return F.aggregate(F.zip_with(a, b, lambda x, y: (x.cast("double") - y.cast("double"))
-                                  * (x.cast("double") - y.cast("double"))),
-                       F.lit(0.0).cast("double"), lambda acc, x: acc + x)
+#: Query vectors that one pass over the corpus serves at most.
+QUERY_BLOCK = 4096
+#: Vectors that the cells are fitted on at most.
+FIT_SAMPLE = 100_000
 
 
 def top_k(df: DataFrame, by: list[str], k: int, order: list) -> DataFrame:
@@ -40,98 +37,127 @@ def top_k(df: DataFrame, by: list[str], k: int, order: list) -> DataFrame:
     return df.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
 
 
+def _matrix(column: pa.Array) -> np.ndarray:
+    flat = column.flatten().to_numpy(zero_copy_only=False).astype(np.float64)
+    return flat.reshape(len(column), -1)
+
+
+def query_blocks(queries: DataFrame, qid: str, qvec: str, size: int = QUERY_BLOCK) -> list[tuple[np.ndarray, np.ndarray]]:
+    """The query vectors as (ids, matrix) blocks of about ``size``."""
+    n = queries.count()
+    keyed = queries.select(qid, qvec).withColumn("_b", F.pmod(F.xxhash64(qid), F.lit(n // size + 1)))
+    out = []
+    for b in range(n // size + 1):
+        rows = keyed.where(F.col("_b") == b).collect()
+        if rows:
+            out.append((np.array([r[0] for r in rows]), np.array([r[1] for r in rows], np.float64)))
+    return out
+
+
+def _best(ids: np.ndarray, x: np.ndarray, q: np.ndarray, qid: int | None, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """Ids and squared distances of the k vectors of ``x`` nearest to ``q``."""
+    d = ((x - q) ** 2).sum(axis=1)
+    if qid is not None:
+        d = np.where(ids == qid, np.inf, d)
+    near = np.lexsort((ids, d))[:k] if len(d) <= 4 * k else np.flatnonzero(d <= np.partition(d, k - 1)[k - 1])
+    near = near[np.lexsort((ids[near], d[near]))][:k]
+    near = near[np.isfinite(d[near])]
+    return ids[near], d[near]
+
+
+def _scan(corpus: DataFrame, block, id_col: str, vec_col: str, group: str, k: int, exclude_self: bool,
+          allowed=None) -> DataFrame:
+    """Best k of the corpus per (query, value of ``group``) and task. With
+    ``allowed`` a query meets only groups in its set."""
+    shared = corpus.sparkSession.sparkContext.broadcast((*block, allowed))
+
+    def search(batches):
+        qids, queries, allowed = shared.value
+        best: dict[tuple[int, int], tuple[np.ndarray, np.ndarray]] = {}
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            ids, x = batch.column(0).to_numpy(), _matrix(batch.column(1))
+            groups = batch.column(2).to_numpy()
+            for g in np.unique(groups).tolist():
+                own, vectors = ids[groups == g], x[groups == g]
+                for n, (qid, q) in enumerate(zip(qids.tolist(), queries)):
+                    if allowed is not None and g not in allowed[n]:
+                        continue
+                    got = _best(own, vectors, q, qid if exclude_self else None, k)
+                    if (n, g) in best:
+                        old = best[n, g]
+                        got = tuple(np.concatenate(p) for p in zip(old, got))
+                        keep = np.lexsort((got[0], got[1]))[:k]
+                        got = got[0][keep], got[1][keep]
+                    best[n, g] = got
+        for (n, g), (own, d) in best.items():
+            if len(own):
+                yield pa.record_batch([pa.array(np.full(len(own), qids[n])), pa.array(np.full(len(own), g, np.int64)), pa.array(own), pa.array(d)],
+                                      names=["query", "grp", "id", "dist2"])
+
+    rows = corpus.select(F.col(id_col).cast("long"), vec_col, F.col(group).cast("long"))
+    return rows.mapInArrow(search, "query long, grp long, id long, dist2 double")
+
+
+def _merged(parts: list[DataFrame], qid: str, id_col: str) -> DataFrame:
+    out = parts[0]
+    for part in parts[1:]:
+        out = out.unionByName(part)
+    return out.select(F.col("query").alias(qid), "grp", F.col("id").alias(id_col), "dist2")
+
+
+def exact_knn(corpus: DataFrame, queries: DataFrame, qid: str = "query_id", qvec: str = "query_vec",
+              k: int = 10, exclude_self: bool = False, id_col: str = "vec_id", vec_col: str = "embedding") -> DataFrame:
+    """V1: exact k nearest neighbours by L2 distance (in double precision),
+    ties by id."""
+    rows = corpus.withColumn("_g", F.lit(0))
+    parts = [_scan(rows, b, id_col, vec_col, "_g", k, exclude_self) for b in query_blocks(queries, qid, qvec)]
+    return top_k(_merged(parts, qid, id_col).drop("grp"), [qid], k, [F.col("dist2"), F.col(id_col)])
+
+
+def two_level_knn(corpus: DataFrame, queries: DataFrame, batch_col: str, qid: str = "query_id", qvec: str = "query_vec",
+                  k: int = 10, exclude_self: bool = False, id_col: str = "vec_id", vec_col: str = "embedding") -> DataFrame:
+    """V2: a search within every batch of partitions (``batch_col``), best k
+    per (query, batch), then best k per query."""
+    parts = [_scan(corpus, b, id_col, vec_col, batch_col, k, exclude_self) for b in query_blocks(queries, qid, qvec)]
+    first = top_k(_merged(parts, qid, id_col), [qid, "grp"], k, [F.col("dist2"), F.col(id_col)]).drop("rank")
+    return top_k(first.drop("grp"), [qid], k, [F.col("dist2"), F.col(id_col)])
+
+
 class CellIndex:
-    """k-means cells over a corpus ``(id_col, vec_col)``; centres are a
-    bounded ``cells × dim`` array kept on the driver and shipped as a
-    broadcast variable."""
+    """k-means cells over a corpus ``(id_col, vec_col)``: ``cells`` centres
+    fitted on at most ``FIT_SAMPLE`` vectors (those whose hashed id is
+    smallest), every vector stored under its nearest centre in a folder per
+    cell."""
 
-    def __init__(self, corpus: DataFrame, id_col: str = "vec_id", vec_col: str = "embedding",
-                 cells: int | None = None, seed: int = 7, max_iter: int = 10):
+    def __init__(self, corpus: DataFrame, cells: int, id_col: str = "vec_id", vec_col: str = "embedding",
+                 seed: int = 7, max_iter: int = 10, fit_sample: int = FIT_SAMPLE):
         from pyspark.ml.clustering import KMeans
         from pyspark.ml.functions import array_to_vector
         self.id_col, self.vec_col = id_col, vec_col
         spark = corpus.sparkSession
-        if cells is None:
-            n = corpus.count()
-            cells = max(1, min(1024, int(math.sqrt(max(n, 1)))))
         feats = corpus.select(id_col, vec_col, array_to_vector(vec_col).alias("_f"))
-        model = KMeans(k=cells, seed=seed, maxIter=max_iter, featuresCol="_f",
-                       predictionCol="cell").fit(feats)
-        self.centres = np.array(model.clusterCenters(), dtype=np.float64)
-        cdf = spark.createDataFrame(
-            [(i, [float(x) for x in c]) for i, c in enumerate(self.centres)],
-            "cell int, centre array<double>")
-        assigned = model.transform(feats).select(id_col, vec_col, "cell")
-        with_c = assigned.join(F.broadcast(cdf), "cell")   # cells rows, bounded by `cells`
-        self.assigned = with_c.select(id_col, vec_col, "cell")
-        self.radius = (with_c.groupBy("cell")
-                             .agg(F.sqrt(F.max(sq_dist(F.col(vec_col), F.col("centre"))))
-                                  .alias("radius")))
-        self._bc = spark.sparkContext.broadcast(self.centres)
-
-    def cell_distances(self, queries: DataFrame, qvec: str) -> DataFrame:
-        """Append ``_cd``: L2 distance from each query to every centre
-        (computed per Arrow batch with numpy against the broadcast centres)."""
-        bc = self._bc
-
-        @F.pandas_udf(T.ArrayType(T.DoubleType()))
-        def dists(vs: pd.Series) -> pd.Series:
-            c = bc.value
-            out = []
-            for v in vs:
-                q = np.asarray(v, dtype=np.float64)
-                out.append(np.sqrt(((c - q) ** 2).sum(axis=1)).tolist())
-            return pd.Series(out)
-        return queries.withColumn("_cd", dists(F.col(qvec)))
-
-
-def _probe(index: CellIndex, probes: DataFrame, qid: str, qvec: str,
-           exclude_self: bool) -> DataFrame:
-    """Distances from queries to every vector of the cells they probe."""
-    c = probes.join(index.assigned, "cell")
-    if exclude_self:
-        c = c.where(F.col(index.id_col) != F.col(qid))
-    return c.select(qid, F.col(index.id_col), sq_dist(F.col(qvec), F.col(index.vec_col))
-                    .alias("dist2"))
-
-
-def approximate_knn(index: CellIndex, queries: DataFrame, qid: str = "query_id",
-                    qvec: str = "query_vec", k: int = 10, nprobe: int = 4,
-                    exclude_self: bool = False) -> DataFrame:
-    """V3: search only the ``nprobe`` nearest cells of each query."""
-    q = index.cell_distances(queries.select(qid, qvec), qvec)
-    probes = top_k(q.select(qid, qvec, F.posexplode("_cd").alias("cell", "cd")), [qid], nprobe,
-                   [F.col("cd"), F.col("cell")]).drop("rank")
-    cand = _probe(index, probes.select(qid, qvec, "cell"), qid, qvec, exclude_self)
-    return top_k(cand, [qid], k, [F.col("dist2"), F.col(index.id_col)])
-
-
-def exact_knn(index: CellIndex, queries: DataFrame, qid: str = "query_id",
-              qvec: str = "query_vec", k: int = 10, nprobe: int = 2,
-              exclude_self: bool = False) -> DataFrame:
-    """V1: exact k nearest neighbours, two probe rounds (see module doc)."""
-    q = index.cell_distances(queries.select(qid, qvec), qvec)
-    cells = q.select(qid, qvec, F.posexplode("_cd").alias("cell", "cd"))
-    w = Window.partitionBy(qid).orderBy(F.col("cd"), F.col("cell"))
-    cells = cells.withColumn("_o", F.row_number().over(w))
-    first = cells.where(F.col("_o") <= nprobe)
-    c1 = _probe(index, first.select(qid, qvec, "cell"), qid, qvec, exclude_self)
-    t1 = top_k(c1, [qid], k, [F.col("dist2"), F.col(index.id_col)])
-    bound = t1.groupBy(qid).agg(F.max("dist2").alias("_dk2"), F.count(F.lit(1)).alias("_n"))
-    dk = F.when(F.col("_n") >= k, F.sqrt("_dk2")).otherwise(F.lit(float("inf")))
-    rest = (cells.where(F.col("_o") > nprobe).join(index.radius, "cell")
-                 .join(bound, qid, "left")
-                 .where((F.coalesce(F.col("_n"), F.lit(0)) < k)
-                        | ((F.col("cd") - F.col("radius")) <= dk * (1 + 1e-9) + 1e-12)))
-    c2 = _probe(index, rest.select(qid, qvec, "cell"), qid, qvec, exclude_self)
-    return top_k(t1.drop("rank").unionByName(c2), [qid], k,
-                 [F.col("dist2"), F.col(index.id_col)])
-
-
-def two_level_topk(cand: DataFrame, qid: str, batch_col: str, id_col: str, k: int = 10):
-    """V2: best k per (query, partition batch), then best k per query."""
-    first = top_k(cand, [qid, batch_col], k, [F.col("dist2"), F.col(id_col)]).drop("rank")
-    return top_k(first, [qid], k, [F.col("dist2"), F.col(id_col)])
+        sample = stored(feats.orderBy(F.xxhash64(id_col), id_col).limit(fit_sample), "sample")
+        model = KMeans(k=cells, seed=seed, maxIter=max_iter, featuresCol="_f", predictionCol="cell").fit(sample)
+        self.centres = np.array(model.clusterCenters(), dtype=np.float64)         # cells × dim, bounded
+        path = f"{ensure_checkpoint_dir(spark).rstrip('/')}/cells-{model.uid}"
+        assigned = model.transform(feats).select(id_col, vec_col, F.col("cell").cast("int").alias("cell"))
+        assigned.repartition("cell").write.partitionBy("cell").parquet(path)
+        self.assigned = spark.read.parquet(path)
+
+
+def approximate_knn(index: CellIndex, queries: DataFrame, nprobe: int, qid: str = "query_id",
+                    qvec: str = "query_vec", k: int = 10, exclude_self: bool = False) -> DataFrame:
+    """V3: each query searches the ``nprobe`` cells whose centres are nearest
+    to it; cells that no query of a block probes are not read."""
+    parts = []
+    for qids, vectors in query_blocks(queries, qid, qvec):
+        d = ((vectors[:, None, :] - index.centres[None, :, :]) ** 2).sum(axis=2)
+        probed = [set(row[:nprobe].tolist()) for row in np.argsort(d, axis=1, kind="stable")]
+        some = index.assigned.where(F.col("cell").isin(*sorted(set().union(*probed))))
+        parts.append(_scan(some, (qids, vectors), index.id_col, index.vec_col, "cell", k, exclude_self, probed))
+    return top_k(_merged(parts, qid, index.id_col).drop("grp"), [qid], k, [F.col("dist2"), F.col(index.id_col)])
 
 
 def recall(approx: DataFrame, exact: DataFrame, qid: str, id_col: str) -> DataFrame:
@@ -153,8 +179,7 @@ def encode(rows: DataFrame, text_col: str, encoder, dim: int, out_col: str = "em
         if vecs.ndim != 2 or vecs.shape[1] != dim:
             raise ValueError(f"encoder returned shape {vecs.shape}, expected (n, {dim})")
         return pd.Series(list(vecs))
-    from mirage.functions.common import spread
-    out = spread(rows).withColumn(out_col, emb(F.col(text_col)))
+    out = rows.withColumn(out_col, emb(F.col(text_col)))
     if observe_name:
         out = out.observe(observe_name, F.count(F.lit(1)).alias("rows"),
                           F.sum(F.length(text_col)).alias("chars"))

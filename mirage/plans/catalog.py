@@ -1,7 +1,8 @@
 """Registered queries: name → (spark, data folder) → DataFrame.
 
 Every query reads the driver's tables (or tables Spark derives from them) in
-full. ``mirage.plans.oracle_queries`` holds the matching DuckDB SQL.
+full; where a query's terms are made from part of a row (words 3-6 of a
+passage, the first word of a turn), its docstring or the derivation says so. ``mirage.plans.oracle_queries`` holds the matching DuckDB SQL.
 """
 
 from __future__ import annotations
@@ -16,6 +17,12 @@ from mirage.operators import report as R
 from mirage.plans import views as V
 from mirage.plans.derived import Pipeline
 
+def _cores(spark) -> int:
+    """Tasks for a Python-heavy stage over one of the driver's tables, whose
+    single row group gives a single split: two a core."""
+    return 2 * spark.sparkContext.defaultParallelism
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 
 
@@ -97,6 +104,46 @@ def q_labelled(spark, d):
     return V.labelled_view(Pipeline(spark, d))
 
 
+@register("combined_terms_questions")
+def q_combined_terms_questions(spark, d):
+    """Questions with their three terms."""
+    return V.combined_terms_questions(Pipeline(spark, d))
+
+
+@register("detailed_base")
+def q_detailed_base(spark, d):
+    """Evaluations with every name resolved, before the terms join."""
+    return V.terms_evals_detailed_base(Pipeline(spark, d))
+
+
+# The views as the original defines them: answer labels joined on the answer
+# only (each row once per judge of the answer), inclusion rows folded without
+# the term source.
+@register("label_term_level_compat")
+def q_label_term_level_compat(spark, d):
+    return V.label_term_level(Pipeline(spark, d), compat=True)
+
+
+@register("detailed_base_compat")
+def q_detailed_base_compat(spark, d):
+    return V.terms_evals_detailed_base(Pipeline(spark, d), compat=True)
+
+
+@register("detailed_compat")
+def q_detailed_compat(spark, d):
+    return V.terms_evals_detailed(Pipeline(spark, d), compat=True)
+
+
+@register("ai_grouped_compat")
+def q_ai_grouped_compat(spark, d):
+    return V.ai_grouped_view(Pipeline(spark, d), compat=True)
+
+
+@register("labelled_compat")
+def q_labelled_compat(spark, d):
+    return V.labelled_view(Pipeline(spark, d), compat=True, by_source=False)
+
+
 @register("report_detail")
 def q_report_detail(spark, d):
     """A11 over the term-level view, restricted to the report's columns."""
@@ -108,7 +155,7 @@ def q_report_detail(spark, d):
 @register("nested_report")
 def q_nested_report(spark, d):
     from mirage.schemas import REPORT_DETAIL_COLUMNS
-    t = V.label_term_level(Pipeline(spark, d)).select(*REPORT_DETAIL_COLUMNS)
+    t = R.require_report_columns(V.label_term_level(Pipeline(spark, d)).select(*REPORT_DETAIL_COLUMNS))
     return R.nested_report(L.dedupe_report_rows(t)).drop("evaluations")
 
 
@@ -128,15 +175,41 @@ def q_term_inclusion(spark, d):
 @register("judge_evaluations")
 def q_judge_evaluations(spark, d):
     from mirage.operators.evaluate import evaluate_answers, stub_judge
-    return evaluate_answers(Pipeline(spark, d).qa, stub_judge, 2)
+    return evaluate_answers(Pipeline(spark, d).qa, stub_judge, 2, partitions=_cores(spark))
+
+
+@register("short_answers")
+def q_short_answers(spark, d):
+    """P11 + P12 + F21: short answer rows - the answers with a text cell of
+    two terms, no answer id - brought to the wide layout."""
+    from mirage.operators.evaluate import to_wide
+    return to_wide(_short_rows(Pipeline(spark, d)), order_cols=["_order"]).drop("_order")
+
+
+def _short_rows(p):
+    quote = lambda c: F.concat(F.lit('"'), F.coalesce(F.col(c), F.lit("")), F.lit('"'))
+    made_up = F.col("replacement_type") == 0
+
+    def entry(tid, term, source, source_id, explanation):
+        return F.concat(F.lit("{'termId': "), tid.cast("string"), F.lit(", 'term': "), term, F.lit(", 'termSet': '"), source,
+                        F.lit("', 'termSetId': "), source_id.cast("string"), F.lit(", 'explanation': "), explanation, F.lit("}"))
+
+    main = entry(F.when(made_up, F.col("nonexistent_id")).otherwise(F.col("replacement_id")),
+                 F.when(made_up, quote("nonexistent")).otherwise(quote("replacement")),
+                 F.when(made_up, F.lit("hypothetical")).otherwise(F.lit("gpt_suggestion")),
+                 F.col("replacement_type"), F.when(made_up, F.lit("None")).otherwise(quote("replacement_meaning")))
+    second = entry(F.col("secondary_id"), quote("secondary"), F.lit("gpt_suggestion"), F.lit(1), quote("secondary_meaning"))
+    cta = V.combined_terms_answers(p)
+    return cta.select("question_id", "question", F.concat(F.lit("["), main, F.lit(", "), second, F.lit("]")).alias("terms"),
+                      "answer", F.col("answer_id").alias("_order"))
 
 
 @register("judge_reply_labels")
 def q_judge_reply_labels(spark, d):
-    """F18-F20 over judge replies; the extraction is Python (no oracle)."""
+    """F18-F20 over judge replies in every shape the extraction meets."""
     from mirage.functions import replies as RP
     r = Pipeline(spark, d).replies
-    p = RP.parse_replies(r, "reply", "_p")
+    p = RP.parse_replies(r, "reply", "_p", partitions=_cores(spark))
     acc = F.col("kind") == 2
     label = F.when(acc, RP.certainty_label(F.col("_p"), F.col("term_source"))) \
              .otherwise(RP.meaning_label(F.col("_p")))
@@ -167,53 +240,51 @@ def q_triplets_true_source(spark, d):
 
 
 # -- vectors ------------------------------------------------------------------
-def _label_queries(emb: DataFrame) -> DataFrame:
-    """One query per label: its lowest-id vector."""
-    first = emb.groupBy("label").agg(F.min_by(F.struct("vec_id", "embedding"), "vec_id").alias("q"))
-    return first.select(F.col("label").alias("query_label"), F.col("q.vec_id").alias("query_id"),
-                        F.col("q.embedding").alias("query_vec"))
+# Cells of the approximate index and cells probed per query.
+CELLS, NPROBE = 16, 10
 
 
-def _knn(spark, d, mode):
-    from mirage.operators import vectors as VX
+def _vectors(spark, d):
+    """All vectors, and as queries those whose id is divisible by 20."""
     from mirage.sources.tables import read_table
-    emb = read_table(spark, d, "embeddings").select("vec_id", "embedding", "label")
-    queries = _label_queries(emb)
-    index = VX.CellIndex(emb.select("vec_id", "embedding"))
-    if mode == "exact":
-        res = VX.exact_knn(index, queries, k=10, exclude_self=True)
-    elif mode == "ivf":
-        res = VX.approximate_knn(index, queries, k=10, nprobe=2, exclude_self=True)
-    else:  # partitioned: exact candidates, best 10 per partition batch of 3, then overall
-        ex = VX.exact_knn(index, queries, k=10, exclude_self=True)
-        cand = ex.drop("rank").withColumn("batch", F.floor(F.col("vec_id") / 300))
-        res = VX.two_level_topk(cand, "query_id", "batch", "vec_id", k=10)
-    return res.join(queries.select("query_id", "query_label"), "query_id") \
-              .select("query_label", "query_id", "vec_id", F.col("rank").cast("int").alias("rank"))
+    emb = read_table(spark, d, "embeddings").select("vec_id", "embedding")
+    queries = emb.where(F.col("vec_id") % 20 == 0).select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("query_vec"))
+    return emb, queries
+
+
+def _ranked(res):
+    return res.select("query_id", "vec_id", F.col("rank").cast("int").alias("rank"))
 
 
 @register("knn_exact")
 def q_knn_exact(spark, d):
-    return _knn(spark, d, "exact")
+    """V1: the 10 nearest of all vectors for every 20th one."""
+    from mirage.operators import vectors as VX
+    emb, queries = _vectors(spark, d)
+    return _ranked(VX.exact_knn(emb, queries, k=10, exclude_self=True))
 
 
 @register("knn_partitioned")
 def q_knn_partitioned(spark, d):
-    return _knn(spark, d, "partitioned")
+    """V2: a search per batch of 300 ids, then the best of all batches."""
+    from mirage.operators import vectors as VX
+    emb, queries = _vectors(spark, d)
+    emb = emb.withColumn("batch", F.floor(F.col("vec_id") / 300))
+    return _ranked(VX.two_level_knn(emb, queries, "batch", k=10, exclude_self=True))
 
 
 @register("knn_ivf")
 def q_knn_ivf(spark, d):
-    """V3: approximate; compared by rows only (recall is reported by
-    ``knn_recall``)."""
-    return _knn(spark, d, "ivf")
+    """V3: approximate; its recall against V1 is ``knn_recall``."""
+    from mirage.operators import vectors as VX
+    emb, queries = _vectors(spark, d)
+    return _ranked(VX.approximate_knn(VX.CellIndex(emb, CELLS), queries, NPROBE, k=10, exclude_self=True))
 
 
 @register("knn_recall")
 def q_knn_recall(spark, d):
     from mirage.operators import vectors as VX
-    ex, ap = _knn(spark, d, "exact"), _knn(spark, d, "ivf")
-    return VX.recall(ap, ex, "query_id", "vec_id")
+    return VX.recall(q_knn_ivf(spark, d), q_knn_exact(spark, d), "query_id", "vec_id")
 
 
 # -- order-dependent steps -----------------------------------------------------
@@ -312,6 +383,22 @@ def q_upsert_links(spark, d):
     return _upsert(spark, d)[1]
 
 
+@register("upsert_existing")
+def q_upsert_existing(spark, d):
+    """U4 + I4 against stored terms: suggestions, title hits and text hits
+    (the three sources of the term links) meet every tenth part as stored."""
+    from mirage.functions.common import keep_first
+    from mirage.operators.terms import ci_ai, term_suggestions, upsert_real_terms
+    p = Pipeline(spark, d)
+    tc = V.terms_combined(p).select("fake_term_id", F.col("real_term").alias("term"), F.col("real_term_explanation").alias("explanation"),
+                                    "source_id", F.col("real_term_id").alias("position"))
+    of = lambda k: tc.where(F.col("source_id") == k)
+    tagged = F.concat_ws(" ", "term", (F.col("position") % 5).cast("string"))
+    cand = term_suggestions(of(1), of(2).withColumn("term", tagged), of(3).withColumn("term", F.upper("term")))
+    old = p.real_terms.where(F.col("id") % 10 == 0).withColumn("_k", ci_ai("term"))
+    return upsert_real_terms(cand, keep_first(old, ["_k"], ["id"]).drop("_k"))[0]
+
+
 def _topics(p):
     t = p.topic
     return t.select(F.col("id").alias("pos"),
@@ -418,6 +505,14 @@ def q_reconcile(spark, d):
     return reconcile_inclusion(p.evals, _work(p))
 
 
+@register("revised")
+def q_revised(spark, d):
+    """I3 applied to the stored evaluations."""
+    from mirage.operators.incremental import reconcile_inclusion, revised
+    p = Pipeline(spark, d)
+    return revised(p.evals, reconcile_inclusion(p.evals, _work(p)))
+
+
 @register("reconcile_counts")
 def q_reconcile_counts(spark, d):
     from mirage.operators.incremental import reconcile_counts
@@ -473,15 +568,49 @@ def q_answers_stub(spark, d):
     from mirage.operators.batch_model import answer_questions, stub_answerer
     from mirage.operators.incremental import unanswered
     p = Pipeline(spark, d)
-    return answer_questions(unanswered(p.questions, p.answers, 1), stub_answerer, 1) \
-        .drop("elapsed_s")
+    return answer_questions(unanswered(p.questions, p.answers, 1), stub_answerer, 1,
+                            partitions=_cores(spark)).drop("elapsed_s")
 
 
 @register("generated_questions")
 def q_generated_questions(spark, d):
     """M4 with the stub writer over the combined triplet view."""
     from mirage.operators.batch_model import generate_questions, stub_generator
-    return generate_questions(V.term_triplets_combined(Pipeline(spark, d)), stub_generator)
+    return generate_questions(V.term_triplets_combined(Pipeline(spark, d)), stub_generator, partitions=_cores(spark))
+
+
+@register("question_reuse")
+def q_question_reuse(spark, d):
+    """J17 + M4: every third triplet's terms have a stored question of type 0
+    (every ninth one invalid, so it is asked again) and of type 3."""
+    from mirage.operators.batch_model import generate_questions, stub_generator
+    p = Pipeline(spark, d)
+    t = V.term_triplets_combined(p).where(F.col("term_triplet_id") % 3 == 0)
+    good = F.concat(F.lit("Is "), "nonexistent_term", F.lit(" a "), "secondary_term", F.lit("?"))
+    secondary = [F.col("secondary_id"), F.col("secondary_source_id").cast("long").alias("secondary_source")]
+    old = t.select(F.col("nonexistent_id").alias("main_id"), F.lit(0).cast("long").alias("main_source"), *secondary,
+                   F.lit(0).cast("long").alias("replacement_type"),
+                   F.when(F.col("term_triplet_id") % 9 == 0, F.lit("Nothing of it.")).otherwise(good).alias("question")).unionByName(
+        t.select(F.col("replacement_id").alias("main_id"), F.col("replacement_source_id").cast("long").alias("main_source"), *secondary,
+                 F.lit(3).cast("long").alias("replacement_type"),
+                 F.concat(F.lit("Stored: "), "replacement_term").alias("question")))
+    return generate_questions(V.term_triplets_combined(p), stub_generator, existing=old, partitions=_cores(spark))
+
+
+@register("question_checks")
+def q_question_checks(spark, d):
+    """Terms with regex marks and parentheses found and swapped in
+    questions made of them."""
+    from mirage.functions.text import question_checks, swap_term
+    t = V.term_triplets_combined(Pipeline(spark, d))
+    term = F.concat("nonexistent_term", F.lit(" (a+b$) ["), F.col("term_triplet_id").cast("string"), F.lit("]"))
+    k = F.col("term_triplet_id") % 4
+    said = F.when(k == 0, term).when(k == 1, F.upper(term)).when(k == 2, F.regexp_replace(term, r"\(a\+b\$\)", "")).otherwise(F.lit("nothing"))
+    rows = t.select("term_triplet_id", term.alias("term"), F.concat(F.lit("$1 \\ "), "replacement_term").alias("other"), "secondary_term",
+                    F.concat(F.lit("Is "), said, F.lit(" like "), "secondary_term", F.lit("?")).alias("question"))
+    valid, second = question_checks(F.col("question"), F.col("term"), F.col("secondary_term"), F.lit(0))
+    return rows.select("term_triplet_id", "question", valid.alias("valid"), second.alias("secondary_present"),
+                       swap_term(F.col("question"), F.col("term"), F.col("other")).alias("swapped"))
 
 
 @register("answer_labels_file_mode")

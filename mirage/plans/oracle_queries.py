@@ -102,6 +102,10 @@ LEFT JOIN term_dict d ON e.term_id = d.tid
                      AND d.hyp = CASE WHEN e.term_source = 0 THEN 1 ELSE 0 END""",
     "evals", "answers", "questions", "alabels", "term_dict")
 
+ORACLE["combined_terms_questions"] = with_ctes("SELECT * FROM ctq", "ctq")
+
+ORACLE["detailed_base"] = with_ctes("SELECT * FROM detailed_base", "detailed_base")
+
 ORACLE["detailed_union"] = with_ctes("SELECT * FROM detailed", "detailed")
 
 ORACLE["detailed_explained"] = with_ctes("""
@@ -123,6 +127,28 @@ FROM (SELECT answer_id, term_id, term_source_id, max(eval_label) AS eval_label F
       WHERE eval_type_id = 4 GROUP BY answer_id, term_id, term_source_id) rc
 LEFT JOIN ai_grouped ag ON ag.answer_id = rc.answer_id""", "ai_grouped", "detailed")
 
+
+def _compat(sql: str) -> str:
+    """The same view with answer labels joined on the answer only."""
+    for alias in ("ae", "l"):
+        sql = sql.replace(f"AND (e.model_id = 10 OR {alias}.evaluator_model_id = e.model_id)", "")
+    return sql
+
+
+for _name, _of in (("label_term_level_compat", "label_term_level"), ("detailed_base_compat", "detailed_base"),
+                   ("detailed_compat", "detailed_union"), ("ai_grouped_compat", "ai_grouped")):
+    ORACLE[_name] = _compat(ORACLE[_of])
+    assert ORACLE[_name] != ORACLE[_of]
+
+ORACLE["labelled_compat"] = _compat(with_ctes("""
+SELECT rc.answer_id, rc.term_id, ag.eval_label AS ai_label, rc.eval_label AS isRelevant_label,
+       CAST(CASE WHEN ag.eval_label IN (1, 2) THEN ag.eval_label ELSE rc.eval_label END AS BIGINT) AS hallucination_label,
+       ag.question_id, ag.isHypotheticalQuestion, ag.question, ag.answer, ag.answer_source_id,
+       ag.answer_source, ag.evaluator_model_id, ag.evaluator_model, ag.count
+FROM (SELECT answer_id, term_id, max(eval_label) AS eval_label FROM detailed
+      WHERE eval_type_id = 4 GROUP BY answer_id, term_id) rc
+LEFT JOIN ai_grouped ag ON ag.answer_id = rc.answer_id""", "ai_grouped", "detailed"))
+
 _LTL = ORACLE["label_term_level"].split("\nSELECT e.id AS eval_id", 1)
 _LTL_BODY = "SELECT e.id AS eval_id" + _LTL[1]
 _REPORT_EXTRA = [
@@ -149,6 +175,24 @@ ORACLE["report_detail"] = with_ctes(
     "SELECT * FROM rd", "evals", "answers", "questions", "alabels", "term_dict",
     extra=_REPORT_EXTRA)
 
+# The first row of each question by eval id, and its evaluations in order.
+_FIELDS = "question_id answer_id question answer answer_label isHypotheticalQuestion evaluator_model".split()
+_EVALS = "eval_id eval_type term_label term term_id IsHypotheticalTerm term_source reflection".split()
+
+
+def _json(name: str) -> str:
+    """A member as the report writes it: missing ones are left out."""
+    return f"CASE WHEN {name} IS NOT NULL THEN '\"{name}\":' || to_json({name}) END"
+
+
+ORACLE["nested_report"] = with_ctes(f"""
+SELECT answer_source, {', '.join(_FIELDS)},
+       '{{' || concat_ws(',', {', '.join(_json(c) for c in _FIELDS)}, '"evaluations":[' || evs || ']') || '}}' AS json
+FROM (SELECT answer_source, question_id AS qid, unnest(min({{'eval_id': eval_id, {', '.join(f"'{c}': {c}" for c in _FIELDS)}}})),
+             string_agg('{{' || concat_ws(',', {', '.join(_json(c) for c in _EVALS)}) || '}}', ',' ORDER BY eval_id) AS evs
+      FROM rd GROUP BY answer_source, question_id)""",
+    "evals", "answers", "questions", "alabels", "term_dict", extra=_REPORT_EXTRA)
+
 from mirage.plans.oracle import included_sql  # noqa: E402
 
 _LONG = """
@@ -234,15 +278,12 @@ ORACLE["triplets_true_source"] = with_ctes(_trip_sql(False), "nonexistent", "top
                                            "real_terms", extra=_TRIP)
 
 _KNN = """
-WITH q AS (
-  SELECT label AS query_label, min(vec_id) AS query_id FROM embeddings GROUP BY label),
-qv AS (SELECT q.*, e.embedding AS query_vec FROM q JOIN embeddings e ON e.vec_id = q.query_id),
-d AS (
-  SELECT qv.query_label, qv.query_id, e.vec_id,
-         list_sum(list_transform(list_zip(qv.query_vec, e.embedding),
+WITH d AS (
+  SELECT q.vec_id AS query_id, e.vec_id,
+         list_sum(list_transform(list_zip(q.embedding, e.embedding),
                   lambda x: (x[1]::DOUBLE - x[2]::DOUBLE) * (x[1]::DOUBLE - x[2]::DOUBLE))) AS dist2
-  FROM qv JOIN embeddings e ON e.vec_id <> qv.query_id)
-SELECT query_label, query_id, vec_id, CAST(rank AS INTEGER) AS rank FROM (
+  FROM embeddings q JOIN embeddings e ON q.vec_id % 20 = 0 AND e.vec_id <> q.vec_id)
+SELECT query_id, vec_id, CAST(rank AS INTEGER) AS rank FROM (
   SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY dist2, vec_id) AS rank FROM d)
 WHERE rank <= 10"""
 ORACLE["knn_exact"] = _KNN
@@ -294,10 +335,9 @@ def _para_sql(strict: bool) -> str:
     cond = "NOT contains(paragraph, '::::')"
     if strict:
         cond += " AND NOT contains(paragraph, 'may refer to:') AND length(paragraph) >= 20"
-    n = 9000 if strict else 9999
     return with_ctes(f"""
 SELECT _id AS id, wikipedia_title AS title, CAST(pos AS INTEGER) AS pos,
-       substr(paragraph, 1, {n}) AS text FROM (
+       paragraph AS text FROM (
   SELECT _id, wikipedia_title, unnest(text) AS paragraph,
          unnest(generate_series(0, len(text) - 1)) AS pos FROM pages_w)
 WHERE pos >= 1 AND {cond}""", extra=[_PAGES])
@@ -336,13 +376,35 @@ SELECT * FROM (SELECT *, strip_accents(lower(term)) AS k, row_number() OVER (
     PARTITION BY strip_accents(lower(term))
     ORDER BY source_id, fake_term_id, position, term, explanation) AS rn FROM tc) WHERE rn = 1"""),
 ]
+_UPS_IDS = [*_UPS, ("ids", """
+SELECT *, CAST(row_number() OVER (ORDER BY source_id, fake_term_id, position, term) AS BIGINT) AS id FROM win""")]
 ORACLE["upsert_terms"] = with_ctes(
-    "SELECT CAST(position AS BIGINT) AS id, term, explanation, CAST(source_id AS BIGINT) AS source_id "
-    "FROM win", "nonexistent", "topic", "links", "real_terms", extra=_UPS)
+    "SELECT id, term, explanation, CAST(source_id AS BIGINT) AS source_id FROM ids",
+    "nonexistent", "topic", "links", "real_terms", extra=_UPS_IDS)
 ORACLE["upsert_links"] = with_ctes("""
-SELECT DISTINCT CAST(tc.fake_term_id AS BIGINT) AS nonexistent_id, CAST(w.position AS BIGINT) AS real_id
-FROM tc JOIN win w ON strip_accents(lower(tc.term)) = w.k""",
-    "nonexistent", "topic", "links", "real_terms", extra=_UPS)
+SELECT DISTINCT CAST(tc.fake_term_id AS BIGINT) AS nonexistent_id, w.id AS real_id
+FROM tc JOIN ids w ON strip_accents(lower(tc.term)) = w.k""",
+    "nonexistent", "topic", "links", "real_terms", extra=_UPS_IDS)
+
+# Stored terms: every tenth part, by its own id; U4 rows from three places.
+_UPS_OLD = [
+    ("old", "SELECT id, term, explanation, source_id FROM real_terms WHERE id IN "
+            "(SELECT min(id) FROM real_terms WHERE id % 10 = 0 GROUP BY strip_accents(lower(term)))"),
+    ("u4", """
+SELECT 1 AS source_id, fake_term_id, term, explanation, position FROM tc WHERE source_id = 1
+UNION ALL SELECT 2, fake_term_id, term || ' ' || CAST(position % 5 AS VARCHAR), explanation, position FROM tc WHERE source_id = 2
+UNION ALL SELECT 3, fake_term_id, upper(term), explanation, position FROM tc WHERE source_id = 3"""),
+    ("fresh", """
+SELECT * FROM (SELECT *, strip_accents(lower(term)) AS k, row_number() OVER (
+    PARTITION BY strip_accents(lower(term)) ORDER BY source_id, fake_term_id, position, term, explanation) AS rn FROM u4)
+WHERE rn = 1 AND k NOT IN (SELECT strip_accents(lower(term)) FROM old)"""),
+    ("merged", """
+SELECT id, term, explanation, source_id FROM old
+UNION ALL SELECT (SELECT max(id) FROM old) + row_number() OVER (ORDER BY source_id, fake_term_id, position, term), term, explanation, source_id FROM fresh"""),
+]
+ORACLE["upsert_existing"] = with_ctes(
+    "SELECT CAST(id AS BIGINT) AS id, term, explanation, CAST(source_id AS BIGINT) AS source_id FROM merged",
+    "nonexistent", "topic", "links", "real_terms", extra=[_UPS[0], *_UPS_OLD])
 
 _TOPICS = ("tp", "SELECT id AS pos, name || ':' || explanation AS topic FROM topic")
 ORACLE["topic_containing"] = with_ctes("""
@@ -540,3 +602,84 @@ ORACLE["score_one_pair"] = with_ctes(
         ("lal1", "SELECT * FROM label_answer_level WHERE evaluator_model IN "
                  "('gpt-3.5-turbo', 'function') AND answer_source = 'llama2:7b-chat-q4_1'")]
     + [(k, v.replace("FROM label_answer_level", "FROM lal1")) for k, v in _DIST_EXTRA])
+
+
+# -- short answers, reuse, revised rows, replies -----------------------------------
+ORACLE["short_answers"] = with_ctes("""
+SELECT row_number() OVER (ORDER BY answer_id) - 1 AS answer_id, question_id, question, answer, replacement_type,
+       CASE WHEN replacement_type = 0 THEN nonexistent_id ELSE 0 END AS nonexistent_id,
+       CASE WHEN replacement_type = 0 THEN nonexistent ELSE '' END AS nonexistent,
+       CASE WHEN replacement_type = 0 THEN NULL ELSE '' END AS nonexistent_meaning,
+       CASE WHEN replacement_type = 0 THEN 0 ELSE replacement_id END AS replacement_id,
+       CASE WHEN replacement_type = 0 THEN '' ELSE replacement END AS replacement,
+       CASE WHEN replacement_type = 0 THEN '' ELSE replacement_meaning END AS replacement_meaning,
+       CASE WHEN replacement_type = 0 THEN '' ELSE 'gpt_suggestion' END AS replacement_source,
+       secondary_id, secondary, secondary_meaning, 'gpt_suggestion' AS secondary_source
+FROM cta""", "cta")
+
+ORACLE["question_reuse"] = with_ctes(f"""
+SELECT triplet_id, CAST(replacement_type AS BIGINT) AS replacement_type, question FROM (
+  SELECT term_triplet_id AS triplet_id, 0 AS replacement_type, q0 AS question FROM g WHERE ok
+  UNION ALL
+  SELECT term_triplet_id, 1, regexp_replace(q0, {_pat('nonexistent_term')},
+         replace(replacement_term, '\\', '\\\\'), 'g') FROM g WHERE ok
+  UNION ALL
+  SELECT term_triplet_id, 3, coalesce(
+    (SELECT 'Stored: ' || min(o.replacement_term) FROM old o WHERE o.replacement_id = g.replacement_id
+       AND o.replacement_source_id = g.replacement_source_id AND o.secondary_id = g.secondary_id
+       AND o.secondary_source_id = g.secondary_source_id),
+    'How does ' || replacement_term || ' relate to ' || secondary_term || '?') FROM g WHERE ok)""",
+    "triplets", "nonexistent", "topic", "real_terms", extra=[
+        ("ttc", "SELECT tt.id AS term_triplet_id" + _TTC[1]),
+        ("old", "SELECT * FROM ttc WHERE term_triplet_id % 3 = 0"),
+        ("stored0", "SELECT nonexistent_id, secondary_id, secondary_source_id, min(CASE WHEN term_triplet_id % 9 = 0 "
+                    "THEN 'Nothing of it.' ELSE 'Is ' || nonexistent_term || ' a ' || secondary_term || '?' END) AS q "
+                    "FROM old GROUP BY ALL"),
+        ("g0", "SELECT t.*, CASE WHEN s.q LIKE 'Is %' THEN s.q ELSE 'How does ' || nonexistent_term || ' relate to ' "
+               "|| secondary_term || '?' END AS q0 FROM ttc t LEFT JOIN stored0 s USING (nonexistent_id, secondary_id, secondary_source_id)"),
+        ("g", f"SELECT *, regexp_matches(q0, {_pat('nonexistent_term')}) AS ok FROM g0")])
+
+ORACLE["question_checks"] = with_ctes("""
+SELECT term_triplet_id, question, k < 3 AS valid, true AS secondary_present,
+       CASE WHEN k < 3 THEN 'Is $1 \\ ' || replacement_term || ' like ' || secondary_term || '?' ELSE question END AS swapped
+FROM (SELECT *, term_triplet_id % 4 AS k, 'Is ' || CASE term_triplet_id % 4
+        WHEN 0 THEN nonexistent_term || ' (a+b$) [' || term_triplet_id || ']'
+        WHEN 1 THEN upper(nonexistent_term || ' (a+b$) [' || term_triplet_id || ']')
+        WHEN 2 THEN nonexistent_term || '  [' || term_triplet_id || ']' ELSE 'nothing' END
+        || ' like ' || secondary_term || '?' AS question FROM ttc)""",
+    "triplets", "nonexistent", "topic", "real_terms", extra=[("ttc", "SELECT tt.id AS term_triplet_id" + _TTC[1])])
+
+ORACLE["revised"] = with_ctes("""
+SELECT e.id, e.answer_id, CASE WHEN e.eval_type_id = 4 AND r.status = 'changed' THEN r.new_label ELSE e.eval_label END AS eval_label,
+       e.eval_type_id, e.reflection, e.term_source, e.term_id, e.model_id
+FROM evals e LEFT JOIN once r ON r.answer_id = e.answer_id AND r.term_source = e.term_source AND r.term_id = e.term_id
+UNION ALL
+SELECT (SELECT max(id) FROM evals) + row_number() OVER (ORDER BY answer_id, term_source, term_id), answer_id, new_label,
+       4, '', term_source, term_id, 10 FROM once WHERE status = 'missing'""", "cta", "evals", extra=[
+    _WORK, _REC, ("once", "SELECT answer_id, term_source, term_id, min(new_label) AS new_label, min(status) AS status FROM rec GROUP BY ALL")])
+
+# What each shape of reply holds, by the rules of F18-F20.
+_REPLIES = [("rp", """
+SELECT l_orderkey * 8 + l_linenumber AS id, l_linenumber % 4 AS term_source, l_linenumber AS ln, l_linestatus AS ls,
+       CASE l_returnflag WHEN 'A' THEN 'mentioned' WHEN 'N' THEN 'unknown' ELSE 'unreal' END AS cert FROM lineitem"""),
+    ("rr", """
+SELECT *, CASE WHEN ln = 6 THEN 3 ELSE 2 END AS kind,
+       CASE ln WHEN 1 THEN '{"term": "x", "reasoning": "ok", "certainty": "' || cert || '"}'
+               WHEN 2 THEN 'Sure: {"certainty": "' || upper(cert) || '"} done'
+               WHEN 3 THEN 'Sure: {"Certainty": "' || cert || '"} done'
+               WHEN 4 THEN '{"certainty": 12}' WHEN 5 THEN 'I cannot say'
+               WHEN 6 THEN '{"term": "a", "verified": ' || CASE WHEN ls = 'O' THEN 'false' ELSE 'true' END || '}'
+               ELSE '{"term": "x" "certainty": "' || cert || '"}' END AS reply,
+       CASE WHEN ln IN (1, 4, 6) THEN 1 WHEN ln IN (2, 3) THEN 2 WHEN ln = 5 THEN 0 ELSE 5 END AS parse_step,
+       ln IN (3, 4, 5) AS failed FROM rp""")]
+# Line 7 lacks a comma between its members, which the mend puts in.
+_REPLY_LABEL = """CASE WHEN ln = 6 THEN CASE WHEN ls = 'O' THEN 1 ELSE 0 END WHEN failed THEN 0
+  WHEN cert = 'unknown' THEN CASE WHEN term_source = 0 THEN 0 ELSE 2 END
+  WHEN (cert = 'mentioned') = (term_source = 0) THEN 1 ELSE 0 END"""
+ORACLE["judge_reply_labels"] = with_ctes(f"""
+SELECT CAST(id AS BIGINT) AS id, CAST(kind AS BIGINT) AS kind, CAST(term_source AS BIGINT) AS term_source,
+       CAST({_REPLY_LABEL} AS BIGINT) AS eval_label,
+       CASE WHEN failed THEN 'WARNING: Failed to parse response: ' ELSE '' END || reply AS reflection,
+       CAST(parse_step AS INTEGER) AS parse_step FROM rr""", extra=_REPLIES)
+ORACLE["reply_failure_rate"] = with_ctes("""
+SELECT CAST(kind AS BIGINT) AS kind, CAST(parse_step AS INTEGER) AS parse_step, count(*) AS n FROM rr GROUP BY ALL""", extra=_REPLIES)

@@ -92,6 +92,13 @@ TRIPLET_INPUT_COLUMNS = ["fake_term_id", "fake_term", "fake_term_explanation", "
                          "topic_explanation", "source_id", "real_term_id", "real_term",
                          "real_term_explanation"]
 
+#: What question generation needs of the combined triplet view.
+TRIPLET_VIEW_COLUMNS = ["term_triplet_id", "nonexistent_id", "nonexistent_term",
+                        "nonexistent_explanation", "secondary_id", "secondary_term",
+                        "secondary_source_id", "secondary_explanation", "replacement_id",
+                        "replacement_term", "replacement_source_id", "replacement_explanation",
+                        "topic", "topic_explanation"]
+
 REPORT_DETAIL_COLUMNS = ["answer_source", "question_id", "answer_id", "question", "answer",
                          "isHypotheticalQuestion", "evaluator_model", "eval_id", "eval_type",
                          "term_label_id", "term_label", "term", "term_id",

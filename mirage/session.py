@@ -10,8 +10,9 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 DEFAULT_CONF = {
     "spark.sql.adaptive.enabled": "true",
@@ -50,8 +51,10 @@ def get_spark(master: str | None = None, app_name: str = "mirage",
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
     """Return the shared checkpoint folder named by ``spark.checkpoint.dir``.
 
-    The cluster's setting always wins. Only when it is unset (local tests) a
-    fresh scratch folder is created and registered.
+    The cluster's setting always wins. Only a session in one process
+    (``local[...]``, as in tests) gets a scratch folder where it is unset;
+    elsewhere a folder of the driver's own machine would be lost to the
+    executors, so that is an error.
     """
     sc = spark.sparkContext
     configured = sc.getConf().get("spark.checkpoint.dir", None) or \
@@ -61,7 +64,18 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
         return current
     if configured:
         sc.setCheckpointDir(configured)
-        return configured
+        return sc.getCheckpointDir() or configured
+    if sc.master.split("[")[0] != "local":
+        raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
     scratch = tempfile.mkdtemp(prefix="mirage-ckpt-", dir=os.environ.get("TMPDIR", "/tmp"))
     sc.setCheckpointDir(scratch)
     return scratch
+
+
+def stored(df: DataFrame, name: str) -> DataFrame:
+    """``df`` written once as Parquet to the shared folder and read back:
+    whatever it took to make it (a model call, say) runs exactly once, however
+    many results are derived from it and whichever executors are lost."""
+    path = f"{ensure_checkpoint_dir(df.sparkSession).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

@@ -3,50 +3,24 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 TABLES = ("region nation customer supplier part orders lineitem events documents "
           "embeddings pages benchmark labels conversations").split()
 
-REBALANCE_MIN_BYTES = 1 << 20
-
-
-def _input_bytes(df: DataFrame) -> int:
-    spark = df.sparkSession
-    jvm = spark._jvm
-    conf = spark._jsc.hadoopConfiguration()
-    total = 0
-    for f in df.inputFiles():
-        p = jvm.org.apache.hadoop.fs.Path(f)
-        total += p.getFileSystem(conf).getFileStatus(p).getLen()
-    return total
-
-
-def rebalanced(df: DataFrame, factor: int = 2) -> DataFrame:
-    """Spread a parquet scan over ``factor × defaultParallelism`` partitions
-    when its files give fewer splits than that (a file with one row group is
-    read by one task) and it is large enough to be worth it. A finely split
-    input, as on a cluster, is returned unchanged.
-
-    The rows are hash-partitioned on the scan's hidden ``_metadata`` row
-    position (row index within the file, file size): even, no data column
-    is read for it, and the same row always lands in the same partition, so
-    a retried task sees the same input without the local sort a round-robin
-    repartition needs for that. Filters and projections applied later are
-    still pushed into the scan below the repartition."""
-    target = df.sparkSession.sparkContext.defaultParallelism * factor
-    if df.rdd.getNumPartitions() >= target:
-        return df
-    if _input_bytes(df) < REBALANCE_MIN_BYTES:
-        return df
-    return df.repartition(target, F.col("_metadata.row_index"), F.col("_metadata.file_size"))
-
-
-def read_table(spark: SparkSession, base: str, name: str, rebalance: bool = True) -> DataFrame:
+#: Schemas of the tables that this application has opened, by path: a table's
+#: footers are read once, not once per handle.
+_SCHEMAS: dict[tuple[str, str], T.StructType] = {}
+
+
+def read_table(spark: SparkSession, base: str, name: str) -> DataFrame:
     """Scan ``{base}/{name}.parquet``; projections and filters applied later
     are pushed into this scan by Catalyst."""
-    df = spark.read.parquet(f"{base.rstrip('/')}/{name}.parquet")
-    return rebalanced(df) if rebalance else df
+    path = f"{base.rstrip('/')}/{name}.parquet"
+    key = (spark.sparkContext.applicationId, path)
+    if key not in _SCHEMAS:
+        _SCHEMAS[key] = spark.read.parquet(path).schema
+    return spark.read.schema(_SCHEMAS[key]).parquet(path)
 
 
 class Tables:
@@ -59,4 +33,6 @@ class Tables:
     def __getattr__(self, name: str) -> DataFrame:
         if name not in TABLES:
             raise AttributeError(name)
-        return read_table(self.spark, self.base, name)
+        handle = read_table(self.spark, self.base, name)
+        setattr(self, name, handle)      # one handle a table: scans can be reused
+        return handle

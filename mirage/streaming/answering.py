@@ -3,7 +3,7 @@
 The original appends one answered row at a time to a file so that a crash
 loses little. Here new question files are a streaming source; each
 micro-batch drops questions that already have an answer from this model
-(anti-join against the sink), calls the model in Arrow batches (M1) and
+(anti-join against the sink's partition of the model), calls the model in Arrow batches (M1) and
 appends the result. The checkpoint folder records which files were
 consumed, so a restarted job continues where it stopped and a replayed
 batch adds nothing twice.
@@ -21,6 +21,11 @@ QUESTION_SCHEMA = T.StructType([T.StructField("id", T.LongType()),
                                 T.StructField("question", T.StringType())])
 
 
+def _exists(spark: SparkSession, path: str) -> bool:
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return p.getFileSystem(spark._jsc.hadoopConfiguration()).exists(p)
+
+
 def start_answering(spark: SparkSession, questions_dir: str, answers_dir: str,
                     checkpoint_dir: str, fn: BatchFn, model_id: int,
                     available_now: bool = True):
@@ -28,14 +33,14 @@ def start_answering(spark: SparkSession, questions_dir: str, answers_dir: str,
     src = spark.readStream.schema(QUESTION_SCHEMA).json(questions_dir)
 
     def batch(df: DataFrame, batch_id: int) -> None:
-        try:
-            done = spark.read.parquet(answers_dir).where(F.col("model_id") == model_id) \
-                        .select(F.col("question_id").alias("id"))
-            todo = df.join(done, "id", "left_anti")
-        except Exception:          # no answers written yet
-            todo = df
-        out = answer_questions(todo.dropDuplicates(["id"]), fn, model_id)
-        out.write.mode("append").parquet(answers_dir)
+        # Only a sink that is not there yet counts as empty; any other fault
+        # in reading it must stop the batch, or everything is answered again.
+        own = f"{answers_dir.rstrip('/')}/model_id={model_id}"
+        todo = df.dropDuplicates(["id"])
+        if _exists(spark, own):
+            todo = todo.join(spark.read.parquet(own).select(F.col("question_id").alias("id")), "id", "left_anti")
+        out = answer_questions(todo, fn, model_id)
+        out.write.mode("append").partitionBy("model_id").parquet(answers_dir)
 
     w = src.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint_dir)
     w = w.trigger(availableNow=True) if available_now else w.trigger(processingTime="30 seconds")

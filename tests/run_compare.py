@@ -16,7 +16,7 @@ from mirage.session import get_spark  # noqa: E402
 
 sf = sys.argv[1] if len(sys.argv) > 1 else "/root/testdata/sf0.01"
 names = sys.argv[2:]
-spark = get_spark("local[8]", shuffle_partitions=8)
+spark = get_spark(os.environ.get("COMPARE_MASTER", "local[8]"), shuffle_partitions=8)
 Q, O = E.queries(), E.oracle_sql()
 bad = 0
 for n in (names or sorted(Q)):

@@ -35,47 +35,243 @@ def test_short_layout_check(spark):
         pass
 
 
+TRIPLETS = "term_triplet_id long, nonexistent_id long, nonexistent_term string, secondary_id long, secondary_term string, " \
+           "secondary_source_id long, replacement_id long, replacement_term string, replacement_source_id long, topic string, " \
+           "topic_explanation string, nonexistent_explanation string, secondary_explanation string, replacement_explanation string"
+
+
+def triplet(k, made_up="Zorbl"):
+    return (k, 10 + k, made_up, 20 + k, "kite", 1, 30 + k, "sail", 2, "t", "te", "ze", "ke", "se")
+
+
+STORED = "main_id long, main_source long, secondary_id long, secondary_source long, replacement_type long, question string"
+
+
+def by_type(df):
+    return {(r.triplet_id, r.replacement_type): r.question for r in df.collect()}
+
+
 def test_question_reuse(spark):
-    trip = spark.createDataFrame(
-        [(1, "Zorbl", "kite", "sail", "t", "te", "ze", "ke", "se")],
-        "term_triplet_id long, nonexistent_term string, secondary_term string, "
-        "replacement_term string, topic string, topic_explanation string, "
-        "nonexistent_explanation string, secondary_explanation string, "
-        "replacement_explanation string")
-    existing = spark.createDataFrame([(1, 0, "Is Zorbl a kite?")],
-                                     "triplet_id long, replacement_type long, question string")
-    out = {r.replacement_type: r.question
-           for r in BM.generate_questions(trip, BM.stub_generator, existing=existing).collect()}
-    assert out[0] == "Is Zorbl a kite?" and out[1] == "Is sail a kite?"
-    assert out[3] == "How does sail relate to kite?"
+    trip = spark.createDataFrame([triplet(1), triplet(2), triplet(3)], TRIPLETS)
+    old = spark.createDataFrame([(11, 0, 21, 1, 0, "Is Zorbl a kite?"), (31, 2, 21, 1, 3, "Old fresh one"),
+                                 (12, 0, 22, 1, 0, "Not valid"), (13, 0, 23, 9, 0, "Is Zorbl of another source?")], STORED)
+    out = by_type(BM.generate_questions(trip, BM.stub_generator, existing=old))
+    assert out[1, 0] == "Is Zorbl a kite?" and out[1, 1] == "Is sail a kite?" and out[1, 3] == "Old fresh one"
+    assert out[2, 0] == out[3, 0] == "How does Zorbl relate to kite?"      # an invalid one is asked again
+    assert out[2, 3] == "How does sail relate to kite?" and len(out) == 9
+
+
+def test_model_is_asked_once_per_triplet_and_type(spark):
+    """A writer that never says the same twice: type 1 is the swap of the
+    type-0 question that is given out."""
+    calls = spark.sparkContext.accumulator(0)
+
+    def writer(pdf):
+        import uuid
+        calls.add(len(pdf))
+        return pd.Series([f"{uuid.uuid4().hex} of {n} or {r}" for n, r in zip(pdf["nonexistent_term"], pdf["replacement_term"])], index=pdf.index)
+
+    trip = spark.createDataFrame([triplet(k) for k in range(10)], TRIPLETS)
+    out = by_type(BM.generate_questions(trip, writer, partitions=3))
+    assert calls.value == 20 and len(out) == 30
+    for k in range(10):
+        assert out[k, 1] == out[k, 0].replace("Zorbl", "sail")
+
+
+def test_question_columns_are_checked(spark):
+    trip = spark.createDataFrame([triplet(1)], TRIPLETS).drop("secondary_id")
+    try:
+        BM.generate_questions(trip, BM.stub_generator)
+        raise AssertionError("expected a failure")
+    except ValueError as e:
+        assert "secondary_id" in str(e)
 
 
 def test_invalid_type0_drops_other_types(spark):
-    trip = spark.createDataFrame(
-        [(1, "Zorbl", "kite", "sail", "t", "te", "ze", "ke", "se")],
-        "term_triplet_id long, nonexistent_term string, secondary_term string, "
-        "replacement_term string, topic string, topic_explanation string, "
-        "nonexistent_explanation string, secondary_explanation string, "
-        "replacement_explanation string")
+    trip = spark.createDataFrame([triplet(1)], TRIPLETS)
 
     def bad_writer(pdf):
         return pd.Series(["A question without the term"] * len(pdf), index=pdf.index)
     assert BM.generate_questions(trip, bad_writer).count() == 0
 
 
+LONG = "answer_id long, question_id long, answer string, question string, term_pos int, term_id long, term string, meaning string, " \
+       "term_source string, is_hypothetical boolean"
+
+
+def test_judge_loses_and_multiplies_no_rows(spark):
+    rows = [(k, k, "a kite and a sail", "q", 0, k, "kite", "m", "1", False) for k in range(6)]
+    long = spark.createDataFrame(rows, LONG)
+
+    def forgetful(pdfs):
+        for pdf in pdfs:
+            kept = pdf[pdf["request_id"].str.contains("^[024]:")]
+            yield pd.DataFrame({"request_id": kept["request_id"], "reply": '{"certainty": "unreal", "verified": true}'})
+
+    got = EV.judge_terms(long, forgetful, 2).collect()
+    assert len(got) == 12
+    lost = [r for r in got if r.answer_id % 2]
+    assert all(r.eval_label == 0 and r.reflection.startswith("WARNING: Failed to parse response: ") and r.parse_step == 0 for r in lost)
+    assert {r.eval_type_id for r in EV.judge_terms(long, forgetful, 2, only=3).collect()} == {3}
+    done = spark.createDataFrame([(0, 2, "1", 0, 2), (1, 3, "1", 1, 2), (2, 3, "1", 2, 5)],
+                                 "answer_id long, eval_type_id long, term_source string, term_id long, model_id long")
+    rest = {(r.answer_id, r.eval_type_id) for r in EV.judge_terms(long, forgetful, 2, done=done).collect()}
+    assert len(rest) == 10 and (0, 2) not in rest and (1, 3) not in rest and (2, 3) in rest
+
+    def double(pdfs):
+        for pdf in pdfs:
+            yield pd.DataFrame({"request_id": list(pdf["request_id"]) * 2, "reply": "{}"})
+
+    try:
+        EV.judge_terms(long, double, 2).collect()
+        raise AssertionError("expected a failure")
+    except Exception as e:
+        assert "two replies" in str(e)
+
+
+def test_short_answers(spark):
+    cell = ("[{'termId': 3, 'term': 'Solar Kite', 'termSet': 'hypothetical', 'termSetId': 0, 'explanation': None}, "
+            "{'termId': 9, 'term': 'ring', 'termSet': 'gpt_suggestion', 'termSetId': 1, 'explanation': 'a ring'}]")
+    df = spark.createDataFrame([(7, "q7", cell, "a7", 77), (8, "q8", cell, "a8", 78)], "question_id long, question string, terms string, answer string, answer_id long")
+    got = EV.to_wide(df.coalesce(1)).orderBy("answer_id").collect()
+    assert [(r.answer_id, r.question_id, r.nonexistent, r.nonexistent_meaning, r.secondary, r.replacement) for r in got] == [
+        (0, 7, "Solar Kite", None, "ring", ""), (1, 8, "Solar Kite", None, "ring", "")]
+    assert EV.inclusion_evals(EV.terms_long(EV.to_wide(df))).count() == 4
+    try:
+        EV.to_wide(df.withColumn("terms", F.regexp_replace("terms", "'explanation': None", "'x': 1")))
+        raise AssertionError("expected a failure")
+    except ValueError:
+        pass
+
+
+def test_upsert_keeps_stored_ids(spark):
+    cand = spark.createDataFrame([(1, "Delta", "d", 2, 2), (1, "alpha", "a", 1, 1), (2, "ALPHA", "x", 2, 1), (2, "gamma", "g", 1, 5), (3, "Beta", "b", 3, 1)],
+                                 "fake_term_id long, term string, explanation string, source_id long, position long")
+    old = spark.createDataFrame([(2, "Gamma", "stored", 1), (7, "Omega", "stored", 3)], "id long, term string, explanation string, source_id long")
+    real, links = TM.upsert_real_terms(cand, old)
+    assert {(r.id, r.term) for r in real.collect()} == {(2, "Gamma"), (7, "Omega"), (8, "alpha"), (9, "Delta"), (10, "Beta")}
+    assert {(r.nonexistent_id, r.real_id) for r in links.collect()} == {(1, 8), (1, 9), (2, 8), (2, 2), (3, 10)}
+    ids = [r.id for r in TM.upsert_real_terms(cand)[0].collect()]
+    assert sorted(ids) == [1, 2, 3, 4]
+
+
+def test_term_suggestions(spark):
+    one = spark.createDataFrame([(1, "a", "x", 1)], "fake_term_id long, term string, explanation string, position long")
+    got = TM.term_suggestions(one, None, one.withColumn("extra", F.lit(1)))
+    assert sorted((r.source_id, r.term) for r in got.collect()) == [(1, "a"), (3, "a")]
+
+
+def test_revised_rows(spark):
+    from mirage.operators import incremental as I
+    kind = "id long, answer_id long, eval_label long, eval_type_id long, reflection string, term_source long, term_id long, model_id long"
+    stored = spark.createDataFrame([(5, 1, 0, 4, "", 1, 1, 10), (6, 1, 0, 2, "r", 1, 1, 2)], kind)
+    long = spark.createDataFrame([(1, "no such", "kite", "1", 1), (1, "no such", "kite", "1", 1), (2, "a sail", "sail", "2", 4), (2, "a sail", "sail", "2", 4)],
+                                 "answer_id long, answer string, term string, term_source string, term_id long")
+    got = sorted(tuple(r) for r in I.revised(stored, I.reconcile_inclusion(stored, long)).collect())
+    assert got == [(5, 1, 2, 4, "", 1, 1, 10), (6, 1, 0, 2, "r", 1, 1, 2), (7, 2, 0, 4, "", 2, 4, 10)]
+
+
+def test_failures_ask_the_model_once(spark):
+    from mirage.operators import incremental as I
+    calls = spark.sparkContext.accumulator(0)
+
+    def model(pdf):
+        calls.add(len(pdf))
+        return pd.Series(["WARNING! Timeout." if p == "3" else p for p in pdf["prompt"]], index=pdf.index)
+
+    answers = BM.call_model(spark.range(5).select(F.col("id").cast("string").alias("prompt")), model, "answer")
+    good, bad = I.split_failures(answers, max_failures=1)
+    assert good.count() == 4 and bad.count() == 1 and calls.value == 5
+    try:
+        I.split_failures(answers, max_failures=0)
+        raise AssertionError("expected a failure")
+    except RuntimeError:
+        pass
+
+
 def test_retries_and_sentinels():
-    calls = {"n": 0}
+    calls = []
 
     def flaky(prompt):
-        calls["n"] += 1
+        calls.append(prompt)
         if prompt == "fail":
             raise RuntimeError("x")
-        if prompt == "slow":
-            time.sleep(0.5)
+        if prompt == "hang":
+            time.sleep(30)
+        if prompt == "second" and calls.count("second") == 1:
+            raise RuntimeError("x")
         return prompt.upper()
-    fn = BM.with_retries(flaky, retries=2, timeout_s=0.1)
-    out = fn(pd.DataFrame({"prompt": ["ok", "fail", "slow"]})).tolist()
-    assert out == ["OK", "WARNING! Model failure.", "WARNING! Timeout."]
+    fn = BM.with_retries(flaky, retries=2, timeout_s=0.2)
+    t = time.time()
+    out = fn(pd.DataFrame({"prompt": ["ok", "fail", "hang", "second"]})).tolist()
+    assert time.time() - t < 2                      # a call that never returns holds nothing up
+    assert out == ["OK", "WARNING! Model failure.", "WARNING! Timeout.", "SECOND"]
+    assert sorted(calls) == ["fail"] * 2 + ["hang"] * 2 + ["ok"] + ["second"] * 2
+
+
+def test_unjudged_answers_of_many_judges(spark):
+    from mirage.operators import labels as L
+    rows = [(k, 1, 0, 2, "", 1, 1, 100 + k) for k in range(50)] + [(99, 2, 2, 4, "", 1, 1, 10)]
+    df = spark.createDataFrame(rows, "id long, answer_id long, eval_label long, eval_type_id long, reflection string, "
+                                     "term_source long, term_id long, model_id long")
+    got = L.answer_labels(df, include_unjudged=True).where("answer_id = 2").collect()
+    assert sorted(r.evaluator_model_id for r in got) == list(range(100, 150)) and {r.answer_label for r in got} == {2}
+    assert L.answer_labels(df, include_unjudged=True, judges=[7]).where("answer_id = 2").count() == 1
+
+
+def test_whole_paragraphs(spark):
+    pages = spark.createDataFrame([(1, "A", ["A", "x" * 20_000, "short", "a::::b" * 10])], "_id long, wikipedia_title string, text array<string>")
+    assert [len(r.text) for r in TM.paragraphs(pages).collect()] == [20_000]
+    assert [len(r.text) for r in TM.paragraphs(pages, max_chars=9000).collect()] == [9000]
+
+
+def test_many_topics_and_blocks_of_terms(spark):
+    topics = spark.range(12_000).select("id", F.col("id").alias("pos"), F.concat(F.lit("topic "), F.col("id").cast("string"), F.lit("!")).alias("topic"))
+    titles = spark.createDataFrame([("77!",), ("none",), ("",), (None,), ("opic 9",)], "title string")
+    got = {r.title: r.topic_pos for r in TM.topic_containing(titles, topics).collect()}
+    assert got == {"77!": 77, "none": None, "": 0, None: None, "opic 9": 9}
+    docs = spark.createDataFrame([(k, f"text number {k} of many") for k in range(40)], "doc_id long, text string")
+    terms = spark.createDataFrame([(f"NUMBER {k} ",) for k in range(60)], "term string")
+    got = {(r.term, r.doc_id) for r in TM.phrase_hits(terms, docs, block_chars=200).collect()}
+    assert got == {(f"NUMBER {k} ", k) for k in range(40)}
+
+
+def test_ordering_over_partitions(spark):
+    from mirage.operators.ordering import GlobalOrder, from_offset
+    keys = [(k * 7) % 100 for k in range(100)]
+    df = spark.createDataFrame([(k, "ab"[k // 13 % 2] if k % 29 else None, float(k) if k % 5 else None) for k in keys], "k long, g string, v double")
+    for n in (1, 3, 7, None):
+        order = GlobalOrder(df, ["k"], n)
+        assert [r.pos for r in order.with_position().orderBy("k").collect()] == list(range(100))
+        rows = order.run_ids("g").orderBy("k").collect()
+        want, last = [], object()
+        for r in rows:
+            want.append((want[-1] if want else 0) + (r.g != last))
+            last = r.g
+        assert [r.run_id for r in rows] == want
+        means = order.running_mean("v").orderBy("k").collect()
+        assert all(abs(r.running_mean - sum(x for x in range(r.k + 1) if x % 5) / (r.k + 1)) < 1e-9 for r in means)
+    assert from_offset(df, ["k"], 90).count() == 10
+    assert GlobalOrder(df.limit(0), ["k"]).with_position().count() == 0
+
+
+def test_shared_folder_is_required_on_a_cluster(spark, monkeypatch):
+    from mirage.session import ensure_checkpoint_dir
+
+    class Context:
+        master = "spark://x:7077"
+        def getConf(self): return {}
+        def getCheckpointDir(self): return None
+
+    class Session:
+        sparkContext = Context()
+        conf = {}
+
+    try:
+        ensure_checkpoint_dir(Session())
+        raise AssertionError("expected a failure")
+    except RuntimeError:
+        pass
 
 
 def test_encode_and_observe(spark):
