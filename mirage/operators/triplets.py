@@ -18,6 +18,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from mirage.functions.common import keep_first
+from mirage.schemas import TRIPLET_INPUT_COLUMNS, require_columns
 
 Q_PER_TERM = 3
 COUPLE = ["secondary_id", "secondary_source", "replacement_id", "replacement_source"]
@@ -55,12 +56,18 @@ def candidate_triplets(links: DataFrame, q: int = Q_PER_TERM, compat: bool = Tru
 
 def build_triplets(links: DataFrame, q: int = Q_PER_TERM, compat: bool = True,
                    exclude_ids: list[int] | None = None) -> DataFrame:
-    """W1 + W2: stored triplets, first made-up term wins each couple. The
-    dedupe is a hash aggregate of ``min(struct(order))`` per couple."""
+    """W1 + W2: stored triplets, first made-up term wins each couple."""
     cand = candidate_triplets(links, q, compat, exclude_ids)
     return keep_first(cand, COUPLE, ["nonexistent_id", "rotation", "position"])
 
 
+def triplets_from_file(terms: DataFrame, **kw) -> DataFrame:
+    """P14 + W1 + W2 over a table of terms from outside, whose columns must be
+    those of the combined terms view; the missing ones are named."""
+    require_columns(terms, TRIPLET_INPUT_COLUMNS, "triplet input")
+    return build_triplets(terms, **kw)
+
+
 def short_groups(links: DataFrame, q: int = Q_PER_TERM) -> DataFrame:
     """Made-up terms with fewer than ``2q`` real terms (the original stops
     with an index error on them); reported instead of failing."""

@@ -233,6 +233,29 @@ def q_triplets(spark, d):
     return build_triplets(V.terms_combined(Pipeline(spark, d)))
 
 
+@register("triplets_excluding")
+def q_triplets_excluding(spark, d):
+    """P2 + P14: the combined terms view as input, without made-up terms 1-3."""
+    from mirage.operators.triplets import triplets_from_file
+    return triplets_from_file(V.terms_combined(Pipeline(spark, d)), exclude_ids=[1, 2, 3])
+
+
+@register("short_groups")
+def q_short_groups(spark, d):
+    """Made-up terms with too few real terms for a whole rotation."""
+    from mirage.operators.triplets import short_groups
+    return short_groups(V.terms_combined(Pipeline(spark, d)), q=300)
+
+
+@register("term_phrases")
+def q_term_phrases(spark, d):
+    """F26 + F27: every real term with its explanation, and as exact phrase."""
+    from mirage.functions.text import exact_phrase, labelled_term
+    t = Pipeline(spark, d).real_terms
+    return t.select("id", labelled_term("term", "explanation").alias("labelled"),
+                    exact_phrase(F.concat(F.lit('"'), "term")).alias("phrase"))
+
+
 @register("triplets_true_source")
 def q_triplets_true_source(spark, d):
     from mirage.operators.triplets import build_triplets
@@ -613,6 +636,28 @@ def q_question_checks(spark, d):
                        swap_term(F.col("question"), F.col("term"), F.col("other")).alias("swapped"))
 
 
+@register("related_terms")
+def q_related_terms(spark, d):
+    """M5 + F9 + F22: a stub model asked for related terms of each made-up
+    term by template; its replies parsed into one row per term."""
+    from mirage.functions.text import parse_term_list
+    from mirage.operators.batch_model import generate_from_template
+    p = Pipeline(spark, d)
+
+    def stub(pdf):
+        return pdf["prompt"].map(lambda q: "1. " + q.split(": ")[1] + " kin\n2. other {x}")
+
+    out = generate_from_template(p.nonexistent, stub, "Terms {{like}}: {term}", ["id"], partitions=2, term="term")
+    return out.select("id", F.posexplode(parse_term_list(F.col("reply"))).alias("pos", "term"))
+
+
+@register("answers_from_offset")
+def q_answers_from_offset(spark, d):
+    """The answers from position 100 on, by id."""
+    from mirage.operators.ordering import from_offset
+    return from_offset(Pipeline(spark, d).answers.select("id", "question_id", "model_id"), ["id"], 100)
+
+
 @register("answer_labels_file_mode")
 def q_answer_labels_file_mode(spark, d):
     """A3 + J16: file mode over evaluated term rows (lowest model id only)."""

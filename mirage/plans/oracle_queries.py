@@ -683,3 +683,17 @@ SELECT CAST(id AS BIGINT) AS id, CAST(kind AS BIGINT) AS kind, CAST(term_source
        CAST(parse_step AS INTEGER) AS parse_step FROM rr""", extra=_REPLIES)
 ORACLE["reply_failure_rate"] = with_ctes("""
 SELECT CAST(kind AS BIGINT) AS kind, CAST(parse_step AS INTEGER) AS parse_step, count(*) AS n FROM rr GROUP BY ALL""", extra=_REPLIES)
+
+ORACLE["triplets_excluding"] = with_ctes(_trip_sql(True), "nonexistent", "topic", "links", "real_terms", extra=[
+    (k, v + (" WHERE n.id NOT IN (1, 2, 3)" if k == "j1" else "")) for k, v in _TRIP])
+ORACLE["short_groups"] = with_ctes(
+    "SELECT fake_term_id, count(*) AS real_terms FROM tc GROUP BY 1 HAVING count(*) < 600",
+    "nonexistent", "topic", "links", "real_terms", extra=[_UPS[0]])
+ORACLE["term_phrases"] = with_ctes(
+    "SELECT id, term || ': ' || explanation AS labelled, '\"' || replace(term, '\"', '') || '\"' AS phrase FROM real_terms", "real_terms")
+# A list without a comma: lines without digits and dots, stripped.
+ORACLE["related_terms"] = with_ctes("""
+SELECT id, 0 AS pos, trim(regexp_replace(term, '[0-9.]', '', 'g') || ' kin') AS term FROM nonexistent
+UNION ALL SELECT id, 1, 'other {x}' FROM nonexistent""", "nonexistent")
+ORACLE["answers_from_offset"] = with_ctes(
+    "SELECT id, question_id, model_id FROM answers ORDER BY id OFFSET 100", "answers")

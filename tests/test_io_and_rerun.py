@@ -101,3 +101,45 @@ def test_partition_count_does_not_change_results(spark):
         out[parts] = {n: rows_of(E.queries()[n](spark, SF).toPandas()) for n in names}
     spark.conf.set("spark.sql.shuffle.partitions", "4")
     assert out[3] == out[11]
+
+
+def test_replace_table_partitions(spark, scratch):
+    """K5: only the partitions that the new rows have are replaced."""
+    from mirage.sources import sinks
+    old = spark.createDataFrame([(1, "a"), (2, "b"), (2, "c")], "judge int, label string")
+    sinks.replace_table(old, f"{scratch}/t", ["judge"])
+    sinks.replace_table(spark.createDataFrame([(2, "d")], "judge int, label string"), f"{scratch}/t", ["judge"])
+    assert sorted((r.judge, r.label) for r in spark.read.parquet(f"{scratch}/t").collect()) == [(1, "a"), (2, "d")]
+    sinks.replace_table(old.limit(0), f"{scratch}/t2")
+    assert spark.read.parquet(f"{scratch}/t2").count() == 0
+
+
+def test_nested_report_files(spark, scratch):
+    """K7: one folder per answering model, one JSON record per question."""
+    import json
+
+    from mirage.operators.report import nested_report
+    from mirage.sources import sinks
+    from mirage.schemas import REPORT_DETAIL_COLUMNS
+    row = {c: f"{c} \"x\"" for c in REPORT_DETAIL_COLUMNS} | {"question_id": 1, "answer_id": 2, "isHypotheticalQuestion": True, "term_id": 3, "IsHypotheticalTerm": 0}
+    detail = spark.createDataFrame([row | {"eval_id": k, "answer_source": s} for k, s in ((5, "m"), (4, "m"), (6, "n"))])
+    sinks.write_nested_report(nested_report(detail), f"{scratch}/r")
+    back = spark.read.json(f"{scratch}/r").orderBy("answer_source").collect()
+    assert [(r.answer_source, [e.eval_id for e in r.evaluations]) for r in back] == [("m", [4, 5]), ("n", [6])]
+    assert json.loads(nested_report(detail).where("answer_source = 'm'").first()["json"])["evaluations"][0]["term"] == 'term "x"'
+
+
+def test_stamped_path():
+    import re
+
+    from mirage.sources.sinks import stamped_path
+    assert re.fullmatch(r"/d/report_\d{8}_\d{6}_sampled_180_\.csv", stamped_path("/d/", "report", "180", ".csv"))
+
+
+def test_triplet_columns_are_checked(spark):
+    from mirage.operators.triplets import triplets_from_file
+    try:
+        triplets_from_file(spark.createDataFrame([(1, 2, 3)], "fake_term_id int, real_term_id int, source_id int"))
+        raise AssertionError("expected a failure")
+    except ValueError as e:
+        assert "topic_explanation" in str(e)
