@@ -50,23 +50,6 @@ def lookup(spark: SparkSession, rows: list[tuple[int, str]]) -> DataFrame:
     return spark.createDataFrame(rows, LOOKUP_SCHEMA)
 
 
-EVALS_SCHEMA = T.StructType([
-    T.StructField("id", T.LongType()),
-    T.StructField("answer_id", T.LongType()),
-    T.StructField("eval_label", T.LongType()),
-    T.StructField("eval_type_id", T.LongType()),
-    T.StructField("reflection", T.StringType()),
-    T.StructField("term_source", T.LongType()),
-    T.StructField("term_id", T.LongType()),
-    T.StructField("model_id", T.LongType()),
-])
-
-ANSWER_LABELS_SCHEMA = T.StructType([
-    T.StructField("answer_id", T.LongType()),
-    T.StructField("answer_label", T.LongType()),
-    T.StructField("evaluator_model_id", T.LongType()),
-])
-
 TERM_STRUCT = T.StructType([
     T.StructField("termId", T.LongType()),
     T.StructField("term", T.StringType()),

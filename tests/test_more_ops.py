@@ -343,3 +343,16 @@ def test_keep_first_aggregate_path_nulls_first(spark):
     got = sorted(keep_first(df, ["k", "j"], ["o"]).collect(), key=lambda r: (r.k, r.j))
     assert [tuple(r) for r in got] == [("x", 1, None), ("x", 2, 7), ("y", 1, 2)]
     assert keep_first(df, ["k", "j"], ["o"]).columns == ["k", "j", "o"]
+
+
+def test_existence_states(spark):
+    df = spark.createDataFrame([("a", True), ("b", False), ("c", None)], "term string, exists boolean")
+    assert [r.term for r in TM.not_found(df).collect()] == ["b"]
+    assert [r.term for r in TM.still_unchecked(df).collect()] == ["c"]
+
+
+def test_run_stamp(spark):
+    import re
+
+    from mirage.functions.text import run_stamp
+    assert re.fullmatch(r"20\d{6}_\d{6}", spark.range(1).select(run_stamp()).first()[0])
