@@ -64,6 +64,7 @@ QUESTION_FILE_SCHEMA = T.StructType([
     T.StructField("terms", T.ArrayType(TERM_STRUCT)),
 ])
 
+# Column names of the input and report files.
 WIDE_ANSWER_COLUMNS = ["answer_id", "answer", "question_id", "question", "nonexistent_id",
                        "nonexistent", "secondary_id", "secondary", "secondary_meaning",
                        "secondary_source", "replacement_id", "replacement",
