@@ -14,7 +14,8 @@ document possibly in part. The cut is found level by level: token sums by the
 first two hex digits of the hash, then, inside the digits where the budget
 ends, by the next two, and so on; only the documents that share all
 ``LEVELS`` levels of digits with the cut are put in order themselves. No
-leaf's rows meet in one task, however large it is.
+leaf's rows meet in one task, however large it is; what does meet are the sums
+of a node's children, one row for each name below it.
 
 Tokens are words (runs of anything but ASCII white space); null or empty text
 has none and is never taken. Missing domains, languages or sources are nodes
@@ -30,7 +31,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from mirage.llm.common import SPACES, materialise, text_of
+from mirage.llm.common import materialise, text_of
 
 TREE = ["domain", "lang", "source"]
 #: Levels of two hex digits (256 parts each) before rows are ordered.
@@ -40,8 +41,7 @@ BIG = "decimal(38,0)"
 
 
 def n_words(text: Column) -> Column:
-    t = F.trim(F.regexp_replace(text, SPACES, " "))
-    return F.when(t == "", 0).otherwise(F.length(t) - F.length(F.replace(t, F.lit(" "), F.lit(""))) + 1).cast("long")
+    return F.regexp_count(text, F.lit(r"[^\x20\x09-\x0D]++")).cast("long")
 
 
 def deal(children: DataFrame, parent: list[str], name: str) -> DataFrame:
@@ -101,9 +101,9 @@ def mix_sources(docs: DataFrame, domain: Column, weights: dict[str, dict[str, in
     cols = [c for c in docs.columns if c not in OUT]
     rows = docs.select(F.struct(*cols).alias("row"), F.coalesce(domain, F.lit("")).alias("domain"), F.coalesce("lang", F.lit("")).alias("lang"),
                        F.coalesce("source", F.lit("")).alias("source"), F.col("doc_id").cast("string").alias("_id"), n_words(text_of()).alias("n_tokens"))
-    rows = rows.where("n_tokens > 0")
     # The narrow side decides; the documents' own columns join only at the end.
-    narrow = materialise(rows.select(*TREE, "_id", "n_tokens"), "tokens")
+    # (No filter before the table: it would count the words twice.)
+    narrow = materialise(rows.select(*TREE, "_id", "n_tokens"), "tokens").where("n_tokens > 0")
     leaves = materialise(narrow.groupBy(*TREE).agg(F.sum("n_tokens").alias("tokens")), "leaves")
     permille = round(share * 1000)
     budgets = materialise(leaf_budgets(leaves, weights, F.floor(F.col("_all") * permille / 1000), epochs), "budgets")
