@@ -37,13 +37,14 @@ from mirage.llm.common import NO_ID, pack_arrays, pieces_of, ranges, text_of, un
 from mirage.llm.words import Words, mix, raw_texts, runs_hash, slices, sliding_min
 
 WINDOW = 13
-#: Words of the runs that minimisers are chosen from.
-M = 4
+#: Words of the runs that minimisers are chosen from: shorter runs give longer
+#: super-k-mers, so fewer bytes, and more windows to a minimiser.
+M = 3
 #: Windows in a super-k-mer at most; longer runs are cut, which changes no
 #: window's bucket.
 MOST_WINDOWS = 64
 #: Documents per bucket, about, and bytes of distinct strings in a block.
-BUCKET_DOCS = 2000
+BUCKET_DOCS = 1000
 BLOCK_BYTES = 24 << 20
 SPAN = "_id long, _key long, start int, end int"
 
@@ -101,7 +102,7 @@ class _Block:
                 got[0], got[2] = ident, [(keys[t], p)]
 
     def out(self):
-        press = zstandard.ZstdCompressor(level=3)
+        press = zstandard.ZstdCompressor(level=9)
         bucket, data = [], []
         for b, have in self.buckets.items():
             strings = list(have)

@@ -12,6 +12,8 @@ _SPACE = np.zeros(256, bool)
 _SPACE[[0x20, *range(0x09, 0x0E)]] = True
 _BASE = 0x9E3779B97F4A7C15
 _POWERS = [np.array([1], np.uint64)]
+#: Words that are hashed at a time.
+SLICE = 100_000
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -49,13 +51,21 @@ class Words:
         if not len(lengths):
             self.hash = np.zeros(0, np.uint64)
             return
+        # In slices: the arrays over bytes are many times the size of the text.
+        self.hash = np.empty(len(lengths), np.uint64)
+        for lo in range(0, len(lengths), SLICE):
+            self.hash[lo:lo + SLICE] = self._hash(raw[self.start[lo]:self.end[min(lo + SLICE, len(lengths)) - 1]],
+                                                  lengths[lo:lo + SLICE], lower)
+
+    def _hash(self, raw: np.ndarray, lengths: np.ndarray, lower: bool) -> np.ndarray:
+        """Hashes of the words in ``raw``, which starts and ends with one."""
         at = np.cumsum(lengths) - lengths
-        value = raw[inside[1:-1]].astype(np.uint64)
+        value = raw[~_SPACE[raw]].astype(np.uint64)
         if lower:
             value |= ((value >= 65) & (value <= 90)).astype(np.uint64) << np.uint64(5)
         value += np.uint64(1)
         value *= powers(int(lengths.max()))[np.arange(len(value)) - np.repeat(at, lengths)]
-        self.hash = mix(np.add.reduceat(value, at) + lengths.astype(np.uint64))
+        return mix(np.add.reduceat(value, at) + lengths.astype(np.uint64))
 
 
 def runs_hash(h: np.ndarray, n: int) -> np.ndarray:
