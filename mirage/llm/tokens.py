@@ -19,12 +19,19 @@ from __future__ import annotations
 import json
 import os
 import re
+from array import array
 
 import numpy as np
 
 os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
 
-_ODD = re.compile(r"\s\s|^\s|\s$|[^\S \n]|\x00")
+# Chunks of a text whose white space is single spaces and line feeds between
+# words; any other white space shows as a chunk that is none of these.
+_USUAL = re.compile(r"\n| ?[^\s\x00]+").fullmatch
+# A chunk of (a space,) letters and ASCII marks other than the apostrophe: two
+# words of the tokenizers' pattern, which normalisation changes in case only.
+# Letters up to U+02AF, without the one whose lower case is two characters.
+_SIMPLE = re.compile(r"( ?)([A-Za-zªµºÀ-ÖØ-öø-įı-ʯ]*)([!-&(-/:-@\[-`{-~]*)").fullmatch
 _OWN: dict[str, "Encoder"] = {}
 
 
@@ -35,10 +42,22 @@ def encoder(path: str) -> "Encoder":
     return _OWN[path]
 
 
+class _Mapped(dict):
+    """What the pre-tokenizer makes of single characters, asked once each."""
+
+    def __init__(self, pre):
+        super().__init__({32: pre.pre_tokenize_str(" a")[0][0][:-1]})
+        self.pre = pre
+
+    def __missing__(self, code: int) -> str:
+        got = self[code] = "".join(piece for piece, _ in self.pre.pre_tokenize_str(chr(code)))
+        return got
+
+
 class Encoder:
-    #: Chunks kept in memory; beyond it the store starts anew, which costs
-    #: time only.
-    MOST = 400_000
+    #: Chunks and words of the tokenizer kept in memory (some 100 MB); beyond
+    #: it a store starts anew, which costs time only.
+    MOST, MOST_PIECES = 350_000, 250_000
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
@@ -55,43 +74,57 @@ class Encoder:
         elif kinds == ["Split", "ByteLevel"] and parts[0].get("invert") and parts[0].get("behavior") == "Removed" \
                 and not parts[1].get("use_regex") and not parts[1].get("add_prefix_space"):
             self.kind = "words"
-        lowers = "Lowercase" in json.dumps(spec.get("normalizer"))
+        self.lower = "Lowercase" in json.dumps(spec.get("normalizer"))
         self.special = [t["content"] for t in spec.get("added_tokens", [])]
-        # A chunk of ASCII letters is one word of the tokenizer's pattern.
-        self.plain = (lambda s: s.lower()) if lowers else (lambda s: s)
+        self.mapped = _Mapped(self.whole.pre_tokenizer) if self.kind != "whole" else None
         self.known: dict[bytes, bytes] = {}
+        self.pieces: dict[str, bytes] = {}
+
+    def _piece(self, piece: str) -> bytes:
+        """Ids of one word of the tokenizer's pattern."""
+        got = self.pieces.get(piece)
+        if got is None:
+            got = self.pieces[piece] = array("I", [t.id for t in self.whole.model.tokenize(piece)]).tobytes()
+        return got
 
     def _chunk(self, chunk: bytes) -> bytes:
         s = chunk.decode("utf-8")
+        simple = _SIMPLE(s)
+        if simple and (simple[2] or not simple[1] or simple[3]) and (self.kind == "spaces" or not simple[1]):
+            space, word, marks = simple.groups()
+            if self.lower:
+                word = word.lower()
+            parts = [p for p in ((space + word, marks) if word else (space + marks,)) if p]
+            return b"".join([self._piece(p.translate(self.mapped)) for p in parts])
         if any(t in s for t in self.special):
-            ids = self.whole.encode(s, add_special_tokens=False).ids
-        else:
-            model = self.whole.model.tokenize
-            word = s[1:] if self.kind == "spaces" and s[:1] == " " else s
-            if word.isascii() and word.isalpha():
-                ids = [t.id for t in model(("Ġ" if len(word) < len(s) else "") + self.plain(word))]
-            else:
-                norm = self.whole.normalizer
-                cut = self.whole.pre_tokenizer.pre_tokenize_str(norm.normalize_str(s) if norm else s)
-                ids = [t.id for piece, _ in cut for t in model(piece)]
-        return np.array(ids, np.uint32).tobytes()
+            return np.array(self.whole.encode(s, add_special_tokens=False).ids, np.uint32).tobytes()
+        norm = self.whole.normalizer
+        cut = self.whole.pre_tokenizer.pre_tokenize_str(norm.normalize_str(s) if norm else s)
+        return b"".join([self._piece(piece) for piece, _ in cut])
+
+    def _split(self, text: bytes) -> list[bytes]:
+        if self.kind == "words":
+            return text.split()
+        return text.replace(b" ", b"\0 ").replace(b"\n", b"\0\n\0").split(b"\0")
 
     def ids(self, text: bytes) -> bytes:
         """Ids of a whole UTF-8 text as little-endian unsigned 32-bit."""
-        if self.kind == "words":
-            chunks = text.split()
-        elif self.kind == "spaces" and not _ODD.search(s := text.decode("utf-8")):
-            chunks = text.replace(b" ", b"\0 ").replace(b"\n", b"\0\n\0").split(b"\0") if text else []
-        elif self.kind == "spaces":
-            chunks = [c.encode() for c in re.split(r"(?<=\S)(?= \S)", s)] if text else []
-        else:
+        if self.kind == "whole" or b"\0" in text:
             return np.array(self.whole.encode(text.decode("utf-8"), add_special_tokens=False).ids, np.uint32).tobytes()
-        known = self.known
+        chunks, known = self._split(text), self.known
         try:
             return b"".join(map(known.__getitem__, chunks))
         except KeyError:
-            if len(known) > self.MOST:
-                known.clear()
-            for c in set(chunks).difference(known):
-                known[c] = self._chunk(c)
-            return b"".join(map(known.__getitem__, chunks))
+            new = set(chunks).difference(known)
+        if self.kind == "spaces" and not all(_USUAL(c.decode("utf-8")) for c in new):
+            # Only where single spaces stand between words; nothing is kept.
+            cut = re.split(r"(?<=\S)(?= \S)", text.decode("utf-8")) if text else []
+            return b"".join([self._chunk(c.encode()) for c in cut])
+        if len(known) > self.MOST:
+            known.clear()
+            new = set(chunks)
+        if len(self.pieces) > self.MOST_PIECES:
+            self.pieces.clear()
+        for c in new:
+            known[c] = self._chunk(c)
+        return b"".join(map(known.__getitem__, chunks))
