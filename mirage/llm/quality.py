@@ -34,6 +34,8 @@ WORDS, SHAPES, LAGS = 1 << 16, 1 << 14, 24
 SIZE = WORDS + SHAPES + LAGS + 1
 #: Ratings that the model is fitted on at most.
 MAX_RATED = 6000
+#: Rows gone through at a time in fitting, and bytes of text in features.
+FIT_ROWS, TEXT_BYTES = 256, 1 << 20
 
 _CLASS = np.arange(256, dtype=np.uint64)
 _CLASS[ord("a"):ord("z") + 1] = _CLASS[128:] = ord("a")
@@ -84,8 +86,13 @@ def sigmoid(x: np.ndarray) -> np.ndarray:
 def fit(row: np.ndarray, col: np.ndarray, val: np.ndarray, grade: np.ndarray, n_grades: int,
         steps: int = 400, rate: float = 0.5, decay: float = 1e-6) -> tuple[np.ndarray, np.ndarray]:
     """Weights and thresholds of least regularised loss (Adam, full batch).
-    Thresholds are the first one and the logs of the gaps between them."""
+    Thresholds are the first one and the logs of the gaps between them.
+    Entries (row, col, val) come in order of row; they are gone through some
+    rows at a time, so that no array but they grows with their number."""
     n = len(grade)
+    edges = [*range(0, n, FIT_ROWS), n]
+    at = np.searchsorted(row, edges)
+    parts = [(a, b, slice(x, y)) for a, b, x, y in zip(edges, edges[1:], at, at[1:])]
     share = np.cumsum(np.bincount(grade, minlength=n_grades) + 1.0) / (n + n_grades)
     cut = np.log(share[:-1] / (1 - share[:-1]))
     par = np.zeros(SIZE + n_grades - 1)
@@ -95,14 +102,16 @@ def fit(row: np.ndarray, col: np.ndarray, val: np.ndarray, grade: np.ndarray, n_
     for step in range(1, steps + 1):
         gaps = np.exp(par[SIZE + 1:])
         theta = par[SIZE] + np.r_[0.0, np.cumsum(gaps)]
-        s = np.bincount(row, par[col] * val, n)
+        s = np.concatenate([np.bincount(row[p] - a, par[col[p]] * val[p], b - a) for a, b, p in parts])
         upper = np.where(grade < n_grades - 1, sigmoid(theta[np.minimum(grade, n_grades - 2)] - s), 1.0)
         lower = np.where(grade > 0, sigmoid(theta[np.maximum(grade - 1, 0)] - s), 0.0)
         p = np.maximum(upper - lower, 1e-9)
         du, dl = upper * (1 - upper) / p, lower * (1 - lower) / p
         ds = (du - dl) / n  # of the loss -log p by the score
         slope = np.zeros_like(par)
-        slope[:SIZE] = np.bincount(col, ds[row] * val, SIZE) + decay * par[:SIZE]
+        slope[:SIZE] = decay * par[:SIZE]
+        for _, _, p in parts:
+            slope[:SIZE] += np.bincount(col[p], ds[row[p]] * val[p], SIZE)
         dtheta = np.zeros(n_grades - 1)
         np.add.at(dtheta, np.minimum(grade, n_grades - 2), np.where(grade < n_grades - 1, -du / n, 0))
         np.add.at(dtheta, np.maximum(grade - 1, 0), np.where(grade > 0, dl / n, 0))
@@ -123,7 +132,7 @@ def train(docs: DataFrame, ratings: DataFrame, n_grades: int, max_rated: int = M
     rated = docs.select("doc_id", text_of().alias("text")).join(F.broadcast(chosen), "doc_id")  # max_rated narrow rows
 
     def extract(batches):
-        for part in slices(batches, "text"):
+        for part in slices(batches, "text", TEXT_BYTES):
             texts = raw_texts(part.column(1))
             pairs = features(texts)
             cols, vals = [[] for _ in texts], [[] for _ in texts]
@@ -140,14 +149,14 @@ def train(docs: DataFrame, ratings: DataFrame, n_grades: int, max_rated: int = M
                                   names=["id", "grade", "cols", "vals"])
 
     def learn(batches):
-        rows = sorted((r["id"], r["grade"], r["cols"], r["vals"]) for b in batches for r in b.to_pylist())
+        rows = sorted(r for b in batches for r in zip(*(c.to_pylist() for c in b.columns)))
         if not rows:
             return
         grade = np.clip(np.array([r[1] for r in rows]), 0, n_grades - 1)
-        cols = [np.frombuffer(r[2], np.int32) for r in rows]
-        row = np.repeat(np.arange(len(rows)), [len(c) for c in cols])
-        col = np.concatenate(cols)
-        val = np.concatenate([np.frombuffer(r[3], np.float32) for r in rows])
+        row = np.repeat(np.arange(len(rows), dtype=np.int32), [len(r[2]) // 4 for r in rows])
+        col = np.frombuffer(b"".join(r[2] for r in rows), np.int32)
+        val = np.frombuffer(b"".join(r[3] for r in rows), np.float32)
+        del rows
         w, theta = fit(row, col, val, grade, n_grades)
         yield pa.record_batch([pa.array([w.astype(np.float32).tobytes()]), pa.array([theta.tobytes()])], names=["w", "theta"])
 
@@ -172,7 +181,7 @@ def rate(docs: DataFrame, model, n_grades: int, carry: list[str] | None = None)
 
     def work(batches):
         weights, theta = shared.value
-        for part in slices(batches, "text"):
+        for part in slices(batches, "text", TEXT_BYTES):
             s = scores(raw_texts(part.column("text")), weights)
             tail = 1 - sigmoid(theta[None, :] - s[:, None])
             k = n_grades - 1
