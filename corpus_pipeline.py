@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from mirage.llm import mixing, quality, queries
 from mirage.llm.common import materialise, table
 from mirage.llm.exact_dedup import exact_dedup
-from mirage.llm.ngram_join import ngram_join
+from mirage.llm.ngram_join import near_dedup
 
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -33,9 +33,8 @@ def exact_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near-duplicates the document with the smallest id."""
-    keep = ngram_join(docs).where("kept").select(F.col("doc_id").alias("_keep")).distinct()
-    return docs.join(keep, F.col("doc_id").eqNullSafe(F.col("_keep")), "left_semi")
+    """Of each group of near-duplicates the document with the smallest id, once."""
+    return near_dedup(docs)
 
 
 def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

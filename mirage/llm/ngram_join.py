@@ -26,6 +26,10 @@ task group for each pair of chunks, so that no group grows with its key.
 Null or empty text has no shingles and is linked with nothing, copies
 included. A missing id comes after every other id. Repeated rows are copies.
 Other columns are not read.
+
+``near_dedup`` keeps one row of each group. An id that is null or repeats says
+nothing about a row's text, so it decides by class: of a group's classes the
+one with the smallest id, then digest, stays, by one row with that id.
 """
 
 from __future__ import annotations
@@ -38,6 +42,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import BinaryType, StructType
 
 from mirage.llm.common import NO_ID, components, forest, materialise, text_of
 from mirage.llm.words import Words, mix, raw_texts, runs_hash, slices
@@ -249,10 +254,10 @@ def _verify(batches, threshold: float):
                                pa.array([int(links[k]) for k in at] + [0] * len(got), pa.int64())], names=["a", "b", "links"])
 
 
-def ngram_join(docs: DataFrame, threshold: float = THRESHOLD, chunk: int = CHUNK) -> DataFrame:
-    """One row per row of ``docs`` (doc_id, text): doc_id, class_id (smallest
-    doc_id that links, directly or through others, connect it to), n_links
-    (other rows linked directly, copies included), kept (doc_id = class_id)."""
+def _linked(docs: DataFrame, threshold: float, chunk: int) -> tuple[DataFrame, DataFrame]:
+    """``classes`` of the rows of ``docs``, and one row per class: digest, own
+    (smallest id), rows, least and first (smallest id of its group, and digest
+    of the first class with it; null where nothing is linked), links."""
     every = materialise(classes(docs), "signatures")
     cls = materialise(every.where("digest is not null").groupBy("digest").agg(
         F.min("id").alias("id"), F.count(F.lit(1)).alias("rows"), F.first("values").alias("values"), F.first("bands").alias("bands")), "classes")
@@ -275,10 +280,19 @@ def ngram_join(docs: DataFrame, threshold: float = THRESHOLD, chunk: int = CHUNK
                         .mapInArrow(lambda b: _verify(b, threshold), "a binary, b binary, links long"), "links")
 
     label = components(links.where("b is not null").select("a", "b")).withColumnRenamed("node", "digest")
-    smallest = label.join(cls.select("digest", "id"), "digest").groupBy("label").agg(F.min("id").alias("least"))
+    smallest = label.join(cls.select("digest", "id"), "digest").groupBy("label").agg(F.min(F.struct("id", "digest")).alias("_m"))
+    smallest = smallest.select("label", F.col("_m.id").alias("least"), F.col("_m.digest").alias("first"))
     count = links.where("b is null").groupBy(F.col("a").alias("digest")).agg(F.sum("links").alias("links"))
     table = (cls.select("digest", F.col("id").alias("own"), "rows").join(label.join(smallest, "label").drop("label"), "digest", "left")
              .join(count, "digest", "left"))
+    return every, table
+
+
+def ngram_join(docs: DataFrame, threshold: float = THRESHOLD, chunk: int = CHUNK) -> DataFrame:
+    """One row per row of ``docs`` (doc_id, text): doc_id, class_id (smallest
+    doc_id that links, directly or through others, connect it to), n_links
+    (other rows linked directly, copies included), kept (doc_id = class_id)."""
+    every, table = _linked(docs, threshold, chunk)
     out = every.select("id", "digest").join(table, "digest", "left")
     class_id = F.coalesce("least", "own", "id")
     none = F.lit(None).cast("long")
@@ -288,6 +302,35 @@ def ngram_join(docs: DataFrame, threshold: float = THRESHOLD, chunk: int = CHUNK
                       (F.col("id") == class_id).alias("kept"))
 
 
+def near_dedup(docs: DataFrame, threshold: float = THRESHOLD, chunk: int = CHUNK) -> DataFrame:
+    """The rows of ``docs`` (doc_id, text) that stay: one of each group of
+    linked texts, and every row without words."""
+    every, table = _linked(docs, threshold, chunk)
+    keep = table.where("first is null or first = digest").select(F.col("own").alias("_near_id"), F.col("digest").alias("_near_keep"))
+    alone = every.where("digest is null").select(F.col("id").alias("_near_id"), F.col("digest").alias("_near_keep")).distinct()
+    rows = _with_digest(docs).withColumn("_near_own", F.coalesce(F.col("doc_id"), F.lit(NO_ID)).cast("long"))
+    same = (F.col("_near_own") == F.col("_near_id")) & F.col("_near_digest").eqNullSafe(F.col("_near_keep"))
+    rows = rows.join(keep.union(alone), same, "left_semi")
+    # Only where rows repeat id and words is a second shuffle of the texts needed.
+    if every.where("digest is not null").groupBy("digest", "id").count().where("count > 1").limit(1).count():
+        rows = rows.withColumn("_near_row", F.when(F.col("_near_digest").isNull(), F.monotonically_increasing_id()))
+        rows = rows.dropDuplicates(["_near_digest", "_near_row"])
+    return rows.select(*docs.columns)
+
+
+def _with_digest(docs: DataFrame) -> DataFrame:
+    """``docs`` with _near_digest: the digest that ``classes`` gives the text."""
+    at = docs.columns.index("text")
+
+    def work(batches):
+        for part in slices(batches, "text"):
+            words = [t.split() for t in raw_texts(part.column(at))]
+            keys = [hashlib.blake2b(b" ".join(w), digest_size=16).digest() if w else None for w in words]
+            yield pa.record_batch([*part.columns, pa.array(keys, pa.binary())], names=[*part.schema.names, "_near_digest"])
+
+    return docs.mapInArrow(work, StructType(list(docs.schema.fields)).add("_near_digest", BinaryType()))
+
+
 def _same_text(found: DataFrame) -> DataFrame:
     """One row per digest: the text whose words have that digest (an id that
     several rows share can bring other texts along)."""

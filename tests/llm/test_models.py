@@ -199,6 +199,46 @@ def test_stages_on_odd_rows(spark, docs, k):
         assert out.where("piece = 0").count() == rows.count()
 
 
+def near_survivors(rows):
+    """One (id, words) of each group: the smallest id, and how many rows without words."""
+    key = lambda i: float("inf") if i is None else i
+    sets = [B.shingles(t) for _, t in rows]
+    pairs = [(a, b) for a, x in enumerate(sets) for b, y in enumerate(sets[:a]) if x and len(x & y) >= 0.8 * len(x | y)]
+    groups = {}
+    for k, r in enumerate(B.union(len(rows), pairs)):
+        if sets[k]:
+            groups.setdefault(r, []).append(k)
+    return [(min((rows[k][0] for k in g), key=key), {" ".join(B.words(rows[k][1])) for k in g}) for g in groups.values()], sum(not s for s in sets)
+
+
+def one_of_each_group(spark, rows):
+    got = [tuple(r) for r in C.near_stage(spark, rows, SF).select("doc_id", "text").collect()]
+    groups, blank = near_survivors([tuple(r) for r in rows.select("doc_id", "text").collect()])
+    left = [(i, " ".join(B.words(t))) for i, t in got if B.words(t)]
+    assert len(got) - len(left) == blank and len(left) == len(groups)
+    for ident, texts in groups:
+        assert [i for i, t in left if t in texts] == [ident]
+
+
+def test_near_stage_keeps_one_of_each_group(spark, docs):
+    one_of_each_group(spark, docs.select("doc_id", "text", "lang", "source", "n_chars"))
+
+
+def test_near_stage_on_null_and_repeated_ids(spark):
+    def change(text, k):
+        words = text.split()
+        words[k] = "changed"
+        return " ".join(words)
+
+    rows = []
+    for g in range(6):
+        text = prose(f"group{g}", 120)
+        rows += [(None, text), (None, change(text, 50)), (g % 2, change(text, 90)), (7, "  " + text), (7, text)]
+    rows += [(None, prose("alone", 50)), (7, prose("alone too", 50)), (None, None), (7, "")]
+    rows += [(None, prose("nulls", 100)), (None, change(prose("nulls", 100), 40)), (None, prose("nulls", 100))]
+    one_of_each_group(spark, frame(spark, rows).select("doc_id", "text", "lang", "source", "n_chars"))
+
+
 @pytest.mark.parametrize("k", range(5))
 def test_stages_on_no_rows(spark, none, k):
     rows = none.select("doc_id", "text", "lang", "source", "n_chars")
