@@ -12,18 +12,21 @@ A leaf's documents form one sequence per epoch, ordered by a seeded hash, the
 epochs one after the other; the leaf takes the prefix of its budget, the last
 document possibly in part. The cut is found level by level: token sums by the
 first two hex digits of the hash, then, inside the digits where the budget
-ends, by the next two, and so on; only the documents that share all
-``LEVELS`` levels of digits with the cut are put in order themselves. No
-leaf's rows meet in one task, however large it is; what does meet are the sums
-of a node's children, one row for each name below it.
+ends, by the next two, and so on; only the documents that share the digits of
+the first ``LEVELS`` levels with the cut are put in order themselves. Where
+more than ``CELL`` of a leaf share them, ids repeat: the levels go on, through
+the rest of the hash and then its second and third part. No leaf's rows meet in
+one task, however large it is; what does meet are the sums of a node's
+children, one row for each name below it.
 
 Tokens are words (runs of anything but ASCII white space); null or empty text
 has none and is never taken. Missing domains, languages or sources are nodes
 named ''. Nodes without a weight get 1; weights below 0 count as 0, and such a
-node gets only what its siblings cannot take. Rows with equal ids share their
-place in an epoch: where the budget ends among them, each takes at most what
-was left for the last of them. No rows give no rows. Columns named like an
-output are replaced.
+node gets only what its siblings cannot take. Rows with equal ids (or without)
+come one after the other in an epoch, in the order of a second hash, of the
+text, and rows that repeat the text too in that of a third, of a number stored
+with the row: every leaf takes exactly its budget and cuts one document at
+most. No rows give no rows. Columns named like an output are replaced.
 """
 
 from __future__ import annotations
@@ -36,6 +39,12 @@ from mirage.llm.common import materialise, text_of
 TREE = ["domain", "lang", "source"]
 #: Levels of two hex digits (256 parts each) before rows are ordered.
 LEVELS = 3
+#: Hex digits of each hash, and the digits of all levels: LEVELS of two in each
+#: hash, then the rest of it.
+DIGITS = 32
+WIDTHS = [DIGITS * part + n for part in range(3) for n in [*range(2, 2 * LEVELS + 1, 2), DIGITS]]
+#: Rows of a leaf that may share the digits of LEVELS levels and be ordered.
+CELL = 1000
 OUT = ["epoch", "n_tokens", "take_tokens"]
 BIG = "decimal(38,0)"
 
@@ -100,10 +109,13 @@ def mix_sources(docs: DataFrame, domain: Column, weights: dict[str, dict[str, in
     of the tree to integer weights by name; ``domain`` gives a row's domain."""
     cols = [c for c in docs.columns if c not in OUT]
     rows = docs.select(F.struct(*cols).alias("row"), F.coalesce(domain, F.lit("")).alias("domain"), F.coalesce("lang", F.lit("")).alias("lang"),
-                       F.coalesce("source", F.lit("")).alias("source"), F.col("doc_id").cast("string").alias("_id"), n_words(text_of()).alias("n_tokens"))
-    # The narrow side decides; the documents' own columns join only at the end.
-    # (No filter before the table: it would count the words twice.)
-    narrow = materialise(rows.select(*TREE, "_id", "n_tokens"), "tokens").where("n_tokens > 0")
+                       F.coalesce("source", F.lit("")).alias("source"), F.col("doc_id").cast("string").alias("_id"), F.md5(text_of()).alias("_text"),
+                       F.monotonically_increasing_id().alias("_row"), n_words(text_of()).alias("n_tokens"))
+    # Stored with the documents' own columns: a row's number is the same in
+    # every pass, and words are counted once. (No filter before the table: it
+    # would count the words twice.) The narrow columns decide.
+    rows = materialise(rows, "tokens").where("n_tokens > 0")
+    narrow = rows.drop("row")
     leaves = materialise(narrow.groupBy(*TREE).agg(F.sum("n_tokens").alias("tokens")), "leaves")
     permille = round(share * 1000)
     budgets = materialise(leaf_budgets(leaves, weights, F.floor(F.col("_all") * permille / 1000), epochs), "budgets")
@@ -111,31 +123,34 @@ def mix_sources(docs: DataFrame, domain: Column, weights: dict[str, dict[str, in
     budgets = budgets.withColumn("whole", F.floor(F.col("budget") / F.col("tokens")).cast("long")).withColumn(
         "rest", F.col("budget") - F.col("whole") * F.col("tokens"))
 
-    epoch_key = F.md5(F.concat_ws(":", F.lit(str(seed)), F.col("whole").cast("string"), F.coalesce("_id", F.lit("null"))))
+    def place(*of: Column) -> Column:
+        return F.md5(F.concat_ws(":", F.lit(str(seed)), F.col("whole").cast("string"), *of))
+
+    key = F.concat(place(F.coalesce("_id", F.lit("null"))), place(F.lit("text"), F.col("_text")), place(F.lit("row"), F.col("_row").cast("string")))
     cut = budgets.where("rest > 0").select(*TREE, "whole", "rest", F.lit("").alias("prefix"), F.lit(0).cast("long").alias("spent"))
-    keyed = narrow.join(cut.select(*TREE, "whole"), TREE).withColumn("_key", epoch_key)
-    for level in range(LEVELS):
-        part = F.substring("_key", 1, 2 * (level + 1))
+    keyed = narrow.join(cut.select(*TREE, "whole"), TREE).withColumn("_key", key)
+    for level, width in enumerate(WIDTHS):
+        if level >= LEVELS and not cut.where(F.col("n") > CELL).limit(1).count():
+            break
+        part = F.substring("_key", 1, width)
         inside = keyed.join(cut.select(*TREE, "prefix"), TREE).where(F.col("_key").startswith(F.col("prefix")))
-        sums = inside.groupBy(*TREE, part.alias("part")).agg(F.sum("n_tokens").alias("tokens"))  # 256 rows a leaf at most
+        sums = inside.groupBy(*TREE, part.alias("part")).agg(F.sum("n_tokens").alias("tokens"), F.count(F.lit(1)).alias("n"))  # 256 rows a leaf at most
         w = Window.partitionBy(*TREE).orderBy("part")
-        sums = sums.join(cut.drop("prefix"), TREE).withColumn("_end", F.col("spent") + F.sum("tokens").over(w))
+        sums = sums.join(cut.select(*TREE, "whole", "rest", "spent"), TREE).withColumn("_end", F.col("spent") + F.sum("tokens").over(w))
         cut = materialise(sums.where("_end >= rest").groupBy(*TREE, "whole", "rest").agg(
-            F.min(F.struct("part", (F.col("_end") - F.col("tokens")).alias("spent"))).alias("_c"))
-            .select(*TREE, "whole", "rest", F.col("_c.part").alias("prefix"), F.col("_c.spent").alias("spent")), "cut")
+            F.min(F.struct("part", (F.col("_end") - F.col("tokens")).alias("spent"), "n")).alias("_c"))
+            .select(*TREE, "whole", "rest", F.col("_c.part").alias("prefix"), F.col("_c.spent").alias("spent"), F.col("_c.n").alias("n")), "cut")
     # Documents at the cut, in order: few, as they share all digits.
-    at = keyed.join(cut.select(*TREE, "prefix", "rest", "spent"), TREE).where(F.substring("_key", 1, 2 * LEVELS) == F.col("prefix"))
-    w = Window.partitionBy(*TREE).orderBy("_key", "n_tokens").rowsBetween(Window.unboundedPreceding, -1)
+    at = keyed.join(cut.select(*TREE, "prefix", "rest", "spent"), TREE).where(F.col("_key").startswith(F.col("prefix")))
+    w = Window.partitionBy(*TREE).orderBy("_key").rowsBetween(Window.unboundedPreceding, -1)
     last = at.withColumn("_start", F.col("spent") + F.coalesce(F.sum("n_tokens").over(w), F.lit(0)))
     last = last.where("_start < rest").groupBy(*TREE).agg(
-        F.max(F.struct("_key", "n_tokens", "_start")).alias("_l")).select(*TREE, F.col("_l._key").alias("last"),
-                                                                       F.col("_l.n_tokens").alias("_n"), F.col("_l._start").alias("last_start"))
+        F.max(F.struct("_key", "_start")).alias("_l")).select(*TREE, F.col("_l._key").alias("last"), F.col("_l._start").alias("last_start"))
     plan = materialise(budgets.select(*TREE, "whole", "rest").join(last, TREE, "left"), "plan")
 
-    key = F.md5(F.concat_ws(":", F.lit(str(seed)), F.col("whole").cast("string"), F.coalesce("_id", F.lit("null"))))
     got = rows.join(plan, TREE).withColumn("_key", key)
     end = F.when(F.col("_key") < F.col("last"), F.col("n_tokens")).when(
-        (F.col("_key") == F.col("last")) & (F.col("n_tokens") <= F.col("_n")), F.least("n_tokens", F.col("rest") - F.col("last_start")))
+        F.col("_key") == F.col("last"), F.least("n_tokens", F.col("rest") - F.col("last_start")))
     taken = F.when(F.col("epoch") < F.col("whole"), F.col("n_tokens")).otherwise(F.coalesce(end, F.lit(0)))
     got = got.withColumn("epoch", F.explode(F.sequence(F.lit(0).cast("long"), F.col("whole")))).withColumn("take_tokens", taken)
     return got.where("take_tokens > 0").select(*[F.col("row")[c].alias(c) for c in cols], F.col("epoch").cast("int").alias("epoch"), "n_tokens", "take_tokens")

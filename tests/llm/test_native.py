@@ -145,6 +145,25 @@ def test_mix_repeated_rows(spark):
     assert rows and all(r["take_tokens"] <= r["n_tokens"] for r in rows)
 
 
+@pytest.mark.parametrize("cell", [1000, 0, 5])
+def test_mix_cuts_one_document_of_equal_ids(spark, monkeypatch, cell):
+    """A third of the rows without id, a third with one id, copies among both."""
+    monkeypatch.setattr(mixing, "CELL", cell)
+    rows = [(None if k % 3 == 0 else 7 if k % 3 == 1 else 1000 + k, prose(k % 40, 5 + (k * 37) % 30) if k % 5 else "same words in every copy here") for k in range(240)]
+    schema = "doc_id long, text string, lang string, source string"
+    docs = spark.createDataFrame([(i, t, ["en", "de"][k % 2], "src0") for k, (i, t) in enumerate(rows)], schema).repartition(3)
+    for share, epochs in [(0.37, 1), (0.5, 1), (1.3, 2)]:
+        tokens = {}
+        for k, (_, t) in enumerate(rows):
+            leaf = ("web", ["en", "de"][k % 2], "src0")
+            tokens[leaf] = tokens.get(leaf, 0) + len(t.split())
+        got = mixing.mix_sources(docs, F.lit("web"), {}, share, epochs).collect()
+        for (_, lang, _), budget in plan(tokens, {}, share, epochs).items():
+            own = [r for r in got if r["lang"] == lang]
+            assert sum(r["take_tokens"] for r in own) == budget
+            assert sum(r["take_tokens"] < r["n_tokens"] for r in own) <= 1
+
+
 def test_taken_text(spark):
     rows = spark.createDataFrame([("  a b\n\tc  d ", 4, 2), ("a b", 2, 2), (" x", 1, 1), ("a b c", 2, 1)], "text string, n_tokens long, take_tokens long")
     assert [r[0] for r in rows.select(mixing.taken_text()).collect()] == ["  a b", "a b", " x", "a b"]
