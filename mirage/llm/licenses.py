@@ -18,6 +18,9 @@ are not read. Of several licences with one digest the smallest id is reported.
 
 from __future__ import annotations
 
+import json
+from pathlib import Path
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -103,6 +106,18 @@ THE SOFTWARE IS PROVIDED "AS IS" AND THE AUTHOR DISCLAIMS ALL WARRANTIES WITH RE
     ("CC0-1.0", "Released under CC0 1.0."),
 ]
 
+
+def _listed() -> list[tuple[str, str]]:
+    """Full texts of ``known_licenses.json``, and its notices: each opening
+    with each name of a licence, and the licence's SPDX line."""
+    listed = json.loads(Path(__file__).with_name("known_licenses.json").read_text("utf-8"))
+    notices = [(i, f"{opening} {name}.") for i, names in listed["names"].items() for name in names for opening in listed["openings"]]
+    spdx = [(i, f"SPDX-License-Identifier: {i}") for i in listed["names"]]
+    return [(i, t) for i, t in listed["texts"]] + notices + spdx
+
+
+KNOWN += _listed()
+
 #: Everything that becomes a space: ASCII control characters and punctuation,
 #: general punctuation, and a few Latin-1 signs. Line feeds part the lines.
 MARKS = r"[\x00-\x09\x0B-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F\x{A0}-\x{A8}\x{AB}-\x{B1}\x{B4}\x{B6}-\x{B8}\x{BB}\x{BF}\x{2000}-\x{206F}]+"

@@ -57,6 +57,25 @@ def test_license_cases(spark):
     assert by[11]["text_digest"] is None and by[13]["text_digest"] is None and by[1]["text_digest"] == by[2]["text_digest"]
 
 
+COMMON = [("Apache-2.0", "Apache-2.0"), ("GPL-2", "GPL-2.0-only"), ("GPL-3", "GPL-3.0-only"), ("LGPL-2.1", "LGPL-2.1-only"), ("LGPL-3", "LGPL-3.0-only"),
+          ("MPL-2.0", "MPL-2.0"), ("CC0-1.0", "CC0-1.0"), ("BSD", "BSD-3-Clause")]
+NOTICES = [("Licensed under the GNU General Public License, version 2.", "GPL-2.0-only"), ("Released under the Apache License, Version 2.0.", "Apache-2.0"),
+           ("Licensed under CC0 1.0.", "CC0-1.0"), ("This file is licensed under the BSD 3-Clause License.", "BSD-3-Clause"),
+           ("# SPDX-License-Identifier: MPL-2.0", "MPL-2.0"), ("Distributed under the GNU Lesser General Public License, version 2.1 or later.", "LGPL-2.1-or-later"),
+           ("Not licensed under CC0 1.0.", None)]
+
+
+def test_common_licenses(spark):
+    assert len(licenses.KNOWN) <= licenses.MOST_KNOWN  # broadcast
+    files = []
+    for name, i in COMMON:
+        with open(f"/usr/share/common-licenses/{name}", encoding="utf-8") as f:
+            files.append((f.read(), i))
+    rows = [(t, i, "") for t, i in files] + [(f"text\n{t}\nmore", None, i or "") for t, i in NOTICES]
+    got = licenses.scan_licenses(frame(spark, [(k, t) for k, (t, _, _) in enumerate(rows)]), licenses.known_licenses(spark)).collect()
+    assert sorted((r["doc_id"], r["license_id"], ",".join(r["notices"])) for r in got) == [(k, i, n) for k, (_, i, n) in enumerate(rows)]
+
+
 def test_license_empty(spark, none):
     assert licenses.scan_licenses(none, licenses.known_licenses(spark)).count() == 0
     docs = frame(spark, [(1, MIT)])
