@@ -11,6 +11,7 @@ from mirage.llm import chat, licenses, mixing, packing, quality
 from mirage.llm.common import table
 from mirage.llm.exact_dedup import exact_dedup
 from mirage.llm.ngram_join import ngram_join
+from mirage.llm.spelling import spelling_variants
 from mirage.llm.substring_dedup import remove_repeats
 from mirage.llm.token_files import token_rows
 from mirage.llm.vector_dedup import near_vectors
@@ -108,6 +109,10 @@ def op10_vector_dedup(spark: SparkSession, d: str) -> DataFrame:
     return near_vectors(table(spark, d, "embeddings"))
 
 
+def op13_spelling_variants(spark: SparkSession, d: str) -> DataFrame:
+    return spelling_variants(table(spark, d, "documents").select("doc_id", "text"))
+
+
 def pipeline(spark: SparkSession, d: str) -> DataFrame:
     import corpus_pipeline
 
@@ -116,4 +121,5 @@ def pipeline(spark: SparkSession, d: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f for f in (op1_license_scan, op2_quality_classifier, op3_source_mixing, op4_pattern_packing, op5_chat_formatting,
-                            op6_substring_dedup, op7_exact_dedup, op8_ngram_jaccard_join, op9_token_files, op10_vector_dedup, pipeline)}
+                            op6_substring_dedup, op7_exact_dedup, op8_ngram_jaccard_join, op9_token_files, op10_vector_dedup,
+                            op13_spelling_variants, pipeline)}
