@@ -8,6 +8,7 @@ from __future__ import annotations
 
 from mirage.llm import queries
 from mirage.llm.common import SPACES
+from mirage.llm.lexical import TOP
 from mirage.llm.licenses import COPYRIGHT, EQUIVALENT, KNOWN, MARKS
 
 
@@ -100,9 +101,30 @@ SELECT doc_id, min(doc_id) OVER (PARTITION BY t) AS keep_id, count(*) OVER (PART
        doc_id IS NOT DISTINCT FROM min(doc_id) OVER (PARTITION BY t) AS kept, sha256(t) AS text_sha256 FROM n"""
 
 
+def _lexical() -> str:
+    def terms(table: str, cols: str) -> str:
+        folded = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+        found = f"regexp_extract_all({folded}, {_quoted('[^' + chr(92) + 'x00-/:-@[-`{-' + chr(92) + 'x7F]+')})"
+        return f"SELECT {cols}, {found} AS ts FROM {table}"
+
+    return f"""
+WITH d AS ({terms('documents', 'row_number() OVER () AS r, doc_id')}),
+i AS (SELECT item_id, term, count(*) AS q FROM (SELECT item_id, unnest(ts) AS term FROM
+      ({terms('(SELECT DISTINCT item_id, text FROM benchmark WHERE item_id IS NOT NULL)', 'item_id')})) GROUP BY ALL),
+totals AS (SELECT count(*)::BIGINT AS n_docs, sum(len(ts))::BIGINT AS n_terms FROM d WHERE len(ts) > 0),
+tf AS (SELECT r, term, count(*)::BIGINT AS tf FROM (SELECT r, unnest(ts) AS term FROM d) WHERE term IN (SELECT term FROM i) GROUP BY ALL),
+w AS (SELECT term, floor(1000 * ln((2 * n_docs + 2) / (2 * count(*) + 1)))::BIGINT AS w FROM tf, totals GROUP BY term, n_docs),
+m AS (SELECT r, doc_id, 75 + ((25 * len(ts)::BIGINT * n_docs) // n_terms) AS m FROM d, totals WHERE len(ts) > 0),
+s AS (SELECT item_id, r, doc_id, sum(q * w * ((1000000000 * tf) // (1000 * tf + 12 * m)))::BIGINT AS score
+      FROM i JOIN w USING (term) JOIN tf USING (term) JOIN m USING (r) GROUP BY ALL)
+SELECT * FROM (SELECT item_id, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id NULLS LAST)::INT AS rank, doc_id, score
+               FROM s WHERE score > 0) WHERE rank <= {TOP}"""
+
+
 ORACLE: dict[str, str] = {
     "op1_license_scan": _licenses(),
     "op3_source_mixing": _mixing(),
     "op5_chat_formatting": _chat(),
     "op7_exact_dedup": _exact(),
+    "op11_lexical_search": _lexical(),
 }

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from mirage.llm import chat, licenses, mixing, packing, quality
 from mirage.llm.common import table
 from mirage.llm.exact_dedup import exact_dedup
+from mirage.llm.lexical import lexical_search
 from mirage.llm.ngram_join import ngram_join
 from mirage.llm.spelling import spelling_variants
 from mirage.llm.substring_dedup import remove_repeats
@@ -109,6 +110,10 @@ def op10_vector_dedup(spark: SparkSession, d: str) -> DataFrame:
     return near_vectors(table(spark, d, "embeddings"))
 
 
+def op11_lexical_search(spark: SparkSession, d: str) -> DataFrame:
+    return lexical_search(table(spark, d, "documents").select("doc_id", "text"), table(spark, d, "benchmark").select("item_id", "text"))
+
+
 def op13_spelling_variants(spark: SparkSession, d: str) -> DataFrame:
     return spelling_variants(table(spark, d, "documents").select("doc_id", "text"))
 
@@ -122,4 +127,4 @@ def pipeline(spark: SparkSession, d: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f for f in (op1_license_scan, op2_quality_classifier, op3_source_mixing, op4_pattern_packing, op5_chat_formatting,
                             op6_substring_dedup, op7_exact_dedup, op8_ngram_jaccard_join, op9_token_files, op10_vector_dedup,
-                            op13_spelling_variants, pipeline)}
+                            op11_lexical_search, op13_spelling_variants, pipeline)}
