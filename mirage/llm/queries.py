@@ -12,6 +12,7 @@ from mirage.llm.common import table
 from mirage.llm.exact_dedup import exact_dedup
 from mirage.llm.lexical import lexical_search
 from mirage.llm.ngram_join import ngram_join
+from mirage.llm.projection_search import nearest_neighbours
 from mirage.llm.spelling import spelling_variants
 from mirage.llm.substring_dedup import remove_repeats
 from mirage.llm.token_files import token_rows
@@ -114,6 +115,10 @@ def op11_lexical_search(spark: SparkSession, d: str) -> DataFrame:
     return lexical_search(table(spark, d, "documents").select("doc_id", "text"), table(spark, d, "benchmark").select("item_id", "text"))
 
 
+def op12_projection_search(spark: SparkSession, d: str) -> DataFrame:
+    return nearest_neighbours(table(spark, d, "embeddings").select("vec_id", "embedding"), F.col("vec_id") % 50 == 0)
+
+
 def op13_spelling_variants(spark: SparkSession, d: str) -> DataFrame:
     return spelling_variants(table(spark, d, "documents").select("doc_id", "text"))
 
@@ -127,4 +132,4 @@ def pipeline(spark: SparkSession, d: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f for f in (op1_license_scan, op2_quality_classifier, op3_source_mixing, op4_pattern_packing, op5_chat_formatting,
                             op6_substring_dedup, op7_exact_dedup, op8_ngram_jaccard_join, op9_token_files, op10_vector_dedup,
-                            op11_lexical_search, op13_spelling_variants, pipeline)}
+                            op11_lexical_search, op12_projection_search, op13_spelling_variants, pipeline)}
