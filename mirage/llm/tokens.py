@@ -32,6 +32,9 @@ _USUAL = re.compile(r"\n| ?[^\s\x00]+").fullmatch
 # words of the tokenizers' pattern, which normalisation changes in case only.
 # Letters up to U+02AF, without the one whose lower case is two characters.
 _SIMPLE = re.compile(r"( ?)([A-Za-zªµºÀ-ÖØ-öø-įı-ʯ]*)([!-&(-/:-@\[-`{-~]*)").fullmatch
+_LETTERS = re.compile("[A-Za-zªµºÀ-ÖØ-öø-įı-ʯ]+").fullmatch
+#: ASCII marks other than the apostrophe.
+_MARKS = b"!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~"
 _OWN: dict[str, "Encoder"] = {}
 
 
@@ -54,10 +57,33 @@ class _Mapped(dict):
         return got
 
 
+class _Odd(Exception):
+    """A chunk whose white space is not of the form that may be cut."""
+
+
+class _Store(dict):
+    """Remembers what ``make`` gives for a key: the ``most`` latest keys and,
+    until as many others came, those before them. Beyond that a key is made
+    anew, which costs time only."""
+
+    def __init__(self, make, most: int):
+        super().__init__()
+        self.make, self.most, self.before = make, most, {}
+
+    def __missing__(self, key):
+        got = self.before.get(key)
+        if got is None:
+            got = self.make(key)
+        if len(self) >= self.most:
+            self.before = dict(self)
+            self.clear()
+        self[key] = got
+        return got
+
+
 class Encoder:
-    #: Chunks and words of the tokenizer kept in memory (some 100 MB); beyond
-    #: it a store starts anew, which costs time only.
-    MOST, MOST_PIECES = 350_000, 250_000
+    #: Chunks kept, and as many of those before them (some 150 MB in all).
+    MOST = 350_000
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
@@ -77,15 +103,29 @@ class Encoder:
         self.lower = "Lowercase" in json.dumps(spec.get("normalizer"))
         self.special = [t["content"] for t in spec.get("added_tokens", [])]
         self.mapped = _Mapped(self.whole.pre_tokenizer) if self.kind != "whole" else None
-        self.known: dict[bytes, bytes] = {}
-        self.pieces: dict[str, bytes] = {}
+        # Byte-level tokenizers write a space as a letter of its own, ASCII
+        # letters and marks as they are.
+        self.space = self.mapped[32] if self.kind == "spaces" else None
+        self.known = _Store(self._new, self.MOST)
 
     def _piece(self, piece: str) -> bytes:
         """Ids of one word of the tokenizer's pattern."""
-        got = self.pieces.get(piece)
-        if got is None:
-            got = self.pieces[piece] = array("I", [t.id for t in self.whole.model.tokenize(piece)]).tobytes()
-        return got
+        return array("I", [t.id for t in self.whole.model.tokenize(piece)]).tobytes()
+
+    def _new(self, chunk: bytes) -> bytes:
+        """Ids of a chunk: most are letters (after a space) and marks, which
+        are words of the pattern of their own and so chunks of their own."""
+        word = chunk.rstrip(_MARKS)
+        spaced = self.space is not None and word[:1] == b" "
+        bare = word[1:] if spaced else word
+        plain = bare.isalpha()  # ASCII only
+        if len(word) < len(chunk) and (plain or bare and _LETTERS(bare.decode("utf-8"))):
+            return self.known[word] + self.known[chunk[len(word):]]
+        if plain:
+            return self._piece((self.space if spaced else "") + (bare.lower() if self.lower else bare).decode())
+        if self.kind == "spaces" and not _USUAL(chunk.decode("utf-8")):
+            raise _Odd
+        return self._chunk(chunk)
 
     def _chunk(self, chunk: bytes) -> bytes:
         s = chunk.decode("utf-8")
@@ -111,20 +151,9 @@ class Encoder:
         """Ids of a whole UTF-8 text as little-endian unsigned 32-bit."""
         if self.kind == "whole" or b"\0" in text:
             return np.array(self.whole.encode(text.decode("utf-8"), add_special_tokens=False).ids, np.uint32).tobytes()
-        chunks, known = self._split(text), self.known
         try:
-            return b"".join(map(known.__getitem__, chunks))
-        except KeyError:
-            new = set(chunks).difference(known)
-        if self.kind == "spaces" and not all(_USUAL(c.decode("utf-8")) for c in new):
-            # Only where single spaces stand between words; nothing is kept.
-            cut = re.split(r"(?<=\S)(?= \S)", text.decode("utf-8")) if text else []
+            return b"".join(map(self.known.__getitem__, self._split(text)))
+        except _Odd:
+            # Only where single spaces stand between words.
+            cut = re.split(r"(?<=\S)(?= \S)", text.decode("utf-8"))
             return b"".join([self._chunk(c.encode()) for c in cut])
-        if len(known) > self.MOST:
-            known.clear()
-            new = set(chunks)
-        if len(self.pieces) > self.MOST_PIECES:
-            self.pieces.clear()
-        for c in new:
-            known[c] = self._chunk(c)
-        return b"".join(map(known.__getitem__, chunks))
