@@ -50,20 +50,32 @@ def patterns(bins: int = BINS) -> np.ndarray:
     return out
 
 
-def nnls(a: np.ndarray, b: np.ndarray, rounds: int = 400) -> np.ndarray:
+def nnls(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     """x >= 0 with the least ``|a @ x - b|``, by active sets: the column that
-    lowers the error most joins; columns that would turn negative leave."""
+    lowers the error most joins; columns that would turn negative leave. Every
+    step lowers the error, so no set comes twice and the end is the optimum (a
+    column that cannot join for rounding waits until another one has)."""
     x = np.zeros(a.shape[1])
     on = np.zeros(a.shape[1], bool)
-    for _ in range(rounds):
+    wait = np.zeros(a.shape[1], bool)
+    enough = 1e-9 * max(1.0, float(np.abs(b).max(initial=0)))
+    while True:
         slope = a.T @ (b - a @ x)
-        slope[on] = -np.inf
-        if on.all() or slope.max() <= 1e-9 * max(1.0, float(np.abs(b).max())):
-            break
-        on[int(slope.argmax())] = True
+        slope[on | wait] = -np.inf
+        if not len(x) or slope.max() <= enough:
+            return x
+        new = int(slope.argmax())
+        on[new] = True
+        first = True
         while True:
             cols = np.flatnonzero(on)
             fit = np.linalg.lstsq(a[:, cols], b, rcond=None)[0]
+            if first and fit[cols == new] <= 0:
+                on[new], wait[new] = False, True
+                break
+            if first:
+                wait[:] = False
+                first = False
             if not len(cols) or fit.min() > 0:
                 x[:] = 0
                 x[cols] = fit
@@ -74,7 +86,6 @@ def nnls(a: np.ndarray, b: np.ndarray, rounds: int = 400) -> np.ndarray:
             gone = cols[low][room <= room.min()]
             x[gone] = 0
             on[gone] = False
-    return x
 
 
 def pack_lengths(lengths: np.ndarray, capacity: int) -> tuple[np.ndarray, np.ndarray]:
@@ -114,7 +125,7 @@ def pack_lengths(lengths: np.ndarray, capacity: int) -> tuple[np.ndarray, np.nda
 
     width, slack, latest = -(-capacity // BINS), capacity // 512, []
     small = lengths[(lengths < capacity) & (lengths > 0)]
-    if len(small) >= BINS:
+    if len(small):
         all_of = patterns()
         counts = np.bincount(np.minimum(small // width, BINS - 1), minlength=BINS).astype(float)
         usable = all_of[:, counts == 0].sum(1) == 0
