@@ -41,39 +41,90 @@ def dedupe_evals(evals: DataFrame) -> DataFrame:
     return keep_first(evals, EVAL_KEY, ["id"])
 
 
+def first_rank() -> Column:
+    """A10 as one number to take the minimum of over ``EVAL_KEY``: rows order
+    by id, then label (missing ones first), as ``dedupe_evals`` orders them.
+    A numeric buffer, so the fold is a hash aggregate with map-side combine."""
+    ident = F.coalesce(F.col("id").cast("long"), F.lit(-(1 << 63))).cast("decimal(20,0)")
+    label = F.col("eval_label")
+    place = F.when(label == 1, 1).when(label == 2, 2).when(label > 2, 3).otherwise(0)
+    return F.min(ident * 4 + place)
+
+
+def first_severity(rank: Column) -> Column:
+    """A1 of the row that ``first_rank`` found."""
+    place = F.pmod(rank, F.lit(4).cast("decimal(20,0)")).cast("int")
+    return F.when(place == 1, 2).when(place == 2, 1).otherwise(0)
+
+
+def is_judge(model: Column) -> Column:
+    return ~model.isin(HUMAN_MODEL_ID, FUNCTION_MODEL_ID)
+
+
+def judge_label(severity_of_judge: Column, severity_of_code: Column) -> Column:
+    return label_from_severity(F.greatest(severity_of_judge, F.coalesce(severity_of_code, F.lit(0))))
+
+
+def answer_severities(evals: DataFrame, dedupe: bool = True) -> DataFrame:
+    """One row per answer: ``judges``, an array of (judge, sev) of the models
+    that judged it, and ``code``, the severity of its inclusion rows (null
+    without any). Three aggregations of one scan, each combined before its
+    shuffle: per evaluation key, per (answer, model), per answer; the array is
+    as long as there are models."""
+    rows = evals.select(*EVAL_KEY, "id", "eval_label") if dedupe else evals
+    if dedupe:
+        rows = rows.groupBy(*EVAL_KEY).agg(first_rank().alias("rank")).select(
+            "answer_id", "model_id", first_severity(F.col("rank")).alias("sev"))
+    else:
+        rows = rows.select("answer_id", "model_id", severity(F.col("eval_label")).alias("sev"))
+    each = rows.groupBy("answer_id", "model_id").agg(F.max("sev").alias("sev"))
+    model = F.col("model_id")
+    entry = F.struct(model.alias("judge"), "sev")
+    code = F.max(F.when((model == FUNCTION_MODEL_ID) & F.col("answer_id").isNotNull(), F.col("sev")))
+    return each.groupBy("answer_id").agg(
+        F.sort_array(F.collect_list(F.when(is_judge(model), entry))).alias("judges"), code.alias("code"))
+
+
+def label_sets(evals: DataFrame) -> DataFrame:
+    """A2 as one row per answer: answer_id, ``labels``, an array of (judge,
+    label)."""
+    rows = answer_severities(evals).where(F.size("judges") > 0)
+    return rows.select("answer_id", F.transform("judges", lambda x: F.struct(
+        x.judge.alias("judge"), judge_label(x.sev, F.col("code")).alias("label"))).alias("labels"))
+
+
+def label_sets_of(labels: DataFrame) -> DataFrame:
+    """The stored label table (answer_id, answer_label, evaluator_model_id) as
+    ``label_sets`` gives it."""
+    entry = F.struct(F.col("evaluator_model_id").alias("judge"), F.col("answer_label").alias("label"))
+    return labels.groupBy("answer_id").agg(F.sort_array(F.collect_list(entry)).alias("labels"))
+
+
 def answer_labels(evals: DataFrame, dedupe: bool = True, include_unjudged: bool = False,
                   judges: list[int] | None = None) -> DataFrame:
     """A2: ``(answer_id, answer_label, evaluator_model_id)``.
 
-    Both sides are aggregated before they meet: judge rows to one severity per
-    (answer, judge), inclusion rows to one per answer. The join on
-    ``answer_id`` is then at most judges-per-answer wide, whatever the skew of
-    the raw rows.
+    Judge rows and inclusion rows are folded in one pass to one row per answer
+    (``answer_severities``), which then gives a row per judge; nothing is
+    joined, whatever the skew of the raw rows.
 
     ``include_unjudged`` also labels answers that only have inclusion rows
     (all their terms unused), once per judge (``judges``, or every judge that
     has evaluated anything).
     """
-    ev = dedupe_evals(evals) if dedupe else evals
-    ev = ev.select("answer_id", "model_id", severity(F.col("eval_label")).alias("sev"))
-    judge = (ev.where(~F.col("model_id").isin(HUMAN_MODEL_ID, FUNCTION_MODEL_ID))
-               .groupBy("answer_id", "model_id").agg(F.max("sev").alias("jsev")))
-    code = (ev.where(F.col("model_id") == FUNCTION_MODEL_ID)
-              .groupBy("answer_id").agg(F.max("sev").alias("csev")))
-    out = (judge.join(code, "answer_id", "left")
-                .select("answer_id",
-                        label_from_severity(F.greatest("jsev", F.coalesce("csev", F.lit(0))))
-                        .alias("answer_label"),
-                        F.col("model_id").alias("evaluator_model_id")))
+    rows = answer_severities(evals, dedupe)
+    out = rows.select("answer_id", "code", F.explode("judges").alias("j")).select(
+        "answer_id", judge_label(F.col("j.sev"), F.col("code")).alias("answer_label"),
+        F.col("j.judge").alias("evaluator_model_id"))
     if include_unjudged:
         # All judges as one array: one row, joined on a constant key.
         if judges is None:
-            all_of = judge.agg(F.sort_array(F.collect_set("model_id")).alias("_judges"))
+            all_of = out.agg(F.sort_array(F.collect_set("evaluator_model_id")).alias("_judges"))
         else:
-            all_of = ev.sparkSession.createDataFrame([(sorted(judges),)], "_judges array<long>")
-        unjudged = code.join(judge.select("answer_id").distinct(), "answer_id", "left_anti")
+            all_of = evals.sparkSession.createDataFrame([(sorted(judges),)], "_judges array<long>")
+        unjudged = rows.where((F.size("judges") == 0) & F.col("code").isNotNull())
         extra = (unjudged.withColumn("_k", F.lit(0)).join(F.broadcast(all_of.withColumn("_k", F.lit(0))), "_k")
-                         .select("answer_id", label_from_severity(F.col("csev")).alias("answer_label"),
+                         .select("answer_id", label_from_severity(F.col("code")).alias("answer_label"),
                                  F.explode("_judges").alias("evaluator_model_id")))
         out = out.unionByName(extra)
     return out
@@ -103,17 +154,25 @@ AI_GROUPED_COLUMNS = ["answer_id", "eval_label", "question_id", "isHypotheticalQ
                       "evaluator_model_id", "evaluator_model", "count"]
 
 
+def ai_label(valid: Column, hallucination: Column, irrelevant: Column) -> Column:
+    """The A4 rule from the number of rows with each label: all three labels →
+    1, else 1 if it is the smallest, else the largest label."""
+    return (F.when((valid > 0) & (hallucination > 0) & (irrelevant > 0), 1)
+             .when((valid == 0) & (hallucination > 0), 1)
+             .when(irrelevant > 0, 2).when(hallucination > 0, 1).otherwise(0).cast("long"))
+
+
+def label_counts() -> list[Column]:
+    """Number of rows with each label, one column each."""
+    return [F.count_if(F.col("eval_label") == code).alias(f"n{code}") for code, _ in EVAL_NAMES]
+
+
 def ai_fold(rows: DataFrame, keys: list[str]) -> DataFrame:
-    """The A4 rule per ``keys``: 3 distinct labels → 1, min label 1 → 1, else
-    max; plus the row count. Every aggregate buffer is numeric, so both
-    aggregation levels (the distinct count adds one on (keys, label)) stay
-    hash aggregates with map-side partial aggregation."""
-    g = rows.groupBy(*keys).agg(
-        F.count_distinct("eval_label").alias("_nd"), F.min("eval_label").alias("_mn"),
-        F.max("eval_label").alias("_mx"), F.count(F.lit(1)).alias("count"))
-    label = (F.when(F.col("_nd") == 3, 1).when(F.col("_mn") == 1, 1).otherwise(F.col("_mx"))
-              .cast("long"))
-    return g.select(*keys, label.alias("eval_label"), "count")
+    """The A4 rule per ``keys`` and the row count, from counts per label (a
+    hash aggregate with numeric buffers). Rows with no known label count in
+    nothing."""
+    g = rows.groupBy(*keys).agg(*label_counts()).withColumn("count", F.col("n0") + F.col("n1") + F.col("n2"))
+    return g.where("count > 0").select(*keys, ai_label(F.col("n0"), F.col("n1"), F.col("n2")).alias("eval_label"), "count")
 
 
 def ai_grouped(detailed: DataFrame) -> DataFrame:

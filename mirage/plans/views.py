@@ -8,9 +8,11 @@ side is small.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from mirage import schemas as S
+from mirage.operators import labels as L
 from mirage.plans.derived import Pipeline
 from mirage.schemas import FUNCTION_MODEL_ID
 
@@ -145,13 +147,25 @@ def label_answer_level(p: Pipeline, labels: DataFrame | None = None) -> DataFram
                      F.col("l.answer_label").alias("answer_label_id"), F.col("_n_answer_label").alias("answer_label")))
 
 
-def _label_join_cond(e_model: Column, l_model: Column, compat: bool) -> Column | None:
-    """The original joins answer labels on the answer only, so k judges give k
-    copies of each row. By default a judge's rows take that judge's label and
+def _label_sets(p: Pipeline, labels: DataFrame | None) -> DataFrame:
+    """One row per answer with its judges' labels: (``_la``, ``_labels``)."""
+    sets = L.label_sets(p.evals) if labels is None else L.label_sets_of(labels)
+    return sets.select(F.col("answer_id").alias("_la"), F.col("labels").alias("_labels"))
+
+
+def _matching(model: Column, compat: bool) -> Column:
+    """The labels of its answer that an evaluation meets. The original joins
+    answer labels on the answer only, so k judges give k copies of each row
+    (``compat``). By default a judge's rows take that judge's label and
     inclusion rows (model 10) take every judge's label."""
     if compat:
-        return None
-    return (e_model == F.lit(FUNCTION_MODEL_ID)) | (l_model == e_model)
+        return F.col("_labels")
+    return F.filter("_labels", lambda x: (model == F.lit(FUNCTION_MODEL_ID)) | (x.judge == model))
+
+
+def _matching_labels(model: Column, compat: bool) -> Column:
+    """The different ones among them, as the views' UNION has each once."""
+    return F.array_distinct(F.transform(_matching(model, compat), lambda x: x.label))
 
 
 def label_term_level(p: Pipeline, labels: DataFrame | None = None,
@@ -159,25 +173,22 @@ def label_term_level(p: Pipeline, labels: DataFrame | None = None,
     """One row per evaluation × answer label, with the term text picked by
     the term source (P10) and every name resolved."""
     e, a, q = p.evals.alias("e"), p.answers.alias("a"), p.questions.alias("q")
-    l = (labels if labels is not None else p.labels).alias("l")
+    l = _label_sets(p, labels)
     m1, m2 = _names(p.models, "answer_source"), _names(p.models, "evaluator_model")
     es, s = _names(p.eval_source, "eval_type"), _names(p.term_source, "term_source_name")
     n1, n2 = _names(p.eval_names, "term_label"), _names(p.eval_names, "answer_label")
     d = term_dictionary(p)
     hyp = F.when(F.col("e.term_source") == 0, 1).otherwise(0)
-    cond = F.col("l.answer_id") == F.col("a.id")
-    extra = _label_join_cond(F.col("e.model_id"), F.col("l.evaluator_model_id"), compat)
-    if extra is not None:
-        cond = cond & extra
-    j = (e.join(a, F.col("e.answer_id") == F.col("a.id"))
+    met = F.explode(F.transform(_matching(F.col("e.model_id"), compat), lambda x: x.label)).alias("_label")
+    j = (e.join(l, F.col("e.answer_id") == F.col("_la")).select("e.*", met).alias("e")
+          .join(a, F.col("e.answer_id") == F.col("a.id"))
           .join(q, F.col("a.question_id") == F.col("q.id"))
           .join(m1, F.col("a.model_id") == F.col("_k_answer_source"))
           .join(m2, F.col("e.model_id") == F.col("_k_evaluator_model"))
           .join(es, F.col("e.eval_type_id") == F.col("_k_eval_type"))
           .join(s, F.col("e.term_source") == F.col("_k_term_source_name"))
-          .join(l, cond)
           .join(n1, F.col("e.eval_label") == F.col("_k_term_label"))
-          .join(n2, F.col("l.answer_label") == F.col("_k_answer_label"))
+          .join(n2, F.col("_label") == F.col("_k_answer_label"))
           .join(d, (F.col("e.term_id") == F.col("_tid")) & (hyp == F.col("_hyp")), "left"))
     return j.select(
         F.col("e.id").alias("eval_id"), F.col("a.question_id"), F.col("q.question"),
@@ -186,7 +197,7 @@ def label_term_level(p: Pipeline, labels: DataFrame | None = None,
         F.col("_term").alias("term"), F.col("_expl").alias("term_explanation"),
         hyp.alias("IsHypotheticalTerm"), F.col("e.eval_type_id"), F.col("_n_eval_type").alias("eval_type"),
         F.col("e.reflection"), F.col("e.eval_label").alias("term_label_id"), F.col("_n_term_label").alias("term_label"),
-        F.col("l.answer_label").alias("answer_label_id"), F.col("_n_answer_label").alias("answer_label"),
+        F.col("_label").alias("answer_label_id"), F.col("_n_answer_label").alias("answer_label"),
         F.col("e.term_source").alias("term_source_id"),
         F.col("_n_term_source_name").alias("term_source"),
         F.col("a.model_id").alias("answer_source_id"), F.col("_n_answer_source").alias("answer_source"),
@@ -199,20 +210,17 @@ def terms_evals_detailed_base(p: Pipeline, labels: DataFrame | None = None,
     replacement-type names and the answer label."""
     e = p.evals.alias("e")
     a = combined_terms_answers(p).alias("a")
-    l = (labels if labels is not None else p.labels).alias("ae")
+    l = _label_sets(p, labels)
     s, ts = _names(p.eval_source, "eval_type"), _names(p.term_source, "term_source_name")
     m, n = _names(p.models, "evaluator_model"), _names(p.eval_names, "eval_label_name")
     r = _names(p.replacement_type, "replacement_type_name")
-    cond = F.col("a.answer_id") == F.col("ae.answer_id")
-    extra = _label_join_cond(F.col("e.model_id"), F.col("ae.evaluator_model_id"), compat)
-    if extra is not None:
-        cond = cond & extra
-    j = (e.join(a, F.col("a.answer_id") == F.col("e.answer_id"))
+    met = F.explode(F.transform(_matching(F.col("e.model_id"), compat), lambda x: x.label)).alias("_label")
+    j = (e.join(l, F.col("e.answer_id") == F.col("_la")).select("e.*", met).alias("e")
+          .join(a, F.col("a.answer_id") == F.col("e.answer_id"))
           .join(s, F.col("e.eval_type_id") == F.col("_k_eval_type"))
           .join(m, F.col("e.model_id") == F.col("_k_evaluator_model"))
           .join(ts, F.col("e.term_source") == F.col("_k_term_source_name"))
           .join(n, F.col("e.eval_label") == F.col("_k_eval_label_name"))
-          .join(l, cond)
           .join(r, F.col("a.replacement_type") == F.col("_k_replacement_type_name")))
     return j.select(
         F.col("e.id").alias("eval_id"), F.col("a.question"), F.col("a.answer"),
@@ -225,27 +233,30 @@ def terms_evals_detailed_base(p: Pipeline, labels: DataFrame | None = None,
         F.col("e.term_source").alias("term_source_id"),
         F.col("_n_term_source_name").alias("term_source"), F.col("e.term_id"),
         F.col("e.model_id").alias("evaluator_model_id"), F.col("_n_evaluator_model").alias("evaluator_model"),
-        F.col("ae.answer_label").alias("answer_label"))
+        F.col("_label").alias("answer_label"))
+
+
+def _term_kind(source: Column) -> Column:
+    """Which side of the union a term source belongs to: 1 made-up, 0 real."""
+    return F.when(source == 0, 1).when(source > 0, 0)
 
 
 def _detailed_narrow(p: Pipeline, labels: DataFrame | None = None,
                      compat: bool = False) -> DataFrame:
     """The distinct narrow rows of U1: evaluation columns (``_e_*``), the
-    answer label and the term, before any text of the answer is joined."""
+    answer label and the term, before any text of the answer is joined.
+    Each different label of its answer comes once per evaluation, and rows
+    that repeat in the evaluation table itself are dropped where they meet
+    their answer's labels, which takes no shuffle of its own (terms are keyed
+    by side and id, so the term adds none)."""
     e = p.evals
-    l = (labels if labels is not None else p.labels).alias("ae")
-    cond = F.col("e.answer_id") == F.col("ae.answer_id")
-    extra = _label_join_cond(F.col("e.model_id"), F.col("ae.evaluator_model_id"), compat)
-    if extra is not None:
-        cond = cond & extra
+    l = _label_sets(p, labels)
+    met = F.explode(_matching_labels(F.col("e.model_id"), compat)).alias("_answer_label")
+    rows = e.alias("e").join(l, F.col("e.answer_id") == F.col("_la")).select(
+        *[F.col(f"e.{c}").alias(f"_e_{c}") for c in e.columns], met).distinct()
     d = term_dictionary(p)
-    hyp = (F.when(F.col("e.term_source") == 0, 1).when(F.col("e.term_source") > 0, 0))
-    return (e.alias("e").join(l, cond)
-             .join(d, (F.col("e.term_id") == F.col("_tid")) & (hyp == F.col("_hyp")))
-             .select(*[F.col(f"e.{c}").alias(f"_e_{c}") for c in e.columns],
-                     F.col("ae.answer_label").alias("_answer_label"),
-                     F.col("_term"), F.col("_hyp"))
-             .distinct())
+    return (rows.join(d, (F.col("_e_term_id") == F.col("_tid")) & (_term_kind(F.col("_e_term_source")) == F.col("_hyp")))
+                .select(*rows.columns, "_term", "_hyp"))
 
 
 def terms_evals_detailed(p: Pipeline, labels: DataFrame | None = None,
@@ -253,12 +264,11 @@ def terms_evals_detailed(p: Pipeline, labels: DataFrame | None = None,
     """Base rows with the made-up term (source 0) or the real term
     (source > 0), as a distinct union; other sources drop out.
 
-    The distinct runs on the narrow evaluation rows (evaluation columns,
-    answer label, term) before the answer, question and name columns are
-    joined in. Those joins are on primary keys (answer, question, triplet,
-    term and lookup ids), so they cannot create or merge duplicates and the
-    result equals the distinct of the wide rows, while the shuffle carries no
-    question or answer text."""
+    Repeats are avoided where they would arise (``_detailed_narrow``), before
+    the answer, question and name columns are joined in. Those joins are on
+    primary keys (answer, question, triplet, term and lookup ids), so they
+    cannot create or merge duplicates and the result equals the distinct of
+    the wide rows, while no shuffle carries question or answer text."""
     narrow = _detailed_narrow(p, labels, compat)
     a = combined_terms_answers(p).alias("a")
     s, ts = _names(p.eval_source, "eval_type"), _names(p.term_source, "term_source_name")
@@ -298,17 +308,6 @@ def terms_evals_detailed_explained(p: Pipeline, labels: DataFrame | None = None,
     return j.select(*[F.col(c) for c in d.columns], F.col("_expl").alias("explanation"))
 
 
-def _known_rows(p: Pipeline, narrow: DataFrame, kinds: DataFrame | None = None) -> DataFrame:
-    """Narrow U1 rows that survive the view's per-row lookup joins (kind,
-    judge, term source, label), as semi-joins against the fixed lookups."""
-    ids = lambda df: df.select(F.col("id").alias("_id"))
-    for col, lk in (("_e_eval_type_id", kinds if kinds is not None else p.eval_source),
-                    ("_e_model_id", p.models), ("_e_term_source", p.term_source),
-                    ("_e_eval_label", p.eval_names)):
-        narrow = narrow.join(ids(lk), F.col(col) == F.col("_id"), "left_semi")
-    return narrow
-
-
 def _answer_side(p: Pipeline) -> DataFrame:
     """The answer-level columns of U1 (one row per answer id), with the
     replacement-type join the view applies per answer."""
@@ -319,41 +318,96 @@ def _answer_side(p: Pipeline) -> DataFrame:
                      "question", "answer", "answer_source_id", "answer_source"))
 
 
+def _cells(p: Pipeline, labels: DataFrame | None, compat: bool) -> DataFrame:
+    """U1 folded once, per (answer, judge, kind, term): the number of view
+    rows with each label (``n0``, ``n1``, ``n2``), the judge's name, placed by
+    answer so that both views roll it up without another shuffle.
+
+    One scan: repeated rows are dropped (texts by two hashes) and the rest
+    folded, both combined before their shuffle. The answer labels come
+    from the same cells (``labels`` None) as severities over the answer, or
+    from the stored table. A cell's rows repeat for each different label that
+    they meet; cells of unknown kinds, judges, sources or terms take part in
+    the labels only."""
+    text = [F.xxhash64("reflection").alias("_h"), F.xxhash64(F.lit(1), "reflection").alias("_g")]
+    once = p.evals.select("id", *L.EVAL_KEY, "eval_label", *text).distinct()
+    cells = once.groupBy(*L.EVAL_KEY).agg(L.first_rank().alias("_rank"), *L.label_counts())
+    m = _names(p.models, "evaluator_model")
+    d = term_dictionary(p).select("_tid", "_hyp")
+    source = F.col("term_source")
+    kinds, sources = [k for k, _ in S.EVAL_SOURCES], [k for k, _ in S.TERM_SOURCES]
+    known = (F.col("_hyp").isNotNull() & F.col("_n_evaluator_model").isNotNull()
+             & F.col("eval_type_id").isin(kinds) & source.isin(sources))
+    cells = (cells.join(m, F.col("model_id") == F.col("_k_evaluator_model"), "left")
+                  .join(d, (F.col("term_id") == F.col("_tid")) & (_term_kind(source) == F.col("_hyp")), "left")
+                  .select(*L.EVAL_KEY, L.first_severity(F.col("_rank")).alias("_sev"), "n0", "n1", "n2", F.col("_n_evaluator_model").alias("evaluator_model"),
+                          F.coalesce(known, F.lit(False)).alias("_known"))
+                  .repartition("answer_id"))
+    model, answer = F.col("model_id"), Window.partitionBy("answer_id")
+    if labels is None:
+        judge = Window.partitionBy("answer_id", "model_id")
+        cells = cells.withColumn("_own", F.max("_sev").over(judge)).withColumn(
+            "_code", F.max(F.when(model == FUNCTION_MODEL_ID, F.col("_sev"))).over(answer))
+        entry = F.struct(model.alias("judge"), L.judge_label(F.col("_own"), F.col("_code")).alias("label"))
+        cells = cells.withColumn("_labels", F.collect_set(F.when(L.is_judge(model), entry)).over(answer))
+    else:
+        cells = cells.join(_label_sets(p, labels), F.col("answer_id") == F.col("_la"))
+    times = F.when(F.col("_known"), F.size(_matching_labels(model, compat))).otherwise(0)
+    return cells.select(*L.EVAL_KEY, "evaluator_model", *[(F.col(f"n{k}") * times).alias(f"n{k}") for k in range(3)])
+
+
+def _judge_counts(rows: DataFrame) -> list[Column]:
+    """Rows of the judge kinds with each label, summed."""
+    kinds = [k for k, name in S.EVAL_SOURCES if name not in ("HumanEval", "code_check")]
+    return [F.sum(F.when(F.col("eval_type_id").isin(kinds), F.col(f"n{k}")).otherwise(0)) for k in range(3)]
+
+
+def _ai(counts: list[str]) -> tuple[Column, Column]:
+    cols = [F.col(c) for c in counts]
+    return L.ai_label(*cols), cols[0] + cols[1] + cols[2]
+
+
 def ai_grouped_view(p: Pipeline, labels: DataFrame | None = None,
                     compat: bool = False) -> DataFrame:
     """A4 over U1, equal to ``labels.ai_grouped(terms_evals_detailed(p))``.
 
-    The grouping columns other than (answer, judge) depend on those ids
-    (answer, question and judge rows are keyed by them), so the judge rows
-    are folded on the narrow evaluation rows and the question and answer
-    text is joined once per group afterwards; the shuffle never carries
-    text per evaluation row."""
-    from mirage.operators.labels import ai_fold, AI_GROUPED_COLUMNS
-    judge_kinds = p.eval_source.where(~F.col("name").isin("HumanEval", "code_check"))
-    rows = _known_rows(p, _detailed_narrow(p, labels, compat), judge_kinds)
-    g = ai_fold(rows.select(F.col("_e_answer_id").alias("answer_id"),
-                            F.col("_e_model_id").alias("evaluator_model_id"),
-                            F.col("_e_eval_label").alias("eval_label")),
-                ["answer_id", "evaluator_model_id"])
-    m = _names(p.models, "evaluator_model")
-    return (g.join(_answer_side(p), "answer_id")
-             .join(m, F.col("evaluator_model_id") == F.col("_k_evaluator_model"))
-             .withColumnRenamed("_n_evaluator_model", "evaluator_model")
-             .select(*AI_GROUPED_COLUMNS))
+    The grouping columns other than (answer, judge) depend on those ids, so
+    the cells are rolled up on ids and the question and answer text is joined
+    once per group afterwards; no shuffle carries text per evaluation row."""
+    cells = _cells(p, labels, compat)
+    sums = [c.alias(f"s{k}") for k, c in enumerate(_judge_counts(cells))]
+    label, count = _ai(["s0", "s1", "s2"])
+    g = (cells.groupBy("answer_id", "model_id", "evaluator_model").agg(*sums)
+              .select("answer_id", F.col("model_id").alias("evaluator_model_id"), "evaluator_model",
+                      label.alias("eval_label"), count.alias("count")).where("count > 0"))
+    return g.join(_answer_side(p), "answer_id").select(*L.AI_GROUPED_COLUMNS)
 
 
 def labelled_view(p: Pipeline, labels: DataFrame | None = None, compat: bool = False,
                   by_source: bool = True) -> DataFrame:
-    """A6 + J9 over U1, equal to ``labels.labelled(terms_evals_detailed(p))``:
-    the inclusion fold runs on the narrow rows and keeps the answers the view
-    keeps (semi-join on the answer side), then meets the grouped judge
-    labels on the answer."""
-    from mirage.operators.labels import inclusion_fold, labelled_from
-    rows = _known_rows(p, _detailed_narrow(p, labels, compat))
-    rc = inclusion_fold(rows.select(F.col("_e_answer_id").alias("answer_id"),
-                                    F.col("_e_term_id").alias("term_id"),
-                                    F.col("_e_term_source").alias("term_source_id"),
-                                    F.col("_e_eval_type_id").alias("eval_type_id"),
-                                    F.col("_e_eval_label").alias("eval_label")), by_source)
-    rc = rc.join(_answer_side(p).select("answer_id"), "answer_id", "left_semi")
-    return labelled_from(rc, ai_grouped_view(p, labels, compat), by_source)
+    """A6 + J9 over U1, equal to ``labels.labelled(terms_evals_detailed(p))``.
+
+    The same cells give each answer's grouped judge labels, as an array that
+    the answer's inclusion cells carry (one entry a judge), and the inclusion
+    fold per term; the text is joined once per result row. An answer without
+    judge rows has null judge and answer columns, as a left join gives."""
+    cells = _cells(p, labels, compat)
+    judge, answer = Window.partitionBy("answer_id", "model_id"), Window.partitionBy("answer_id")
+    for k, c in enumerate(_judge_counts(cells)):
+        cells = cells.withColumn(f"s{k}", c.over(judge))
+    label, count = _ai(["s0", "s1", "s2"])
+    entry = F.struct(F.col("model_id").alias("judge"), F.col("evaluator_model").alias("name"), label.alias("label"), count.alias("count"))
+    cells = cells.withColumn("_ai", F.collect_set(F.when(count > 0, entry)).over(answer))
+    largest = F.max(F.when(F.col("n2") > 0, 2).when(F.col("n1") > 0, 1).otherwise(0)).cast("long")
+    extra = ["term_source"] if by_source else []
+    rc = (cells.where((F.col("eval_type_id") == S.CODE_CHECK) & (F.col("n0") + F.col("n1") + F.col("n2") > 0))
+               .groupBy("answer_id", "term_id", *extra).agg(largest.alias("_relevant"), F.any_value("_ai").alias("_ai")))
+    rows = rc.select("answer_id", "term_id", *extra, "_relevant", F.explode_outer("_ai").alias("_j")).join(_answer_side(p), "answer_id")
+    judged = F.col("_j").isNotNull()
+    hal = F.when(F.col("_j.label") == 1, 1).when(F.col("_j.label") == 2, 2).otherwise(F.col("_relevant")).cast("long")
+    of_answer = ["question_id", "isHypotheticalQuestion", "question", "answer", "answer_source_id", "answer_source"]
+    return rows.select(
+        "answer_id", "term_id", *[F.col("term_source").alias("term_source_id") for _ in extra],
+        F.col("_j.label").alias("ai_label"), F.col("_relevant").alias("isRelevant_label"), hal.alias("hallucination_label"),
+        *[F.when(judged, F.col(c)).alias(c) for c in of_answer],
+        F.col("_j.judge").alias("evaluator_model_id"), F.col("_j.name").alias("evaluator_model"), F.col("_j.count").alias("count"))
