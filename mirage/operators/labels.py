@@ -217,7 +217,10 @@ def labelled(detailed: DataFrame, by_source: bool = True) -> DataFrame:
 
 def dedupe_report_rows(detail: DataFrame, id_col: str = "eval_id") -> DataFrame:
     """Drop rows equal in everything but ``eval_id`` (keep the lowest id),
-    then keep one row per ``eval_id`` (the first by the remaining columns)."""
+    then keep one row per ``eval_id`` (the first by the remaining columns).
+
+    Both shuffles carry each row's columns once, combined before the first;
+    leave out long texts that ids determine (``views.report_rows``)."""
     others = [c for c in detail.columns if c != id_col]
     once = keep_first(detail, others, [id_col])
-    return keep_first(once, [id_col], [c for c in others])
+    return keep_first(once, [id_col], others)

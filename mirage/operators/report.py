@@ -83,26 +83,50 @@ EVAL_FIELDS = ["eval_id", "eval_type", "term_label", "term", "term_id", "IsHypot
                "term_source", "reflection"]
 
 
-def nested_report(detail: DataFrame) -> DataFrame:
-    """One row per (answer source, question) holding the question fields of
-    its first row (lowest eval id) and the evaluations ordered by eval id, plus
-    the same record as a JSON string.
-
-    The per-source document of the original is the set of these rows; writing
-    them partitioned by ``answer_source`` (``sinks.write_nested_report``) keeps
-    each source in its own folder without gathering a whole source into one
-    task.
-    """
+def nested_rows(detail: DataFrame) -> DataFrame:
+    """A9 without its JSON: one row per (answer source, question) holding the
+    question fields of its first row (lowest eval id), as far as ``detail``
+    has them, and the evaluations ordered by eval id."""
+    fields = [c for c in QUESTION_FIELDS if c in detail.columns]
     ev = F.struct(*[F.col(c) for c in EVAL_FIELDS])
-    head = F.struct(F.col("eval_id"), *[F.col(c) for c in QUESTION_FIELDS])
+    head = F.struct(F.col("eval_id"), *[F.col(c) for c in fields])
     g = detail.groupBy("answer_source", "question_id").agg(
         F.min(head).alias("_h"), F.sort_array(F.collect_list(ev)).alias("evaluations"))
-    rec = g.select("answer_source", *[F.col(f"_h.{c}").alias(c) for c in QUESTION_FIELDS],
-                   "evaluations")
-    return rec.withColumn(
+    return g.select("answer_source", *[F.col(f"_h.{c}").alias(c) for c in fields], "evaluations")
+
+
+def with_json(nested: DataFrame) -> DataFrame:
+    return nested.select("answer_source", *QUESTION_FIELDS, "evaluations").withColumn(
         "json", F.to_json(F.struct(*[F.col(c) for c in QUESTION_FIELDS], "evaluations")))
 
 
+def nested_report(detail: DataFrame) -> DataFrame:
+    """``nested_rows`` and the same record as a JSON string.
+
+    A row holds a whole question, as long as its evaluations are. Where a
+    question may have very many of them, ``report_lines`` gives the same
+    document line by line."""
+    return with_json(nested_rows(detail))
+
+
+def report_lines(detail: DataFrame) -> DataFrame:
+    """A9 as lines of text: (answer_source, question_id, line_no, line). The
+    lines of a question, in order, are its JSON document: the question fields
+    of its first evaluation, a line for each evaluation by eval id, and the
+    closing ``]}``. A sorted run is streamed: no question is collected, so
+    one with a million evaluations takes no more memory than any other."""
+    run = Window.partitionBy("answer_source", "question_id").orderBy(*[F.col(c).asc_nulls_first() for c in EVAL_FIELDS])
+    n = F.row_number().over(run).cast("long")
+    rows = detail.select("answer_source", *QUESTION_FIELDS, *EVAL_FIELDS, n.alias("_n"), F.lead(F.lit(1)).over(run).isNull().alias("_last"))
+    head = F.to_json(F.struct(*QUESTION_FIELDS))
+    start = F.concat(F.substr(head, F.lit(1), F.length(head) - 1), F.when(F.length(head) > 2, F.lit(",")).otherwise(""), F.lit('"evaluations":['))
+    line = lambda number, text: F.struct(number.cast("long").alias("line_no"), text.alias("line"))
+    body = line(F.col("_n"), F.concat(F.to_json(F.struct(*EVAL_FIELDS)), F.when(F.col("_last"), "").otherwise(",")))
+    lines = F.concat(F.when(F.col("_n") == 1, F.array(line(F.lit(0), start))).otherwise(F.array()), F.array(body),
+                     F.when(F.col("_last"), F.array(line(F.col("_n") + 1, F.lit("]}")))).otherwise(F.array()))
+    return rows.select("answer_source", "question_id", F.explode(lines).alias("_l")).select("answer_source", "question_id", "_l.line_no", "_l.line")
+
+
 def for_judge_and_model(df: DataFrame, evaluator_model: str, model_under_test: str,
                         include_function: bool = True) -> DataFrame:
     """Rows of one judge (and of the inclusion check, named ``function``)

@@ -147,16 +147,20 @@ def q_labelled_compat(spark, d):
 @register("report_detail")
 def q_report_detail(spark, d):
     """A11 over the term-level view, restricted to the report's columns."""
-    from mirage.schemas import REPORT_DETAIL_COLUMNS
-    t = V.label_term_level(Pipeline(spark, d))
-    return L.dedupe_report_rows(t.select(*REPORT_DETAIL_COLUMNS))
+    return V.report_detail(Pipeline(spark, d))
 
 
 @register("nested_report")
 def q_nested_report(spark, d):
-    from mirage.schemas import REPORT_DETAIL_COLUMNS
-    t = R.require_report_columns(V.label_term_level(Pipeline(spark, d)).select(*REPORT_DETAIL_COLUMNS))
-    return R.nested_report(L.dedupe_report_rows(t)).drop("evaluations")
+    """A9, texts joined once per question."""
+    p = Pipeline(spark, d)
+    return R.with_json(V.with_answer_text(p, R.nested_rows(V.report_rows(p)))).drop("evaluations")
+
+
+@register("report_lines")
+def q_report_lines(spark, d):
+    """A9 as K7 writes it: the lines of each question's document."""
+    return R.report_lines(R.require_report_columns(V.report_detail(Pipeline(spark, d))))
 
 
 # -- evaluation ---------------------------------------------------------------

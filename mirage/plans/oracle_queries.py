@@ -193,6 +193,16 @@ FROM (SELECT answer_source, question_id AS qid, unnest(min({{'eval_id': eval_id,
       FROM rd GROUP BY answer_source, question_id)""",
     "evals", "answers", "questions", "alabels", "term_dict", extra=_REPORT_EXTRA)
 
+# K7: the same documents line by line.
+ORACLE["report_lines"] = with_ctes(f"""
+, numbered AS (SELECT *, row_number() OVER w AS n, row_number() OVER w = count(*) OVER (PARTITION BY answer_source, question_id) AS last
+  FROM rd WINDOW w AS (PARTITION BY answer_source, question_id ORDER BY {', '.join(c + ' NULLS FIRST' for c in _EVALS)}))
+SELECT answer_source, question_id, 0::BIGINT AS line_no,
+       '{{' || concat_ws(',', {', '.join(_json(c) for c in _FIELDS)}) || ',"evaluations":[' AS line FROM numbered WHERE n = 1
+UNION ALL SELECT answer_source, question_id, n, '{{' || concat_ws(',', {', '.join(_json(c) for c in _EVALS)}) || '}}' || CASE WHEN last THEN '' ELSE ',' END FROM numbered
+UNION ALL SELECT answer_source, question_id, n + 1, ']}}' FROM numbered WHERE last""",
+    "evals", "answers", "questions", "alabels", "term_dict", extra=_REPORT_EXTRA)
+
 from mirage.plans.oracle import included_sql  # noqa: E402
 
 _LONG = """

@@ -204,6 +204,27 @@ def label_term_level(p: Pipeline, labels: DataFrame | None = None,
         F.col("e.model_id").alias("evaluator_model_id"), F.col("_n_evaluator_model").alias("evaluator_model"))
 
 
+def report_rows(p: Pipeline, labels: DataFrame | None = None) -> DataFrame:
+    """A11 over J6, without the question and answer text. The ids come before
+    the texts they determine in the report's columns, so leaving the texts out
+    changes neither which rows are equal nor which comes first."""
+    t = label_term_level(p, labels)
+    return L.dedupe_report_rows(t.select(*[c for c in S.REPORT_DETAIL_COLUMNS if c not in ("question", "answer")]))
+
+
+def with_answer_text(p: Pipeline, rows: DataFrame) -> DataFrame:
+    """``rows`` (answer_id, question_id) with the answer and question text."""
+    a = p.answers.select(F.col("id").alias("_aid"), "answer")
+    q = p.questions.select(F.col("id").alias("_qid"), "question")
+    return (rows.join(a, F.col("answer_id") == F.col("_aid")).join(q, F.col("question_id") == F.col("_qid"))
+                .drop("_aid", "_qid"))
+
+
+def report_detail(p: Pipeline, labels: DataFrame | None = None) -> DataFrame:
+    """The report's rows; texts are joined once, to those that stay."""
+    return with_answer_text(p, report_rows(p, labels)).select(*S.REPORT_DETAIL_COLUMNS)
+
+
 def terms_evals_detailed_base(p: Pipeline, labels: DataFrame | None = None,
                               compat: bool = False) -> DataFrame:
     """Evaluations over J4 with kind, source, judge, label and

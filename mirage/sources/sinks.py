@@ -6,7 +6,7 @@ from __future__ import annotations
 
 import datetime as _dt
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
@@ -49,6 +49,21 @@ def write_nested_report(report: DataFrame, path: str) -> None:
     report.drop("json").write.mode("overwrite").partitionBy("answer_source").json(path)
 
 
+def write_report_lines(lines: DataFrame, path: str) -> None:
+    """K7 for questions of any size: ``report.report_lines`` as text, one
+    folder per answer source, the lines of a question one after the other.
+    Each document ends with a line ``]}`` (``read_report_documents``)."""
+    (lines.repartition("answer_source", "question_id").sortWithinPartitions("answer_source", "question_id", "line_no")
+          .select("answer_source", "line").write.mode("overwrite").partitionBy("answer_source").text(path))
+
+
+def read_report_documents(spark: SparkSession, path: str) -> DataFrame:
+    """What ``write_report_lines`` wrote: (json, answer_source), a row for
+    each question."""
+    rows = spark.read.option("lineSep", "\n]}\n").text(path).where(F.col("value") != "")
+    return rows.select(F.concat("value", F.lit("\n]}")).alias("json"), "answer_source")
+
+
 def write_vectors(rows: DataFrame, path: str, pos_col: str = "source_pos",
                   per_partition: int = 100000) -> None:
     """K8: vector rows into numbered partitions of ``per_partition`` source
