@@ -314,6 +314,24 @@ def q_knn_recall(spark, d):
     return VX.recall(q_knn_ivf(spark, d), q_knn_exact(spark, d), "query_id", "vec_id")
 
 
+def _letters(texts):
+    """A stand-in for the sentence encoder: counts of eight letters."""
+    return [[float(t.count(c)) for c in "aeiounst"] for t in texts]
+
+
+@register("vector_load_totals")
+def q_vector_load_totals(spark, d):
+    """Every page paragraph encoded and written in partitions of
+    10 000 source rows; the totals of the load."""
+    import uuid
+
+    from mirage.operators import vectors as VX
+    from mirage.session import ensure_checkpoint_dir
+    path = f"{ensure_checkpoint_dir(spark).rstrip('/')}/vectors-{uuid.uuid4().hex}"
+    rows = Pipeline(spark, d).wiki_pages.select("_id", F.explode("text").alias("text"))
+    return VX.load_vectors(rows, "text", _letters, 8, path, pos_col="_id", per_partition=10_000)
+
+
 # -- order-dependent steps -----------------------------------------------------
 @register("topic_runs")
 def q_topic_runs(spark, d):

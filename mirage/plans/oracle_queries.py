@@ -299,6 +299,10 @@ WHERE rank <= 10"""
 ORACLE["knn_exact"] = _KNN
 ORACLE["knn_partitioned"] = _KNN
 
+ORACLE["vector_load_totals"] = """
+SELECT count(*) AS rows, sum(length(line))::BIGINT AS chars, count(*) - count(line) AS empty, count(DISTINCT doc_id // 10000) AS partitions
+FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS line FROM documents)"""
+
 ORACLE["topic_runs"] = """
 SELECT event_id, event_type,
        CAST(sum(CASE WHEN prev_type IS DISTINCT FROM event_type OR rn = 1 THEN 1 ELSE 0 END)
