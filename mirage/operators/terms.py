@@ -3,7 +3,9 @@ corpus existence check (J12-J15, I4, I6, A13, F9-F13, V4, V5, X1)."""
 
 from __future__ import annotations
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute  # noqa: F401
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -140,9 +142,11 @@ def topic_rows(topics: DataFrame, text_col: str = "topic") -> DataFrame:
 
 def topic_containing(titles_df: DataFrame, topics: DataFrame, title_col: str = "title") -> DataFrame:
     """The first topic (by ``pos``) whose text contains the title. All
-    titles are matched in one pass over the topics (see ``phrase_hits``)."""
-    hits = phrase_hits(titles_df, topics, title_col, doc_id="pos", text_col="topic", fold_case=False)
-    first = hits.groupBy("term").agg(F.min("pos").alias("topic_pos"))
+    titles are matched in one pass over the topics (see ``phrase_hits``); a
+    task passes on the first topic of each title, not every match."""
+    pairs = _term_pairs(titles_df, topics.where(F.col("pos").isNotNull()), title_col, "pos", "topic", False, BLOCK_CHARS)
+    found = _per_task(pairs, None, lambda least, pos: pos if least is None or pos < least else least, topics.schema["pos"].dataType.simpleString())
+    first = found.groupBy("term").agg(F.min("value").alias("topic_pos"))
     first = first.join(topics.select(F.col("pos").alias("topic_pos"), "topic"), "topic_pos")
     j = titles_df.join(first, titles_df[title_col] == first["term"], "left")
     return j.select(*titles_df.columns, "topic_pos", "topic")
@@ -167,70 +171,142 @@ def zip_by_position(left: DataFrame, right: DataFrame, pos: str = "pos") -> Data
 
 
 # -- X1: does a term occur in a corpus? -------------------------------------------------
-#: Characters of terms that one pass over the corpus matches at most.
-TERM_BLOCK_CHARS = 16_000_000
+#: Characters of terms in one block, and of documents in one chunk.
+BLOCK_CHARS, CHUNK_CHARS = 4_000_000, 2_000_000
+#: Splits of the corpus where there is more than one block of terms.
+SPLITS = 256
 
 
-def _term_blocks(terms: DataFrame, most: int) -> list[list[tuple[str, str]]]:
-    """The distinct terms as (term, folded term), in blocks of about ``most``
-    characters: one block unless their total size says otherwise."""
-    total = terms.agg(F.sum(F.length("_folded") + 16)).first()[0] or 0
-    n = int(total // most) + 1
-    keyed = terms.withColumn("_b", F.pmod(F.xxhash64("term"), F.lit(n)))
-    return [[(r[0], r[1]) for r in keyed.where(F.col("_b") == k).select("term", "_folded").collect()] for k in range(n)]
+def _chunks(docs: DataFrame, kind: str) -> DataFrame:
+    """Documents (_doc, _lt) as chunks (docs, texts) of about ``CHUNK_CHARS``
+    bytes, or one document, packed where they are read."""
+
+    def pack(batches):
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            sizes = pa.compute.binary_length(batch.column(1)).to_numpy().astype(np.int64)
+            cuts = [0, *(np.flatnonzero(np.diff(np.cumsum(sizes) // CHUNK_CHARS)) + 1).tolist(), batch.num_rows]
+            for lo, hi in zip(cuts, cuts[1:]):
+                part, ends = batch.slice(lo, hi - lo), pa.array([0, hi - lo], pa.int32())
+                yield pa.record_batch([pa.ListArray.from_arrays(ends, pa.concat_arrays([part.column(c)])) for c in (0, 1)], names=["docs", "texts"])
+
+    return docs.mapInArrow(pack, f"docs array<{kind}>, texts array<string>")
+
+
+def _term_pairs(terms: DataFrame, docs: DataFrame, term_col: str, doc_id: str, text_col: str, fold_case: bool, block_chars: int) -> DataFrame:
+    """Every chunk of documents with every block of terms: (block, terms,
+    folded, docs, texts). One block, whose size is checked, is broadcast and no
+    text is shuffled. Several blocks and the chunks meet in a join by split."""
+    fold = F.lower if fold_case else (lambda c: c)
+    t = terms.select(F.col(term_col).alias("term")).where(F.col("term").isNotNull()).distinct()
+    t = t.withColumn("folded", fold(F.col("term")))
+    n = int((t.agg(F.sum(F.length("folded") + 16)).first()[0] or 0) // block_chars) + 1  # one scalar
+    d = docs.select(F.col(doc_id).alias("_doc"), fold(F.col(text_col)).alias("_lt")).where(F.col("_lt").isNotNull())
+    chunks = _chunks(d, docs.schema[doc_id].dataType.simpleString())
+    blocks = t.withColumn("block", F.pmod(F.xxhash64("term"), F.lit(n)).cast("int")).groupBy("block").agg(
+        F.sort_array(F.collect_list(F.struct("term", "folded"))).alias("t")).select(
+        "block", F.col("t.term").alias("terms"), F.col("t.folded").alias("folded"))
+    if n == 1:
+        return chunks.withColumn("block", F.lit(0)).join(F.broadcast(blocks), "block").select("block", "terms", "folded", "docs", "texts")
+    chunks = chunks.withColumn("split", F.pmod(F.xxhash64("docs", F.size("texts")), F.lit(SPLITS)).cast("int")).withColumn(
+        "block", F.explode(F.sequence(F.lit(0), F.lit(n - 1))))
+    blocks = blocks.withColumn("split", F.explode(F.sequence(F.lit(0), F.lit(SPLITS - 1))))
+    return blocks.join(chunks, ["split", "block"]).select("block", "terms", "folded", "docs", "texts")
+
+
+class _Finder:
+    """All terms of a block, found in one pass over a text."""
+
+    def __init__(self, folded: list[str]):
+        import ahocorasick
+
+        by: dict[str, list[int]] = {}
+        for k, f in enumerate(folded):
+            by.setdefault(f, []).append(k)
+        self.always = by.pop("", [])
+        self.finder = ahocorasick.Automaton()
+        for f, ks in by.items():
+            self.finder.add_word(f, tuple(ks))
+        self.some = bool(by)
+        self.finder.make_automaton()
+
+    def of(self, text: str) -> set[int]:
+        """Numbers of the terms in ``text``; the empty term is in every one."""
+        found = {x for _, ks in self.finder.iter(text) for x in ks} if self.some else set()
+        return found.union(self.always)
+
+
+def _each_chunk(batches):
+    """(terms, finder, documents, texts) of each pair; a block's automaton is
+    built once as long as its chunks follow one another."""
+    block, finder, terms = None, None, None
+    for batch in batches:
+        for n in range(batch.num_rows):
+            if batch.column(0)[n].as_py() != block:
+                block, terms = batch.column(0)[n].as_py(), batch.column(1)[n].as_py()
+                finder = _Finder(batch.column(2)[n].as_py())
+            yield block, terms, finder, batch.column(3)[n].values, batch.column(4)[n].as_py()
 
 
 def phrase_hits(terms: DataFrame, docs: DataFrame, term_col: str = "term",
                 doc_id: str = "doc_id", text_col: str = "text", fold_case: bool = True,
-                block_chars: int = TERM_BLOCK_CHARS) -> DataFrame:
+                block_chars: int = BLOCK_CHARS) -> DataFrame:
     """For each term, the documents whose lower-cased text contains the
     lower-cased term (``(term, doc_id)`` pairs; ``fold_case=False`` compares
-    as written).
-
-    All terms are matched in one pass over the corpus: each task builds one
-    multi-pattern automaton from the (broadcast, size-checked) terms and reads
-    its documents in Arrow batches, so no text is shuffled and the work per
-    document does not depend on the number of terms. Terms beyond
-    ``block_chars`` characters are matched in several passes. The empty term
-    is in every document that has a text."""
-    fold = F.lower if fold_case else (lambda c: c)
-    t = terms.select(F.col(term_col).alias("term")).where(F.col("term").isNotNull()).distinct()
-    t = t.withColumn("_folded", fold(F.col("term")))
-    d = docs.select(F.col(doc_id).alias("_doc"), fold(F.col(text_col)).alias("_lt")).where(F.col("_lt").isNotNull())
-    kind = docs.schema[doc_id].dataType.simpleString()
-    out = None
-    for block in _term_blocks(t, block_chars):
-        shared = docs.sparkSession.sparkContext.broadcast(block)
-
-        def match(batches, shared=shared):
-            import ahocorasick
-
-            by: dict[str, list[int]] = {}
-            for k, (_, folded) in enumerate(shared.value):
-                by.setdefault(folded, []).append(k)
-            always = by.pop("", [])
-            finder = ahocorasick.Automaton()
-            for folded, ks in by.items():
-                finder.add_word(folded, tuple(ks))
-            finder.make_automaton()
-            for batch in batches:
-                row, hit = [], []
-                for k, text in enumerate(batch.column(1).to_pylist()):
-                    found = {x for _, ks in finder.iter(text) for x in ks} if by else set()
-                    for x in sorted(found.union(always)):
-                        row.append(k)
-                        hit.append(shared.value[x][0])
-                yield pa.record_batch([pa.array(hit, pa.string()), batch.column(0).take(pa.array(row, pa.int64()))], names=["term", doc_id])
-
-        part = d.mapInArrow(match, f"term string, {doc_id} {kind}")
-        out = part if out is None else out.unionByName(part)
-    return out
+    as written). The empty term is in every document that has a text.
 
+    A row per pair is what is asked here; where a count or the first document
+    is enough, ``phrase_exists`` and ``topic_containing`` emit a row per term
+    and task. All terms of a block are matched in one pass over a document by
+    a multi-pattern automaton; blocks and chunks of documents are joined by
+    Spark (``_term_pairs``)."""
+    kind = docs.schema[doc_id].dataType.simpleString()
 
-def phrase_exists(terms: DataFrame, docs: DataFrame, term_col: str = "term", **kw) -> DataFrame:
-    """X1 summary: hit count and existence per distinct term."""
-    hits = phrase_hits(terms, docs, term_col, **kw)
-    counts = hits.groupBy("term").agg(F.count(F.lit(1)).alias("hits"))
+    def match(batches):
+        for _, terms, finder, ids, texts in _each_chunk(batches):
+            row, hit = [], []
+            for k, text in enumerate(texts):
+                for x in sorted(finder.of(text)):
+                    row.append(k)
+                    hit.append(terms[x])
+            yield pa.record_batch([pa.array(hit, pa.string()), ids.take(pa.array(row, pa.int64()))], names=["term", doc_id])
+
+    return _term_pairs(terms, docs, term_col, doc_id, text_col, fold_case, block_chars).mapInArrow(match, f"term string, {doc_id} {kind}")
+
+
+def _per_task(pairs: DataFrame, start, fold_in, kind: str) -> DataFrame:
+    """(term, value): for each block that a task meets, one row for each term
+    found, with ``fold_in(value so far or start, document)`` over its
+    documents. A term in every document costs the shuffle one row a task."""
+
+    def match(batches):
+        def out():
+            return pa.record_batch([pa.array([names[x] for x in held], pa.string()), pa.array(list(held.values()))], names=["term", "value"])
+
+        held: dict[int, object] = {}
+        now, names = None, None
+        for block, terms, finder, ids, texts in _each_chunk(batches):
+            if block != now and held:
+                yield out()
+                held = {}
+            now, names = block, terms
+            for ident, text in zip(ids.to_pylist(), texts):
+                for x in finder.of(text):
+                    held[x] = fold_in(held.get(x, start), ident)
+        if held:
+            yield out()
+
+    return pairs.mapInArrow(match, f"term string, value {kind}")
+
+
+def phrase_exists(terms: DataFrame, docs: DataFrame, term_col: str = "term", doc_id: str = "doc_id",
+                  text_col: str = "text", fold_case: bool = True, block_chars: int = BLOCK_CHARS) -> DataFrame:
+    """X1 summary: number of documents and existence per distinct term,
+    counted in the tasks."""
+    pairs = _term_pairs(terms, docs, term_col, doc_id, text_col, fold_case, block_chars)
+    found = _per_task(pairs, 0, lambda n, _: n + 1, "long")
+    counts = found.groupBy("term").agg(F.sum("value").alias("hits"))
     t = terms.select(F.col(term_col).alias("term")).distinct()
     return (t.join(counts, "term", "left")
              .select("term", F.coalesce("hits", F.lit(0)).cast("long").alias("hits"),

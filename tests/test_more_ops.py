@@ -319,6 +319,25 @@ def test_phrase_hits_all_paths(spark):
     assert got == brute
 
 
+def test_phrase_counts_over_blocks_and_chunks(spark, monkeypatch):
+    """Counts and first documents are folded in the tasks, whatever the blocks;
+    a term in every document gives a row per task, not per document."""
+    monkeypatch.setattr(TM, "CHUNK_CHARS", 60)
+    docs = spark.createDataFrame([(k, None if k % 50 == 7 else f"Common text number {k} {'x' * (k % 90)}") for k in range(400)],
+                                 "doc_id long, text string").repartition(4)
+    terms = ["common", "COMMON", "number 1", "number 399", "xxxxxxxx", "absent", "", "mon t", "common"]
+    t = spark.createDataFrame([(x,) for x in terms] + [(None,)], "term string")
+    rows = [(r.doc_id, r.text) for r in docs.collect() if r.text is not None]
+    want = {x: sum(x.lower() in text.lower() for _, text in rows) for x in terms}
+    for block_chars in (10_000, 30):
+        got = {r.term: r.hits for r in TM.phrase_exists(t, docs, block_chars=block_chars).collect() if r.term is not None}
+        assert got == want
+    pairs = TM._term_pairs(t, docs, "term", "doc_id", "text", True, 10_000)
+    assert TM._per_task(pairs, 0, lambda n, _: n + 1, "long").where("term = 'common'").count() <= 4
+    assert TM.phrase_exists(t, docs.where("false")).where("exists").count() == 0
+    assert TM.phrase_exists(t.where("false"), docs).count() == 0
+
+
 def test_narrow_views_equal_wide_operators(spark):
     """The id-level grouped/labelled views give the rows of the generic
     operators applied to the wide detailed view."""
