@@ -255,6 +255,28 @@ def test_ordering_over_partitions(spark):
     assert GlobalOrder(df.limit(0), ["k"]).with_position().count() == 0
 
 
+def test_equal_order_values_are_spread(spark):
+    """Half of the rows have one order value: they fall into many partitions,
+    in the order in which they were read, and positions stay gapless."""
+    from mirage.operators.ordering import GlobalOrder
+    n = 8000
+    df = spark.range(n).select("id", F.when(F.col("id") % 2 == 0, 500).otherwise(F.col("id") % 1000).alias("k"), F.lit("same").alias("g"))
+    order = GlobalOrder(df, ["k"], 8)
+    sizes = [r["n"] for r in order.df.groupBy(F.spark_partition_id()).agg(F.count("*").alias("n")).collect()]
+    assert len(sizes) == 8 and max(sizes) <= n / 4
+    tied = order.df.where("k = 500").select(F.spark_partition_id().alias("p")).distinct().count()
+    assert tied >= 4
+    rows = order.with_position().orderBy("pos").collect()
+    assert [r.pos for r in rows] == list(range(n))
+    assert [(r.k, r.id) for r in rows] == sorted((500 if k % 2 == 0 else k % 1000, k) for k in range(n))
+    assert [r.run_id for r in order.run_ids("g").collect()] == [1] * n
+    got = order.run_ids("k").orderBy("k", "id").collect()
+    want = {k: i + 1 for i, k in enumerate(sorted({r.k for r in rows}))}
+    assert all(r.run_id == want[r.k] for r in got)
+    same = spark.range(3000).select(F.lit(7).alias("k"))  # rows that are all alike
+    assert sorted(r.pos for r in GlobalOrder(same, ["k"], 4).with_position().collect()) == list(range(3000))
+
+
 def test_shared_folder_is_required_on_a_cluster(spark, monkeypatch):
     from mirage.session import ensure_checkpoint_dir
 
