@@ -84,6 +84,39 @@ def test_streaming_answering_resumes(spark, scratch):
     assert got == [1, 2, 3]
 
 
+def test_streaming_state_holds_what_was_asked(spark, scratch):
+    """Repeats within a batch, across batches and across restarts are asked
+    once, answers of other jobs are respected, and the sink is never read."""
+    import shutil
+
+    import pandas as pd
+
+    from mirage.streaming.answering import start_answering
+    qd, ad, cd, od = f"{scratch}/q", f"{scratch}/ans", f"{scratch}/ck", f"{scratch}/old"
+    os.makedirs(qd)
+    asked = spark.sparkContext.accumulator(0)
+
+    def model(pdf):
+        asked.add(len(pdf))
+        return pd.Series([f"re {p}" for p in pdf["prompt"]])
+
+    def run(name, ids):
+        with open(f"{qd}/{name}.json", "w") as f:
+            f.writelines(json.dumps({"id": i, "question": f"q{i}"}) + "\n" for i in ids)
+        start_answering(spark, qd, ad, cd, model, 3, answered_dir=od).awaitTermination()
+
+    spark.createDataFrame([(100,), (101,)], "question_id long").write.parquet(od)
+    run("a", [1, 2, 2, 100, None, 1])
+    assert asked.value == 2
+    shutil.move(f"{ad}/model_id=3", f"{scratch}/moved")  # a batch that read the sink would ask again
+    run("b", [2, 3, 101, 1])
+    run("c", [3, 2, 1])
+    assert asked.value == 3
+    rows = [r.question_id for d in (f"{scratch}/moved", ad) for r in spark.read.parquet(d).collect()]
+    assert sorted(rows) == [1, 2, 3]
+    assert {r.answer for r in spark.read.parquet(ad).collect()} == {"re q3"}
+
+
 def test_nested_report_json(spark, scratch):
     df = E.queries()["nested_report"](spark, SF)
     from mirage.operators.report import nested_report
@@ -93,6 +126,25 @@ def test_nested_report_json(spark, scratch):
     assert nested_report is not None
 
 
+def test_report_lines_of_a_long_question(spark, scratch):
+    """A question with very many evaluations is a sorted run of lines; what is
+    written and read back are the same documents as the nested report's."""
+    from mirage.operators import report as R
+    n = 20_000
+    detail = spark.range(n).select(
+        F.when(F.col("id") % 3 == 0, "m2").otherwise("m1").alias("answer_source"), F.when(F.col("id") < 40, F.col("id") % 5).otherwise(99).alias("question_id"),
+        (F.col("id") % 7).alias("answer_id"), F.lit('a "b"\n]}').alias("question"), F.lit(None).cast("string").alias("answer"), F.lit("valid").alias("answer_label"),
+        F.lit(True).alias("isHypotheticalQuestion"), F.lit("j").alias("evaluator_model"), ((F.col("id") * 7919) % n).alias("eval_id"),
+        F.lit("code_check").alias("eval_type"), F.lit("valid").alias("term_label"), F.lit("t").alias("term"), F.col("id").alias("term_id"),
+        F.lit(0).alias("IsHypotheticalTerm"), F.lit("x").alias("term_source"), F.lit("").alias("reflection")).repartition(5)
+    lines = R.report_lines(detail)
+    assert "collect_list" not in lines._jdf.queryExecution().executedPlan().toString()
+    sinks.write_report_lines(lines, f"{scratch}/r")
+    got = {(r.answer_source, json.dumps(json.loads(r.json))) for r in sinks.read_report_documents(spark, f"{scratch}/r").collect()}
+    want = {(r.answer_source, json.dumps(json.loads(r.json))) for r in R.nested_report(detail).collect()}
+    assert got == want and len(got) == 12
+
+
 def test_partition_count_does_not_change_results(spark):
     names = ["triplets", "answer_labels", "report_detail", "upsert_terms", "topic_runs"]
     out = {}

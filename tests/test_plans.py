@@ -37,7 +37,7 @@ def test_positions_need_no_second_shuffle(spark):
     for name in ("row_ids", "running_mean", "topic_runs"):
         text = E.queries()[name](spark, SF)._jdf.queryExecution().executedPlan().toString()
         shuffles = [x for x in text.split("\n") if "Exchange hashpartitioning" in x or "Exchange range" in x]
-        assert len(shuffles) <= 1 and all("_pid" in x or "shiftright" in x for x in shuffles), shuffles
+        assert len(shuffles) <= 1 and all("_groupingexpression" in x for x in shuffles), shuffles
 
 
 def test_phrase_search_shuffles_no_text(spark):
