@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from mirage import schemas as S
-from mirage.sources.tables import Tables
+from mirage.sources.tables import Tables, save_table, scan_table
 
 
 # Fixed character map used to derive accent-free lookup terms.
@@ -245,8 +245,36 @@ class Pipeline:
                         F.when(F.col("p_size") % 2 == 0, quoted).otherwise(numbered)
                          .alias("reply"))
 
+    @property
+    def answered(self) -> DataFrame:
+        """Answers with their question, a row per answer."""
+        a, q = self.answers.alias("a"), self.questions.alias("q")
+        return a.join(q, F.col("a.question_id") == F.col("q.id")).select(
+            F.col("a.id").alias("answer_id"), "a.question_id", "q.question", "q.replacement_type", "a.answer", "a.model_id")
+
     @cached_property
     def labels(self) -> DataFrame:
         """The answer-label table (A2 over ``evals``)."""
         from mirage.operators.labels import answer_labels
         return answer_labels(self.evals)
+
+
+class StoredPipeline(Pipeline):
+    """The facts of the label views as catalog tables, bucketed by answer: a
+    load shuffles them once, and every view that joins them on the answer
+    reads them as they lie. ``name`` prefixes the tables."""
+
+    def __init__(self, spark: SparkSession, base: str, name: str, path: str, buckets: int = 32):
+        super().__init__(spark, base)
+        self.name = name
+        source = Pipeline(spark, base)
+        save_table(source.labels, f"{name}_labels", f"{path}/labels", "answer_id", buckets)
+        save_table(source.answered, f"{name}_answered", f"{path}/answered", "answer_id", buckets)
+
+    @property
+    def answered(self) -> DataFrame:
+        return scan_table(self.spark, f"{self.name}_answered")
+
+    @property
+    def labels(self) -> DataFrame:
+        return scan_table(self.spark, f"{self.name}_labels")

@@ -130,16 +130,15 @@ def label_answer_level(p: Pipeline, labels: DataFrame | None = None) -> DataFram
     """One row per answer label with question, answer, both model names
     and the label name."""
     l = (labels if labels is not None else p.labels).alias("l")
-    a, q = p.answers.alias("a"), p.questions.alias("q")
+    a = p.answered.alias("a")
     m1, m2 = _names(p.models, "answer_source"), _names(p.models, "evaluator_model")
     n = _names(p.eval_names, "answer_label")
-    return (l.join(a, F.col("l.answer_id") == F.col("a.id"))
-             .join(q, F.col("a.question_id") == F.col("q.id"))
+    return (l.join(a, F.col("l.answer_id") == F.col("a.answer_id"))
              .join(m1, F.col("a.model_id") == F.col("_k_answer_source"))
              .join(m2, F.col("l.evaluator_model_id") == F.col("_k_evaluator_model"))
              .join(n, F.col("l.answer_label") == F.col("_k_answer_label"))
-             .select(F.col("a.question_id"), F.col("q.question"),
-                     is_hypothetical_question(F.col("q.replacement_type"))
+             .select(F.col("a.question_id"), F.col("a.question"),
+                     is_hypothetical_question(F.col("a.replacement_type"))
                       .alias("isHypotheticalQuestion"),
                      F.col("l.answer_id"), F.col("a.answer"),
                      F.col("a.model_id").alias("answer_source_id"), F.col("_n_answer_source").alias("answer_source"),

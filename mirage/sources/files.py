@@ -10,11 +10,13 @@ from mirage.schemas import QUESTION_FILE_SCHEMA
 
 
 def read_csv(spark: SparkSession, path: str, schema: T.StructType | str, sep: str = ",",
-             encoding: str | None = None, header: bool = True) -> DataFrame:
+             encoding: str | None = None, header: bool = True, multi_line: bool = True) -> DataFrame:
     """Delimited text with a header; quoted fields may span lines
     (answers hold newlines). ``encoding='ISO-8859-1'`` reads Latin-1 files,
-    ``sep='\\t'`` tab-separated ones."""
-    r = (spark.read.schema(schema).option("header", header).option("multiLine", True)
+    ``sep='\\t'`` tab-separated ones. A file whose fields may span lines is
+    read by one task; ``multi_line=False``, for fields that hold no line
+    breaks, reads a large file in splits."""
+    r = (spark.read.schema(schema).option("header", header).option("multiLine", multi_line)
          .option("escape", '"').option("sep", sep))
     if encoding:
         r = r.option("encoding", encoding)

@@ -36,3 +36,23 @@ class Tables:
         handle = read_table(self.spark, self.base, name)
         setattr(self, name, handle)      # one handle a table: scans can be reused
         return handle
+
+
+def save_table(df: DataFrame, name: str, path: str, by: str | None = None, buckets: int = 32) -> None:
+    """Store ``df`` as a catalog table at ``path``. With ``by`` it is bucketed
+    and sorted by that column: tables with the same number of buckets join on
+    it without a shuffle. Rows are dealt by the same hash first, so a bucket is
+    one file."""
+    rows = df.repartition(buckets, by) if by else df
+    w = rows.write.mode("overwrite").option("path", path)
+    if by:
+        w = w.bucketBy(buckets, by).sortBy(by)
+    w.saveAsTable(name)
+
+
+def scan_table(spark: SparkSession, name: str, columns: list[str] | None = None, where=None) -> DataFrame:
+    """A table or view of the catalog by name; columns and condition are
+    pushed into the scan."""
+    rows = spark.table(name)
+    rows = rows.where(where) if where is not None else rows
+    return rows.select(*columns) if columns else rows
