@@ -124,10 +124,12 @@ def terms_long(wide: DataFrame) -> DataFrame:
                 .select(*keep, "_t.*"))
 
 
-def inclusion_evals(long: DataFrame, reflection: str | None = None) -> DataFrame:
+def inclusion_evals(long: DataFrame, reflection: str | None = None, partitions: int | None = None) -> DataFrame:
     """F4 over every long row: one inclusion-check evaluation (kind 4, model
-    10) per (answer, term)."""
-    return long.select(
+    10) per (answer, term). ``partitions`` deals the rows over that many tasks
+    before their texts are cleaned."""
+    rows = spread(long.select("answer_id", "answer", "term_source", "term_id", "term_pos", "term"), partitions)
+    return rows.select(
         "answer_id", inclusion_label(F.col("answer"), F.col("term")).alias("eval_label"),
         F.lit(CODE_CHECK).cast("long").alias("eval_type_id"),
         F.lit(reflection).cast("string").alias("reflection"),
@@ -197,7 +199,8 @@ def _keep_rows(judge: JudgeFn) -> JudgeFn:
             if pdf.empty:
                 continue
             sent = pdf[[c for c in SENT_COLUMNS if c in pdf.columns]]
-            got = pd.concat(list(judge(iter([sent]))), ignore_index=True)
+            none = pd.DataFrame({"request_id": pd.Series(dtype=object), "reply": pd.Series(dtype=object)})
+            got = pd.concat([none, *judge(iter([sent]))], ignore_index=True)  # a judge may be silent
             if got["request_id"].duplicated().any():
                 raise ValueError("the judge gave two replies to one request")
             replies = got.set_index("request_id")["reply"]
@@ -212,10 +215,11 @@ def evaluate_answers(answers: DataFrame, judge: JudgeFn, judge_model_id: int,
                      only: int | None = None, done: DataFrame | None = None,
                      partitions: int | None = None) -> DataFrame:
     """The whole term-level evaluation: inclusion rows for every term plus
-    judge rows for used terms, as one long table (M3)."""
-    long = terms_long(to_wide(answers))
+    judge rows for used terms, as one long table (M3). ``partitions`` deals the
+    answers over that many tasks before their texts are cleaned and judged."""
+    long = terms_long(spread(to_wide(answers), partitions))
     inc = inclusion_evals(long).withColumn("parse_step", F.lit(None).cast("int"))
-    return inc.unionByName(judge_terms(long, judge, judge_model_id, only=only, done=done, partitions=partitions))
+    return inc.unionByName(judge_terms(long, judge, judge_model_id, only=only, done=done))
 
 
 def stub_judge(pdfs: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:

@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from mirage.functions.common import keep_first
+from mirage.functions.common import keep_first, spread
 from mirage.functions.text import inclusion_label, is_failure
 from mirage.operators.ordering import GlobalOrder
 from mirage.schemas import CODE_CHECK, FUNCTION_MODEL_ID
@@ -55,13 +55,14 @@ def not_yet_evaluated(work: DataFrame, evals: DataFrame, judge_model_id: int,
     return items.join(done, EVAL_KEY, "left_anti")
 
 
-def reconcile_inclusion(stored: DataFrame, long: DataFrame) -> DataFrame:
+def reconcile_inclusion(stored: DataFrame, long: DataFrame, partitions: int | None = None) -> DataFrame:
     """Compare stored inclusion labels (kind 4) with recomputed ones.
 
     One row per (answer, term) of ``long`` with ``status`` in
     ``missing | changed | same`` plus old and new labels; ``revised`` applies
-    it (changed rows updated, missing rows added)."""
-    new = long.select("answer_id", F.col("term_source").cast("long").alias("term_source"),
+    it (changed rows updated, missing rows added). ``partitions`` deals the
+    rows over that many tasks before their texts are cleaned."""
+    new = spread(long.select("answer_id", "term_source", "term_id", "answer", "term"), partitions).select("answer_id", F.col("term_source").cast("long").alias("term_source"),
                       "term_id", inclusion_label(F.col("answer"), F.col("term")).alias("new_label"))
     old = (stored.where(F.col("eval_type_id") == CODE_CHECK)
                  .groupBy("answer_id", "term_source", "term_id")

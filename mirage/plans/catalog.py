@@ -173,7 +173,7 @@ def q_terms_long(spark, d):
 @register("term_inclusion")
 def q_term_inclusion(spark, d):
     from mirage.operators.evaluate import inclusion_evals, terms_long
-    return inclusion_evals(terms_long(Pipeline(spark, d).qa))
+    return inclusion_evals(terms_long(Pipeline(spark, d).qa), partitions=_cores(spark))
 
 
 @register("judge_evaluations")
@@ -547,7 +547,7 @@ def q_reconcile(spark, d):
     """Stored inclusion labels against recomputed ones."""
     from mirage.operators.incremental import reconcile_inclusion
     p = Pipeline(spark, d)
-    return reconcile_inclusion(p.evals, _work(p))
+    return reconcile_inclusion(p.evals, _work(p), _cores(spark))
 
 
 @register("revised")
@@ -555,7 +555,7 @@ def q_revised(spark, d):
     """I3 applied to the stored evaluations."""
     from mirage.operators.incremental import reconcile_inclusion, revised
     p = Pipeline(spark, d)
-    return revised(p.evals, reconcile_inclusion(p.evals, _work(p)))
+    return revised(p.evals, reconcile_inclusion(p.evals, _work(p), _cores(spark)))
 
 
 @register("reconcile_counts")

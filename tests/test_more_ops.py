@@ -397,3 +397,20 @@ def test_run_stamp(spark):
 
     from mirage.functions.text import run_stamp
     assert re.fullmatch(r"20\d{6}_\d{6}", spark.range(1).select(run_stamp()).first()[0])
+
+
+def test_silent_judge(spark):
+    """A judge that gives no reply at all, or only to some requests: what it
+    leaves out counts as failed."""
+    import pandas as pd
+
+    from mirage.operators import evaluate as EV
+    wide = spark.createDataFrame([(1, "the alpha beta", 1, "q", 0, "", 5, "alpha", "m", "1", 6, "beta", "n", "2", 1)],
+                                 "answer_id long, answer string, question_id long, question string, nonexistent_id long, nonexistent string, "
+                                 "secondary_id long, secondary string, secondary_meaning string, secondary_source string, "
+                                 "replacement_id long, replacement string, replacement_meaning string, replacement_source string, replacement_type long")
+    long = EV.terms_long(wide)
+    for judge in (lambda pdfs: iter([]), lambda pdfs: (pd.DataFrame({"request_id": [], "reply": []}) for _ in pdfs)):
+        got = EV.judge_terms(long, judge, 2).collect()
+        assert len(got) == 4 and all(r.reflection.startswith("WARNING") for r in got)
+    assert EV.judge_terms(long.where("false"), lambda pdfs: iter([]), 2).count() == 0
