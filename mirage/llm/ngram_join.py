@@ -53,6 +53,8 @@ HASHES, BAND = 96, 4
 STEP = 16
 TOLERANCE = 1e-6
 CHUNK = 1024
+#: Bytes of the texts of a chunk, about (or one text).
+CHUNK_BYTES = 32 << 20
 
 _RNG = np.random.default_rng(20240517)
 _A = _RNG.integers(1, 1 << 63, HASHES, dtype=np.uint64) | np.uint64(1)
@@ -187,9 +189,13 @@ def _halves(parts, key, name):
     return np.flatnonzero(chunk == lo), np.flatnonzero(chunk == hi), lo == hi
 
 
-def _chunked(rows: DataFrame, key: str, size: str, member: str, chunk: int) -> DataFrame:
-    """One row per pair of chunks that a member takes part in: key, lo, hi."""
+def _chunked(rows: DataFrame, key: str, size: str, member: str, chunk: int, held: str | None = None) -> DataFrame:
+    """One row per pair of chunks that a member takes part in: key, lo, hi.
+    ``held`` is a key's bytes of text: chunks are also of ``CHUNK_BYTES`` or
+    less, about."""
     n = F.ceil(F.col(size) / F.lit(chunk)).cast("int")
+    if held:
+        n = F.greatest(n, F.ceil(F.col(held) / F.lit(CHUNK_BYTES)).cast("int"))
     rows = rows.withColumn("chunk", F.pmod(F.xxhash64(member), n).cast("int"))
     other = F.explode(F.sequence(F.lit(0), n - 1))
     rows = rows.withColumn("_o", other)
@@ -201,21 +207,28 @@ def _column(parts, name):
 
 
 def classes(docs: DataFrame) -> DataFrame:
-    """doc_id (stand-in for none), digest of the words (null without words),
-    MinHash values, bands."""
+    """doc_id (stand-in for none), hash and bytes of the text, digest of the
+    words (null without words), MinHash values, bands."""
     def work(batches):
         for part in slices(batches, "text"):
-            texts = raw_texts(part.column(1))
+            texts = raw_texts(part.column(3))
             values, count = signatures(texts)
             keys = [hashlib.blake2b(b" ".join(t.split()), digest_size=16).digest() if n else None for t, n in zip(texts, count.tolist())]
             bands = _bands(values)
             n = HASHES // BAND
-            yield pa.record_batch([part.column(0), pa.array(keys, pa.binary()), pa.array([v.tobytes() for v in values], pa.binary()),
+            yield pa.record_batch([*part.columns[:3], pa.array(keys, pa.binary()), pa.array([v.tobytes() for v in values], pa.binary()),
                                    pa.ListArray.from_arrays(pa.array(np.arange(0, n * len(texts) + 1, n, dtype=np.int32)), pa.array(bands.ravel()))],
-                                  names=["id", "digest", "values", "bands"])
+                                  names=["id", "hash", "bytes", "digest", "values", "bands"])
+
+    return _texts(docs).mapInArrow(work, "id long, hash long, bytes long, digest binary, values binary, bands array<long>")
+
 
-    rows = docs.select(F.coalesce(F.col("doc_id"), F.lit(NO_ID)).cast("long").alias("id"), text_of().alias("text"))
-    return rows.mapInArrow(work, "id long, digest binary, values binary, bands array<long>")
+def _texts(docs: DataFrame) -> DataFrame:
+    """id, and the text with its hash: together they name a row's text even
+    where ids are missing or repeat."""
+    text = text_of()
+    return docs.select(F.coalesce(F.col("doc_id"), F.lit(NO_ID)).cast("long").alias("id"), F.xxhash64(text).alias("hash"),
+                       F.octet_length(text).cast("long").alias("bytes"), text.alias("text"))
 
 
 def _forest_edges(batches, threshold: float):
@@ -260,7 +273,8 @@ def _linked(docs: DataFrame, threshold: float, chunk: int) -> tuple[DataFrame, D
     of the first class with it; null where nothing is linked), links."""
     every = materialise(classes(docs), "signatures")
     cls = materialise(every.where("digest is not null").groupBy("digest").agg(
-        F.min("id").alias("id"), F.count(F.lit(1)).alias("rows"), F.first("values").alias("values"), F.first("bands").alias("bands")), "classes")
+        F.min(F.struct("id", "hash", "bytes")).alias("_r"), F.count(F.lit(1)).alias("rows"), F.first("values").alias("values"),
+        F.first("bands").alias("bands")).select("digest", "_r.*", "rows", "values", "bands"), "classes")
 
     # Buckets with at least two classes; their members with MinHash values.
     band = cls.select("digest", F.explode("bands").alias("band"))
@@ -272,10 +286,10 @@ def _linked(docs: DataFrame, threshold: float, chunk: int) -> tuple[DataFrame, D
     clusters = components(edges)
 
     # Clusters with texts, verified.
-    sized = clusters.join(clusters.groupBy("label").agg(F.count(F.lit(1)).alias("n")), "label")
-    members = sized.withColumnRenamed("node", "digest").join(cls.select("digest", "id", "rows", "values"), "digest")
-    texts = docs.select(F.coalesce(F.col("doc_id"), F.lit(NO_ID)).cast("long").alias("id"), text_of().alias("text"))
-    pairs = _chunked(_same_text(members.join(texts, "id")), "label", "n", "digest", chunk).select("label", "lo", "hi", "chunk", "digest", "rows", "values", "text")
+    members = clusters.withColumnRenamed("node", "digest").join(cls.select("digest", "id", "hash", "bytes", "rows", "values"), "digest")
+    members = members.join(members.groupBy("label").agg(F.count(F.lit(1)).alias("n"), F.sum("bytes").alias("held")), "label")
+    found = _same_text(members.join(_texts(docs).drop("bytes"), ["id", "hash"]))
+    pairs = _chunked(found, "label", "n", "digest", chunk, "held").select("label", "lo", "hi", "chunk", "digest", "rows", "values", "text")
     links = materialise(pairs.repartition("label", "lo", "hi").sortWithinPartitions("label", "lo", "hi", "digest")
                         .mapInArrow(lambda b: _verify(b, threshold), "a binary, b binary, links long"), "links")
 
@@ -332,15 +346,15 @@ def _with_digest(docs: DataFrame) -> DataFrame:
 
 
 def _same_text(found: DataFrame) -> DataFrame:
-    """One row per digest: the text whose words have that digest (an id that
-    several rows share can bring other texts along)."""
+    """One row per digest: the text whose words have that digest (rows that
+    repeat id and text bring it several times, equal hashes another text)."""
     def check(batches):
         for part in slices(batches, "text"):
             keep = [hashlib.blake2b(b" ".join(t.split()), digest_size=16).digest() == d
                     for t, d in zip(raw_texts(part.column("text")), part.column("digest").to_pylist())]
             yield part.filter(pa.array(keep, pa.bool_()))
 
-    rows = found.select("digest", "label", "n", "rows", "values", "text")
+    rows = found.select("digest", "label", "n", "held", "rows", "values", "text")
     one = rows.mapInArrow(check, rows.schema)
     w = Window.partitionBy("digest").orderBy(F.xxhash64("text"))
     return one.withColumn("_k", F.row_number().over(w)).where("_k = 1").drop("_k")
