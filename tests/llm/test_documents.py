@@ -1,15 +1,19 @@
 """Document operators against plain versions on rows with every oddity."""
 
+import hashlib
 import random
 
 import brute as B
 import numpy as np
+import pyarrow as pa
 import pytest
 from conftest import frame, prose
 from pyspark.sql import functions as F
 
+from mirage.llm import exact_dedup as E
 from mirage.llm import queries as Q
 from mirage.llm.exact_dedup import Trie, common_prefix, exact_dedup
+from mirage.llm import ngram_join as N
 from mirage.llm.ngram_join import least_matches, ngram_join
 from mirage.llm.substring_dedup import remove_repeats, super_kmers, window_owners
 from mirage.llm.words import Words, sliding_min
@@ -43,6 +47,51 @@ def test_trie_holds_smallest_id_and_rows():
     assert trie.size == len(plain)
 
 
+@pytest.mark.parametrize("limit", [40, 400, 1 << 20])
+def test_tries_spill_by_subtree(monkeypatch, limit):
+    """Tasks' tries and owners' tries that hold next to nothing: what is given
+    out in parts adds up to the whole, with texts of all lengths in one trie
+    and content hashes that collide."""
+    monkeypatch.setattr(E, "TRIE_BYTES", limit)
+    r = random.Random(3)
+    same = b"the same long beginning of many texts "
+    pool = [same + bytes(r.choice(b"xyz") for _ in range(r.randint(0, 6))) for _ in range(150)]
+    pool += [bytes(r.choice(b"ab\xff\x00") for _ in range(r.randint(0, 20))) for _ in range(150)] + [b"", b"a" * 1000, b"a" * 1001]
+    rows = [(k, r.choice(pool)) for k in range(4000)]
+
+    def batch(part):
+        return pa.record_batch([pa.array([i for i, _ in part], pa.int64()), pa.array([0] * len(part), pa.int64()),
+                                pa.array([hashlib.sha256(t).digest() for _, t in part], pa.binary()), pa.array([t for _, t in part], pa.binary())],
+                               names=["ident", "hash", "sha", "text"])
+
+    combined = [b for lo in range(0, 4000, 500) for b in E._combine(iter([batch(rows[lo:lo + 300]), batch(rows[lo + 300:lo + 500])]))]
+    table = pa.Table.from_batches(combined)
+    assert sum(table.column("rows").to_pylist()) == 4000
+    order = sorted(range(table.num_rows), key=lambda k: table.column("text")[k].as_py()[:E.HEAD])
+    got, parts = {}, 0
+    for b in E._own(iter(table.take(order).combine_chunks().to_batches(max_chunksize=97))):
+        for length, sha, owner, n in zip(*(b.column(k).to_pylist() for k in range(4))):
+            old = got.get((length, sha), (owner, 0))
+            got[length, sha] = (min(old[0], owner), old[1] + n)
+            parts += 1
+    want = {}
+    for k, t in rows:
+        old = want.get(t, (k, 0))
+        want[t] = (min(old[0], k), old[1] + 1)
+    assert {x: v for x, v in got.items() if v[1] > 1} == {(len(t), hashlib.sha256(t).digest()): v for t, v in want.items() if v[1] > 1}
+    assert (parts > len(got)) == (limit < 1000)  # the small ones have to give out unfinished subtrees
+
+
+def test_finished_subtrees():
+    trie = Trie()
+    words = [b"a", b"ab", b"abc", b"b", b"ba", b"bab", b"bb", b"c"]
+    for w in words:
+        trie.insert(w, 1, 1, w)
+    assert sorted(v[2] for v in trie.finished(b"bab")) == [b"a", b"ab", b"abc"]
+    assert sorted(v[2] for v in trie.finished(b"bb")) == [b"ba", b"bab"]
+    assert sorted(v[2] for v in trie.finished(b"zz")) == [b"b", b"bb", b"c"] and (trie.size, trie.bytes) == (0, 0)
+
+
 def test_common_prefix():
     assert [common_prefix(a, b) for a, b in [(b"", b"x"), (b"abc", b"abd"), (b"abc", b"abc"), (b"x" * 1000 + b"a", b"x" * 1000 + b"b"), (b"a", b"b")]] \
         == [0, 2, 3, 1000, 0]
@@ -111,6 +160,41 @@ def test_near_chunks(spark):
     assert rows(ngram_join(frame(spark, texts), chunk=16), "doc_id", "class_id", "n_links", "kept") == B.ordered(B.near(texts))
 
 
+def hot_ids():
+    """A third of the rows under no id, another under one id, near copies and
+    copies with other white space among them."""
+    r = random.Random(11)
+    out = []
+    for g in range(60):
+        base = prose(f"hot {g}", 60).split()
+        for k in range(4):
+            w = list(base)
+            if k:
+                w[r.randrange(60)] = f"y{k}"
+            text = (" " if k != 2 else "\n\t").join(w)
+            out += [((None, 7, 1000 + 10 * g + k)[(g + k) % 3], text)]
+        out.append((None, "  ".join(base)))
+    return out + [(None, None), (None, ""), (7, "a lone text"), (7, "a lone text")]
+
+
+@pytest.mark.parametrize("held", [1 << 25, 1500])
+def test_near_under_one_missing_id(spark, monkeypatch, held):
+    monkeypatch.setattr(N, "CHUNK_BYTES", held)
+    texts = hot_ids()
+    assert rows(ngram_join(frame(spark, texts)), "doc_id", "class_id", "n_links", "kept") == B.ordered(B.near(texts))
+
+
+def test_near_joins_grow_with_the_rows_only(spark):
+    """Rows without ids meet their own texts, not all texts without an id."""
+    def met(ids):
+        texts = [(i, prose(f"own {k // 2}", 40) + f" {'x' if k % 2 else 'y'}") for k, i in enumerate(ids)]
+        docs = frame(spark, texts)
+        cls = N.classes(docs).select("id", "hash")
+        return cls.join(N._texts(docs), ["id", "hash"]).count()
+
+    assert met(range(600)) == met([None] * 600) == 600
+
+
 def test_near_empty(none):
     assert ngram_join(none).count() == 0
 
