@@ -11,10 +11,12 @@ double precision.
    starts ``beam`` wide and doubles while all of it lies within the threshold,
    so a vector with many neighbours gets a beam as wide as they need. What the
    search finds is verified by its cosine in double precision.
-4. An audit compares a stated sample of vectors with all others by brute
-   force. While the share of their links that the search has found is below
-   ``recall``, the beam is doubled and the search repeated; a beam as wide as
-   a shard is exact.
+4. An audit compares a sample of vectors with all others by matrix products,
+   ``audit`` of them and more until they have ``AUDIT_LINKS`` links or all
+   have been compared. While the share of these links that the search has
+   found is below ``recall``, the beam is doubled and the search repeated.
+   Where the widest beam (twice a shard) still misses it, which a graph that
+   is not connected can do, all blocks are compared by products.
 5. Links are counted per vector where they are found; of the links themselves
    each task passes on a spanning forest, whose components are united.
 
@@ -39,7 +41,9 @@ BLOCK = 4096
 M = 16
 #: Cosines in single precision this close below the threshold are verified.
 SLACK = 1e-4
-AUDIT = 256
+AUDIT, AUDIT_LINKS = 256, 200
+#: Queries that one matrix product takes.
+PRODUCT = 512
 
 
 def unit(x: np.ndarray) -> np.ndarray:
@@ -189,7 +193,8 @@ def near_vectors(vectors: DataFrame, threshold: float = THRESHOLD, beam: int = 3
     """One row per row of ``vectors`` (vec_id, embedding, label): vec_id,
     n_links (other rows linked directly), component_id (smallest vec_id
     reachable by links, itself included), kept (vec_id = component_id)."""
-    cls = materialise(vector_classes(vectors).withColumn("node", F.xxhash64("label", "v")), "vectors")
+    # Stored, so the numbers stay what they are.
+    cls = materialise(vector_classes(vectors).withColumn("node", F.monotonically_increasing_id()), "vectors")
     counts = materialise(cls.groupBy("label", "dim").agg(F.count(F.lit(1)).alias("n")), "counts")
     counts = counts.withColumn("shards", F.ceil(F.col("n") / shard).cast("int")).withColumn("blocks", F.ceil(F.col("n") / BLOCK).cast("int"))
     placed = cls.join(counts, ["label", "dim"]).withColumn("shard", F.pmod(F.xxhash64("node"), F.col("shards")).cast("int"))
@@ -217,12 +222,18 @@ def near_vectors(vectors: DataFrame, threshold: float = THRESHOLD, beam: int = 3
                 dim = g.column("dim")[0].as_py()
                 x, node, rows, data = unpack_arrays(g.column("data")[0].as_py(), np.float64, np.int64, np.int64, np.uint8)
                 x = unit(x.reshape(-1, dim))
-                graph = Graph.load(x, data.tobytes())
+                graph = None if width is None else Graph.load(x, data.tobytes())
                 mine, y = q.column("node").to_numpy(), unit(_matrix(q.column("v")))
                 where = {n: k for k, n in enumerate(node.tolist())}
                 names, left, right = dict(where), [], []
+                near = None
                 for k, ident in enumerate(mine.tolist()):
-                    hit = graph.search(y[k].astype(np.float32), width, threshold - SLACK)
+                    if graph is None:
+                        if k % PRODUCT == 0:
+                            near = x @ y[k:k + PRODUCT].T >= threshold - SLACK
+                        hit = np.flatnonzero(near[:, k % PRODUCT])
+                    else:
+                        hit = graph.search(y[k].astype(np.float32), width, threshold - SLACK)
                     hit = hit[(x[hit] @ y[k] >= threshold) & (node[hit] != ident)]
                     out[0].append(ident)
                     out[1].append(None)
@@ -238,16 +249,31 @@ def near_vectors(vectors: DataFrame, threshold: float = THRESHOLD, beam: int = 3
 
         return search
 
-    truth = _audit(cls, threshold, audit)
-    width, most = beam, 2 * shard
-    while True:
-        found = materialise(queries.groupBy(*key, "block").cogroup(each.groupBy(*key, "block")).applyInArrow(
+    def search(of, width):
+        """Links found from the queries ``of``; without a width, all there are."""
+        return materialise(of.groupBy(*key, "block").cogroup(each.groupBy(*key, "block")).applyInArrow(
             searcher(width), "a long, b long, links long"), "links")
-        links = found.where("b is null").groupBy(F.col("a").alias("node")).agg(F.sum("links").alias("links"))
-        sums = truth.join(links, "node", "left").agg(F.sum("true"), F.sum(F.least("true", F.coalesce("links", F.lit(0))))).first()
-        if not sums[0] or (sums[1] or 0) >= recall * sums[0] or width >= most:
+
+    def per_node(found):
+        return found.where("b is null").groupBy(F.col("a").alias("node")).agg(F.sum("links").alias("links"))
+
+    found = search(queries, beam)
+    share, total = min(1.0, audit / max(1, cls.count())), 0
+    while True:
+        asked = queries.where(F.pmod(F.xxhash64("node", F.lit(11)), F.lit(1 << 30)) < int(share * (1 << 30)))
+        truth = per_node(search(asked, None)).withColumnRenamed("links", "true")
+        total = truth.agg(F.sum("true")).first()[0] or 0
+        if total >= AUDIT_LINKS or share >= 1:
             break
-        width *= 2
+        share = min(1.0, 8 * share)
+    width = beam
+    while True:
+        links = per_node(found)
+        seen = truth.join(links, "node", "left").agg(F.sum(F.least("true", F.coalesce("links", F.lit(0))))).first()[0] or 0
+        if seen >= recall * total or width is None:
+            break
+        width = 2 * width if width < 2 * shard else None
+        found = search(queries, width)
 
     label = components(found.where("b is not null").select("a", "b"))
     least = label.join(cls.select("node", "id"), "node").groupBy("label").agg(F.min("id").alias("least"))
@@ -261,31 +287,3 @@ def near_vectors(vectors: DataFrame, threshold: float = THRESHOLD, beam: int = 3
     none = F.lit(None).cast("long")
     return got.select("vec_id", (F.coalesce("_links", F.lit(0)) + F.coalesce("_rows", F.lit(1)) - 1).alias("n_links"),
                       F.when(component != NO_ID, component).otherwise(none).alias("component_id"), (F.col("_id") == component).alias("kept"))
-
-
-def _audit(cls: DataFrame, threshold: float, audit: int) -> DataFrame:
-    """True number of links (copies of other classes included) of the
-    ``audit`` classes whose hash is smallest, by brute force over all rows."""
-    asked = cls.orderBy(F.xxhash64("node", F.lit(11)), "node").limit(audit).collect()  # at most ``audit`` rows
-    by: dict[tuple, list] = {}
-    for r in asked:
-        by.setdefault((r["label"], r["dim"]), []).append((r["node"], r["v"]))
-    sample = cls.sparkSession.sparkContext.broadcast(
-        {k: (np.array([n for n, _ in v], np.int64), unit(np.array([x for _, x in v]))) for k, v in by.items()})
-
-    def count(batches):
-        for batch in batches:
-            label, dim = batch.column(0).to_pylist(), np.array(batch.column(1).to_pylist())
-            node, rows = batch.column(3).to_numpy(), batch.column(4).to_numpy()
-            groups: dict[tuple, list[int]] = {}
-            for k, pair in enumerate(zip(label, dim.tolist())):
-                groups.setdefault(pair, []).append(k)
-            for pair, at in groups.items():
-                if pair in sample.value:
-                    asked_node, q = sample.value[pair]
-                    x = unit(_matrix(batch.column(2).take(pa.array(at))))
-                    hit = (x @ q.T >= threshold) & (node[at][:, None] != asked_node[None, :])
-                    yield pa.record_batch([pa.array(asked_node), pa.array((hit * rows[at][:, None]).sum(0))], names=["node", "true"])
-
-    got = cls.select("label", "dim", "v", "node", "rows").mapInArrow(count, "node long, true long")
-    return materialise(got.groupBy("node").agg(F.sum("true").alias("true")), "audit")
