@@ -150,25 +150,57 @@ def read_turns(formatted: Column) -> Column:
     return F.transform(F.slice(parts, F.lit(1), F.size(parts) - 1), turn)
 
 
+def _blocks(items: Column, size: int) -> Column:
+    """``items`` in consecutive blocks of ``size``; no items give no blocks."""
+    last = F.floor((F.size(items) - 1) / size).cast("int")
+    cut = F.transform(F.sequence(F.lit(0), F.greatest(last, F.lit(0))), lambda k: F.slice(items, k * size + 1, F.lit(size)))
+    return F.when(F.size(items) > 0, cut).otherwise(F.filter(cut, lambda b: F.size(b) > 0))
+
+
+#: Spans read, and turns placed, at a time. A character's place in a string, and
+#: an item added to an array, cost the length before it; in blocks that is the
+#: block's.
+READ, PLACED = (4096, 64), 256
+
+
 def read_loss(formatted: Column, spans: Column) -> Column:
     """All text under the loss mask, read back from the formatted string."""
-    return F.array_join(F.transform(spans, lambda s: unescape(F.substring(formatted, s.start + 1, s.end - s.start))), "")
+    def read(text: Column, start: Column, spans: Column, sizes: tuple[int, ...]) -> Column:
+        if not sizes:
+            return F.array_join(F.transform(spans, lambda s: unescape(F.substring(text, s.start - start + 1, s.end - s.start))), "")
+        first, last = (lambda b: F.element_at(b, 1).start), (lambda b: F.element_at(b, -1).end)
+        blocks = F.transform(_blocks(spans, sizes[0]), lambda b: F.struct(
+            F.substring(text, first(b) - start + 1, last(b) - first(b)).alias("text"), first(b).alias("start"), b.alias("spans")))
+        return F.array_join(F.transform(blocks, lambda b: read(b.text, b.start, b.spans, sizes[1:])), "")
+
+    return read(formatted, F.lit(0), spans, READ)
 
 
 def format_chats(conversations: DataFrame) -> DataFrame:
     """``conversations`` (turns, and any other columns) with formatted and
     loss_spans (start and end of each assistant text in it, in characters)."""
-    out = conversations.withColumn("formatted", format_turns(F.col("turns")))
-    zero = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<start:int,end:int>>").alias("spans"))
+    cols = [c for c in conversations.columns if c not in ("formatted", "loss_spans")]
+    sizes = F.transform("turns", lambda t: F.struct(
+        (F.length(F.lit(START)) + F.length(escape_role(t.role)) + 1).alias("head"), F.length(escape(t.text)).alias("text"),
+        (t.role == "assistant").alias("loss")))
+    kind = "array<struct<start:int,end:int>>"
+    zero = F.struct(F.lit(0).alias("at"), F.array().cast(kind).alias("spans"))
 
     def step(acc, t):
-        start = acc.at + F.length(F.lit(START)) + F.length(escape_role(t.role)) + 1
-        end = start + F.length(escape(t.text))
+        start, end = acc.at + t.head, acc.at + t.head + t.text
         span = F.array(F.struct(start.alias("start"), end.alias("end")))
-        return F.struct((end + len(END) + 1).alias("at"),
-                        F.when(t.role == "assistant", F.concat(acc.spans, span)).otherwise(acc.spans).alias("spans"))
-
-    return out.withColumn("loss_spans", F.aggregate("turns", zero, step, lambda a: a.spans))
+        return F.struct((end + len(END) + 1).alias("at"), F.when(t.loss, F.concat(acc.spans, span)).otherwise(acc.spans).alias("spans"))
+
+    # Spans within each block of turns, and where the blocks start.
+    blocks = F.transform(_blocks(F.col("_z"), PLACED), lambda b: F.aggregate(b, zero, step))
+    starts = F.aggregate(F.transform("_b", lambda b: b.at), F.struct(F.lit(0).alias("at"), F.array().cast("array<int>").alias("starts")),
+                         lambda acc, n: F.struct((acc.at + n).alias("at"), F.concat(acc.starts, F.array(acc.at)).alias("starts")),
+                         lambda acc: acc.starts)
+    placed = F.transform(F.arrays_zip("_b", "_s"), lambda z: F.transform(
+        z["_b"].spans, lambda s: F.struct((s.start + z["_s"]).alias("start"), (s.end + z["_s"]).alias("end"))))
+    out = conversations.select(F.struct(*cols).alias("_row"), format_turns(F.col("turns")).alias("formatted"), sizes.alias("_z"))
+    out = out.withColumn("_b", blocks).withColumn("_s", starts)
+    return out.select(*[F.col("_row")[c].alias(c) for c in cols], "formatted", F.flatten(placed).cast(kind).alias("loss_spans"))
 
 
 def gather_turns(rows: DataFrame, key: str, order: str) -> DataFrame:
