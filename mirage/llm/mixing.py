@@ -31,6 +31,8 @@ most. No rows give no rows. Columns named like an output are replaced.
 
 from __future__ import annotations
 
+from fractions import Fraction
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -105,8 +107,15 @@ def mix_sources(docs: DataFrame, domain: Column, weights: dict[str, dict[str, in
                 epochs: int = 1, seed: int = 0) -> DataFrame:
     """The rows of ``docs`` (doc_id, text, lang, source) that the mix takes,
     with epoch (from 0), n_tokens and take_tokens (fewer only for a leaf's last
-    document). The budget is ``share`` of all tokens; ``weights`` maps a level
-    of the tree to integer weights by name; ``domain`` gives a row's domain."""
+    document). The budget is ``share`` of all tokens, rounded down; ``weights``
+    maps a level of the tree to integer weights by name (others are an error);
+    ``domain`` gives a row's domain."""
+    for level, of in weights.items():
+        for name, w in of.items():
+            if int(w) != w:
+                raise ValueError(f"the weight of {level} {name!r} is no integer: {w}")
+    if not 0 <= share < float("inf"):
+        raise ValueError(f"share: {share}")
     cols = [c for c in docs.columns if c not in OUT]
     rows = docs.select(F.struct(*cols).alias("row"), F.coalesce(domain, F.lit("")).alias("domain"), F.coalesce("lang", F.lit("")).alias("lang"),
                        F.coalesce("source", F.lit("")).alias("source"), F.col("doc_id").cast("string").alias("_id"), F.md5(text_of()).alias("_text"),
@@ -117,8 +126,10 @@ def mix_sources(docs: DataFrame, domain: Column, weights: dict[str, dict[str, in
     rows = materialise(rows, "tokens").where("n_tokens > 0")
     narrow = rows.drop("row")
     leaves = materialise(narrow.groupBy(*TREE).agg(F.sum("n_tokens").alias("tokens")), "leaves")
-    permille = round(share * 1000)
-    budgets = materialise(leaf_budgets(leaves, weights, F.floor(F.col("_all") * permille / 1000), epochs), "budgets")
+    part = Fraction(str(share))  # as written: 0.8 is 4/5
+    total = F.floor((F.col("_all").cast(BIG) * F.lit(part.numerator).cast(BIG) - F.pmod(
+        F.col("_all").cast(BIG) * F.lit(part.numerator).cast(BIG), F.lit(part.denominator).cast(BIG))) / F.lit(part.denominator).cast(BIG))
+    budgets = materialise(leaf_budgets(leaves, weights, total, epochs), "budgets")
     # Whole epochs, and the rest that falls into one epoch.
     budgets = budgets.withColumn("whole", F.floor(F.col("budget") / F.col("tokens")).cast("long")).withColumn(
         "rest", F.col("budget") - F.col("whole") * F.col("tokens"))
