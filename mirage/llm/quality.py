@@ -23,7 +23,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -32,6 +32,10 @@ from mirage.llm.words import Words, mix, raw_texts, slices
 
 WORDS, SHAPES, LAGS = 1 << 16, 1 << 14, 24
 SIZE = WORDS + SHAPES + LAGS + 1
+#: What the shares of words, shapes and repetition are multiplied by, in the
+#: order in which ``features`` gives them: a few telling words among hundreds
+#: must weigh as much as the shape of the whole.
+SCALES = (5.0, 1.0, 1.0)
 #: Ratings that the model is fitted on at most.
 MAX_RATED = 6000
 #: Rows gone through at a time in fitting, and bytes of text in features.
@@ -73,9 +77,9 @@ def features(texts: list[bytes]) -> list[tuple[np.ndarray, np.ndarray]]:
 
 def scores(texts: list[bytes], weights: np.ndarray) -> np.ndarray:
     out = np.zeros(len(texts))
-    for owner, feature in features(texts):
+    for (owner, feature), scale in zip(features(texts), SCALES):
         n = np.bincount(owner, minlength=len(texts))
-        out += np.bincount(owner, weights[feature], len(texts)) / np.maximum(n, 1)
+        out += scale * np.bincount(owner, weights[feature], len(texts)) / np.maximum(n, 1)
     return out
 
 
@@ -129,20 +133,24 @@ def train(docs: DataFrame, ratings: DataFrame, n_grades: int, max_rated: int = M
     n_grades - 1) of ``docs`` (doc_id, text), or None without ratings."""
     chosen = (ratings.where("doc_id is not null and grade is not null").select("doc_id", F.col("grade").cast("int").alias("grade"))
               .orderBy(F.xxhash64("doc_id"), "doc_id", "grade").limit(max_rated))
+    chosen = chosen.withColumn("rating", F.monotonically_increasing_id())
     rated = docs.select("doc_id", text_of().alias("text")).join(F.broadcast(chosen), "doc_id")  # max_rated narrow rows
+    # A rating speaks of one document. Where an id repeats, of the first text
+    # (by hash), so that the fit has max_rated rows at most.
+    one = Window.partitionBy("rating").orderBy(F.xxhash64("text"), F.octet_length("text"))
+    rated = rated.withColumn("_n", F.row_number().over(one)).where("_n = 1").select("doc_id", "text", "grade")
 
     def extract(batches):
         for part in slices(batches, "text", TEXT_BYTES):
             texts = raw_texts(part.column(1))
-            pairs = features(texts)
             cols, vals = [[] for _ in texts], [[] for _ in texts]
-            for owner, feature in pairs:
+            for (owner, feature), scale in zip(features(texts), SCALES):
                 n = np.bincount(owner, minlength=len(texts))
                 both, times = np.unique(owner * SIZE + feature, return_counts=True)
                 who = both // SIZE
                 for k, a, b in zip(range(len(texts)), *(np.searchsorted(who, np.arange(len(texts)), side=s) for s in ("left", "right"))):
                     cols[k].append(both[a:b] % SIZE)
-                    vals[k].append(times[a:b] / max(1, n[k]))
+                    vals[k].append(scale * times[a:b] / max(1, n[k]))
             yield pa.record_batch([part.column(0).cast(pa.int64()), part.column(2),
                                    pa.array([np.concatenate(c).astype(np.int32).tobytes() for c in cols], pa.binary()),
                                    pa.array([np.concatenate(v).astype(np.float32).tobytes() for v in vals], pa.binary())],

@@ -53,7 +53,7 @@ def rated(spark: SparkSession, docs: DataFrame, d: str, carry: list[str] | None
 def op2_quality_classifier(spark: SparkSession, d: str) -> DataFrame:
     rows = rated(spark, table(spark, d, "documents").select("doc_id", "text"), d, ["doc_id"])
     return rows.select("doc_id", "expected_grade", F.col("tail")[0].alias("p_grade_1"), F.col("tail")[1].alias("p_grade_2"),
-                       quality.keeps(1, QUALITY_TAIL).alias("kept"))
+                       quality.keeps(1, QUALITY_TAIL).alias("kept"), quality.keeps(2, QUALITY_TAIL).alias("clean"))
 
 
 def op3_source_mixing(spark: SparkSession, d: str) -> DataFrame:

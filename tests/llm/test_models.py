@@ -12,6 +12,7 @@ import corpus_pipeline as C
 from mirage.llm import quality
 from mirage.llm import queries as Q
 from mirage.llm.common import components, forest
+from mirage.llm import vector_dedup as V
 from mirage.llm.vector_dedup import Graph, near_vectors, unit
 
 SF = "/root/testdata/sf0.001"
@@ -30,7 +31,9 @@ def test_held_out_accuracy(spark):
     assert got[got.quality == 1].kept.mean() > 0.99
     assert got[got.quality == 0].kept.mean() < 0.05
     sound = got[got.quality == 1]
-    assert sound[sound.toxic == 0].expected_grade.mean() > sound[sound.toxic == 1].expected_grade.mean() + 0.1
+    assert sound[sound.toxic == 0].expected_grade.mean() > sound[sound.toxic == 1].expected_grade.mean() + 0.3
+    # The stricter decision: most clean documents, about half of the toxic ones.
+    assert sound[sound.toxic == 0].best.mean() > 0.98 and sound[sound.toxic == 1].best.mean() < 0.55
 
 
 def test_rates_every_row(spark, docs):
@@ -59,6 +62,22 @@ def test_bound_on_ratings(spark, docs):
     assert quality.train(docs, quality.grades(labels), quality.N_GRADES, max_rated=3) is not None
 
 
+def test_the_fit_is_bounded_where_ids_repeat(spark, monkeypatch):
+    """A rating of an id that very many rows share brings one row to the fit,
+    the same one whatever the order."""
+    texts = [(1, f"good text {k % 50}") for k in range(3000)] + [(k, f"bad $$$ {k}") for k in range(2, 30)] + [(99, "good and fine text")]
+    labels = spark.createDataFrame([(1, 1, 0), (99, 1, 0)] + [(k, 0, 0) for k in range(2, 30)], "doc_id long, quality int, toxic int")
+    models = []
+    for parts in (1, 7):
+        docs = spark.createDataFrame(texts, "doc_id long, text string").repartition(parts)
+        models.append(quality.train(docs, quality.grades(labels), quality.N_GRADES))
+    assert np.allclose(models[0][0], models[1][0]) and np.allclose(models[0][1], models[1][1])
+    chosen = min({t for i, t in texts if i == 1}, key=lambda t: spark.sql("SELECT xxhash64(:t)", {"t": t}).first()[0])
+    lone = spark.createDataFrame([(1, chosen), *texts[3000:]], "doc_id long, text string")
+    same = quality.train(lone, quality.grades(labels), quality.N_GRADES)
+    assert np.allclose(models[0][0], same[0]) and np.allclose(models[0][1], same[1])
+
+
 def test_fit_lowers_the_loss_of_ordered_grades():
     r = np.random.default_rng(1)
     x = r.normal(size=500)
@@ -105,6 +124,45 @@ def test_vectors_in_shards_and_wide_beams(spark):
     assert result(near_vectors(vector_frame(spark, rows), beam=4, shard=150, audit=1000, recall=1.0)) == B.ordered(B.vectors(rows))
 
 
+def test_a_search_that_misses_ends_exactly(spark, monkeypatch):
+    """A recall that no search can reach: beams widen, then the blocks are
+    compared, and the result is exact."""
+    rows = [(k, v.tolist(), k % 2) for k, v in enumerate(cloud(12, 200, 16))]
+    widths = []
+    materialise = V.materialise
+    monkeypatch.setattr(V, "materialise", lambda df, tag: widths.append(tag) or materialise(df, tag))
+    assert result(near_vectors(vector_frame(spark, rows), beam=1, shard=40, audit=3, recall=1.1)) == B.ordered(B.vectors(rows))
+    assert widths.count("links") >= 7  # the search, its audits, wider beams and the comparison
+
+
+def test_rare_links_are_audited(spark):
+    """A few pairs among thousands of vectors: the audit goes on until it has
+    seen links, all rows if need be."""
+    r = np.random.default_rng(21)
+    x = r.normal(size=(3000, 24))
+    x[2990:] = x[:10] + 0.01 * r.normal(size=(10, 24))
+    rows = [(k, v.tolist(), 1) for k, v in enumerate(x.astype(np.float32))]
+    got = result(near_vectors(vector_frame(spark, rows), beam=8, shard=700))
+    assert got == B.ordered(B.vectors(rows)) and sum(g[2] for g in got) == 20
+
+
+def test_registered_vectors_with_planted_groups(spark, scratch):
+    """The registered query over a table with copies, near pairs, a chain and a
+    group of hundreds, in labels and without."""
+    r = np.random.default_rng(22)
+    x = r.normal(size=(1200, 32))
+    x[100:400] = x[100] + 0.1 * r.normal(size=(300, 32))
+    x[500:520] = x[500]
+    for k in range(600, 620):
+        x[k + 1] = x[k] + 0.3 * r.normal(size=32)
+    rows = [(k, v.tolist(), None if k % 97 == 0 else k // 400) for k, v in enumerate(x.astype(np.float32))]
+    spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int").write.parquet(f"{scratch}/embeddings.parquet")
+    got, want = result(Q.op10_vector_dedup(spark, scratch)), B.ordered(B.vectors(rows))
+    links = sum(w[2] for w in want)
+    assert links > 80_000 and len(got) == len(want)
+    assert sum(min(g[2], w[2]) for g, w in zip(got, want)) >= 0.99 * links and all(g[2] <= w[2] for g, w in zip(got, want))
+
+
 def test_vectors_empty(spark):
     assert near_vectors(vector_frame(spark, [])).count() == 0
     assert result(near_vectors(vector_frame(spark, [(1, None, 1), (2, [1.0], None)]))) == [(1, 1, 0, True), (2, 2, 0, True)]

@@ -1,5 +1,6 @@
 """Licences, mixing and chat formatting: cases, oracles and edge rows."""
 
+import random
 import hashlib
 
 import pytest
@@ -243,3 +244,31 @@ def test_turn_rows(spark):
     assert {r["conv_id"]: [tuple(t) for t in r["turns"]] for r in got} == {
         1: [("", "n"), ("user", ""), ("assistant", "a"), ("assistant", "b"), ("assistant", "b")], None: [("user", "x")]}
     assert chat.gather_turns(chat.canonical_turns(records.limit(0)), "conv_id", "turn").count() == 0
+
+
+def test_long_conversations(spark):
+    """More turns and spans than any block holds; clashing names pass through."""
+    r = random.Random(6)
+    for n in (0, 1, 255, 256, 257, 9000):
+        turns = [(r.choice(["user", "assistant", "a\nb"]), r.choice(["", "x", "é漢\\ <|im_end|>", "plain text"]) + str(k)) for k in range(n)]
+        df = spark.createDataFrame([(1, turns, "z", 7)], "_z long, turns array<struct<role:string,text:string>>, _b string, _row long")
+        done = chat.format_chats(df)
+        assert done.columns == ["_z", "turns", "_b", "_row", "formatted", "loss_spans"]
+        got = done.select("_z", "_b", "_row", "formatted", chat.read_turns(F.col("formatted")).alias("t"), chat.read_loss(F.col("formatted"), F.col("loss_spans")).alias("loss")).first()
+        assert (got["_z"], got["_b"], got["_row"]) == (1, "z", 7)
+        assert [(x["role"], x["text"]) for x in got["t"]] == turns
+        assert got["loss"] == "".join(x for role, x in turns if role == "assistant")
+
+
+def test_mix_is_exact_or_refused(spark):
+    docs = spark.createDataFrame([(k, "w " * 10, "en", f"src{k % 2}") for k in range(500)], "doc_id long, text string, lang string, source string")
+
+    def taken(share, weights):
+        return mixing.mix_sources(docs, F.lit("d"), weights, share=share).agg(F.sum("take_tokens")).first()[0]
+
+    # Two sources share alike, each rounded down.
+    assert taken(0.0004, {}) == 2 and taken(0.0002, {}) is None and taken(1 / 3, {}) == 1666
+    assert taken(1, {"source": {"src0": 3}}) == 5000
+    for weights, share in (({"source": {"src0": 0.5}}, 0.5), ({"lang": {"en": 1.5}}, 0.5), ({}, -0.1), ({}, float("nan"))):
+        with pytest.raises(ValueError):
+            mixing.mix_sources(docs, F.lit("d"), weights, share=share)
