@@ -322,14 +322,18 @@ def near_dedup(docs: DataFrame, threshold: float = THRESHOLD, chunk: int = CHUNK
     every, table = _linked(docs, threshold, chunk)
     keep = table.where("first is null or first = digest").select(F.col("own").alias("_near_id"), F.col("digest").alias("_near_keep"))
     alone = every.where("digest is null").select(F.col("id").alias("_near_id"), F.col("digest").alias("_near_keep")).distinct()
-    rows = _with_digest(docs).withColumn("_near_own", F.coalesce(F.col("doc_id"), F.lit(NO_ID)).cast("long"))
+    # The other columns as one struct: they may have any names.
+    others = F.struct(*[c for c in docs.columns if c != "text"])
+    rows = _with_digest(docs.select("text", F.coalesce(F.col("doc_id"), F.lit(NO_ID)).cast("long").alias("_near_own"), others.alias("_near_carry")))
     same = (F.col("_near_own") == F.col("_near_id")) & F.col("_near_digest").eqNullSafe(F.col("_near_keep"))
     rows = rows.join(keep.union(alone), same, "left_semi")
     # Only where rows repeat id and words is a second shuffle of the texts needed.
     if every.where("digest is not null").groupBy("digest", "id").count().where("count > 1").limit(1).count():
-        rows = rows.withColumn("_near_row", F.when(F.col("_near_digest").isNull(), F.monotonically_increasing_id()))
-        rows = rows.dropDuplicates(["_near_digest", "_near_row"])
-    return rows.select(*docs.columns)
+        first = Window.partitionBy("_near_digest").orderBy(F.xxhash64("_near_carry", "text"), F.to_json(F.struct("_near_carry", "text")))
+        wordless = F.col("_near_digest").isNull()
+        some = rows.where(~wordless).withColumn("_n", F.row_number().over(first)).where("_n = 1").drop("_n")
+        rows = some.unionByName(rows.where(wordless))
+    return rows.select(*[F.col("text") if c == "text" else F.col("_near_carry")[c].alias(c) for c in docs.columns])
 
 
 def _with_digest(docs: DataFrame) -> DataFrame:
