@@ -17,7 +17,11 @@ judged on the input.
 3. In its bucket each super-k-mer is cut into windows again; sorting them by
    hash brings equal ones together, their bytes are compared, and each window
    that a smaller document has gives a span of words to remove.
-4. Spans go back to their documents.
+4. A bucket of more than ``HOT_BYTES`` of strings (a minimiser that very many
+   different windows share) is not judged as one: its windows, one by one, are
+   dealt again by their own hash over many buckets, and judged there. Equal
+   windows have equal hashes, so the second deal is as exact as the first.
+5. Spans go back to their documents.
 
 Null or empty text has no words. Documents with fewer words than a window lose
 none. A missing id comes after every other id. Rows that share a ``doc_id`` do
@@ -33,7 +37,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from mirage.llm.common import NO_ID, pack_arrays, pieces_of, ranges, text_of, unpack_arrays
+from mirage.llm.common import NO_ID, materialise, pack_arrays, pieces_of, ranges, text_of, unpack_arrays
 from mirage.llm.words import Words, mix, raw_texts, runs_hash, slices, sliding_min
 
 WINDOW = 13
@@ -46,6 +50,13 @@ MOST_WINDOWS = 64
 #: Documents per bucket, about, and bytes of distinct strings in a block.
 BUCKET_DOCS = 1000
 BLOCK_BYTES = 24 << 20
+#: Of compression: higher ones cost more time than they save bytes.
+LEVEL = 6
+#: Bytes of a bucket's strings that one task judges; buckets that each bucket
+#: of more is dealt over, and windows dealt at a time.
+HOT_BYTES = 96 << 20
+HOT_PARTS, HOT_WINDOWS = 64, 200_000
+_DEALT = ["bucket", "kind", "data"]
 SPAN = "_id long, _key long, start int, end int"
 
 
@@ -102,7 +113,7 @@ class _Block:
                 got[0], got[2] = ident, [(keys[t], p)]
 
     def out(self):
-        press = zstandard.ZstdCompressor(level=9)
+        press = zstandard.ZstdCompressor(level=LEVEL)
         bucket, data = [], []
         for b, have in self.buckets.items():
             strings = list(have)
@@ -166,6 +177,34 @@ def window_owners(strings: list[bytes], owner: np.ndarray, window: int = WINDOW)
     return words, at, out
 
 
+def _deal_windows(block: bytes, window: int, bucket: int, parts: int):
+    """The windows of a block of super-k-mers as blocks (bucket, data) of
+    single windows, dealt over ``parts`` buckets by their own hash."""
+    ids, times, keys, places, text = unpack_arrays(zstandard.ZstdDecompressor().decompress(block), np.int64, np.int64, np.int64, np.int64, np.uint8)
+    press = zstandard.ZstdCompressor(level=3)
+    strings = text.tobytes().split(b"\n")
+    first = np.cumsum(times) - times
+    lo = 0
+    sizes = np.cumsum([s.count(b" ") + 1 for s in strings])
+    while lo < len(strings):  # some strings at a time
+        hi = max(lo + 1, int(np.searchsorted(sizes, (sizes[lo - 1] if lo else 0) + HOT_WINDOWS, "right")))
+        words = Words(strings[lo:hi])
+        n = max(0, len(words.hash) - window + 1)
+        at = np.flatnonzero(words.text[:n] == words.text[window - 1:window - 1 + n])
+        own = words.text[at] + lo
+        place = at - words.first[words.text[at]]
+        part = (mix(runs_hash(words.hash, window)[at]) % np.uint64(parts)).astype(np.int64)
+        x, y = words.start[at], words.end[at + window - 1]
+        for p in np.unique(part).tolist():
+            k = np.flatnonzero(part == p)
+            many = times[own[k]]
+            where = ranges(first[own[k]], many)
+            yield bucket * parts + p, press.compress(pack_arrays(
+                ids[own[k]], many, keys[where], places[where] + np.repeat(place[k], many),
+                np.frombuffer(b"\n".join([words.data[a:b] for a, b in zip(x[k].tolist(), y[k].tolist())]), np.uint8)))
+        lo = hi
+
+
 def _bucket_spans(blocks: list[bytes], window: int):
     """Spans to remove among the super-k-mers of one bucket."""
     open_ = zstandard.ZstdDecompressor()
@@ -218,29 +257,50 @@ def spans_to_remove(docs: DataFrame, window: int = WINDOW, m: int = M) -> DataFr
                 block = _Block(n_buckets, window, m)
         yield from block.out()
 
-    def judge(batches):
+    def judge(batches, limit=None):
+        """Spans (kind 1) of each bucket; with a ``limit`` on a bucket's bytes,
+        the windows of buckets beyond it (kind 0), dealt again."""
         blocks: dict[int, list[bytes]] = {}
-        open_ = zstandard.ZstdDecompressor()
+        held: dict[int, int] = {}
 
-        def table(part: np.ndarray):
-            for lo in range(0, len(part), 100_000):
-                p = part[lo:lo + 100_000]
-                yield pa.record_batch([pa.array(p[:, 0]), pa.array(p[:, 1]), pa.array(p[:, 2].astype(np.int32)),
-                                       pa.array(p[:, 3].astype(np.int32))], names=["_id", "_key", "start", "end"])
+        def packed(spans):
+            press = zstandard.ZstdCompressor(level=3)
+            for lo in range(0, len(spans), 100_000):
+                yield pa.record_batch([pa.array([0], pa.int64()), pa.array([1], pa.int32()),
+                                       pa.array([press.compress(np.array(spans[lo:lo + 100_000], np.int64).tobytes())], pa.binary())], names=_DEALT)
 
         for batch in batches:
             for b, kind, data in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2).to_pylist()):
                 if kind:
-                    yield from table(np.frombuffer(open_.decompress(data), np.int64).reshape(-1, 4))
-                else:
-                    blocks.setdefault(b, []).append(data)
+                    yield pa.record_batch([pa.array([b], pa.int64()), pa.array([1], pa.int32()), pa.array([data], pa.binary())], names=_DEALT)
+                    continue
+                held[b] = held.get(b, 0) + zstandard.get_frame_parameters(data).content_size
+                blocks.setdefault(b, []).append(data)
+                if limit is not None and held[b] > limit:
+                    for block in blocks.pop(b):
+                        for to, windows in _deal_windows(block, window, b, HOT_PARTS):
+                            yield pa.record_batch([pa.array([to], pa.int64()), pa.array([0], pa.int32()), pa.array([windows], pa.binary())], names=_DEALT)
         for b in list(blocks):
-            spans = _bucket_spans(blocks.pop(b), window)
-            if spans:
-                yield from table(np.array(spans, np.int64))
+            yield from packed(_bucket_spans(blocks.pop(b), window))
+
+    def table(batches):
+        open_ = zstandard.ZstdDecompressor()
+        for batch in batches:
+            for data in batch.column(0).to_pylist():
+                part = np.frombuffer(open_.decompress(data), np.int64).reshape(-1, 4)
+                for lo in range(0, len(part), 100_000):
+                    p = part[lo:lo + 100_000]
+                    yield pa.record_batch([pa.array(p[:, 0]), pa.array(p[:, 1]), pa.array(p[:, 2].astype(np.int32)),
+                                           pa.array(p[:, 3].astype(np.int32))], names=["_id", "_key", "start", "end"])
 
-    return (rows.mapInArrow(deal, "bucket long, kind int, data binary")
-            .repartition(n_buckets, "bucket").mapInArrow(judge, SPAN))
+    kind = "bucket long, kind int, data binary"
+    judged = materialise(rows.mapInArrow(deal, kind).repartition(n_buckets, "bucket")
+                         .mapInArrow(lambda b: judge(b, HOT_BYTES), kind), "judged")
+    done = judged.where("kind = 1").select("data")
+    again = judged.where("kind = 0")
+    if again.limit(1).count():
+        done = done.union(again.repartition(n_buckets * HOT_PARTS, "bucket").mapInArrow(judge, kind).select("data"))
+    return done.mapInArrow(table, SPAN)
 
 
 def remove_repeats(docs: DataFrame, window: int = WINDOW, m: int = M) -> DataFrame:

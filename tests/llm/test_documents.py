@@ -110,6 +110,42 @@ def test_substrings_small_windows(spark):
     assert rows(got, "doc_id", "n_words", "n_removed", "sha") == B.ordered(B.substrings(texts, 5))
 
 
+@pytest.mark.parametrize("limit", [0, 3000])
+def test_hot_buckets_are_dealt_again(spark, texts, monkeypatch, limit):
+    """Buckets beyond the limit (all of them, or some) go by window; spans are
+    the same."""
+    import mirage.llm.substring_dedup as S
+
+    monkeypatch.setattr(S, "HOT_BYTES", limit)
+    monkeypatch.setattr(S, "HOT_PARTS", 3)
+    got = remove_repeats(frame(spark, texts)).withColumn("sha", F.sha2("kept_text", 256))
+    assert rows(got, "doc_id", "n_words", "n_removed", "sha") == B.ordered(B.substrings(texts))
+
+
+def test_dealt_windows(monkeypatch):
+    import zstandard
+
+    import mirage.llm.substring_dedup as S
+
+    monkeypatch.setattr(S, "HOT_WINDOWS", 20)
+    strings = [prose("s", 13).encode(), prose("t", 40).encode(), prose("u", 14).encode()]
+    block = zstandard.ZstdCompressor().compress(S.pack_arrays(
+        np.array([5, 6, 7]), np.array([1, 2, 1]), np.array([50, 60, 61, 70]), np.array([0, 3, 9, 4]), np.frombuffer(b"\n".join(strings), np.uint8)))
+    got = set()
+    for to, data in S._deal_windows(block, 13, 2, 4):
+        assert 8 <= to < 12
+        ids, times, keys, places, text = S.unpack_arrays(zstandard.ZstdDecompressor().decompress(data), *[np.int64] * 4, np.uint8)
+        at = 0
+        for w, i, n in zip(text.tobytes().split(b"\n"), ids.tolist(), times.tolist()):
+            got |= {(w, i, k, p, to) for k, p in zip(keys[at:at + n].tolist(), places[at:at + n].tolist())}
+            at += n
+    want = set()
+    for s, i, where in zip(strings, (5, 6, 7), ([(50, 0)], [(60, 3), (61, 9)], [(70, 4)])):
+        w = s.split()
+        want |= {(b" ".join(w[p:p + 13]), i, k, q + p) for p in range(len(w) - 12) for k, q in where}
+    assert {g[:4] for g in got} == want and len({(w, to) for w, *_, to in got}) == len({w for w, *_ in got})
+
+
 def test_substrings_empty(none):
     assert remove_repeats(none).count() == 0
 
