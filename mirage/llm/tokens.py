@@ -82,8 +82,8 @@ class _Store(dict):
 
 
 class Encoder:
-    #: Chunks kept, and as many of those before them (some 150 MB in all).
-    MOST = 350_000
+    #: Chunks kept, and as many of those before them (some 120 MB in all).
+    MOST = 260_000
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
