@@ -234,7 +234,17 @@ def test_stages(spark):
             assert 0.88 * total < n <= 0.9 * total
             assert sum(text[r["doc_id"]] != r["text"] for r in rows) <= len({(r["lang"], r["source"]) for r in rows})
         else:
-            assert ids == sorted(i for i, _ in before)
+            import public_tokenizers
+            from tokenizers import Tokenizer
+            plain = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+            rows = out.collect()
+            want = B.pieces(before, lambda t: plain.encode(t, add_special_tokens=False).ids)
+            assert B.ordered((r["doc_id"], r["piece"], r["start"], r["length"], r["ids_crc32"]) for r in rows) == B.ordered(want)
+            at = {}
+            for r in sorted(rows, key=lambda r: (r["sequence_id"], r["offset"])):
+                assert r["offset"] == at.get(r["sequence_id"], 0)
+                at[r["sequence_id"]] = r["offset"] + r["length"]
+            assert max(at.values()) <= 2048 and len(at) <= 1.02 * sum(at.values()) / 2048 + 2
         docs = out
 
 
@@ -257,6 +267,33 @@ def test_stages_on_odd_rows(spark, docs, k):
         assert out.where("piece = 0").count() == rows.count()
 
 
+@pytest.mark.parametrize("k", range(4))
+def test_stages_keep_columns_of_any_name(spark, texts, k):
+    """Columns named like an operator's outputs and helpers come out as they
+    went in, with their types and values."""
+    names = ["kept", "tail", "epoch", "n_tokens", "take_tokens", "row", "budget", "_near_id", "_near_carry", "_carry", "_text", "_n", "expected_grade",
+             "text_sha256", "group_size", "length", "sha", "_id", "_key", "n", "id", "hash"]
+    good = [(i, t) for i, t in texts if i is not None and texts.count((i, t)) == 1 and [x for x, _ in texts].count(i) == 1]
+    df = spark.createDataFrame([(i, t, "en", "src1", len(t or ""), *[f"{c} {i}" for c in names]) for i, t in good],
+                               "doc_id long, text string, lang string, source string, n_chars long, " + ", ".join(f"`{c}` string" for c in names)).repartition(3)
+    out = C.STAGES[k][1](spark, df, SF)
+    assert out.schema.simpleString() == df.schema.simpleString()
+    rows = out.collect()
+    assert rows and all(r[c] == f"{c} {r['doc_id']}" for r in rows for c in names)
+
+
+@pytest.mark.parametrize("k", [1, 2])
+def test_repeated_rows_are_chosen_alike(spark, k):
+    """Rows that repeat id and text but differ elsewhere: the same one stays
+    however they are dealt."""
+    rows = [(i, prose(f"same {i}", 50), "en", f"src{c}", 5) for i in (1, 2, None) for c in range(9)]
+    kept = set()
+    for parts in (1, 2, 5):
+        df = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").repartition(parts, "source")
+        kept.add(tuple(sorted((str(r["doc_id"]), r["source"]) for r in C.STAGES[k][1](spark, df, SF).collect())))
+    assert len(kept) == 1 and len(next(iter(kept))) == 3
+
+
 def near_survivors(rows):
     """One (id, words) of each group: the smallest id, and how many rows without words."""
     key = lambda i: float("inf") if i is None else i
