@@ -51,7 +51,7 @@ MOST_WINDOWS = 64
 BUCKET_DOCS = 1000
 BLOCK_BYTES = 24 << 20
 #: Of compression: higher ones cost more time than they save bytes.
-LEVEL = 6
+LEVEL = 3
 #: Bytes of a bucket's strings that one task judges; buckets that each bucket
 #: of more is dealt over, and windows dealt at a time.
 HOT_BYTES = 96 << 20
