@@ -2,7 +2,7 @@
 
 P(grade <= k) = sigmoid(threshold[k] - w . x), with one weight vector for all
 grades and ascending thresholds. x are hashed features of the text, each kind
-as shares of the text:
+as shares of the text (words' shares multiplied, see ``SCALES``):
 
 * words (ASCII letters lowered);
 * shapes: three consecutive characters by class (lower case or any non-ASCII
@@ -16,7 +16,8 @@ is smallest); features are extracted by the executors and fitted by one task.
 Null or empty text has no features: its score is 0. Without ratings all
 documents are kept, with expected grade null. Ratings that are null, or whose
 document is missing, are ignored; a document rated more than once counts once
-per rating. Repeated rows are scored alike.
+per rating. Where an id repeats, a rating speaks of one of its texts, the first
+by hash. Repeated rows are scored alike.
 """
 
 from __future__ import annotations
