@@ -110,7 +110,11 @@ def upsert_real_terms(candidates: DataFrame, existing: DataFrame | None = None)
     suggestions 1 before title hits 2 before text hits 3). New ids continue
     after the largest existing one in that order, so they meet no stored id
     and no two sources share one. Returns ``(real_terms, links)``; links are
-    distinct (made-up id, real id)."""
+    distinct (made-up id, real id).
+
+    Ids need the order of the new terms, so building the result runs jobs: the
+    new rows are ordered and written to the checkpoint folder, and the largest
+    stored id is read."""
     order = ["source_id", "fake_term_id", "position"]
     cand = candidates.withColumn("_k", ci_ai("term"))
     new = keep_first(cand.select("_k", *order, "term", "explanation"), ["_k"], order)
