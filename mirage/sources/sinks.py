@@ -6,7 +6,7 @@ from __future__ import annotations
 
 import datetime as _dt
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 
@@ -49,12 +49,22 @@ def write_nested_report(report: DataFrame, path: str) -> None:
     report.drop("json").write.mode("overwrite").partitionBy("answer_source").json(path)
 
 
-def write_report_lines(lines: DataFrame, path: str) -> None:
+def write_report_lines(lines: DataFrame, path: str, compression: str = "gzip") -> None:
     """K7 for questions of any size: ``report.report_lines`` as text, one
     folder per answer source, the lines of a question one after the other.
-    Each document ends with a line ``]}`` (``read_report_documents``)."""
-    (lines.repartition("answer_source", "question_id").sortWithinPartitions("answer_source", "question_id", "line_no")
-          .select("answer_source", "line").write.mode("overwrite").partitionBy("answer_source").text(path))
+    Each document ends with a line ``]}`` (``read_report_documents``).
+
+    The lines' numbers in their question are asked for as a window, so lines
+    that lie together already, as ``report_lines`` gives them, are not
+    shuffled again. Files are compressed (``none`` for plain text)."""
+    (placed_lines(lines).write.mode("overwrite").option("compression", compression)
+                        .partitionBy("answer_source").text(path))
+
+
+def placed_lines(lines: DataFrame) -> DataFrame:
+    """(answer_source, line): the lines of a question in one task, in order."""
+    run = Window.partitionBy("answer_source", "question_id").orderBy("line_no")
+    return lines.withColumn("_place", F.row_number().over(run)).where(F.col("_place") > 0).select("answer_source", "line")
 
 
 def read_report_documents(spark: SparkSession, path: str) -> DataFrame:
