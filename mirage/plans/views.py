@@ -171,7 +171,7 @@ def label_term_level(p: Pipeline, labels: DataFrame | None = None,
                      compat: bool = False) -> DataFrame:
     """One row per evaluation × answer label, with the term text picked by
     the term source (P10) and every name resolved."""
-    e, a, q = p.evals.alias("e"), p.answers.alias("a"), p.questions.alias("q")
+    e, a = p.evals, p.answered.alias("a")
     l = _label_sets(p, labels)
     m1, m2 = _names(p.models, "answer_source"), _names(p.models, "evaluator_model")
     es, s = _names(p.eval_source, "eval_type"), _names(p.term_source, "term_source_name")
@@ -179,27 +179,29 @@ def label_term_level(p: Pipeline, labels: DataFrame | None = None,
     d = term_dictionary(p)
     hyp = F.when(F.col("e.term_source") == 0, 1).otherwise(0)
     met = F.explode(F.transform(_matching(F.col("e.model_id"), compat), lambda x: x.label)).alias("_label")
-    j = (e.join(l, F.col("e.answer_id") == F.col("_la")).select("e.*", met).alias("e")
-          .join(a, F.col("e.answer_id") == F.col("a.id"))
-          .join(q, F.col("a.question_id") == F.col("q.id"))
-          .join(m1, F.col("a.model_id") == F.col("_k_answer_source"))
+    # Rows are placed twice, by term and by answer; they multiply by their
+    # answer's labels after that.
+    terms = e.alias("e").join(d, (F.col("e.term_id") == F.col("_tid")) & (hyp == F.col("_hyp")), "left").select("e.*", "_term", "_expl")
+    j = (terms.alias("e").join(l, F.col("e.answer_id") == F.col("_la"))
+          .join(a, F.col("e.answer_id") == F.col("a.answer_id"))
+          .select("e.*", "a.question_id", "a.question", "a.replacement_type", "a.answer", F.col("a.model_id").alias("_source"), met).alias("e")
+          .join(m1, F.col("_source") == F.col("_k_answer_source"))
           .join(m2, F.col("e.model_id") == F.col("_k_evaluator_model"))
           .join(es, F.col("e.eval_type_id") == F.col("_k_eval_type"))
           .join(s, F.col("e.term_source") == F.col("_k_term_source_name"))
           .join(n1, F.col("e.eval_label") == F.col("_k_term_label"))
-          .join(n2, F.col("_label") == F.col("_k_answer_label"))
-          .join(d, (F.col("e.term_id") == F.col("_tid")) & (hyp == F.col("_hyp")), "left"))
+          .join(n2, F.col("_label") == F.col("_k_answer_label")))
     return j.select(
-        F.col("e.id").alias("eval_id"), F.col("a.question_id"), F.col("q.question"),
-        is_hypothetical_question(F.col("q.replacement_type")).alias("isHypotheticalQuestion"),
-        F.col("e.answer_id"), F.col("a.answer"), F.col("e.term_id"),
+        F.col("e.id").alias("eval_id"), "question_id", "question",
+        is_hypothetical_question(F.col("replacement_type")).alias("isHypotheticalQuestion"),
+        F.col("e.answer_id"), "answer", F.col("e.term_id"),
         F.col("_term").alias("term"), F.col("_expl").alias("term_explanation"),
         hyp.alias("IsHypotheticalTerm"), F.col("e.eval_type_id"), F.col("_n_eval_type").alias("eval_type"),
         F.col("e.reflection"), F.col("e.eval_label").alias("term_label_id"), F.col("_n_term_label").alias("term_label"),
         F.col("_label").alias("answer_label_id"), F.col("_n_answer_label").alias("answer_label"),
         F.col("e.term_source").alias("term_source_id"),
         F.col("_n_term_source_name").alias("term_source"),
-        F.col("a.model_id").alias("answer_source_id"), F.col("_n_answer_source").alias("answer_source"),
+        F.col("_source").alias("answer_source_id"), F.col("_n_answer_source").alias("answer_source"),
         F.col("e.model_id").alias("evaluator_model_id"), F.col("_n_evaluator_model").alias("evaluator_model"))
 
 
