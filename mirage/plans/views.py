@@ -329,21 +329,25 @@ def _term_kind(source: Column) -> Column:
 
 
 def _detailed_narrow(p: Pipeline, labels: DataFrame | None = None,
-                     compat: bool = False) -> DataFrame:
+                     compat: bool = False, explained: bool = False) -> DataFrame:
     """The distinct narrow rows of U1: evaluation columns (``_e_*``), the
     answer label and the term, before any text of the answer is joined.
     Each different label of its answer comes once per evaluation, and rows
     that repeat in the evaluation table itself are dropped where they meet
     their answer's labels, which takes no shuffle of its own (terms are keyed
-    by side and id, so the term adds none)."""
+    by side and id, so the term adds none). ``explained`` adds ``_expl``, the
+    term's explanation (J8): a term's key meets its texts and its explanations
+    in the dictionary, not once more for each evaluation."""
     e = p.evals
     l = _label_sets(p, labels)
     met = F.explode(_matching_labels(F.col("e.model_id"), compat)).alias("_answer_label")
     rows = e.alias("e").join(l, F.col("e.answer_id") == F.col("_la")).select(
         *[F.col(f"e.{c}").alias(f"_e_{c}") for c in e.columns], met).distinct()
-    d = term_dictionary(p)
+    d = term_dictionary(p).drop("_expl")
+    if explained:
+        d = d.join(term_dictionary(p).drop("_term"), ["_hyp", "_tid"])
     return (rows.join(d, (F.col("_e_term_id") == F.col("_tid")) & (_term_kind(F.col("_e_term_source")) == F.col("_hyp")))
-                .select(*rows.columns, "_term", "_hyp"))
+                .select(*rows.columns, "_term", "_hyp", *(["_expl"] if explained else [])))
 
 
 def terms_evals_detailed(p: Pipeline, labels: DataFrame | None = None,
@@ -356,7 +360,11 @@ def terms_evals_detailed(p: Pipeline, labels: DataFrame | None = None,
     primary keys (answer, question, triplet, term and lookup ids), so they
     cannot create or merge duplicates and the result equals the distinct of
     the wide rows, while no shuffle carries question or answer text."""
-    narrow = _detailed_narrow(p, labels, compat)
+    return _with_names(p, _detailed_narrow(p, labels, compat))
+
+
+def _with_names(p: Pipeline, narrow: DataFrame, *more: Column) -> DataFrame:
+    """U1's columns for narrow rows, and ``more`` of them."""
     a = combined_terms_answers(p).alias("a")
     s, ts = _names(p.eval_source, "eval_type"), _names(p.term_source, "term_source_name")
     m, n = _names(p.models, "evaluator_model"), _names(p.eval_names, "eval_label_name")
@@ -382,17 +390,13 @@ def terms_evals_detailed(p: Pipeline, labels: DataFrame | None = None,
         F.col("_e_model_id").alias("evaluator_model_id"),
         F.col("_n_evaluator_model").alias("evaluator_model"),
         F.col("_answer_label").alias("answer_label"), F.col("_term").alias("term"),
-        F.col("_hyp").alias("IsHypotheticalTerm"))
+        F.col("_hyp").alias("IsHypotheticalTerm"), *more)
 
 
 def terms_evals_detailed_explained(p: Pipeline, labels: DataFrame | None = None,
                                    compat: bool = False) -> DataFrame:
     """U1 rows plus the explanation picked by the term source."""
-    d = terms_evals_detailed(p, labels, compat)
-    dic = term_dictionary(p)
-    hyp = F.when(F.col("term_source_id") == 0, 1).otherwise(0)
-    j = d.join(dic, (F.col("term_id") == F.col("_tid")) & (hyp == F.col("_hyp")), "left")
-    return j.select(*[F.col(c) for c in d.columns], F.col("_expl").alias("explanation"))
+    return _with_names(p, _detailed_narrow(p, labels, compat, explained=True), F.col("_expl").alias("explanation"))
 
 
 def _answer_side(p: Pipeline) -> DataFrame:
