@@ -116,8 +116,10 @@ def upsert_real_terms(candidates: DataFrame, existing: DataFrame | None = None)
     new rows are ordered and written to the checkpoint folder, and the largest
     stored id is read."""
     order = ["source_id", "fake_term_id", "position"]
-    cand = candidates.withColumn("_k", ci_ai("term"))
-    new = keep_first(cand.select("_k", *order, "term", "explanation"), ["_k"], order)
+    # Of equal terms that many made-up terms found the first counts, whatever
+    # the spelling: a fold with numeric buffers before any sort by spelling.
+    found = keep_first(candidates.select(*order, "term", "explanation"), ["source_id", "position", "term", "explanation"], ["fake_term_id"])
+    new = keep_first(found.select(ci_ai("term").alias("_k"), *order, "term", "explanation"), ["_k"], order)
     top = 0
     if existing is not None:
         old = existing.select(ci_ai("term").alias("_k"), F.col("id").cast("long").alias("id"), "term", "explanation",
@@ -129,9 +131,13 @@ def upsert_real_terms(candidates: DataFrame, existing: DataFrame | None = None)
     if existing is not None:
         win = win.unionByName(old)
     real = win.select("id", F.col("term").cast("string").alias("term"), "explanation", "source_id")
-    links = (cand.select("_k", "fake_term_id").join(win.select("_k", F.col("id").alias("real_id")), "_k")
-                 .select(F.col("fake_term_id").cast("long").alias("nonexistent_id"), "real_id")
-                 .distinct())
+    # Spellings meet the ids, made-up terms their spellings: each pair once.
+    pairs = candidates.select("fake_term_id", F.col("term").cast("string").alias("_t")).distinct()
+    spelled = (pairs.select("_t").distinct().withColumn("_k", ci_ai("_t"))
+                    .join(win.select("_k", F.col("id").alias("real_id")), "_k").select("_t", "real_id"))
+    links = (pairs.join(spelled, "_t")
+                  .select(F.col("fake_term_id").cast("long").alias("nonexistent_id"), "real_id")
+                  .distinct())
     return real, links
 
 
