@@ -9,10 +9,10 @@ that kills the task.
 
 from __future__ import annotations
 
-import concurrent.futures as cf
 import queue
 import threading
 import time
+from collections import deque
 from collections.abc import Callable, Iterator
 
 import pandas as pd
@@ -37,33 +37,65 @@ def with_retries(call: Callable[[str], str], retries: int = 3, timeout_s: float
     gets the failure sentinel (timeout or model failure)."""
     model_failure, timeout_sentinel = FAILURE_SENTINELS
 
-    def attempt(prompt: str, box: queue.SimpleQueue) -> None:
-        try:
-            box.put((True, call(prompt)))
-        except Exception:
-            box.put((False, model_failure))
-
-    def one(prompt: str) -> str:
-        last = model_failure
-        for _ in range(retries):
-            # A worker of its own for each attempt: one that hangs is left
-            # behind (a daemon thread) and holds up neither the next attempt
-            # nor the end of the batch.
-            box: queue.SimpleQueue = queue.SimpleQueue()
-            threading.Thread(target=attempt, args=(prompt, box), daemon=True).start()
+    def batch(pdf: pd.DataFrame) -> pd.Series:
+        prompts = pdf["prompt"].tolist()
+        replies: list[str | None] = [model_failure] * len(prompts)
+        todo = deque((n, 1) for n in range(len(prompts))) if retries > 0 else deque()
+        lock, ended = threading.Lock(), queue.SimpleQueue()
+
+        class Worker:
+            """A daemon thread that takes one attempt after the other.
+            ``now`` is the attempt it is at (row, number, start)."""
+
+            def __init__(self):
+                self.now, self.left_behind = None, False
+                threading.Thread(target=self.run, daemon=True).start()
+
+            def run(self) -> None:
+                while True:
+                    with lock:
+                        self.now = (*todo.popleft(), time.monotonic()) if todo else None
+                        if self.now is None:
+                            ended.put(self)
+                            return
+                    n, number, _ = self.now
+                    try:
+                        done, value = True, call(prompts[n])
+                    except Exception:
+                        done, value = False, model_failure
+                    with lock:
+                        if self.left_behind:
+                            return
+                        if done or number >= retries:
+                            replies[n] = value
+                        else:
+                            todo.appendleft((n, number + 1))
+
+        running = {Worker() for _ in range(min(threads, len(todo)))}
+        while running:
+            # Until the oldest attempt's time is over. One that hangs is left
+            # behind with its worker and holds up neither the next attempt,
+            # which another worker takes, nor the end of the batch.
+            with lock:
+                started = [w.now[2] for w in running if w.now]
             try:
-                done, value = box.get(timeout=timeout_s)
-            except queue.Empty:
-                last = timeout_sentinel
+                running.discard(ended.get(timeout=max(0.0, min(started) + timeout_s - time.monotonic()) if started else timeout_s))
                 continue
-            if done:
-                return value
-            last = value
-        return last
-
-    def batch(pdf: pd.DataFrame) -> pd.Series:
-        with cf.ThreadPoolExecutor(max_workers=threads) as ex:
-            return pd.Series(list(ex.map(one, pdf["prompt"].tolist())), index=pdf.index)
+            except queue.Empty:
+                pass
+            with lock:
+                over = [w for w in running if w.now and time.monotonic() - w.now[2] >= timeout_s]
+                for w in over:
+                    n, number, _ = w.now
+                    w.left_behind = True
+                    if number >= retries:
+                        replies[n] = timeout_sentinel
+                    else:
+                        todo.appendleft((n, number + 1))
+                more = min(len(over), len(todo))
+            running.difference_update(over)
+            running.update(Worker() for _ in range(more))
+        return pd.Series(replies, index=pdf.index)
     return batch
 
 
