@@ -37,6 +37,13 @@ from mirage.session import ensure_checkpoint_dir, stored
 #: Query vectors in a block, corpus vectors in a chunk, rows of a chunk that
 #: one matrix product takes, vectors in a part of a cell's list.
 QUERY_BLOCK, CHUNK, PRODUCT, LIST = 4096, 8192, 1024, 8192
+#: Queries that one matrix product takes.
+TILE = 256
+#: Bytes of vectors in a row of blocks and in what a worker copies at a time:
+#: longer vectors make shorter blocks.
+BYTES = 1 << 21
+#: Neighbours that a worker holds before it passes them on.
+HELD = 1 << 19
 #: Corpus vectors that a split holds, about.
 SPLIT = 65_536
 #: Vectors that the cells are fitted on at most.
@@ -49,14 +56,30 @@ def top_k(df: DataFrame, by: list[str], k: int, order: list) -> DataFrame:
 
 
 def _matrix(column: pa.Array) -> np.ndarray:
-    flat = column.flatten().to_numpy(zero_copy_only=False).astype(np.float64)
+    flat = column.flatten().to_numpy(zero_copy_only=False).astype(np.float64, copy=False)
     return flat.reshape(len(column), -1)
 
 
+def _fit(dim: int, copies: int = 1) -> int:
+    """Vectors of ``dim`` doubles, each ``copies`` times, in ``BYTES``."""
+    return max(1, BYTES // (8 * max(1, dim) * copies))
+
+
+def _slices(batches: Iterator[pa.RecordBatch], vectors: int, copies: int = 1) -> Iterator[pa.RecordBatch]:
+    """Batches cut so that the column ``vectors``, copied so often, is within
+    ``BYTES``."""
+    for batch in batches:
+        if batch.num_rows:
+            step = _fit(len(batch.column(vectors).flatten()) // batch.num_rows, copies)
+            for lo in range(0, batch.num_rows, step):
+                yield batch.slice(lo, step)
+
+
 def pack(rows: DataFrame, key: str, ids: str, vectors: str, size: int) -> DataFrame:
     """``rows`` (long key, long id, vector) as blocks: (key, ids, vectors, n),
-    up to ``size`` rows of one key and task in a block, as little-endian 64-bit
-    integers and doubles. A task holds ``size`` rows and one batch at most."""
+    up to ``size`` rows and ``BYTES`` of one key and task in a block, as
+    little-endian 64-bit integers and doubles. A task holds ``size`` rows, or
+    four blocks, and one batch at most."""
 
     def blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: dict[int, list[tuple[np.ndarray, np.ndarray]]] = {}
@@ -65,19 +88,18 @@ def pack(rows: DataFrame, key: str, ids: str, vectors: str, size: int) -> DataFr
         def out() -> Iterator[pa.RecordBatch]:
             for k, parts in held.items():
                 ids, x = np.concatenate([a for a, _ in parts]), np.concatenate([b for _, b in parts])
-                for lo in range(0, len(ids), size):
-                    yield pa.record_batch([pa.array([k], pa.int64()), pa.array([ids[lo:lo + size].tobytes()], pa.binary()),
-                                           pa.array([x[lo:lo + size].tobytes()], pa.large_binary()).cast(pa.binary()),
-                                           pa.array([len(ids[lo:lo + size])], pa.int32())], names=["key", "ids", "vectors", "n"])
+                step = min(size, _fit(x.shape[1]))
+                for lo in range(0, len(ids), step):
+                    yield pa.record_batch([pa.array([k], pa.int64()), pa.array([ids[lo:lo + step].tobytes()], pa.binary()),
+                                           pa.array([x[lo:lo + step].tobytes()], pa.binary()),
+                                           pa.array([len(ids[lo:lo + step])], pa.int32())], names=["key", "ids", "vectors", "n"])
 
-        for batch in batches:
-            if not batch.num_rows:
-                continue
+        for batch in _slices(batches, 2):
             keys, ids, x = batch.column(0).to_numpy(), batch.column(1).to_numpy(), _matrix(batch.column(2))
             for k in np.unique(keys).tolist():
                 held.setdefault(k, []).append((ids[keys == k], x[keys == k]))
             count += len(ids)
-            if count >= size:
+            if count >= min(size, 4 * _fit(x.shape[1])):
                 yield from out()
                 held, count = {}, 0
         yield from out()
@@ -88,7 +110,7 @@ def pack(rows: DataFrame, key: str, ids: str, vectors: str, size: int) -> DataFr
 
 
 class _Nearest:
-    """The best k of every query of one block, per group of the corpus."""
+    """The best k of every query of one tile, per group of the corpus."""
 
     def __init__(self, qids: np.ndarray, q: np.ndarray, k: int, exclude_self: bool):
         self.qids, self.q, self.k, self.exclude_self = qids, q, k, exclude_self
@@ -97,35 +119,53 @@ class _Nearest:
         self.limit: dict[int, np.ndarray] = {}
 
     def meet(self, group: int, ids: np.ndarray, x: np.ndarray) -> None:
-        none = np.zeros(0, np.int64)
-        limit = self.limit.setdefault(group, np.full(len(self.qids), np.inf))
         for lo in range(0, len(ids), PRODUCT):
             part, own = x[lo:lo + PRODUCT], ids[lo:lo + PRODUCT]
+            limit = self.limit.setdefault(group, np.full(len(self.qids), np.inf))
             size = (part * part).sum(1)
-            d = size[:, None] + self.norms[None, :] - 2 * (part @ self.q.T)
+            d = self.q @ part.T
+            d *= -2
+            d += size
+            d += self.norms[:, None]
             if self.exclude_self:
-                d[own[:, None] == self.qids[None, :]] = np.inf
+                d[self.qids[:, None] == own[None, :]] = np.inf
             bar = limit
             if len(own) > self.k:
-                bar = np.minimum(bar, np.partition(d, self.k - 1, axis=0)[self.k - 1])
+                bar = np.minimum(bar, np.partition(d, self.k - 1, axis=1)[:, self.k - 1])
             # The product's rounding must lose none: verified below.
-            row, query = np.nonzero(d <= bar + 1e-11 * (1 + size.max() + self.norms))
+            query, row = np.nonzero(d <= (bar + 1e-11 * (1 + size.max() + self.norms))[:, None])
             if self.exclude_self:
                 other = own[row] != self.qids[query]
                 row, query = row[other], query[other]
-            exact = ((part[row] - self.q[query]) ** 2).sum(1)
-            have = self.found.get(group, (none, none, np.zeros(0)))
-            at, ident, dist = np.r_[have[0], query], np.r_[have[1], own[row]], np.r_[have[2], exact]
-            order = np.lexsort((ident, dist, at))
-            at = at[order]
-            place = np.arange(len(at)) - np.searchsorted(at, at)
-            order = order[place < self.k]
-            last = at[place == self.k - 1]
-            self.found[group] = at[place < self.k], ident[order], dist[order]
-            limit[last] = self.found[group][2][np.flatnonzero(place[place < self.k] == self.k - 1)]
+            self._keep(group, query, own[row], self._exact(part, row, query))
+
+    def _exact(self, part: np.ndarray, row: np.ndarray, query: np.ndarray) -> np.ndarray:
+        """Squared distances of pairs. Among copies every pair is a tie, so
+        there may be as many as the product has cells."""
+        exact, step = np.empty(len(row)), _fit(part.shape[1])
+        for lo in range(0, len(row), step):
+            exact[lo:lo + step] = ((part[row[lo:lo + step]] - self.q[query[lo:lo + step]]) ** 2).sum(1)
+        return exact
+
+    def _keep(self, group: int, query: np.ndarray, ident: np.ndarray, exact: np.ndarray) -> None:
+        none = np.zeros(0, np.int64)
+        have = self.found.get(group, (none, none, np.zeros(0)))
+        at, ident, dist = np.r_[have[0], query], np.r_[have[1], ident], np.r_[have[2], exact]
+        order = np.lexsort((ident, dist, at))
+        at = at[order]
+        place = np.arange(len(at)) - np.searchsorted(at, at)
+        order = order[place < self.k]
+        last = at[place == self.k - 1]
+        self.found[group] = at[place < self.k], ident[order], dist[order]
+        self.limit[group][last] = self.found[group][2][np.flatnonzero(place[place < self.k] == self.k - 1)]
+
+    def held(self) -> int:
+        return sum(len(at) for at, _, _ in self.found.values())
 
     def rows(self) -> Iterator[pa.RecordBatch]:
-        for group, (at, ident, dist) in self.found.items():
+        """What was found; it is no longer held."""
+        found, self.found, self.limit = self.found, {}, {}
+        for group, (at, ident, dist) in found.items():
             yield pa.record_batch([pa.array(self.qids[at], pa.int64()), pa.array(np.full(len(at), group), pa.int64()), pa.array(ident, pa.int64()), pa.array(dist)],
                                   names=["query", "grp", "id", "dist2"])
 
@@ -133,21 +173,29 @@ class _Nearest:
 def search_pairs(pairs: DataFrame, k: int, exclude_self: bool) -> DataFrame:
     """Best k per query and group of what each task meets: (query, grp, id,
     dist2) from ``pairs`` of a query block (qids, queries) and a corpus chunk
-    (grp, ids, vectors)."""
+    (grp, ids, vectors). A worker's memory is bounded by ``BYTES``, ``TILE`` x
+    ``PRODUCT`` and ``HELD``, besides Spark's batches; neighbours passed on
+    early leave the choice to the caller's top k."""
 
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        key, near = None, None
+        key, tiles = None, []
         for batch in batches:
             for n in range(batch.num_rows):
                 qids, queries, group, ids, vectors = (batch.column(c)[n].as_py() for c in range(5))
                 if (qids, queries) != key:
-                    if near:
+                    for near in tiles:
                         yield from near.rows()
-                    key, q = (qids, queries), np.frombuffer(qids, np.int64)
-                    near = _Nearest(q, np.frombuffer(queries).reshape(len(q), -1), k, exclude_self)
+                    key, at = (qids, queries), np.frombuffer(qids, np.int64)
+                    q = np.frombuffer(queries).reshape(len(at), -1)
+                    tiles = [_Nearest(at[lo:lo + TILE], q[lo:lo + TILE], k, exclude_self) for lo in range(0, len(at), TILE)]
                 own = np.frombuffer(ids, np.int64)
-                near.meet(group, own, np.frombuffer(vectors).reshape(len(own), -1))
-        if near:
+                x = np.frombuffer(vectors).reshape(len(own), -1)
+                for near in tiles:
+                    near.meet(group, own, x)
+                if sum(near.held() for near in tiles) > HELD:
+                    for near in tiles:
+                        yield from near.rows()
+        for near in tiles:
             yield from near.rows()
 
     return pairs.select("qids", "queries", "grp", "ids", "vectors").mapInArrow(
@@ -237,14 +285,13 @@ class CellIndex:
         centres = queries.sparkSession.sparkContext.broadcast(self.centres)
 
         def near(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
-                if batch.num_rows:
-                    q, c = _matrix(batch.column(1)), centres.value
-                    d = (q * q).sum(1)[:, None] + (c * c).sum(1)[None, :] - 2 * (q @ c.T)
-                    cell = np.argsort(d, axis=1, kind="stable")[:, :nprobe]
-                    row = pa.array(np.repeat(np.arange(batch.num_rows), cell.shape[1]))
-                    yield pa.record_batch([pa.array(cell.ravel(), pa.int64()), batch.column(0).take(row), batch.column(1).take(row)],
-                                          names=["cell", "query", "vector"])
+            for batch in _slices(batches, 1, nprobe):
+                q, c = _matrix(batch.column(1)), centres.value
+                d = (q * q).sum(1)[:, None] + (c * c).sum(1)[None, :] - 2 * (q @ c.T)
+                cell = np.argsort(d, axis=1, kind="stable")[:, :nprobe]
+                row = pa.array(np.repeat(np.arange(batch.num_rows), cell.shape[1]))
+                yield pa.record_batch([pa.array(cell.ravel(), pa.int64()), batch.column(0).take(row), batch.column(1).take(row)],
+                                      names=["cell", "query", "vector"])
 
         rows = queries.where(F.col(qvec).isNotNull()).select(F.col(qid).cast("long"), F.col(qvec).cast("array<double>"))
         return rows.mapInArrow(near, "cell long, query long, vector array<double>")

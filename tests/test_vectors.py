@@ -1,6 +1,9 @@
 """Vector search as joins of blocks: exact, per batch, by inverted lists."""
 
+import tracemalloc
+
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -83,6 +86,110 @@ def test_plan_does_not_grow_with_the_blocks(spark, monkeypatch):
     assert nodes() == one
 
 
+class Captured:
+    """Stands for a DataFrame: the function that its tasks would run."""
+
+    def where(self, *_):
+        return self
+
+    select = where
+
+    def mapInArrow(self, f, _):  # noqa: N802
+        return f
+
+
+def pairs_of(q, x, groups=1, block=2048):
+    """One block of queries (ids from 0) with every chunk of the corpus."""
+    ids = np.arange(len(x))
+    rows = [(np.arange(len(q)).tobytes(), q.tobytes(), g, ids[lo:lo + block][g::groups].tobytes(), x[lo:lo + block][g::groups].tobytes())
+            for lo in range(0, len(x), block) for g in range(groups)]
+    for row in rows:
+        yield pa.record_batch([pa.array([v]) for v in row], names=["qids", "queries", "grp", "ids", "vectors"])
+
+
+def best(batches, k):
+    """(group, query) -> the k nearest of all that the tasks passed on."""
+    out = {}
+    for b in batches:
+        for q, g, i, d in zip(*(c.to_pylist() for c in b.columns)):
+            out.setdefault((g, q), set()).add((d, i))
+    return {key: [i for _, i in sorted(v)[:k]] for key, v in out.items()}
+
+
+@pytest.mark.parametrize("copies", [False, True])
+def test_memory_of_a_search_is_bounded(spark, copies):
+    """The matrices and the verified pairs of a block with a chunk, whose
+    number grows with both, also where all vectors are copies of one."""
+    x = np.random.default_rng(7).normal(size=(2048, 32))
+    x = np.repeat(x[:1], len(x), axis=0) if copies else x
+    search = VX.search_pairs(Captured(), 10, True)
+    tracemalloc.start()
+    got = best(search(pairs_of(x, x)), 10)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert {q: n for (_, q), n in got.items() if q % 64 == 0} == brute(x, 64, 10)
+    assert peak < 48e6
+
+
+def test_memory_of_many_groups_is_bounded(spark, monkeypatch):
+    """Neighbours are passed on while a task still searches; the best of what
+    it passed on are those of the whole group."""
+    x = points(900)
+    monkeypatch.setattr(VX, "HELD", 500, raising=False)
+    monkeypatch.setattr(VX, "TILE", 7, raising=False)
+    seen, early = [], []
+    search = VX.search_pairs(Captured(), 10, True)
+
+    def asked_for():
+        for pair in pairs_of(x[:30], x, groups=3, block=100):
+            early.append(len(seen))
+            yield pair
+
+    for batch in search(asked_for()):
+        seen.append(batch)
+    assert len(early) == 27 and early[-1] > 0
+    got = best(seen, 10)
+    for g in range(3):
+        for q in range(30):
+            d = ((x - x[q]) ** 2).sum(1)
+            own = [i for i in np.lexsort((np.arange(len(x)), d)) if i % 100 % 3 == g and i != q]
+            assert got[g, q] == own[:10]
+
+
+def test_wide_vectors_make_short_blocks(spark):
+    """Rows of blocks and of probes are bounded in bytes, whatever the length
+    of a vector or the number of cells probed."""
+    x = np.random.default_rng(8).normal(size=(1500, 2048))
+    values = pa.ListArray.from_arrays(np.arange(0, x.size + 1, 2048, dtype=np.int32), pa.array(x.ravel()))
+    batch = pa.record_batch([pa.array(np.arange(1500) % 2), pa.array(np.arange(1500)), values], names=["key", "id", "vector"])
+    blocks = list(VX.pack(Captured(), "key", "id", "vector", 4096)(iter([batch])))
+    assert max(b.nbytes for b in blocks) <= 1.1 * (1 << 21)
+    back = {}
+    for b in blocks:
+        ids = np.frombuffer(b.column(1)[0].as_py(), np.int64)
+        vectors = np.frombuffer(b.column(2)[0].as_py()).reshape(len(ids), -1)
+        assert b.column(3)[0].as_py() == len(ids) and set(ids % 2) == {b.column(0)[0].as_py()}
+        back |= dict(zip(ids.tolist(), vectors))
+    assert sorted(back) == list(range(1500)) and all((back[i] == x[i]).all() for i in back)
+
+    class Broadcast:
+        value = x[:12]
+
+    index = VX.CellIndex.__new__(VX.CellIndex)
+    index.centres = x[:12]
+    queries = Captured()
+    queries.sparkSession = queries.sparkContext = queries
+    queries.broadcast = lambda _: Broadcast
+    probes = list(index.probes(queries, 10, "id", "vector")(iter([batch.select(["id", "vector"])])))
+    assert max(b.nbytes for b in probes) <= 1.1 * (1 << 21)
+    near = np.argsort((x * x).sum(1)[:, None] + (x[:12] ** 2).sum(1)[None, :] - 2 * (x @ x[:12].T), axis=1, kind="stable")[:, :10]
+    got = {}
+    for b in probes:
+        for c, q in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
+            got.setdefault(q, []).append(c)
+    assert [got[i] for i in range(1500)] == near.tolist()
+
+
 def clustered():
     r = np.random.default_rng(5)
     centres = 8 * r.normal(size=(40, 16))
