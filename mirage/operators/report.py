@@ -86,13 +86,14 @@ EVAL_FIELDS = ["eval_id", "eval_type", "term_label", "term", "term_id", "IsHypot
 def nested_rows(detail: DataFrame) -> DataFrame:
     """A9 without its JSON: one row per (answer source, question) holding the
     question fields of its first row (lowest eval id), as far as ``detail``
-    has them, and the evaluations ordered by eval id."""
-    fields = [c for c in QUESTION_FIELDS if c in detail.columns]
+    has them, and the evaluations ordered by eval id. The question is the
+    group's own column, so rows that lie by question are not shuffled."""
+    fields = [c for c in QUESTION_FIELDS if c in detail.columns and c != "question_id"]
     ev = F.struct(*[F.col(c) for c in EVAL_FIELDS])
     head = F.struct(F.col("eval_id"), *[F.col(c) for c in fields])
     g = detail.groupBy("answer_source", "question_id").agg(
         F.min(head).alias("_h"), F.sort_array(F.collect_list(ev)).alias("evaluations"))
-    return g.select("answer_source", *[F.col(f"_h.{c}").alias(c) for c in fields], "evaluations")
+    return g.select("answer_source", "question_id", *[F.col(f"_h.{c}").alias(c) for c in fields], "evaluations")
 
 
 def with_json(nested: DataFrame) -> DataFrame:

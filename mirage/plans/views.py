@@ -8,6 +8,9 @@ side is small.
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import and_
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -226,6 +229,38 @@ def _answer_heads(p: Pipeline) -> DataFrame:
     return heads.groupBy("_ha").agg(F.min("_h").alias("_h"))
 
 
+#: Codes of an evaluation that travel as one number.
+EVAL_CODES = ["eval_label", "eval_type_id", "term_source", "model_id"]
+
+
+def _packed(df: DataFrame, names: list[str]) -> DataFrame:
+    """``names`` (integers, seven at most) as one number, ``_codes``, a byte
+    each and 255 for a missing one. A row with a number that a byte doesn't
+    hold keeps all of them in ``_odd``."""
+    small = reduce(and_, [F.coalesce(F.col(c).between(0, 254), F.lit(True)) for c in names])
+    byte = [F.shiftleft(F.coalesce(F.col(c).cast("long"), F.lit(255)), 8 * k) for k, c in enumerate(names)]
+    return df.select(*[c for c in df.columns if c not in names], F.when(small, reduce(Column.bitwiseOR, byte)).alias("_codes"),
+                     F.when(~small, F.struct(*names)).alias("_odd"))
+
+
+def _code(names: list[str], name: str) -> Column:
+    """One of the numbers that ``_packed`` put together."""
+    byte = F.shiftright("_codes", 8 * names.index(name)).bitwiseAND(F.lit(255))
+    return F.when(F.col("_codes").isNull(), F.col("_odd")[name]).when(byte != 255, byte)
+
+
+def _unpacked(df: DataFrame, names: list[str]) -> DataFrame:
+    return df.select("*", *[_code(names, c).alias(c) for c in names]).drop("_codes", "_odd")
+
+
+def _shared_ids(p: Pipeline) -> DataFrame:
+    """(``_sa``, ``_si``): the answer and id of evaluations whose id other
+    answers have too, placed by answer. Only ids and answers are shuffled."""
+    ids = p.evals.where(F.col("answer_id").isNotNull()).select(F.col("answer_id").alias("_sa"), F.col("id").alias("_si"))
+    of = Window.partitionBy("_si")
+    return ids.withColumn("_lo", F.min("_sa").over(of)).withColumn("_hi", F.max("_sa").over(of)).where("_lo < _hi").select("_sa", "_si").repartition("_sa")
+
+
 def report_rows(p: Pipeline, labels: DataFrame | None = None) -> DataFrame:
     """A11 over J6, without the question and answer text. The ids come before
     the texts they determine in the report's columns, so leaving the texts out
@@ -236,18 +271,25 @@ def report_rows(p: Pipeline, labels: DataFrame | None = None) -> DataFrame:
     row takes from its answer, its term and its answer's labels depends on its
     own ids, so its repeats are dropped before it meets the answer, and of
     each the first (least) is enough, as the rows with the others would go in
-    the second dedupe."""
+    the second dedupe.
+
+    A row is shuffled three times, by its term, its answer and its question,
+    with its codes as one number, and the rows of a question lie together. An
+    id's repeats are mostly of one answer and meet there; only rows whose id
+    several answers have (``_shared_ids``) are shuffled by id."""
     code = lambda rows: [k for k, _ in rows]
     model = F.col("model_id")
-    e = p.evals.where(F.col("answer_id").isNotNull()).withColumn("_made_up", F.when(F.col("term_source") == 0, 1).otherwise(0))
+    made_up = lambda source: F.when(source == 0, 1).otherwise(0)
+    e = _packed(p.evals.where(F.col("answer_id").isNotNull()), EVAL_CODES)
     least = F.when(F.count(F.lit(1)) > F.count("_term"), F.lit(None)).otherwise(F.min("_term"))
     d = term_dictionary(p).groupBy("_hyp", "_tid").agg(least.alias("_term"))
-    e = e.join(d, (F.col("term_id") == F.col("_tid")) & (F.col("_made_up") == F.col("_hyp")), "left").drop("_tid", "_hyp")
+    e = e.join(d, (F.col("term_id") == F.col("_tid")) & (made_up(_code(EVAL_CODES, "term_source")) == F.col("_hyp")), "left").drop("_tid", "_hyp")
     # Placed by answer and sorted once: all windows up to the second dedupe
     # group by a prefix of ``own``.
+    e = _unpacked(e.repartition("answer_id"), EVAL_CODES).withColumn("_made_up", made_up(F.col("term_source")))
     key = ["answer_id", "model_id", *[c for c in L.EVAL_KEY if c not in ("answer_id", "model_id")]]
     own = [*key, *[c for c in e.columns if c not in (*key, "id")]]
-    rows = e.repartition("answer_id").withColumn("_n", F.row_number().over(Window.partitionBy(*own).orderBy(F.col("id").asc_nulls_first())))
+    rows = e.withColumn("_n", F.row_number().over(Window.partitionBy(*own).orderBy(F.col("id").asc_nulls_first())))
     if labels is None:
         answer = Window.partitionBy("answer_id")
         rows = rows.withColumn("_sev", L.first_severity(L.first_rank().over(Window.partitionBy(*key))))
@@ -264,23 +306,38 @@ def report_rows(p: Pipeline, labels: DataFrame | None = None) -> DataFrame:
     j = rows.where((F.col("_n") == 1) & known).drop("_n").join(_answer_heads(p), F.col("answer_id") == F.col("_ha")).drop("_ha")
     order = ["_h.order", "_h.question_id", "answer_id", "_h.hyp", _name_order(S.MODELS, F.col("model_id")), _name_order(S.EVAL_SOURCES, F.col("eval_type_id")),
              "eval_label", "_term", "term_id", "_made_up", _name_order(S.TERM_SOURCES, F.col("term_source")), "reflection", "_label"]
-    first = Window.partitionBy("id").orderBy(*[(F.col(c) if isinstance(c, str) else c).asc_nulls_first() for c in order])
-    kept = j.withColumn("_n", F.row_number().over(first)).where("_n = 1")
+    order = [(F.col(c) if isinstance(c, str) else c).asc_nulls_first() for c in order]
+    first = lambda df, *of: df.withColumn("_n", F.row_number().over(Window.partitionBy(*of).orderBy(*order))).where("_n = 1").drop("_n")
+    kept, shared = first(j, "answer_id", "id"), _shared_ids(p)
+    here = (F.col("answer_id") == F.col("_sa")) & F.col("id").eqNullSafe(F.col("_si"))
+    kept = kept.join(shared, here, "left_anti").unionByName(first(kept.join(shared, here, "left_semi"), "id"))
+    codes = ["_source", "_hyp", *EVAL_CODES, "_label"]
+    kept = kept.select("_h.question_id", "answer_id", F.col("_h.model_id").alias("_source"), F.col("_h.hyp").cast("int").alias("_hyp"), *EVAL_CODES, "_label",
+                       "id", "term_id", "reflection", "_term")
+    kept = _unpacked(_packed(kept, codes).repartition("question_id"), codes)
     return kept.select(
-        _named(S.MODELS, F.col("_h.model_id")).alias("answer_source"), "_h.question_id", "answer_id", F.col("_h.hyp").alias("isHypotheticalQuestion"),
+        _named(S.MODELS, F.col("_source")).alias("answer_source"), "question_id", "answer_id", (F.col("_hyp") == 1).alias("isHypotheticalQuestion"),
         _named(S.MODELS, F.col("model_id")).alias("evaluator_model"), F.col("id").alias("eval_id"),
         _named(S.EVAL_SOURCES, F.col("eval_type_id")).alias("eval_type"), F.col("eval_label").alias("term_label_id"),
         _named(S.EVAL_NAMES, F.col("eval_label")).alias("term_label"), F.col("_term").alias("term"), "term_id",
-        F.col("_made_up").alias("IsHypotheticalTerm"), _named(S.TERM_SOURCES, F.col("term_source")).alias("term_source"), "reflection",
+        made_up(F.col("term_source")).alias("IsHypotheticalTerm"), _named(S.TERM_SOURCES, F.col("term_source")).alias("term_source"), "reflection",
         F.col("_label").alias("answer_label_id"), _named(S.EVAL_NAMES, F.col("_label")).alias("answer_label"))
 
 
 def with_answer_text(p: Pipeline, rows: DataFrame) -> DataFrame:
-    """``rows`` (answer_id, question_id) with the answer and question text."""
-    a = p.answers.select(F.col("id").alias("_aid"), "answer")
+    """``rows`` (answer_id, question_id: one of the answer's questions) with
+    the answer and question text. The texts are brought to the questions and
+    meet the rows as a union, not a join on both ids, so rows that lie by
+    question, as those of ``report_rows`` do, stay there."""
+    a = p.answers.where(F.col("id").isNotNull()).repartition("id").groupBy("id").agg(
+        F.collect_set("question_id").alias("_qs"), F.collect_list(F.struct("answer")).alias("_texts"))
+    a = a.select(F.col("id").alias("answer_id"), "_texts", F.explode("_qs").alias("question_id")).select(
+        "answer_id", "question_id", F.explode("_texts").alias("_text")).repartition("question_id")
+    both = rows.withColumn("_row", F.lit(True)).unionByName(a, allowMissingColumns=True)
+    texts = F.collect_list("_text").over(Window.partitionBy("question_id", "answer_id"))
+    met = both.withColumn("_texts", texts).where("_row").select(*rows.columns, F.explode("_texts").alias("_text"))
     q = p.questions.select(F.col("id").alias("_qid"), "question")
-    return (rows.join(a, F.col("answer_id") == F.col("_aid")).join(q, F.col("question_id") == F.col("_qid"))
-                .drop("_aid", "_qid"))
+    return met.join(q, F.col("question_id") == F.col("_qid")).select(*rows.columns, "_text.answer", "question")
 
 
 def report_detail(p: Pipeline, labels: DataFrame | None = None) -> DataFrame:
