@@ -341,11 +341,9 @@ def with_answer_text(p: Pipeline, rows: DataFrame) -> DataFrame:
 
 
 def report_detail(p: Pipeline, labels: DataFrame | None = None) -> DataFrame:
-    """The report's rows; texts are joined once, to those that stay: an
-    answer meets its question's text before the rows meet both."""
-    texts = with_answer_text(p, _answer_heads(p).select(F.col("_ha").alias("answer_id"), "_h.question_id")).select(
-        F.col("answer_id").alias("_ta"), "answer", "question")
-    return report_rows(p, labels).join(texts, F.col("answer_id") == F.col("_ta")).select(*S.REPORT_DETAIL_COLUMNS)
+    """The report's rows; texts are joined once, to those that stay, where
+    they lie."""
+    return with_answer_text(p, report_rows(p, labels)).select(*S.REPORT_DETAIL_COLUMNS)
 
 
 def terms_evals_detailed_base(p: Pipeline, labels: DataFrame | None = None,
